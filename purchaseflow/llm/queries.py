@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, quality_rules
+from . import exact_dedup, quality_rules, warc
 from .common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = warc.page_ids(warc.round_trip(table(spark, sf_dir, "pages")))
+    return seen.select(
+        "page_id", F.coalesce("payload_bytes", "to_bytes").alias("payload_bytes"), F.coalesce("payload_sha1", "to_sha1").alias("payload_digest"),
+        F.col("type").alias("record_type"), F.col("to_page").alias("refers_to"),
+    )
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -26,11 +34,21 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
         "op3_exact_dedup": op3_exact_dedup,
         "op7_quality_rules": op7_quality_rules,
     }
 
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS s FROM pages),
+     q AS (SELECT *, max(page_id) OVER (PARTITION BY s) AS m FROM p)
+SELECT page_id, n AS payload_bytes, s AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id < m THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < m THEN m END AS refers_to
+FROM q
+"""
+
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -40,4 +58,4 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL}
+    return {"op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL}
