@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, quality_rules, warc
+from . import bpe, chat, exact_dedup, quality_rules, warc
 from .common import table
 
 
@@ -19,10 +19,32 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def word_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = bpe.encode(table(spark, sf_dir, "documents"), word_vocabulary())
+    both = bpe.decode(ids, word_vocabulary())
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trial = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", trial), (-7, 1, "assistant", trial)], given.schema)
+    return chat.digests(chat.render(given.unionByName(extra)))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.apply_policies(quality_rules.ledger(table(spark, sf_dir, "documents")))
     base = ~quality_rules.passes(quality_rules.Policy("base", quality_rules.BASE))
@@ -35,7 +57,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
+        "op2_bpe": op2_bpe,
         "op3_exact_dedup": op3_exact_dedup,
+        "op6_chat": op6_chat,
         "op7_quality_rules": op7_quality_rules,
     }
 
@@ -49,6 +73,20 @@ SELECT page_id, n AS payload_bytes, s AS payload_digest,
 FROM q
 """
 
+OP6_SQL = r"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(text) + len(regexp_extract_all(text, '(?:<\\*/?s>|\[\\*/?(?:INST|ANS|ROLE))'))
+           + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 11 ELSE 16 + length(role) END) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -58,4 +96,4 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL}
+    return {"op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op6_chat": OP6_SQL}
