@@ -214,14 +214,21 @@ def read_archives(spark: SparkSession, folder: str, kinds: tuple[str, ...] = (),
 def membership(records: DataFrame) -> DataFrame:
     """(record_id, capture_id) of each record that concurrent-to links tie to a response or revisit, directly or over
     one other record, in either direction. Takes record_id, type, concurrent_to; a record of two captures is in both."""
-    main = records.where(F.col("type").isin(*MAIN)).select(F.col("record_id").alias("main")).distinct()
-    ends = records.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b"))
-    ends = ends.union(ends.select("b", "a")).distinct()
-    first = ends.join(main, ends.b == main.main).select("a", F.col("main").alias("capture_id"))
-    first = first.join(main, F.col("a") == F.col("main"), "left_anti")
-    rest = ends.join(main, F.col("a") == F.col("main"), "left_anti").join(first.select(F.col("a").alias("near")), F.col("a") == F.col("near"), "left_anti")
-    second = rest.join(first.select(F.col("a").alias("via"), "capture_id"), F.col("b") == F.col("via")).select("a", "capture_id")
-    return first.union(second).distinct().select(F.col("a").alias("record_id"), "capture_id")
+    is_main = F.col("type").isin(*MAIN)
+    main = records.where(is_main).select(F.col("record_id").alias("main"))
+    linked = records.select("record_id", is_main.alias("is_main"), F.explode("concurrent_to").alias("to"))
+    # what captures name needs no look-up; what names something is looked up among the captures
+    named = linked.where("is_main").select(F.col("to").alias("record_id"), F.col("record_id").alias("capture_id"))
+    named = named.join(main, F.col("record_id") == F.col("main"), "left_anti")
+    asked = linked.where("NOT is_main").join(main, F.col("to") == F.col("main"), "left")
+    first = named.union(asked.where("main IS NOT NULL").select("record_id", F.col("main").alias("capture_id")))
+    # a link between two other records passes on what either has
+    other = asked.where("main IS NULL").select(F.col("record_id").alias("a"), F.col("to").alias("b"))
+    other = other.union(other.select("b", "a"))
+    second = other.join(first.select(F.col("record_id").alias("via"), "capture_id"), F.col("b") == F.col("via")).select(F.col("a").alias("record_id"), "capture_id")
+    second = second.join(main, F.col("record_id") == F.col("main"), "left_anti")
+    second = second.join(first.select(F.col("record_id").alias("had")), F.col("record_id") == F.col("had"), "left_anti")
+    return first.union(second).distinct()
 
 
 def assemble(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
@@ -254,5 +261,6 @@ def page_ids(captures: DataFrame) -> DataFrame:
     found = F.filter(F.flatten(F.transform("metadata", lambda m: m["fields"])), lambda e: e["key"] == "page-id")
     rows = captures.withColumn("page_id", F.try_element_at(found, F.lit(1))["value"].cast("long"))
     rows = rows.select("record_id", "type", "refers_to", "page_id", "payload_bytes", "payload_sha1", "target_uri")
+    rows = written(captures.sparkSession, rows, "warc-captures")  # else the archives are read for each side of the join
     to = rows.where(F.col("type") == "response").select(F.col("record_id").alias("to_id"), F.col("page_id").alias("to_page"), F.col("payload_bytes").alias("to_bytes"), F.col("payload_sha1").alias("to_sha1"))
     return rows.join(to, rows.refers_to == to.to_id, "left")
