@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import utf8
 
-#: Entries of a task's cache of encoded words; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
+#: Entries of each of a task's caches (chunks, words, token pairs); beyond it a cache starts anew.
+CACHE_WORDS = 200_000
 
 
 @lru_cache(1)
@@ -79,14 +79,8 @@ class Vocabulary:
             self.automaton.add_word(s, i)
         self.automaton.make_automaton()
         self.shorter = {i: next((of[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in of), None) for i, s in self.token.items()}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, list[int]] = {}
-        texts = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
-        self.size = max(texts) + 1
-        pieces = [texts.get(i, "").encode() + b" " for i in range(self.size)]
-        self.lengths = np.array([len(p) for p in pieces], dtype=np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        self.bytes = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        self.fits: dict[int, bool] = {}
+        self.known: dict[str, bytes] = {}
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging in rank order can leave ``left`` and ``right`` as neighbours.
@@ -94,7 +88,8 @@ class Vocabulary:
         The tokens are taken apart again in reverse order of their merges; at no time may the two pieces that touch
         have a merge that would have come before the merge just undone.
         """
-        if (known := self.fits.get((left, right))) is not None:
+        pair = left << 32 | right
+        if (known := self.fits.get(pair)) is not None:
             return known
         a, b, before, out = left, right, 1 << 60, True
         while True:
@@ -109,7 +104,9 @@ class Vocabulary:
                 before, a = ra, self.parts[a][1]
             else:
                 before, b = rb + 1, self.parts[b][0]
-        self.fits[left, right] = out
+        if len(self.fits) >= CACHE_WORDS:
+            self.fits.clear()
+        self.fits[pair] = out
         return out
 
     def longest(self, text: str, at: int) -> int:
@@ -138,24 +135,40 @@ class Vocabulary:
                     break
         return out
 
-    def encode_plain(self, text: str) -> list[int]:
-        """Ids of a text without special tokens: NFC, lower case letter by letter, words by the file's pattern."""
+    def encode_plain(self, text: str) -> bytes:
+        """Packed ids of a text without special tokens: NFC, lower case letter by letter, words by the file's pattern."""
         text = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return [i for w in self.words.findall(text) for i in self.known.get(w) or self.learn(w)]
+        return b"".join([self.known.get(w) or self.learn(w) for w in self.words.findall(text)])
 
-    def learn(self, word: str) -> list[int]:
+    def learn(self, word: str) -> bytes:
         if len(self.known) >= CACHE_WORDS:
             self.known.clear()
-        out = self.encode_word(word.encode())
+        out = pack(self.encode_word(word.encode()))
         if len(word) <= 64:
             self.known[word] = out
         return out
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text; the strings of special tokens stand for these, as in the files' own library."""
+    def encode(self, text: str) -> bytes:
+        """Packed ids of a text; the strings of special tokens stand for these, as in the files' own library."""
         if self.cut is None or not any(t in text for t in self.special):
             return self.encode_plain(text)
-        return [i for k, part in enumerate(self.cut.split(text)) for i in ([self.special[part]] if k % 2 else self.encode_plain(part) if part else [])]
+        return b"".join(pack([self.special[part]]) if k % 2 else self.encode_plain(part) for k, part in enumerate(self.cut.split(text)))
+
+
+def pack(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
+class OffsetTable:
+    """The strings of all tokens, special ones too, end to end, and where each begins."""
+
+    def __init__(self, data: str) -> None:
+        parsed = json.loads(data)
+        texts = {i: t for t, i in parsed["model"]["vocab"].items()} | {t["id"]: t["content"] for t in parsed["added_tokens"]}
+        pieces = [texts.get(i, "").encode() + b" " for i in range(max(texts) + 1)]
+        self.lengths = np.array([len(p) for p in pieces], dtype=np.int32)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(pieces), dtype=np.uint8)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The tokens' own strings with one space between, gathered through the offset table."""
@@ -178,7 +191,7 @@ class Chunks(dict):
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        out = array("i", self.vocabulary.encode(chunk.decode())).tobytes()
+        out = self.vocabulary.encode(chunk.decode())
         if len(chunk) <= 64:
             self[chunk] = out
         return out
@@ -195,9 +208,9 @@ class Encoder:
 
 
 @lru_cache(2)
-def _load(data_key: str, path: str) -> Vocabulary:
+def _load(kind: type, digest: str, path: str) -> Vocabulary | OffsetTable:
     with open(path, encoding="utf-8") as f:
-        return Vocabulary(f.read())
+        return kind(f.read())
 
 
 def _shipped(spark: SparkSession, path: str) -> tuple[str, str]:
@@ -217,7 +230,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     name, digest = _shipped(docs.sparkSession, vocabulary)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(_load(digest, SparkFiles.get(name)))
+        encoder = Encoder(_load(Vocabulary, digest, SparkFiles.get(name)))
         for b in it:
             step = 512
             for k in range(0, max(1, b.num_rows), step):
@@ -237,7 +250,7 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
     name, digest = _shipped(encoded.sparkSession, vocabulary)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _load(digest, SparkFiles.get(name))
+        table = _load(OffsetTable, digest, SparkFiles.get(name))
         for b in it:
             lists = b.column(1)
             ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
