@@ -48,15 +48,15 @@ def captures_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = rows.withColumn("digest", F.sha1("payload"))
     ids = rows.select("page_id", "digest", F.length("payload").alias("size")).where(F.col("size") >= revisit_from)
     groups = ids.groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    named = lambda c: F.coalesce(c.cast("string"), F.lit("null"))  # noqa: E731  plain keys, so that join and numbering share one shuffle
     repeats = (
         ids.join(groups, ["digest", "size"]).where(~F.col("page_id").eqNullSafe(F.col("last")))
-        .groupBy(F.col("page_id").alias("at"), F.col("digest").alias("of")).agg(F.max("last").alias("last"))
+        .groupBy(named(F.col("page_id")).alias("name"), "digest").agg(F.max("last").alias("last"), F.lit(True).alias("again"))
     )
-    out = rows.join(repeats, F.col("page_id").eqNullSafe(F.col("at")) & (F.col("digest") == F.col("of")), "left")
-    nth = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url"))
-    out = out.withColumn("nth", nth)
+    out = rows.withColumn("name", named(F.col("page_id"))).join(repeats, ["name", "digest"], "left")
+    out = out.withColumn("nth", F.row_number().over(Window.partitionBy("name", "digest").orderBy("url")))
     kinds = {k: record_id(k, F.col("page_id"), F.col("digest"), F.col("nth")) for k in ("request", "capture", "metadata")}
-    refers = F.when(F.col("of").isNotNull(), record_id("capture", F.col("last"), F.col("digest"), F.lit(1)))
+    refers = F.when(F.col("again"), record_id("capture", F.col("last"), F.col("digest"), F.lit(1)))
     return out.select("page_id", "url", "payload", "digest", refers.alias("refers_to"), *(v.alias(f"{k}_id") for k, v in kinds.items()))
 
 
@@ -234,14 +234,15 @@ def membership(records: DataFrame) -> DataFrame:
 def assemble(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     """One row per response or revisit record: the record's columns, and ``requests`` and ``metadata`` as arrays of structs
     (ordered by record id; empty if none). Records that no link ties to a capture are left out, see ``membership``."""
-    links = membership(written(spark, read_archives(spark, folder, payloads=False).select("record_id", "type", "concurrent_to"), "warc-links"))
-    side = read_archives(spark, folder, ("request", "metadata"), payloads=False).select("record_id", "type", "http_head", "fields", "date")
+    records = written(spark, read_archives(spark, folder, payloads=False), "warc-records")
+    links = membership(records)
+    side = records.where(F.col("type").isin("request", "metadata")).select("record_id", "type", "http_head", "fields", "date")
     nested = F.struct("record_id", "date", "http_head", "fields")
     sides = (
         side.join(links, "record_id").groupBy("capture_id")
         .agg(*(F.sort_array(F.collect_list(F.when(F.col("type") == k, nested.dropFields("fields") if k == "request" else F.struct("record_id", "date", F.map_entries("fields").alias("fields"))))).alias(n) for k, n in (("request", "requests"), ("metadata", "metadata"))))
     )
-    main = read_archives(spark, folder, MAIN, payloads)
+    main = read_archives(spark, folder, MAIN) if payloads else records.where(F.col("type").isin(*MAIN))
     return main.join(sides, main.record_id == sides.capture_id, "left").drop("capture_id", "concurrent_to", "fields")
 
 
