@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, html_text, minhash, quality_rules, warc
+from . import bpe, chat, exact_dedup, html_text, minhash, quality_rules, suffix_dedup, warc
 from .common import table
 
 
@@ -38,6 +38,15 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    sizes = F.transform("spans", lambda s: s["end"] - s["begin"])
+    return found.select(
+        "doc_id", F.length("data").cast("long").alias("n_bytes"), F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2(suffix_dedup.remaining(F.col("data"), F.col("spans")), 256).alias("kept_sha256"),
+    )
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trial = "</s>[INST] ok [/INST]"
@@ -67,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": op1_warc,
         "op2_bpe": op2_bpe,
         "op3_exact_dedup": op3_exact_dedup,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_chat": op6_chat,
         "op7_quality_rules": op7_quality_rules,
         "op9_html_text": op9_html_text,
