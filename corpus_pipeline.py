@@ -1,13 +1,62 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality rules, exact copies, near copies, repeated passages, packing.
+
+Every stage takes the documents that the one before kept, with their columns as they are, and works on all of them.
+"""
+
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from purchaseflow.llm import exact_dedup, minhash, packing, quality_rules, suffix_dedup
+from purchaseflow.llm.common import utf8, written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the newest policy of the rule ledger."""
+    return quality_rules.keep_good(docs)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents equal but for white space runs, the one with the smallest id."""
+    return exact_dedup.drop_copies(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies (five-word shingles, similarity 0.8 or more), the document with the smallest id."""
+    return minhash.drop_near(docs)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 50 bytes or more that an earlier one has. Its text is cut, n_chars follows; a
+    document of which only white space is left goes."""
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    rest = suffix_dedup.cut_repeats(docs).select(name("id").alias("_name"), F.col("code").alias("_code"), F.col("text").alias("_text"))
+    others = [c for c in docs.columns if c != "text"]
+    side = docs.select(*others, name("doc_id").alias("_name"), F.xxhash64(utf8("text")).alias("_code"))
+    # rows equal in id and text have equal rests, so one of these serves them all
+    found = side.join(rest.dropDuplicates(["_name", "_code"]), ["_name", "_code"]).where(F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
+    n_chars = {"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    now = {c: F.col(c) for c in others} | n_chars | {"text": F.col("_text")}
+    return found.select(*(now[c].alias(c) for c in docs.columns))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of permitted lengths, filled with the words of all documents."""
+    return packing.best_fit(docs, packing.word_count())
+
+
+STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("near_dedup", near), ("suffix_dedup", passages), ("packing", packed)]
 
-STAGES: list = []
+#: Near copies, passages and best fit are beyond SQL over whole tables; the tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(spark, docs, name)
     return docs

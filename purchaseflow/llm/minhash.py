@@ -1,9 +1,9 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
-A document's signature has CHUNKS * WIDTH symbols, each the low bits of one minimum hash. Two signatures within
-``2 * CHUNKS - 1`` unequal symbols agree, by the pigeonhole principle, in some chunk but for one symbol at most; so
+A document's signature has chunks of WIDTH symbols, each some bits of one minimum hash. Two signatures within
+``2 * chunks - 1`` unequal symbols agree, by the pigeonhole principle, in some chunk but for one symbol at most; so
 each chunk is indexed once for each symbol left out, and all such pairs share a key. Pairs beyond that distance are
-found too where one chunk is close enough, and those within FAR unequal symbols are linked loosely. The loose groups
+found too where one chunk is close enough, and those within ``far`` unequal symbols are linked loosely. The loose groups
 only say which documents must meet: each is then split by exact set similarity, all its members compared as far as
 they aren't yet known to be connected, so no true link between members is lost.
 
@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from .common import LOWER_ASCII, batches, partitions, utf8, written
 from .components import components
 
-CHUNKS, WIDTH = 10, 6
-#: Unequal symbols up to which two signatures of a bucket are tied loosely: at similarity 0.85 the chance of more is under 1e-6.
-FAR = 24
+WIDTH = 6
+#: Chance at most that a pair just at the threshold shares no key, and about that of its being too far for a loose link.
+MISS = 1e-6
 #: Members of a bucket that one task compares; in larger buckets all are tied to the least member instead.
 BUCKET = 20_000
 #: Shingles of a block of an oversize loose group; smaller groups are one block.
@@ -62,6 +62,19 @@ def shingles(data: bytes, hashes: WordHashes, width: int = 3) -> np.ndarray:
     return np.unique(out)
 
 
+def chunks_for(percent: int) -> int:
+    """Chunks that leave a pair of just this similarity without a common key with a chance of MISS at most."""
+    s = percent / 100
+    within_one = s**WIDTH + WIDTH * (1 - s) * s ** (WIDTH - 1)
+    return next(c for c in range(1, 1000) if (1 - within_one) ** c <= MISS)
+
+
+def far_for(percent: int) -> int:
+    """Unequal symbols, five and a half standard deviations above what such a pair has on average."""
+    n, d = chunks_for(percent) * WIDTH, 1 - percent / 100
+    return min(n, int(n * d + 5.5 * (n * d * (1 - d)) ** 0.5) + 1)
+
+
 def multipliers(count: int) -> np.ndarray:
     """Odd 64-bit factors from a fixed rule: the first bytes of SHA-256 of their number."""
     return np.array([int.from_bytes(hashlib.sha256(b"%d" % i).digest()[:8], "big") | 1 for i in range(count)], np.uint64)
@@ -77,9 +90,10 @@ def signature(found: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 def keys_of(signatures: np.ndarray) -> np.ndarray:
     """The index keys of signatures (rows): for each chunk and each symbol left out, a hash of the rest."""
-    chunk = signatures.reshape(len(signatures), CHUNKS, WIDTH).astype(np.uint64) + np.uint64(1)
-    place = np.arange(CHUNKS * WIDTH, dtype=np.uint64).reshape(1, CHUNKS, WIDTH)
-    out = np.broadcast_to(_mix(place * _M1 + _M3), (len(signatures), CHUNKS, WIDTH))
+    chunks = signatures.shape[1] // WIDTH
+    chunk = signatures.reshape(len(signatures), chunks, WIDTH).astype(np.uint64) + np.uint64(1)
+    place = np.arange(chunks * WIDTH, dtype=np.uint64).reshape(1, chunks, WIDTH)
+    out = np.broadcast_to(_mix(place * _M1 + _M3), (len(signatures), chunks, WIDTH))
     drop = np.eye(WIDTH, dtype=bool)
     for k in range(WIDTH):
         symbol = np.where(drop[k], np.uint64(0), chunk[:, :, k, None])
@@ -87,9 +101,9 @@ def keys_of(signatures: np.ndarray) -> np.ndarray:
     return out.reshape(len(signatures), -1)
 
 
-def profiles(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+def profiles(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """(id, n_shingles, set_hash, signature) of every row; set_hash is 128 bits of the whole sorted set."""
-    factors = multipliers(CHUNKS * WIDTH)
+    factors = multipliers(chunks_for(percent) * WIDTH)
     schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("signature", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +145,7 @@ def buckets(nodes: DataFrame, most: int = BUCKET) -> DataFrame:
         for b in it:
             if b.num_rows:
                 sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-                ids = np.repeat(b.column(0).to_numpy(), CHUNKS * WIDTH)
+                ids = np.repeat(b.column(0).to_numpy(), sig.shape[1])
                 flat = pa.RecordBatch.from_arrays([pa.array(keys_of(sig).reshape(-1).view(np.int64)), pa.array(ids)], names=["key", "id"])
                 for k in range(0, flat.num_rows, 50_000):
                     yield flat.slice(k, 50_000)
@@ -168,7 +182,7 @@ def buckets(nodes: DataFrame, most: int = BUCKET) -> DataFrame:
     return found.groupBy("bucket", "id").agg((F.max("n") > most).alias("oversize"))
 
 
-def loose_links(nodes: DataFrame, far: int = FAR, most: int = BUCKET) -> DataFrame:
+def loose_links(nodes: DataFrame, far: int, most: int = BUCKET) -> DataFrame:
     """(u, v): links that span, in each bucket, what is tied by signatures within ``far`` unequal symbols."""
     spark = nodes.sparkSession
     members = written(spark, buckets(nodes, most), "buckets")
@@ -275,7 +289,7 @@ def exact_links(docs: DataFrame, loose: DataFrame, id_col: str, text_col: str, w
     return rows.select(one, "id", "data").repartition(partitions(spark), "meeting").sortWithinPartitions("meeting").mapInArrow(compare, "u long, v long")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85, far: int = FAR, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept.
 
     Links tie documents whose sets of ``width``-word shingles (words lower-cased for A-Z) have ``percent`` hundredths
@@ -283,13 +297,22 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked with nothing; so are rows with a null id (component_id null, kept). Rows that repeat an id are one document.
     """
     spark = docs.sparkSession
-    seen = written(spark, profiles(docs, id_col, text_col, width), "profiles")
+    seen = written(spark, profiles(docs, id_col, text_col, width, percent), "profiles")
     linked = seen.where("n_shingles > 0 AND id IS NOT NULL")
     nodes = linked.groupBy("set_hash").agg(F.min("id").alias("id"), F.first("signature").alias("signature"))
     nodes = written(spark, nodes, "nodes")
-    loose = components(loose_links(nodes, far, bucket))
+    loose = components(loose_links(nodes, far_for(percent), bucket))
     close = exact_links(docs.where(F.col(id_col).isNotNull()), loose, id_col, text_col, width, percent, block)
     same = linked.join(nodes.select("set_hash", F.col("id").alias("v")), "set_hash").where("id != v").select(F.col("id").alias("u"), "v")
     found = components(close.union(same))
     out = seen.join(found, F.col("id") == F.col("node"), "left").withColumn("component_id", F.coalesce("root", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the row with the least id; columns as they came.
+
+    Rows of null ids stay. Rows that repeat the id that stays, stay too.
+    """
+    gone = near_dedup(docs, id_col, text_col, width, percent).where("NOT kept").select(F.col(id_col).alias("_gone")).distinct()
+    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")

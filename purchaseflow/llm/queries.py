@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, html_text, minhash, quality_rules, suffix_dedup, warc
+from . import bpe, chat, exact_dedup, html_text, minhash, packing, quality_rules, suffix_dedup, warc, weak_labels
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.classify(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
     sizes = F.transform("spans", lambda s: s["end"] - s["begin"])
@@ -63,6 +67,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"), packing.word_count())
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -76,9 +84,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": op1_warc,
         "op2_bpe": op2_bpe,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_weak_labels": op4_weak_labels,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_chat": op6_chat,
         "op7_quality_rules": op7_quality_rules,
+        "op8_packing": op8_packing,
         "op9_html_text": op9_html_text,
         "op10_minhash": op10_minhash,
     }

@@ -549,3 +549,32 @@ def remaining(data: Column, spans: Column) -> Column:
     begins = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
     ends = F.concat(F.transform(spans, lambda s: s["begin"]), F.array(F.length(data)))
     return F.aggregate(F.zip_with(begins, ends, lambda a, z: F.substring(data, a + 1, z - a)), F.lit(b""), lambda acc, x: F.concat(acc, x))
+
+
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
+    """(id, text, code) of every row: xxhash64 of its bytes, and its text without the passages that a document
+    with a smaller id has. Id and code say which row it is where ids repeat.
+
+    A span that begins or ends inside a UTF-8 character is narrowed to whole characters.
+    """
+    found = repeated_spans(docs, id_col, text_col, length)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            texts = []
+            for data, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                at, out = 0, []
+                for s in spans:
+                    begin, end = s["begin"], s["end"]
+                    while begin < len(data) and data[begin] & 0xC0 == 0x80:
+                        begin += 1
+                    while end < len(data) and data[end] & 0xC0 == 0x80:
+                        end -= 1
+                    out.append(data[at:begin])
+                    at = max(begin, end)
+                texts.append(b"".join([*out, data[at:]]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary()).cast(pa.string()), b.column(3)], names=["id", "text", "code"])
+
+    rows = found.select(F.col(id_col).cast(kind).alias("id"), "data", "spans", F.xxhash64("data").alias("code"))
+    return rows.mapInArrow(run, f"id {kind}, text string, code long")
