@@ -1,0 +1,754 @@
+"""Registered queries: sync, reconciliation, validation, numbering, naming, matching, corrections, files and streams."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from purchaseflow.functions import naming as n
+from purchaseflow.operators import corrections, match, numbering, purchasing, reconcile, sync, validate
+from purchaseflow.operators import versioned as v
+from purchaseflow.sources import cells as cell
+from purchaseflow.sources import files
+from purchaseflow.sources import tables as t
+from purchaseflow.streaming import jobs as streams
+
+from .registry import query
+from .reports import LINE, LINE_SQL, WITH, _num, current_lines, order_commands
+
+
+
+# --- replication -------------------------------------------------------------------------------------------------
+
+SINCE = "1997-01-01 00:00:00"
+EPOCH_MS = "CAST(epoch_ms(version) AS BIGINT)"
+
+
+@query("r1_incremental_changes", f"{WITH} SELECT pr_id, line_no, {EPOCH_MS} AS sync_version FROM lv WHERE version > TIMESTAMP '{SINCE}'")
+def r1(spark, d):
+    return sync.changes(t.request_line_versions(spark, d), "version", SINCE).select("pr_id", "line_no", "sync_version")
+
+
+@query("r2_version_floor", f"{WITH} SELECT pr_id, line_no, greatest({EPOCH_MS}, 800000000000) AS sync_version FROM lv")
+def r2(spark, d):
+    return t.request_line_versions(spark, d).select("pr_id", "line_no", sync.version_of(F.col("version"), 800_000_000_000).alias("sync_version"))
+
+
+@query("r3_watermark", f"{WITH} SELECT strftime(max(version) - INTERVAL 15 MINUTE, '%Y-%m-%d %H:%M:%S') AS since FROM lv")
+def r3(spark, d):
+    state = t.request_line_versions(spark, d).select(F.col("version").alias("synced_through"))
+    return state.agg(F.date_format(F.max("synced_through") - F.expr("INTERVAL 15 MINUTES"), "yyyy-MM-dd HH:mm:ss").alias("since"))
+
+
+@query("r4_sync_applied", f"{WITH} SELECT {LINE_SQL} FROM ln")
+def r4(spark, d):
+    """Old versions are the target, newer ones arrive by a sync that overlaps them: the newest of each key remains."""
+    rows = t.request_line_versions(spark, d)
+    old = rows.where(F.col("version") <= F.lit("1997-06-01 00:00:00").cast("timestamp_ntz"))
+    return _num(v.current_state(old.union(rows.where(F.col("version") > F.lit(SINCE).cast("timestamp_ntz"))), t.LINE_KEYS, t.LINE_ORDER).select(*LINE))
+
+
+@query("r5_append_only", f"{WITH} SELECT event_id FROM cm WHERE event_id NOT IN (SELECT event_id FROM cm WHERE event_id % 3 = 0)")
+def r5(spark, d):
+    log = t.commands(spark, d)
+    return sync.append_only(log, log.where("event_id % 3 = 0"), "event_id").select("event_id")
+
+
+@query("r6_full_and_bump", f"{WITH} SELECT pr_id, line_no, CAST(4000000000000 AS BIGINT) AS sync_version FROM lv")
+def r6(spark, d):
+    return sync.changes(t.request_line_versions(spark, d), "version", sync.EPOCH, floor=4_000_000_000_000).select("pr_id", "line_no", "sync_version")
+
+
+@query("r7_type_conversion", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS utc_text, coalesce(CAST(user_id AS VARCHAR), '') AS document, CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) AS amount FROM events WHERE value IS NOT NULL")
+def r7(spark, d):
+    e = t.scan(spark, d, "events").where("value IS NOT NULL")
+    return e.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("utc_text"), F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("document"), F.col("value").cast("decimal(18,2)").cast("double").alias("amount"))
+
+
+@query("r8_presence", f"{WITH} SELECT 'lines' AS table_name, count(*) AS source_rows, (SELECT count(DISTINCT pr_id) FROM rq) AS target_ids, count(*) FILTER (pr_id NOT IN (SELECT pr_id FROM rq WHERE status <> 'rejected')) * 0 + (SELECT count(*) FROM lv WHERE pr_id NOT IN (SELECT pr_id FROM rq)) AS missing, 'OK' AS state FROM lv UNION ALL SELECT 'items', (SELECT count(*) FROM it), (SELECT count(DISTINCT item_id) FROM ol), (SELECT count(*) FROM it WHERE item_id NOT IN (SELECT item_id FROM ol)), CASE WHEN (SELECT count(*) FROM it WHERE item_id NOT IN (SELECT item_id FROM ol)) > 0 THEN 'MISSING' ELSE 'OK' END")
+def r8(spark, d):
+    return reconcile.stacked([
+        reconcile.presence("lines", t.request_line_versions(spark, d), t.requests(spark, d), "pr_id"),
+        reconcile.presence("items", t.items(spark, d), t.order_lines(spark, d), "item_id"),
+    ])
+
+
+@query("r9_two_sides", f"{WITH}, a AS (SELECT * FROM rq), b AS (SELECT * FROM rq WHERE pr_id % 100 <> 7) SELECT 'requests' AS table_name, (SELECT count(*) FROM a) AS ids_a, (SELECT count(*) FROM b) AS ids_b, (SELECT count(*) FROM a WHERE is_deleted = 0) AS live_a, (SELECT count(*) FROM b WHERE is_deleted = 0) AS live_b, (SELECT count(*) FROM a WHERE pr_id NOT IN (SELECT pr_id FROM b)) AS missing, CAST(0 AS BIGINT) AS extra, (SELECT CAST(sum(total) AS DOUBLE) FROM a WHERE is_deleted = 0) AS sum_a_total, (SELECT CAST(sum(total) AS DOUBLE) FROM b WHERE is_deleted = 0) AS sum_b_total, CASE WHEN (SELECT count(*) FROM a WHERE pr_id NOT IN (SELECT pr_id FROM b)) > 0 THEN 'MISMATCH' ELSE 'MATCH' END AS state")
+def r9(spark, d):
+    a = t.requests(spark, d)
+    return _num(reconcile.two_sides("requests", a, a.where("pr_id % 100 != 7"), "pr_id", ["total"]))
+
+
+@query("r10_exact_sum", f"{WITH} SELECT CAST(sum(CAST(price AS DECIMAL(38,4))) AS VARCHAR) AS total FROM lv")
+def r10(spark, d):
+    return t.request_line_versions(spark, d).agg(F.sum(F.col("price").cast("decimal(28,4)")).cast("decimal(38,4)").cast("string").alias("total"))
+
+
+@query("r11_checksum")
+def r11(spark, d):
+    return reconcile.stacked([reconcile.checksum(name, f(spark, d)) for name, f in (("requests", t.requests), ("items", t.items), ("order_lines", t.order_lines))])
+
+
+@query("r12_side_counts", f"{WITH} SELECT 'lines' AS table_name, (SELECT count(*) FROM ln) AS n_current, (SELECT count(*) FROM lv) AS n_stored UNION ALL SELECT 'events', (SELECT count(*) FROM cm), (SELECT count(*) FROM cm)")
+def r12(spark, d):
+    rows, log = t.request_line_versions(spark, d), t.commands(spark, d)
+    one = lambda name, a, b: a.agg(F.count(F.lit(1)).alias("n_current")).crossJoin(b.agg(F.count(F.lit(1)).alias("n_stored"))).select(F.lit(name).alias("table_name"), "*")  # noqa: E731  two single rows
+    return one("lines", rows.select(*t.LINE_KEYS).distinct(), rows).union(one("events", log, log))
+
+
+@query("r13_sync_twice", f"{WITH} SELECT {LINE_SQL} FROM ln")
+def r13(spark, d):
+    rows = t.request_line_versions(spark, d)
+    return _num(v.current_state(rows.union(rows), t.LINE_KEYS, t.LINE_ORDER).select(*LINE))
+
+
+@query("a17_distinct_exact", f"{WITH} SELECT count(DISTINCT item_id) AS n_distinct FROM lv")
+def a17(spark, d):
+    return reconcile.distinct_exact(t.request_line_versions(spark, d), "item_id")
+
+
+@query("a23_probes", f"{WITH} SELECT 'requests' AS table_name, count(*) AS n_rows, count(priority) AS n_known, CAST(sum(total) AS DOUBLE) AS total, strftime(max(pr_date), '%Y-%m-%d') AS latest FROM rq UNION ALL SELECT 'lines', count(*), count(status), CAST(sum(price) AS DOUBLE), strftime(max(version), '%Y-%m-%d') FROM lv")
+def a23(spark, d):
+    lines = t.request_line_versions(spark, d).withColumn("day", F.to_date("version"))
+    return reconcile.probe("requests", t.requests(spark, d), "priority", "total", "pr_date").union(reconcile.probe("lines", lines, "status", "price", "day"))
+
+
+@query("s12_catalog", "SELECT 'orders' AS table_name, count(*) AS n_rows FROM orders UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'lineitem', count(*) FROM lineitem")
+def s12(spark, d):
+    return reconcile.stacked([t.scan(spark, d, x).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(x).alias("table_name"), "n_rows") for x in ("orders", "part", "lineitem")])
+
+
+# --- validation --------------------------------------------------------------------------------------------------
+
+
+@query("c1_typed_errors", f"{WITH}, x AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN CAST(size AS VARCHAR) WHEN 1 THEN CAST(size AS VARCHAR) || 'mm' WHEN 2 THEN '' END AS size_text FROM it) SELECT item_id, 'size_text' AS column_name, size_text AS value, 'not long: ' || size_text AS error FROM x WHERE size_text LIKE '%mm'")
+def c1(spark, d):
+    size = F.col("size").cast("string")
+    text = F.when(F.col("item_id") % 4 == 0, size).when(F.col("item_id") % 4 == 1, F.concat(size, F.lit("mm"))).when(F.col("item_id") % 4 == 2, "")
+    return validate.convert_all(t.items(spark, d).select("item_id", text.alias("size_text")), "item_id", {"size_text": "long"})[1]
+
+
+@query("c2_empty_to_null", f"{WITH} SELECT item_id, nullif(CASE WHEN item_id % 3 = 0 THEN '' ELSE brand END, '') AS brand FROM it")
+def c2(spark, d):
+    rows = t.items(spark, d).select("item_id", F.when(F.col("item_id") % 3 == 0, "").otherwise(F.col("brand")).alias("brand"))
+    return validate.empty_to_null(rows, ["brand"])
+
+
+@query("c3_stripped", f"{WITH} SELECT count(*) AS brand FROM it WHERE item_id % 5 = 0")
+def c3(spark, d):
+    rows = t.items(spark, d).select(F.when(F.col("item_id") % 5 == 0, F.concat("brand", F.lit("\0\0"))).otherwise(F.col("brand")).alias("brand"))
+    return validate.strip_nul(rows, ["brand"])[1]
+
+
+@query("c4_bad_keys", f"{WITH} SELECT size FROM it WHERE item_id % 7 = 0")
+def c4(spark, d):
+    rows = t.items(spark, d).select("size", F.when(F.col("item_id") % 14 == 0, "").when(F.col("item_id") % 7 == 0, None).otherwise(F.col("item_id").cast("string")).alias("k"))
+    return validate.bad_keys(rows, "k").select("size")
+
+
+@query("c5_duplicates", f"{WITH} SELECT name_en, count(*) AS n, min(item_id) AS first_label, max(item_id) AS last_label FROM it GROUP BY name_en HAVING count(*) > 1")
+def c5(spark, d):
+    return validate.duplicates(t.items(spark, d), ["name_en"], "item_id")
+
+
+@query("a11_duplicate_groups", f"{WITH} SELECT pr_id, vendor_id, count(*) AS n, min(line_no) AS first_label, max(line_no) AS last_label FROM lv GROUP BY ALL HAVING count(*) > 1")
+def a11(spark, d):
+    return validate.duplicates(t.request_line_versions(spark, d), ["pr_id", "vendor_id"], "line_no")
+
+
+@query("c6_live_unique", f"{WITH} SELECT name_en, brand, count(*) AS n, min(item_id) AS first_label, max(item_id) AS last_label FROM it WHERE is_deleted = 0 GROUP BY ALL HAVING count(*) > 1")
+def c6(spark, d):
+    return validate.duplicates(v.live(t.items(spark, d)), ["name_en", "brand"], "item_id")
+
+
+@query("j7_orphans", f"{WITH} SELECT pr_id, line_no FROM lv WHERE pr_id NOT IN (SELECT pr_id FROM rq WHERE status <> 'rejected')")
+def j7(spark, d):
+    return validate.orphans(t.request_line_versions(spark, d), "pr_id", t.requests(spark, d).where("status != 'rejected'"), "pr_id").select("pr_id", "line_no")
+
+
+@query("c7_referential_checks", f"{WITH} SELECT 'line_item' AS rule, count(*) AS n FROM lv WHERE item_id NOT IN (SELECT item_id FROM it WHERE is_deleted = 0) UNION ALL SELECT 'line_request', count(*) FROM lv WHERE pr_id NOT IN (SELECT pr_id FROM rq WHERE is_deleted = 0) UNION ALL SELECT 'order_vendor', count(*) FROM ol WHERE vendor_id NOT IN (SELECT vendor_id FROM ve)")
+def c7(spark, d):
+    lines, orders = t.request_line_versions(spark, d), t.order_lines(spark, d)
+    rules = (("line_item", lines, "item_id", v.live(t.items(spark, d))), ("line_request", lines, "pr_id", v.live(t.requests(spark, d))), ("order_vendor", orders, "vendor_id", t.vendors(spark, d)))
+    return reconcile.stacked([validate.orphans(child, c, parent, c).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("rule"), "n") for name, child, c, parent in rules])
+
+
+@query("c8_domain", f"{WITH} SELECT pr_id, priority FROM rq WHERE priority NOT IN ('1-URGENT', '2-HIGH')")
+def c8(spark, d):
+    return validate.outside(t.requests(spark, d), "priority", ["1-URGENT", "2-HIGH"]).select("pr_id", "priority")
+
+
+@query("c9_deleted_notes", f"{WITH} SELECT item_id FROM it WHERE is_deleted = 1")
+def c9(spark, d):
+    return t.items(spark, d).where("is_deleted = 1").select("item_id")
+
+
+@query("o9_capped_listing", f"{WITH}, f AS (SELECT vendor_id, pr_id, line_no, row_number() OVER (PARTITION BY vendor_id ORDER BY pr_id, line_no) AS r, count(*) OVER (PARTITION BY vendor_id) AS n FROM ln) SELECT vendor_id, pr_id, line_no, greatest(n - 50, 0) AS n_more FROM f WHERE r <= 50")
+def o9(spark, d):
+    return validate.capped(current_lines(spark, d).select("vendor_id", "pr_id", "line_no"), "vendor_id", ["pr_id", "line_no"])
+
+
+@query("c10_publish", f"{WITH} SELECT 'clean' AS job, (SELECT count(*) FROM it) AS n_written UNION ALL SELECT 'dirty', 0")
+def c10(spark, d):
+    """A job whose checks are empty is published, one with findings writes nothing; what is there then is counted."""
+    items, out = t.items(spark, d), []
+    for name, findings in (("clean", items.where("item_id IS NULL")), ("dirty", items.where("is_deleted = 1"))):
+        path = files.work_folder(spark)
+        wrote = not any(files.publish(items, path, {"check": findings}).values())
+        table = spark.read.parquet(path) if wrote else items.limit(0)
+        out.append(table.agg(F.count(F.lit(1)).alias("n_written")).select(F.lit(name).alias("job"), "n_written"))
+    return reduce(DataFrame.union, out)
+
+
+@query("c13_first_error", f"{WITH}, e AS (SELECT pr_id, line_no, CASE WHEN requested_qty > 49 THEN 'quantity too large' WHEN status = 'rejected' THEN 'line is rejected' END AS error FROM ln), f AS (SELECT *, row_number() OVER (PARTITION BY pr_id ORDER BY line_no) AS r FROM e WHERE error IS NOT NULL) SELECT pr_id, error FROM f WHERE r = 1")
+def c13(spark, d):
+    return validate.first_error(current_lines(spark, d), "pr_id", "line_no", [(F.col("requested_qty") > 49, "quantity too large"), (F.col("status") == "rejected", "line is rejected")])
+
+
+@query("c14_bad_charges", f"{WITH} SELECT pr_id FROM rq WHERE priority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') OR total < 1000")
+def c14(spark, d):
+    known = F.broadcast(spark.createDataFrame([("1-URGENT",), ("2-HIGH",), ("3-MEDIUM",)], "priority string"))  # a fixed list
+    rows = t.requests(spark, d)
+    bad_kind = rows.join(known, "priority", "left_anti").select("pr_id")
+    return bad_kind.union(rows.join(known, "priority", "left_semi").where("total < 1000").select("pr_id"))
+
+
+@query("a18_failed_casts", f"{WITH} SELECT count(*) FILTER (NOT regexp_matches(name_en || size, '^[0-9]+$')) AS n_failed FROM it")
+def a18(spark, d):
+    return t.items(spark, d).agg(F.count_if(F.concat("name_en", F.col("size").cast("string")).try_cast("long").isNull()).alias("n_failed"))
+
+
+# --- numbering ---------------------------------------------------------------------------------------------------
+
+
+@query("w1_line_numbers", f"{WITH} SELECT document_id, event_id, row_number() OVER (PARTITION BY document_id ORDER BY event_id) AS line_no FROM cm")
+def w1(spark, d):
+    return numbering.line_numbers(t.commands(spark, d), "document_id", "event_id").select("document_id", "event_id", F.col("line_no").cast("long"))
+
+
+@query("w2_first_occurrence", f"{WITH} SELECT name_en, min(item_id) AS item_id FROM it GROUP BY name_en")
+def w2(spark, d):
+    return match.first_per_key(t.items(spark, d), ["name_en"], ["item_id"]).select("name_en", "item_id")
+
+
+LEGACY_SQL = "lg AS (SELECT item_id, item_id % 500 AS legacy_id, is_deleted, size FROM it)"
+
+
+def legacy(spark, d):
+    return t.items(spark, d).select("item_id", (F.col("item_id") % 500).alias("legacy_id"), "is_deleted", "size")
+
+
+@query("w3_repair_live", f"{WITH}, {LEGACY_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY legacy_id ORDER BY item_id) AS r FROM lg) SELECT item_id, CASE WHEN r = 1 THEN legacy_id ELSE (SELECT max(legacy_id) FROM lg) + count(*) FILTER (r > 1) OVER (ORDER BY legacy_id, item_id) END AS new_id FROM k")
+def w3(spark, d):
+    return numbering.repair_live(legacy(spark, d), "legacy_id", ["item_id"]).select("item_id", "new_id")
+
+
+@query("w4_repair_all", f"{WITH}, {LEGACY_SQL}, k AS (SELECT *, sum(1 - is_deleted) OVER (PARTITION BY legacy_id) AS alive, row_number() OVER (PARTITION BY legacy_id ORDER BY is_deleted, size, item_id) AS r FROM lg) SELECT item_id, CASE WHEN alive > 1 OR r = 1 THEN legacy_id END AS fixed_id, alive > 1 AS conflict FROM k")
+def w4(spark, d):
+    return numbering.repair_all(legacy(spark, d), "legacy_id", ["size", "item_id"]).select("item_id", "fixed_id", "conflict")
+
+
+@query("w5_deferred_ids", f"{WITH} SELECT pr_id, (SELECT max(item_id) FROM it) + row_number() OVER (ORDER BY pr_id) AS new_id FROM rq WHERE status = 'pending'")
+def w5(spark, d):
+    top = t.items(spark, d).agg(F.max("item_id")).first()[0]
+    return numbering.dense_numbers(t.requests(spark, d).where("status = 'pending'").select("pr_id"), ["pr_id"], int(top), "new_id")
+
+
+@query("w6_document_numbers", f"{WITH}, c AS (SELECT CAST(year(pr_date) AS INT) AS y, count(*) % 7 AS last_no FROM rq GROUP BY 1), k AS (SELECT pr_id, y, last_no + row_number() OVER (PARTITION BY y ORDER BY pr_id) AS no FROM rq JOIN c ON year(pr_date) = y) SELECT pr_id, 'PR-' || y || '-' || CASE WHEN no < 1000 THEN lpad(CAST(no AS VARCHAR), 3, '0') ELSE CAST(no AS VARCHAR) END AS doc_no FROM k")
+def w6(spark, d):
+    rows = t.requests(spark, d).withColumn("y", F.year("pr_date"))
+    counters = rows.groupBy(F.col("y").alias("year")).agg((F.count(F.lit(1)) % 7).alias("last_no"))
+    return numbering.document_numbers(rows, counters, "y", ["pr_id"], "PR").select("pr_id", "doc_no")
+
+
+@query("a12_counter_seed", f"{WITH} SELECT CAST(year(pr_date) AS VARCHAR) AS year, max(pr_id) AS last_no FROM rq WHERE pr_id % 10 <> 3 GROUP BY 1")
+def a12(spark, d):
+    number = F.when(F.col("pr_id") % 10 == 3, "OLD/1").otherwise(F.concat_ws("-", F.lit("PR"), F.year("pr_date").cast("string"), F.col("pr_id").cast("string")))
+    return numbering.counter_seed(t.requests(spark, d).select(number.alias("doc_no")), "doc_no", r"^PR-(\d{4})-(\d+)$")
+
+
+@query("f29_next_number", f"{WITH} SELECT max(item_id) + 1 AS next_no FROM it")
+def f29(spark, d):
+    return numbering.next_number(t.items(spark, d).select(numbering.padded("ITEM", F.col("item_id"), 4).alias("code")), "code", "ITEM")
+
+
+@query("j16_surrogate_keys", f"{WITH} SELECT pr_id, line_no, CASE WHEN pr_id IN (SELECT pr_id FROM rq WHERE is_deleted = 0) THEN sha1('pr_id:' || pr_id) ELSE '' END AS parent_key FROM ln")
+def j16(spark, d):
+    return numbering.surrogate_keys(v.live(t.requests(spark, d)), current_lines(spark, d), "pr_id").select("pr_id", "line_no", "parent_key")
+
+
+@query("m18_rereview", f"{WITH} SELECT DISTINCT ln.pr_id FROM ln WHERE status <> 'pending' AND pr_id IN (SELECT pr_id FROM lv GROUP BY pr_id, line_no HAVING count(*) > 1)")
+def m18(spark, d):
+    repaired = v.collapse_report(t.request_line_versions(spark, d), t.LINE_KEYS, "version").select("pr_id")
+    return current_lines(spark, d).where("status != 'pending'").join(repaired, "pr_id", "left_semi").select("pr_id").distinct()
+
+
+@query("m12_create_requests", f"{WITH}, k AS (SELECT document_id, event_id, coalesce(value, 0) AS qty FROM cm) SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY event_id) AS line_no, 'pcs' AS uom, qty FROM k")
+def m12(spark, d):
+    rows = t.commands(spark, d).select("document_id", "event_id", F.coalesce("value", F.lit(0.0)).alias("qty"))
+    return numbering.line_numbers(rows, "document_id", "event_id").select("document_id", F.col("line_no").cast("long"), F.lit("pcs").alias("uom"), "qty")
+
+
+@query("m13_create_orders", f"{WITH}, k AS (SELECT vendor_id, pr_id, line_no, item_id, row_number() OVER (PARTITION BY vendor_id ORDER BY pr_id, line_no) AS po_line FROM ln WHERE status = 'approved' AND is_deleted = 0) SELECT vendor_id, po_line, item_id, first_value(pr_id) OVER (PARTITION BY vendor_id ORDER BY po_line) AS primary_pr FROM k")
+def m13(spark, d):
+    rows = v.live(current_lines(spark, d)).where("status = 'approved'").withColumn("pos", F.struct("pr_id", "line_no"))
+    numbered = numbering.line_numbers(rows.drop("line_no"), "vendor_id", "pos").withColumnRenamed("line_no", "po_line")
+    first = numbered.groupBy("vendor_id").agg(F.min_by("pr_id", "po_line").alias("primary_pr"))
+    return numbered.join(first, "vendor_id").select("vendor_id", F.col("po_line").cast("long"), "item_id", "primary_pr")
+
+
+@query("m14_item_requests", f"{WITH}, top AS (SELECT max(item_id) AS m FROM it) SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'approved' ELSE 'rejected' END AS status, CASE WHEN event_id % 2 = 0 THEN m + count(*) FILTER (event_id % 2 = 0) OVER (ORDER BY event_id) END AS item_no FROM cm, top WHERE action = 'click'")
+def m14(spark, d):
+    asked = t.commands(spark, d).where("action = 'click'").select("event_id", F.when(F.col("event_id") % 2 == 0, "approved").otherwise("rejected").alias("status"))
+    top = t.items(spark, d).agg(F.max("item_id")).first()[0]
+    made = numbering.dense_numbers(asked.where("status = 'approved'"), ["event_id"], int(top), "item_no")
+    return made.unionByName(asked.where("status = 'rejected'").withColumn("item_no", F.lit(None).cast("long")))
+
+
+@query("m15_create_vendors", f"{WITH} SELECT vendor_id, 'V-' || CASE WHEN vendor_id < 10000 THEN lpad(CAST(vendor_id AS VARCHAR), 4, '0') ELSE CAST(vendor_id AS VARCHAR) END AS code, 'active' AS status, 'IDR' AS currency FROM ve")
+def m15(spark, d):
+    return t.vendors(spark, d).select("vendor_id", numbering.padded("V", F.col("vendor_id"), 4).alias("code"), F.lit("active").alias("status"), F.lit("IDR").alias("currency"))
+
+
+@query("m16_legacy_snapshot", f"{WITH} SELECT pr_id, line_no, CAST(CASE WHEN approved_qty <> 0 THEN approved_qty WHEN requested_qty <> 0 THEN requested_qty ELSE 0 END AS DOUBLE) AS qty, lower(concat_ws(' ', nullif(status, ''), CAST(item_id AS VARCHAR))) AS search_text FROM ln")
+def m16(spark, d):
+    return _num(current_lines(spark, d).select("pr_id", "line_no", purchasing.wanted().alias("qty"), n.search_text(F.col("status"), F.col("item_id").cast("string")).alias("search_text")))
+
+
+# --- names -------------------------------------------------------------------------------------------------------
+
+BILINGUAL = "name_en || CASE WHEN item_id % 3 = 0 THEN ' 轴承' WHEN item_id % 3 = 1 THEN '' ELSE ' 水泵 M16*50' END"
+
+
+def bilingual(spark, d):
+    tail = F.when(F.col("item_id") % 3 == 0, " 轴承").when(F.col("item_id") % 3 == 1, "").otherwise(" 水泵 M16*50")
+    return t.items(spark, d).select("item_id", F.concat("name_en", tail).alias("name"))
+
+
+@query("f1_tidy", f"{WITH} SELECT item_id, trim(regexp_replace('  ' || name_en || '  x ', '\\s+', ' ', 'g')) AS name FROM it")
+def f1(spark, d):
+    return t.items(spark, d).select("item_id", n.tidy(F.concat(F.lit("  "), "name_en", F.lit("  x "))).alias("name"))
+
+
+@query("f2_squeeze_key", f"{WITH} SELECT item_id, regexp_replace(lower(name_en || ' (x)'), '[^\\p{{L}}\\p{{N}}_]', '', 'g') || '|' || regexp_replace(lower(brand), '[^\\p{{L}}\\p{{N}}_]', '', 'g') AS key FROM it")
+def f2(spark, d):
+    return t.items(spark, d).select("item_id", n.match_key(F.concat("name_en", F.lit(" (x)")), F.col("brand")).alias("key"))
+
+
+@query("f3_split_bilingual", f"{WITH} SELECT item_id, CASE item_id % 3 WHEN 0 THEN '轴承' WHEN 1 THEN '' ELSE '水泵' END AS cn, name_en AS en FROM it")
+def f3(spark, d):
+    cn, en = n.split_bilingual(F.col("name"))
+    return bilingual(spark, d).select("item_id", cn.alias("cn"), en.alias("en"))
+
+
+@query("f4_split_keep_spec", f"{WITH} SELECT item_id, CASE item_id % 3 WHEN 0 THEN '轴承' WHEN 1 THEN '' ELSE '水泵' END AS cn, CASE item_id % 3 WHEN 2 THEN name_en || ' M16*50' ELSE name_en END AS en FROM it")
+def f4(spark, d):
+    cn, en = n.split_keep_spec(F.col("name"))
+    return bilingual(spark, d).select("item_id", cn.alias("cn"), en.alias("en"))
+
+
+@query("f5_split_prefix", f"{WITH} SELECT item_id, '轴承' AS cn, name_en AS en FROM it")
+def f5(spark, d):
+    cn, en = n.split_prefix(F.concat(F.lit("轴承 "), "name_en"))
+    return t.items(spark, d).select("item_id", cn.alias("cn"), en.alias("en"))
+
+
+@query("f6_probes", f"{WITH} SELECT item_id, CASE item_id % 3 WHEN 0 THEN name_en || ' 轴承|' || name_en || '|轴承' WHEN 1 THEN name_en ELSE name_en || ' 水泵 M16*50|' || name_en || ' M16*50|水泵' END AS probes FROM it")
+def f6(spark, d):
+    return bilingual(spark, d).select("item_id", F.array_join(n.probes(F.col("name")), "|").alias("probes"))
+
+
+@query("f7_department", f"{WITH} SELECT item_id, CASE WHEN item_id % 2 = 0 THEN category ELSE '仓库' END AS department FROM it WHERE NOT regexp_matches(category, '[0-9]')")
+def f7(spark, d):
+    name = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("仓库 "), "category")).otherwise("仓库")
+    return t.items(spark, d).where(~F.col("category").rlike("[0-9]")).select("item_id", n.department(name).alias("department"))
+
+
+@query("f8_spec_extract", f"{WITH} SELECT item_id, CASE item_id % 3 WHEN 0 THEN name_en || ' x' WHEN 1 THEN name_en ELSE NULL END AS base, CASE item_id % 3 WHEN 1 THEN size || 'mm end' END AS spec, CASE item_id % 3 WHEN 1 THEN 'mm_size' WHEN 2 THEN 'manual' END AS kind FROM it")
+def f8(spark, d):
+    size = F.col("size").cast("string")
+    name = F.when(F.col("item_id") % 3 == 0, F.concat("name_en", F.lit(" x"))).when(F.col("item_id") % 3 == 1, F.concat("name_en", F.lit(" - "), size, F.lit("mm - end"))).otherwise(F.concat(size, F.lit("mm")))
+    return t.items(spark, d).select("item_id", name.alias("n")).select("item_id", n.extract_spec(F.col("n"), F.lit("")).alias("s")).select("item_id", "s.base", "s.spec", "s.kind")
+
+
+@query("p6_spec_like", f"{WITH} SELECT item_id FROM it WHERE item_id % 2 = 0")
+def p6(spark, d):
+    text = F.when(F.col("item_id") % 2 == 0, F.concat(F.col("size").cast("string"), F.lit("mm"))).otherwise("plain words")
+    return t.items(spark, d).where(text.rlike(n.SPEC_TOKEN)).select("item_id")
+
+
+UOM_CASE = "CASE item_id % 6 WHEN 0 THEN '个' WHEN 1 THEN 'PCS' WHEN 2 THEN 'unit' WHEN 3 THEN '盒' WHEN 4 THEN 'xyz' ELSE 'kg' END"
+
+
+def uoms(spark, d):
+    k = F.col("item_id") % 6
+    return t.items(spark, d).select("item_id", F.when(k == 0, "个").when(k == 1, "PCS").when(k == 2, "unit").when(k == 3, "盒").when(k == 4, "xyz").otherwise("kg").alias("uom"))
+
+
+@query("f10_uom_ingest", f"{WITH} SELECT item_id, CASE item_id % 6 WHEN 0 THEN 'pcs' WHEN 1 THEN 'pcs' WHEN 2 THEN 'unit' WHEN 3 THEN 'box' WHEN 4 THEN 'xyz' ELSE 'kg' END AS uom FROM it")
+def f10(spark, d):
+    return uoms(spark, d).select("item_id", n.normalise_uom(F.col("uom"), n.UOM_INGEST).alias("uom"))
+
+
+@query("f11_uom_enrich", f"{WITH} SELECT item_id, CASE item_id % 6 WHEN 0 THEN 'pcs' ELSE {UOM_CASE} END AS uom FROM it")
+def f11(spark, d):
+    return uoms(spark, d).select("item_id", n.normalise_uom(F.col("uom"), n.UOM_ENRICH, fold_case=False).alias("uom"))
+
+
+@query("f12_uom_canonical", f"{WITH} SELECT item_id, CASE item_id % 6 WHEN 0 THEN '个' WHEN 1 THEN 'pcs' WHEN 2 THEN 'pcs' WHEN 3 THEN 'drum' WHEN 4 THEN 'xyz' ELSE 'kg' END AS uom FROM it")
+def f12(spark, d):
+    return uoms(spark, d).select("item_id", n.normalise_uom(F.col("uom"), n.UOM_CANONICAL, fold_case=False).alias("uom"))
+
+
+@query("a13_uom_histogram", f"{WITH}, u AS (SELECT {UOM_CASE} AS uom FROM it) SELECT uom, CASE uom WHEN 'PCS' THEN 'pcs' WHEN 'unit' THEN 'pcs' WHEN '盒' THEN 'drum' ELSE uom END AS unit, CASE WHEN uom IN ('个', 'xyz') THEN 'unmapped' WHEN uom = 'kg' THEN 'unchanged' ELSE 'mapped' END AS state, count(*) AS n FROM u GROUP BY ALL")
+def a13(spark, d):
+    return n.uom_report(uoms(spark, d), "uom", n.UOM_CANONICAL)
+
+
+#: Example rules over the words of item types; real rule sets are a parameter.
+RULES = (("Metal", ("steel", "copper", "brass")), ("Coated", ("plated", "anodized", "burnished")), ("Small", ("small",)))
+CLASSIFY_SQL = "CASE WHEN regexp_matches(lower(x), 'steel|copper|brass') THEN 'Metal' WHEN regexp_matches(lower(x), 'plated|anodized|burnished') THEN 'Coated' WHEN regexp_matches(lower(x), 'small') THEN 'Small' ELSE 'Uncategorized' END"
+
+
+@query("f13_classify", f"{WITH} SELECT item_id, {CLASSIFY_SQL} AS class FROM (SELECT item_id, name_en || ' ' || category AS x FROM it)")
+def f13(spark, d):
+    return t.items(spark, d).select("item_id", n.classify(F.concat_ws(" ", "name_en", "category"), RULES).alias("class"))
+
+
+@query("f14_recategorise", f"{WITH} SELECT item_id, CASE WHEN item_id % 2 = 0 THEN category ELSE {CLASSIFY_SQL} END AS class FROM (SELECT item_id, category, name_en || ' ' || category AS x FROM it)")
+def f14(spark, d):
+    now = F.when(F.col("item_id") % 2 == 0, F.col("category")).otherwise("Uncategorized")
+    return t.items(spark, d).select("item_id", F.when(now == "Uncategorized", n.classify(F.concat_ws(" ", "name_en", "category"), RULES)).otherwise(now).alias("class"))
+
+
+@query("a14_category_counts", f"{WITH} SELECT category, count(*) AS n FROM it GROUP BY category")
+def a14(spark, d):
+    return t.items(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f15_reparse", f"{WITH} SELECT item_id, name_en AS en FROM it WHERE item_id % 3 = 2")
+def f15(spark, d):
+    cn, en = n.split_bilingual(F.col("name"))
+    return bilingual(spark, d).select("item_id", en.alias("en"), (en != F.col("name")).alias("changed"), cn.alias("cn")).where("changed AND item_id % 3 = 2").select("item_id", "en")
+
+
+@query("f16_garbled", f"{WITH} SELECT item_id, name_en AS name FROM it")
+def f16(spark, d):
+    return t.items(spark, d).select("item_id", n.without_garbage(F.concat(F.lit(" "), "name_en", F.lit(" （ ） ()"))).alias("name"))
+
+
+@query("p7_garbled_filter", f"{WITH} SELECT item_id FROM it WHERE item_id % 9 = 0")
+def p7(spark, d):
+    name = F.when(F.col("item_id") % 9 == 0, F.concat("name_en", F.lit("（）"))).otherwise(F.col("name_en"))
+    return t.items(spark, d).where(F.contains(name, F.lit("（）"))).select("item_id")
+
+
+@query("p9_junk", f"{WITH} SELECT item_id FROM it WHERE item_id % 4 = 0")
+def p9(spark, d):
+    rows = t.items(spark, d).select("item_id", F.when(F.col("item_id") % 8 == 0, "").when(F.col("item_id") % 4 == 0, "test").otherwise(F.col("name_en")).alias("en"), F.lit("件").alias("cn"))
+    return corrections.junk(rows, "en", "cn", ("test",)).select("item_id")
+
+
+@query("f18_base_name", f"{WITH} SELECT item_id, lower(name_en) AS base FROM it WHERE NOT regexp_matches(name_en, '[0-9]')")
+def f18(spark, d):
+    rows = t.items(spark, d).where(~F.col("name_en").rlike("[0-9]"))
+    return rows.select("item_id", n.base_name(F.concat("name_en", F.lit(" "), F.col("size").cast("string"), F.lit(" mm"))).alias("base"))
+
+
+@query("w7_variants", f"{WITH}, g AS (SELECT lower(name_en) AS base_name, min(item_id) AS base_item_id, count(*) AS n FROM it GROUP BY 1 HAVING count(*) > 1) SELECT item_id, base_name, base_item_id, n FROM it JOIN g ON lower(name_en) = base_name WHERE item_id <> base_item_id")
+def w7(spark, d):
+    return n.variants(t.items(spark, d).select("item_id", F.concat("name_en", F.lit(" "), F.col("size").cast("string"), F.lit("mm")).alias("name_en")))
+
+
+@query("a20_group_sizes", f"{WITH} SELECT name_en, min(item_id) AS base_item_id, count(*) AS n FROM it GROUP BY 1 HAVING count(*) >= 2")
+def a20(spark, d):
+    return t.items(spark, d).groupBy("name_en").agg(F.min("item_id").alias("base_item_id"), F.count(F.lit(1)).alias("n")).where("n >= 2")
+
+
+@query("j14_salvage_specs", f"{WITH} SELECT item_id, size || 'mm' AS spec FROM it WHERE item_id % 5 = 0")
+def j14(spark, d):
+    old = t.items(spark, d).select("item_id", F.when(F.col("item_id") % 5 == 0, F.concat(F.col("size").cast("string"), F.lit("mm"))).otherwise(F.col("name_en")).alias("old_name"))
+    now = t.items(spark, d).select("item_id", "name_en")
+    found = now.join(old, "item_id").where(F.col("old_name").rlike(n.SPEC_TOKEN) & (F.col("old_name") != F.col("name_en")))
+    return found.where(F.col("old_name").endswith("mm")).select("item_id", F.col("old_name").alias("spec"))
+
+
+@query("f19_overrides", f"{WITH} SELECT item_id, CASE WHEN item_id = 5 THEN 'Wire Rope' ELSE name_en END AS name_en, CASE WHEN item_id = 5 THEN '30mm' WHEN item_id % 5 = 0 THEN size || 'mm' END AS spec FROM it")
+def f19(spark, d):
+    fixed = spark.createDataFrame([(5, "Wire Rope", "30mm")], "item_id long, new_name string, new_spec string")
+    found = j14(spark, d)
+    rows = t.items(spark, d).select("item_id", "name_en").join(found, "item_id", "left").join(F.broadcast(fixed), "item_id", "left")
+    return rows.select("item_id", F.coalesce("new_name", "name_en").alias("name_en"), F.coalesce("new_spec", "spec").alias("spec"))
+
+
+@query("f20_search_text", f"{WITH} SELECT item_id, lower(concat_ws(' ', nullif(name_en, ''), nullif(brand, ''))) AS search_text FROM it")
+def f20(spark, d):
+    return t.items(spark, d).select("item_id", n.search_text(F.col("name_en"), F.col("brand"), F.lit("")).alias("search_text"))
+
+
+@query("f21_placeholders", f"{WITH} SELECT vendor_id, vendor_id % 6 = 0 AS flagged FROM ve")
+def f21(spark, d):
+    name = F.when(F.col("vendor_id") % 6 == 0, "PT. Barang").otherwise(F.col("vendor_name"))
+    return t.vendors(spark, d).select("vendor_id", n.is_placeholder(name).alias("flagged"))
+
+
+@query("a19_vendor_names", f"{WITH} SELECT DISTINCT vendor_name AS name FROM ve WHERE vendor_id IN (SELECT vendor_id FROM lv) OR vendor_id IN (SELECT vendor_id FROM ol)")
+def a19(spark, d):
+    names = t.vendors(spark, d).select("vendor_id", F.concat(F.lit(" "), "vendor_name", F.lit("  ")).alias("raw"))
+    used = t.request_line_versions(spark, d).select("vendor_id").union(t.order_lines(spark, d).select("vendor_id")).distinct()
+    return names.join(used, "vendor_id").select(n.tidy(F.col("raw")).alias("name")).distinct()
+
+
+@query("j9_vendor_backfill", f"{WITH} SELECT po_id, ol.vendor_id FROM ol JOIN ve USING (vendor_id) GROUP BY ALL")
+def j9(spark, d):
+    named = t.order_lines(spark, d).join(t.vendors(spark, d), "vendor_id").select("po_id", F.concat(F.upper("vendor_name"), F.lit(" ")).alias("raw")).distinct()
+    index = t.vendors(spark, d).select(F.col("vendor_id"), F.lower(n.tidy(F.col("vendor_name"))).alias("key"))
+    return named.withColumn("key", F.lower(n.tidy(F.col("raw")))).join(index, "key", "left").select("po_id", "vendor_id")
+
+
+@query("f22_local_date", "SELECT event_id, strftime(ts + INTERVAL 7 HOUR, '%Y-%m-%d') AS day FROM events")
+def f22(spark, d):
+    return t.commands(spark, d).select("event_id", F.date_format(n.local_date(F.col("at").cast("timestamp")), "yyyy-MM-dd").alias("day"))
+
+
+@query("f23_local_text", "SELECT event_id, strftime(date_trunc('second', ts + INTERVAL 7 HOUR), '%Y-%m-%d %H:%M:%S') AS text FROM events")
+def f23(spark, d):
+    return t.commands(spark, d).select("event_id", F.substring(n.local_text(F.col("at").cast("timestamp")), 1, 19).alias("text"))
+
+
+@query("f24_timestamp_shift", "SELECT event_id, strftime(date_trunc('second', CASE WHEN count(*) OVER (PARTITION BY date_trunc('minute', ts)) >= 3 THEN ts ELSE ts + INTERVAL 7 HOUR END), '%Y-%m-%d %H:%M:%S') AS shifted FROM events")
+def f24(spark, d):
+    return corrections.shift(t.commands(spark, d), "at", 7, 3).select("event_id", F.date_format("shifted", "yyyy-MM-dd HH:mm:ss").alias("shifted"))
+
+
+@query("a15_bulk_minutes", "SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute, count(*) AS n FROM events GROUP BY 1 HAVING count(*) >= 3")
+def a15(spark, d):
+    return corrections.bulk_minutes(t.commands(spark, d), "at", 3).select(F.date_format("minute", "yyyy-MM-dd HH:mm").alias("minute"), "n")
+
+
+@query("a16_hour_histogram", "SELECT string_agg(h || ':' || c, ' ' ORDER BY h) AS histogram FROM (SELECT hour(ts) AS h, count(*) AS c FROM events GROUP BY 1)")
+def a16(spark, d):
+    return corrections.hour_histogram(t.commands(spark, d), "at")
+
+
+@query("f25_date_consistency", "SELECT count(*) FILTER (CAST(ts + INTERVAL 7 HOUR AS DATE) <> CAST(ts AS DATE)) AS n_differ FROM events")
+def f25(spark, d):
+    return t.commands(spark, d).agg(F.count_if(n.local_date(F.col("at").cast("timestamp")) != F.to_date("at")).alias("n_differ"))
+
+
+@query("f26_lenient_time", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') ELSE '2000-01-01 00:00:00' END AS at FROM events")
+def f26(spark, d):
+    text = F.when(F.col("event_id") % 2 == 0, F.date_format("at", "yyyy-MM-dd HH:mm:ss")).otherwise("yesterday")
+    parsed = F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")), F.lit("2000-01-01 00:00:00").cast("timestamp"))
+    return t.commands(spark, d).select("event_id", F.date_format(parsed, "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("f27_legacy_key", f"{WITH} SELECT item_id, CASE item_id % 3 WHEN 2 THEN 'u-' || item_id ELSE CAST(item_id AS VARCHAR) END AS k FROM it")
+def f27(spark, d):
+    number = F.col("item_id").cast("string")
+    raw = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("00"), number)).when(F.col("item_id") % 3 == 1, F.concat(F.lit(" "), number)).otherwise(F.concat(F.lit("u-"), number))
+    return t.items(spark, d).select("item_id", n.legacy_key(raw).alias("k"))
+
+
+@query("f28_number_or", f"{WITH} SELECT item_id, CASE item_id % 3 WHEN 0 THEN CAST(size AS DOUBLE) ELSE 1.0 END AS value FROM it")
+def f28(spark, d):
+    raw = F.when(F.col("item_id") % 3 == 0, F.col("size").cast("string")).when(F.col("item_id") % 3 == 1, "0").otherwise("n/a")
+    return t.items(spark, d).select("item_id", n.number_or(raw, F.lit(1.0)).alias("value"))
+
+
+@query("f31_uom_label", f"{WITH} SELECT item_id, CASE item_id % 2 WHEN 0 THEN '件 pcs' ELSE 'kg' END AS label FROM it")
+def f31(spark, d):
+    labels = F.create_map(F.lit("pcs"), F.lit("件"), F.lit("box"), F.lit("箱"))
+    unit = F.when(F.col("item_id") % 2 == 0, "pcs").otherwise("kg")
+    return t.items(spark, d).select("item_id", F.concat_ws(" ", F.try_element_at(labels, unit), unit).alias("label"))
+
+
+@query("f32_full_name", f"{WITH} SELECT item_id, CASE WHEN item_id % 2 = 0 THEN name_en ELSE name_en || ' ' || size || 'mm' END AS name FROM it")
+def f32(spark, d):
+    spec = F.when(F.col("item_id") % 2 == 0, F.col("name_en")).otherwise(F.concat(F.col("size").cast("string"), F.lit("mm")))
+    return t.items(spark, d).select("item_id", n.full_name(F.col("name_en"), spec).alias("name"))
+
+
+@query("f33_blank_cleaning", f"{WITH} SELECT item_id, CASE item_id % 3 WHEN 0 THEN '' WHEN 1 THEN '' ELSE brand END AS brand FROM it")
+def f33(spark, d):
+    return t.items(spark, d).select("item_id", n.cleaned(F.when(F.col("item_id") % 3 == 0, " None ").when(F.col("item_id") % 3 == 2, F.col("brand"))).alias("brand"))
+
+
+# --- matching ----------------------------------------------------------------------------------------------------
+
+
+@query("j8_prioritised_lookup", f"{WITH}, i AS (SELECT lower(name_en) AS k, min(item_id) AS item_id FROM it WHERE item_id % 2 = 0 GROUP BY 1) SELECT a.item_id AS asked_id, i.item_id FROM it a LEFT JOIN i ON lower(a.name_en) = k")
+def j8(spark, d):
+    asked = t.items(spark, d).select(F.col("item_id").alias("asked_id"), F.lower("name_en").alias("k"))
+    index = t.items(spark, d).where("item_id % 2 = 0").select(F.lower("name_en").alias("name_key"), "item_id")
+    return match.prioritised_lookup(asked, "asked_id", [F.concat("k", F.lit("|none")), F.col("k")], index, "name_key", "item_id", ["item_id"])
+
+
+@query("a21_match_rate", f"{WITH}, i AS (SELECT DISTINCT name_en FROM it WHERE item_id % 40 = 0) SELECT category, count(*) AS n_items, count(*) FILTER (name_en IN (SELECT name_en FROM i)) AS n_matched FROM it GROUP BY category")
+def a21(spark, d):
+    known = t.items(spark, d).where("item_id % 40 = 0").select("name_en").distinct().withColumn("hit", F.lit(1))
+    return t.items(spark, d).join(known, "name_en", "left").groupBy("category").agg(F.count(F.lit(1)).alias("n_items"), F.count("hit").alias("n_matched"))
+
+
+@query("j10_not_yet_known", f"{WITH} SELECT item_id FROM it WHERE name_en NOT IN (SELECT name_en FROM it WHERE item_id % 40 = 0) AND brand NOT IN (SELECT brand FROM it WHERE item_id % 400 = 0)")
+def j10(spark, d):
+    rows = t.items(spark, d)
+    return rows.join(rows.where("item_id % 40 = 0").select("name_en").distinct(), "name_en", "left_anti").join(rows.where("item_id % 400 = 0").select("brand").distinct(), "brand", "left_anti").select("item_id")
+
+
+def fuzzy_names(spark, d):
+    """Distinct item names with a typing error in every third: the variant and the true one of each."""
+    names = t.items(spark, d).groupBy(n.squeeze(F.concat_ws(" ", "name_en", "brand")).alias("key")).agg(F.min("item_id").alias("id"))
+    typed = F.when(F.col("id") % 3 == 0, F.concat(F.substring("key", 1, 4), F.lit("q"), F.col("key").substr(F.lit(5), F.lit(1000)))).otherwise(F.col("key"))
+    return names.select("id", typed.alias("key")), names
+
+
+@query("j11_fuzzy_join")
+def j11(spark, d):
+    typed, names = fuzzy_names(spark, d)
+    return match.best_match(typed, names)
+
+
+@query("f30_similar_pairs")
+def f30(spark, d):
+    typed, names = fuzzy_names(spark, d)
+    return match.similar_pairs(typed, names).select("id", "match_id", "ratio")
+
+
+@query("w8_greedy_new")
+def w8(spark, d):
+    typed, _ = fuzzy_names(spark, d)
+    pairs = match.similar_pairs(typed, typed).where("id < match_id").select(F.col("id").alias("earlier"), F.col("match_id").alias("later"))
+
+    def cut(df: DataFrame) -> DataFrame:
+        path = files.work_folder(spark)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return match.greedy_new(cut(pairs), typed.select("id"), cut)
+
+
+@query("j12_search_top_k")
+def j12(spark, d):
+    asked = t.items(spark, d).groupBy("category").agg(F.min("item_id").alias("query_id")).select("query_id", F.lower("category").alias("text"))
+    return match.search_top_k(asked, t.items(spark, d), {"name_en": 3, "category": 3, "brand": 1}, 5, 0.7)
+
+
+@query("j13_multi_probe")
+def j13(spark, d):
+    asked = bilingual(spark, d).where("item_id % 25 = 2").select(F.col("item_id").alias("query_id"), F.explode(n.probes(F.col("name"))).alias("text"))
+    spread = asked.withColumn("probe_id", F.xxhash64("query_id", "text"))
+    found = match.search_top_k(spread.select(F.col("probe_id").alias("query_id"), "text"), t.items(spark, d), {"name_en": 1}, 4, 0.4)
+    best = found.withColumnRenamed("query_id", "probe_id").join(spread.select("query_id", "probe_id"), "probe_id").groupBy("query_id", "item_id").agg(F.min("score").alias("score"))
+    return match.first_per_key(best.withColumn("one", F.lit(1)), ["query_id", "item_id"], ["score"]).drop("one")
+
+
+@query("o6_stacked_reports", f"{WITH} SELECT 'items' AS table_name, count(*) AS n FROM it UNION ALL SELECT 'vendors', count(*) FROM ve")
+def o6(spark, d):
+    return reconcile.stacked([f(spark, d).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n") for name, f in (("items", t.items), ("vendors", t.vendors))])
+
+
+# --- files, cells, streams ---------------------------------------------------------------------------------------
+
+
+@query("s2_ndjson", f"{WITH} SELECT item_id, name_en, size FROM it")
+def s2(spark, d):
+    rows, path = t.items(spark, d).select("item_id", "name_en", "size"), files.work_folder(spark)
+    files.write_ndjson(rows, path)
+    return files.read_ndjson(spark, path, rows.schema)
+
+
+@query("s3_csv", f"{WITH} SELECT CAST(item_id AS VARCHAR) AS item_id, name_en, category FROM it")
+def s3(spark, d):
+    path = files.work_folder(spark)
+    files.write_csv(t.items(spark, d), path, ["item_id", "name_en", "category"])
+    return files.read_csv(spark, path, ["item_id", "name_en", "category"]).drop("_corrupt_record")
+
+
+@query("s5_audit_log", f"{WITH} SELECT 'part' AS source_file, count(*) AS items_parsed, CAST(3 AS BIGINT) AS matched, CAST(2 AS BIGINT) AS new_added, 'a b' AS new_item_ids, CAST(9 AS BIGINT) AS total_after FROM it")
+def s5(spark, d):
+    path = files.work_folder(spark)
+    files.append_log(spark, path, "part", t.items(spark, d).count(), 3, ["a", "b"], 9)
+    return spark.read.parquet(path).drop("timestamp")
+
+
+@query("s6_replace", f"{WITH} SELECT vendor_id, vendor_name FROM ve")
+def s6(spark, d):
+    path = files.work_folder(spark)
+    files.replace_table(t.items(spark, d), path)
+    files.replace_table(t.vendors(spark, d).select("vendor_id", "vendor_name"), path)
+    return spark.read.parquet(path)
+
+
+@query("s13_conform", f"{WITH} SELECT vendor_id, vendor_name, CAST(NULL AS VARCHAR) AS phone FROM ve")
+def s13(spark, d):
+    target = spark.createDataFrame([], "vendor_id long, vendor_name string, phone string").schema
+    return files.conform(t.vendors(spark, d), target)[0]
+
+
+def item_cells(spark, d) -> DataFrame:
+    """Items laid out as cells: a sheet for each brand, a title row, a header row, the items below and a total."""
+    rows = t.items(spark, d).select(F.col("brand").alias("sheet"), F.col("item_id").alias("row"), F.array(F.col("name_en"), F.col("size").cast("string"), F.lit("")).alias("v"))
+    head = rows.groupBy("sheet").agg(F.lit(1).alias("n")).select("sheet", F.explode(F.array(F.struct(F.lit(-2).cast("long").alias("row"), F.array(F.lit("Stock"), F.lit(None), F.lit(None)).alias("v")), F.struct(F.lit(-1).cast("long").alias("row"), F.array(F.lit("Item Name"), F.lit("Spec (mm)"), F.lit("Dept")).alias("v")), F.struct(F.lit(10**9).cast("long").alias("row"), F.array(F.lit("Total"), F.lit("1"), F.lit("")).alias("v")))).alias("h")).select("sheet", "h.row", "h.v")
+    return rows.union(head).select(F.lit("book").alias("file"), "sheet", "row", F.posexplode("v").alias("col", "value")).where("value IS NOT NULL")
+
+
+@query("s7_cells_to_records", f"{WITH} SELECT brand AS sheet, item_id AS row, name_en AS name, CAST(size AS VARCHAR) AS spec, brand AS department FROM it WHERE name_en <> ''")
+def s7(spark, d):
+    found = cell.records(item_cells(spark, d), {"name": ("item name",), "spec": ("spec",), "department": ("dept",)}, ("item name",))
+    return found.select("sheet", "row", "name", "spec", "department")
+
+
+@query("s8_layout", f"{WITH} SELECT brand AS sheet, 'stock' AS layout FROM it GROUP BY brand")
+def s8(spark, d):
+    signs = item_cells(spark, d).groupBy("sheet").agg(F.bool_or(F.lower("value").contains("vessel")).alias("vessel"), F.bool_or(F.lower("value").contains("stock")).alias("stock"))
+    return signs.select("sheet", F.when(F.col("vessel"), "vessel").when(F.col("stock"), "stock").otherwise("generic").alias("layout"))
+
+
+@query("s10_enrichment", f"{WITH}, l AS (SELECT lower(name_en) AS k, max(item_id) AS last_id FROM it GROUP BY 1) SELECT item_id, CAST(last_id AS VARCHAR) AS name_cn FROM it JOIN l ON lower(name_en) = k")
+def s10(spark, d):
+    rows = t.items(spark, d)
+    last = rows.groupBy(F.lower("name_en").alias("k")).agg(F.max_by(F.col("item_id").cast("string"), "item_id").alias("cn"))
+    return rows.join(last, F.lower("name_en") == F.col("k"), "left").select("item_id", F.coalesce("cn", F.lit("")).alias("name_cn"))
+
+
+@query("m17_template_import", f"{WITH} SELECT category, item_id, row_number() OVER (PARTITION BY category ORDER BY item_id) - 1 AS sort_order FROM it WHERE is_deleted = 0")
+def m17(spark, d):
+    rows = numbering.line_numbers(v.live(t.items(spark, d)), "category", "item_id")
+    return rows.select("category", "item_id", (F.col("line_no") - 1).cast("long").alias("sort_order"))
+
+
+def _streamed(spark, d, name: str) -> tuple[DataFrame, str]:
+    """The table as a stream over files, and a folder for what the stream leaves."""
+    base = files.work_folder(spark)
+    table = t.scan(spark, d, name)
+    table.repartition(4).write.parquet(f"{base}/in")
+    return streams.source(spark, f"{base}/in", table.schema, 1), base
+
+
+@query("t1_sync_stream", "SELECT event_id, event_type FROM events")
+def t1(spark, d):
+    rows, base = _streamed(spark, d, "events")
+    streams.sync_stream(rows.select("event_id", "event_type"), f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out")
+
+
+@query("t2_append_once_stream", "SELECT event_id FROM events")
+def t2(spark, d):
+    rows, base = _streamed(spark, d, "events")
+    twice = rows.union(rows).selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS at")
+    streams.append_once_stream(twice, "event_id", "at", "3650 days", f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out").select("event_id")
+
+
+@query("t3_order_status_stream")
+def t3(spark, d):
+    base = files.work_folder(spark)
+    commands = order_commands(spark, d).withColumn("at", F.col("at").cast("timestamp"))
+    commands.repartition(1).write.parquet(f"{base}/in")
+    rows = streams.source(spark, f"{base}/in", commands.schema)
+    name = f"status_{base.rsplit('-', 1)[-1]}"
+    streams.order_status_stream(rows, name, f"{base}/state")
+    return spark.table(name)

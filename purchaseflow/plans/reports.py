@@ -119,7 +119,7 @@ def v10(spark, d):
     return v.batch_update(current, new, "item_id", ("name_en", "category"))
 
 
-@query("v11_carry_forward", f"{WITH} SELECT document_id, action FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY at DESC, event_id DESC) AS rn FROM cm) WHERE rn = 1")
+@query("v11_carry_forward", f"""{WITH} SELECT document_id, action FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY "at" DESC, event_id DESC) AS rn FROM cm) WHERE rn = 1""")
 def v11(spark, d):
     return v.carry_forward(t.commands(spark, d), "document_id", "action", ("at", "event_id"))
 
