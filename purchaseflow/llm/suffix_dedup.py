@@ -87,6 +87,18 @@ class Runs:
     end: np.ndarray
     gram: np.ndarray
     code: np.ndarray
+    hashes: np.ndarray
+    start: np.ndarray
+
+    def gram_place(self, r: int, length: int) -> int:
+        """Where the least gram stands in run ``r``'s context; -1 if its windows have it at more than one place."""
+        width = length - min(GRAM, length) + 1
+        shift = int(self.end[r] - self.begin[r])
+        if shift >= width:
+            return -1
+        a = int(self.start[r])
+        seen = np.flatnonzero(self.hashes[a : a + shift + width] == self.gram[r])
+        return int(seen[0]) if len(seen) == 1 else -1
 
 
 def find_runs(texts: list[bytes], length: int) -> Runs:
@@ -95,10 +107,11 @@ def find_runs(texts: list[bytes], length: int) -> Runs:
     flat = np.frombuffer(b"".join(texts), np.uint8)
     if len(flat) < length:
         none = np.empty(0, np.int64)
-        return Runs(none, none, none, none.astype(_U), none.astype(_U))
+        return Runs(none, none, none, none.astype(_U), none.astype(_U), none.astype(_U), none)
     starts = np.cumsum(sizes) - sizes
     grams, windows = window_hashes(_LETTERS[flat], (min(GRAM, length), length))
-    least = least_in(_mix(grams), length - min(GRAM, length) + 1)
+    hashes = _mix(grams)
+    least = least_in(hashes, length - min(GRAM, length) + 1)
     owner = np.repeat(np.arange(len(texts)), np.maximum(sizes - length + 1, 0))
     local = np.arange(len(owner)) - np.repeat(np.cumsum(np.maximum(sizes - length + 1, 0)) - np.maximum(sizes - length + 1, 0), np.maximum(sizes - length + 1, 0))
     at = starts[owner] + local
@@ -111,7 +124,7 @@ def find_runs(texts: list[bytes], length: int) -> Runs:
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
     code = _mix(_mix(windows[at[first]]) * _M2 + windows[at[last]]) + (last - first).astype(_U)
-    return Runs(owner[first], local[first], local[last], least[first], _mix(code))
+    return Runs(owner[first], local[first], local[last], least[first], _mix(code), hashes, at[first])
 
 
 def slices(ids: list, texts: list[bytes]) -> Iterator[tuple[list, list[bytes]]]:
@@ -344,8 +357,8 @@ def _mark(length: int, parts: int):
         def send() -> None:
             nonlocal held
             for p, rows in cut.items():
-                gram, key, doc, begin, text = zip(*rows)
-                blob = packed(np.array(gram, "<u8"), np.array(key, "<i8"), np.array(doc, "<i8"), np.array(begin, "<i4"), np.array(list(map(len, text)), "<i4"), np.frombuffer(b"".join(text), np.uint8))
+                gram, key, doc, begin, place, text = zip(*rows)
+                blob = packed(np.array(gram, "<u8"), np.array(key, "<i8"), np.array(doc, "<i8"), np.array(begin, "<i4"), np.array(place, "<i4"), np.array(list(map(len, text)), "<i4"), np.frombuffer(b"".join(text), np.uint8))
                 out.add(p, CONTEXTS, pack.compress(blob))
             cut.clear()
             held = 0
@@ -382,7 +395,7 @@ def _mark(length: int, parts: int):
                         spans = merged(runs.begin[gone], runs.end[gone] + length)
                         for r in (np.flatnonzero(state == SORT) + a).tolist():
                             pending = True
-                            cut[int(dealt[r])].append((int(runs.gram[r]), keys[k], order_of(doc), int(runs.begin[r]), text[runs.begin[r] : runs.end[r] + length]))
+                            cut[int(dealt[r])].append((int(runs.gram[r]), keys[k], order_of(doc), int(runs.begin[r]), runs.gram_place(r, length), text[runs.begin[r] : runs.end[r] + length]))
                             held += 100 + length
                     out.add(int(_home(np.array([keys[k]]), parts)[0]), OPEN if pending else DONE, pack.compress(packed(np.frombuffer(text, np.uint8), np.array(spans[0], "<i4"), np.array(spans[1], "<i4"))), doc)
                 if held > 24 << 20:
@@ -430,6 +443,33 @@ def owners(strings: list[bytes], docs: list[int], length: int) -> list[np.ndarra
     return [np.array(least[b : b + len(s) - length + 1], np.int64) for b, s in zip(begins, strings)]
 
 
+def trimmed(rows: list[tuple[int, int, int, bytes, int]], length: int) -> list[tuple[int, int, int, bytes]]:
+    """Contexts (key, doc, begin, text, place of the gram) of a class, cut down to what can be in an equal window.
+
+    A window has ``length`` bytes and holds the gram, so of what stands before the gram in it and what stands after it
+    one has ``side`` bytes at least. Where no other context has the same ``side`` bytes before its gram, equal windows
+    reach less far to the left, and likewise to the right; contexts left too short for a window go.
+    """
+    gram = min(GRAM, length)
+    side = (length - gram + 1) // 2
+    if side == 0 or any(p < 0 for *_, p in rows):
+        return [r[:4] for r in rows]
+    before: dict[bytes, int] = defaultdict(int)
+    after: dict[bytes, int] = defaultdict(int)
+    for s, p in {s: p for _, _, _, s, p in rows}.items():
+        if p >= side:
+            before[s[p - side : p]] += 1
+        if len(s) >= p + gram + side:
+            after[s[p + gram : p + gram + side]] += 1
+    out = []
+    for k, d, at, s, p in rows:
+        a = 0 if p >= side and before[s[p - side : p]] > 1 else max(0, p - side + 1)
+        z = len(s) if len(s) >= p + gram + side and after[s[p + gram : p + gram + side]] > 1 else min(len(s), p + gram + side - 1)
+        if z - a >= length:
+            out.append((k, d, at + a, s[a:z]))
+    return out
+
+
 def _sort(length: int, parts: int):
     """Step 4. Blobs for the homes: row key, first and last removed window of each run of these."""
 
@@ -438,10 +478,10 @@ def _sort(length: int, parts: int):
         by_class: dict[int, list[tuple]] = defaultdict(list)
         for b in it:
             for blob in b.column(1).to_pylist():
-                gram, key, doc, begin, size, flat = unpacked(unpack.decompress(blob), "<u8", "<i8", "<i8", "<i4", "<i4", "u1")
+                gram, key, doc, begin, place, size, flat = unpacked(unpack.decompress(blob), "<u8", "<i8", "<i8", "<i4", "<i4", "<i4", "u1")
                 data, ends = flat.tobytes(), np.cumsum(size).tolist()
-                for g, k, d, at, n, z in zip(gram.tolist(), key.tolist(), doc.tolist(), begin.tolist(), size.tolist(), ends):
-                    by_class[g].append((k, d, at, data[z - n : z]))
+                for g, k, d, at, p, n, z in zip(gram.tolist(), key.tolist(), doc.tolist(), begin.tolist(), place.tolist(), size.tolist(), ends):
+                    by_class[g].append((k, d, at, data[z - n : z], p))
         out = Blobs()
         found: list[tuple[int, int, int]] = []
 
@@ -458,7 +498,7 @@ def _sort(length: int, parts: int):
                 found.clear()
 
         while by_class:
-            _, rows = by_class.popitem()
+            rows = trimmed(by_class.popitem()[1], length)
             strings: dict[bytes, int] = {}
             for _, d, _, s in rows:
                 strings[s] = min(d, strings.get(s, d))
