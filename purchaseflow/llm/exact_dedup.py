@@ -22,13 +22,14 @@ TRIE_BYTES = 96 << 20
 
 
 class Node:
-    __slots__ = ("label", "kids", "least", "count")
+    __slots__ = ("label", "kids", "least", "count", "file")
 
     def __init__(self, label: bytes) -> None:
         self.label = label
         self.kids: dict[int, Node] = {}
         self.least: int | None = None
         self.count = 0
+        self.file: tempfile._TemporaryFileWrapper | None = None  # what stands below, once spilled
 
 
 def shared_prefix(a: bytes, b: bytes) -> int:
@@ -48,86 +49,100 @@ def shared_prefix(a: bytes, b: bytes) -> int:
 class Trie:
     """Compressed radix trie of byte strings; a terminal node has the least id (None if all are null) and the row count.
 
-    Beyond ``limit`` bytes of labels the heaviest child of the root is written to an unnamed scratch file of the task
-    (as Spark's own sorts spill), and later strings that begin with its byte are appended there. items() then reads
-    each file back into a trie of its own, one byte deeper, so memory stays bounded and each string comes out once.
+    Beyond ``limit`` bytes of labels the heaviest subtree goes to an unnamed scratch file of the task (as Spark's own
+    sorts spill), and what later comes to its node is appended there. items() reads each file back into a trie of its
+    own, so memory stays bounded by the limit, or by the longest string, and each string comes out once.
     """
 
-    def __init__(self, limit: int = TRIE_BYTES, depth: int = 0) -> None:
-        self.root, self.limit, self.depth, self.bytes = Node(b""), limit, depth, 0
-        self.weight: dict[int, int] = {}
-        self.spilled: dict[int, tempfile._TemporaryFileWrapper] = {}
+    def __init__(self, limit: int = TRIE_BYTES) -> None:
+        self.root, self.limit, self.bytes = Node(b""), limit, 0
 
     def add(self, key: bytes, least: int | None, count: int) -> None:
-        head = key[0] if key else -1
-        if head in self.spilled:
-            self._append(head, key, least, count)
-            return
-        grown = self._insert(self.root, key, least, count)
-        self.bytes += grown
-        self.weight[head] = self.weight.get(head, 0) + grown
-        if self.bytes > self.limit:
-            self._spill()
-
-    def _insert(self, node: Node, rest: bytes, least: int | None, count: int) -> int:
-        grown = 0
+        node, rest = self.root, key
         while rest:
+            if node.file:
+                break
             kid = node.kids.get(rest[0])
             if kid is None:
                 kid = node.kids[rest[0]] = Node(rest)
-                grown += len(rest) + 100
+                self.bytes += len(rest) + 100
                 node, rest = kid, b""
-                break
-            if rest.startswith(kid.label):
+            elif rest.startswith(kid.label):
                 node, rest = kid, rest[len(kid.label) :]
-                continue
-            n = shared_prefix(rest, kid.label)
-            fork = Node(kid.label[:n])
-            kid.label = kid.label[n:]
-            fork.kids[kid.label[0]] = kid
-            node.kids[rest[0]] = fork
-            grown += 100
-            node, rest = fork, rest[n:]
+            else:
+                n = shared_prefix(rest, kid.label)
+                fork = Node(kid.label[:n])
+                kid.label = kid.label[n:]
+                fork.kids[kid.label[0]] = kid
+                node.kids[rest[0]] = fork
+                self.bytes += 100
+                node, rest = fork, rest[n:]
+        if node.file:
+            _append(node.file, rest, least, count)
+            return
         node.count += count
         if least is not None and (node.least is None or least < node.least):
             node.least = least
-        return grown
+        if self.bytes > self.limit:
+            self._spill()
 
     def _spill(self) -> None:
-        head = max(self.weight, key=self.weight.get)
-        if head < 0:
-            self.limit *= 2
+        """Moves what is below the lowest node that holds most of the trie to that node's file."""
+        weight: dict[int, int] = {}
+        todo = [(self.root, False)]
+        while todo:
+            node, seen = todo.pop()
+            if seen:
+                weight[id(node)] = len(node.label) + 100 + sum(weight[id(k)] for k in node.kids.values())
+            else:
+                todo.append((node, True))
+                todo.extend((k, False) for k in node.kids.values())
+        node = max(self.root.kids.values(), key=lambda k: weight[id(k)])
+        while node.kids:
+            heavy = max(node.kids.values(), key=lambda k: weight[id(k)])
+            if not heavy.kids or 2 * weight[id(heavy)] < weight[id(node)]:
+                break
+            node = heavy
+        if not node.kids:
+            self.limit *= 2  # one string is as heavy as that
             return
-        self.spilled[head] = tempfile.TemporaryFile()  # noqa: SIM115
-        for item in walk(self.root.kids.pop(head), b""):
-            self._append(head, *item)
-        self.bytes -= self.weight.pop(head)
-
-    def _append(self, head: int, key: bytes, least: int | None, count: int) -> None:
-        at = b"-" if least is None else str(least).encode()
-        self.spilled[head].write(b"%s %d %d\n" % (at, count, len(key)) + key)
+        node.file = tempfile.TemporaryFile()  # noqa: SIM115
+        for kid in node.kids.values():
+            self.bytes -= weight[id(kid)]
+            for item in walk(kid, b""):
+                _append(node.file, *item)
+        node.kids = {}
+        if node.count:
+            _append(node.file, b"", node.least, node.count)
+            node.count, node.least = 0, None
 
     def items(self) -> Iterator[tuple[bytes, int | None, int]]:
-        yield from walk(self.root, b"")
-        for head, file in sorted(self.spilled.items()):
-            file.seek(0)
-            deeper = Trie(self.limit, self.depth + 1)
-            while line := file.readline():
-                at, count, size = line.split()
-                deeper.add(file.read(int(size))[1:], None if at == b"-" else int(at), int(count))
-            file.close()
-            for key, least, count in deeper.items():
-                yield bytes([head]) + key, least, count
+        return walk(self.root, b"", self.limit)
+
 
+def _append(file, key: bytes, least: int | None, count: int) -> None:
+    at = b"-" if least is None else str(least).encode()
+    file.write(b"%s %d %d\n" % (at, count, len(key)) + key)
 
-def walk(node: Node, prefix: bytes) -> Iterator[tuple[bytes, int | None, int]]:
-    """(string, least id, rows) of each terminal node below, without recursion."""
+
+def walk(node: Node, prefix: bytes, limit: int = TRIE_BYTES) -> Iterator[tuple[bytes, int | None, int]]:
+    """(string, least id, rows) of each terminal node below, spilled ones too."""
     todo = [(node, prefix)]
     while todo:
         node, prefix = todo.pop()
         key = prefix + node.label
         if node.count:
             yield key, node.least, node.count
+        if node.file:
+            node.file.seek(0)
+            deeper = Trie(limit)
+            while line := node.file.readline():
+                at, count, size = line.split()
+                deeper.add(node.file.read(int(size)), None if at == b"-" else int(at), int(count))
+            node.file.close()
+            node.file = None
+            for rest, least, count in deeper.items():
+                yield key + rest, least, count
         todo.extend((kid, key) for kid in node.kids.values())
 
 
