@@ -57,7 +57,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float = 90.0) -> Dat
     either key, so one of the first 2 * d + 1 grams in order of rarity is common. Keys too short to have that many
     grams index them all and the marker of their length, so that they meet every key of a like length.
     """
-    share = 1 - least / 100
+    share = (100 - least) / 100 + 1e-9  # so that rounding loses no pair just at the bound
 
     def prepared(df: DataFrame, tag: str) -> DataFrame:
         return df.where(F.col("key") != "").groupBy("key").agg(F.min("id").alias(f"id_{tag}")).withColumn("grams", grams(F.col("key")))
@@ -81,7 +81,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float = 90.0) -> Dat
     y = indexed(b, "b").withColumnRenamed("key", "key_b")
     pairs = x.join(y, "token").select("id_a", "key", "id_b", "key_b").where(F.abs(F.length("key") - F.length("key_b")) <= share * (F.length("key") + F.length("key_b"))).distinct()
     near = pairs.where(F.levenshtein("key", "key_b") <= share * (F.length("key") + F.length("key_b")))
-    return near.withColumn("ratio", _ratio_udf()("key", "key_b")).where(F.col("ratio") >= least).select(F.col("id_a").alias("id"), F.col("id_b").alias("match_id"), "key", "key_b", "ratio")
+    return near.withColumn("ratio", _ratio_udf()("key", "key_b")).where(F.col("ratio") >= least - 1e-7).select(F.col("id_a").alias("id"), F.col("id_b").alias("match_id"), "key", "key_b", "ratio")
 
 
 def best_match(left: DataFrame, right: DataFrame, least: float = 90.0) -> DataFrame:
