@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -86,6 +85,3 @@ def words_of(data: bytes) -> list[bytes]:
 _UPPER = bytes(range(65, 91))
 LOWER_ASCII = bytes.maketrans(_UPPER, _UPPER.lower())
 
-
-def is_blank(value: str | None) -> bool:
-    return not value or not re.search(r"[^\x20\x09-\x0D]", value)

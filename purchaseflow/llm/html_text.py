@@ -34,7 +34,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words in class, id or role that mark such places; matched as whole words between separators.
 PLACE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|advertisement|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notification|popup|modal|overlay|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|widget|footer|header|masthead|topbar|toolbar|comments?|reply|replies|respond|disqus|"
+    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|widget|footer|topbar|toolbar|comments?|reply|replies|respond|disqus|"
     r"share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|pagination|pager|copyright|legal|disclaimer|skip|complementary|contentinfo|form)(?=$|[\s_-])",
     re.I,
 )
@@ -47,7 +47,9 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_HIDDEN = re.compile(r"display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?=$|[\s_-])", re.I)
 _SPACES = re.compile(r"\s+")
 
 LONG, SHORT = 200, 70
@@ -62,6 +64,12 @@ class Block:
         self.text, self.linked, self.outside, self.article, self.heading = text, linked, outside, article, heading
 
 
+def hidden(attributes: str) -> bool:
+    if not attributes or "hidden" not in attributes and "display" not in attributes:
+        return False
+    return bool(_HIDDEN.search(attributes)) or "hidden" in _QUOTED.sub("", attributes).replace("=", " ").split()
+
+
 def blocks(html: str) -> list[Block]:
     """The page's blocks in order, character references decoded and white space joined; empty ones are left out."""
     out: list[Block] = []
@@ -120,7 +128,9 @@ def blocks(html: str) -> list[Block]:
             continue
         marked = " ".join(x for a in _ATTRIBUTE.finditer(m[4]) for x in a.groups()[1:] if x) if m[4] else ""
         is_article = name in ("article", "main") or bool(marked and ARTICLE_PLACE.search(marked))
-        is_outside = name in OUTSIDE or name == "header" and not article or bool(marked and PLACE.search(marked)) and name not in ("body", "html", "main") or bool(m[4] and _HIDDEN.search(m[4]))
+        is_outside = name in OUTSIDE or hidden(m[4]) or bool(marked) and name not in ("body", "html", "main") and bool(PLACE.search(marked))
+        if not article and not is_article:  # an article's own header has its title
+            is_outside = is_outside or name == "header" or bool(marked and _HEADER.search(marked))
         if is_outside and name == "article":
             is_article = False
         stack.append((name, is_outside, is_article))
@@ -152,29 +162,35 @@ def first_label(block: Block) -> str:
 
 
 def labels(page: list[Block]) -> list[bool]:
-    """Which blocks are main text. Undecided ones inherit: ``near`` is text beside any good block or if nothing is bad
-    on both sides; ``unsure`` takes the label of both nearest decided neighbours if they agree, and else the article
-    element's word. Page ends count as bad outside an article, as good within."""
+    """Which blocks are main text. An undecided block within an article element is. Else it inherits from the nearest
+    decided blocks before and after it: ``near`` is text if either is good; ``unsure`` takes the label that both have,
+    else that of the nearer one, and between a good and a bad one at the same distance it is text if it ends as a
+    sentence does, or if it is a heading before a good block. The page's ends count as bad."""
     first = [first_label(b) for b in page]
-    decided = [x if x in (GOOD, BAD) else None for x in first]
-    after: list[str | None] = [None] * len(page)
-    seen: str | None = None
+    after: list[tuple[int, str]] = [(0, BAD)] * len(page)
+    seen = (len(page), BAD)
     for i in range(len(page) - 1, -1, -1):
         after[i] = seen
-        seen = decided[i] or seen
-    out, seen = [], None
+        if first[i] in (GOOD, BAD):
+            seen = (i, first[i])
+    out: list[bool] = []
+    seen = (-1, BAD)
     for i, block in enumerate(page):
-        if decided[i]:
-            out.append(decided[i] == GOOD)
-            seen = decided[i]
+        if first[i] in (GOOD, BAD):
+            out.append(first[i] == GOOD)
+            seen = (i, first[i])
             continue
-        sides = {seen or BAD, after[i] or BAD}
-        if block.article:
-            out.append(True)
+        (p, before), (q, behind) = seen, after[i]
+        if block.article or before == behind:
+            out.append(block.article or before == GOOD)
         elif first[i] == NEAR:
-            out.append(GOOD in sides)
+            out.append(True)
+        elif block.heading:
+            out.append(behind == GOOD)
+        elif i - p != q - i:
+            out.append((before if i - p < q - i else behind) == GOOD)
         else:
-            out.append(sides == {GOOD} or block.heading and after[i] == GOOD)
+            out.append(block.text[-1] in ".!?…\"”»)")
     return out
 
 
