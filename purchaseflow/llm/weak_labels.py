@@ -60,8 +60,8 @@ def _vote(good: bool, bad: bool) -> int:
 #: Name and vote of each labeller. A labeller that sees too little of what it judges votes nothing.
 LABELLERS = (
     ("symbols", lambda f: _vote(f.m["n_symbols"] == 0, 10 * f.m["n_symbols"] > f.m["n_words"])),
-    ("repeats", lambda f: _vote(10 * f.m["n_repeat_words"] < f.m["n_words"], 2 * f.m["n_repeat_words"] > f.m["n_words"])),
-    ("shouting", lambda f: _vote(4 * f.m["n_upper"] < f.m["n_letters"], f.m["n_letters"] >= 10 and 10 * f.m["n_upper"] > 6 * f.m["n_letters"])),
+    ("repeats", lambda f: _vote(10 * f.m["n_repeat_words"] < f.m["n_words"], f.m["n_words"] >= 30 and 2 * f.m["n_repeat_words"] > f.m["n_words"])),
+    ("shouting", lambda f: _vote(f.m["n_letters"] < 10 or 4 * f.m["n_upper"] < f.m["n_letters"], f.m["n_letters"] >= 10 and 10 * f.m["n_upper"] > 6 * f.m["n_letters"])),
     ("marks", lambda f: _vote(50 * f.m["n_marks"] < f.m["n_words"], 10 * f.m["n_marks"] > 3 * f.m["n_words"])),
     ("lines", lambda f: _vote(f.m["n_lines"] >= 3 and not f.m["n_dup_lines"], f.m["n_lines"] >= 6 and 2 * f.m["n_dup_lines"] > f.m["n_lines"])),
     ("common_words", lambda f: _vote(10 * f.common > f.m["n_words"], f.m["n_words"] >= 30 and 100 * f.common < 3 * f.m["n_words"])),
