@@ -125,5 +125,46 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+ln AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+i AS (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) >= 3),
+tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS n FROM i),
+p AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM tri WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM p GROUP BY doc_id),
+m AS (
+    SELECT doc_id, len(words) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+           length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+           coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+           length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS n_letters,
+           length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) AS n_digits, length(t) - length(regexp_replace(t, '[!?]', '', 'g')) AS n_marks
+    FROM w LEFT JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR (n_lines >= 6 AND 10 * n_dup_lines > 5 * n_lines) OR (n_letters >= 40 AND 10 * n_upper > 6 * n_letters)
+            OR (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words)) OR (n_words > 0 AND 10 * n_digits > 3 * word_chars) OR 10 * n_marks > 3 * n_words) AS kept
+FROM b
+"""
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+n AS (SELECT doc_id, h, CAST(length(h) / 2 AS BIGINT) AS n_bytes FROM d),
+s AS (SELECT doc_id, unnest(range(0, n_bytes - 49)) AS i, h FROM n WHERE n_bytes >= 50),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS w FROM s),
+o AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY w) < doc_id AS gone FROM w),
+g AS (SELECT doc_id, i, max(i + 50) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o WHERE gone),
+e AS (SELECT doc_id, i, sum(CASE WHEN reach IS NULL OR i > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS z FROM e GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+c AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS last_z, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+      FROM k JOIN n USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE head || substr(h, 2 * last_z + 1) END)) AS kept_sha256
+FROM n LEFT JOIN c USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op6_chat": OP6_SQL}
+    return {"op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op5_suffix_dedup": OP5_SQL, "op6_chat": OP6_SQL, "op7_quality_rules": OP7_SQL}
