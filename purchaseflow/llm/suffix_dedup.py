@@ -36,7 +36,7 @@ GRAM = 24
 #: Windows of a run at most; a context is then fully covered by its first and last window.
 RUN = 50
 #: Bytes of text that are hashed at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
 NOBODY = (1 << 63) - 1
 _U = np.uint64
 _LETTERS = np.array([int.from_bytes(hashlib.sha256(b"letter %d" % i).digest()[:8], "little") for i in range(256)], _U)
@@ -224,7 +224,7 @@ def _scan(length: int, parts: int):
                 held.append((_dealt(runs, parts), runs.text + len(keys), runs.gram, runs.code))
                 keys += [row_key(order_of(d), t) for d, t in zip(some, these)]
                 ids += [order_of(d) for d in some]
-                if sum(len(h[0]) for h in held) > 3_000_000:
+                if sum(len(h[0]) for h in held) > 1_000_000:
                     flush()
                 yield from out.batches()
         flush()
