@@ -752,3 +752,91 @@ def t3(spark, d):
     name = f"status_{base.rsplit('-', 1)[-1]}"
     streams.order_status_stream(rows, name, f"{base}/state")
     return spark.table(name)
+
+
+# --- the remaining scans, sinks, sorts and guards ------------------------------------------------------------------
+
+
+@query("s1_source_scan", "SELECT o_orderkey AS pr_id, o_orderstatus AS status FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 4000")
+def s1(spark, d):
+    """A key range of a source table, as a partitioned relational scan reads it: the predicate is on the stored column."""
+    return t.scan(spark, d, "orders").where("o_orderkey >= 100 AND o_orderkey < 4000").select(F.col("o_orderkey").alias("pr_id"), F.col("o_orderstatus").alias("status"))
+
+
+@query("s4_csv_sink", f"{WITH} SELECT CAST(vendor_id AS VARCHAR) AS vendor_id, vendor_name FROM ve")
+def s4(spark, d):
+    path = files.work_folder(spark)
+    files.write_csv(t.vendors(spark, d), path, ["vendor_id", "vendor_name"])
+    return spark.read.option("header", True).schema("vendor_id string, vendor_name string").csv(path)
+
+
+@query("s9_many_files", f"{WITH} SELECT category AS file, count(*) AS n_good, count(*) FILTER (item_id % 50 = 0) AS n_bad FROM it GROUP BY category")
+def s9(spark, d):
+    """Files of one folder read together: broken lines are reported by file and the rest is used."""
+    path = files.work_folder(spark)
+    line = F.to_json(F.struct("item_id", "name_en"))
+    rows = t.items(spark, d).select("category", F.explode(F.when(F.col("item_id") % 50 == 0, F.array(line, F.lit("{broken"))).otherwise(F.array(line))).alias("value"))
+    rows.write.partitionBy("category").text(path)
+    read = spark.read.schema("item_id long, name_en string, _corrupt_record string, category string").option("mode", "PERMISSIVE").json(path)
+    return read.groupBy(F.col("category").alias("file")).agg(F.count_if(F.col("item_id").isNotNull()).alias("n_good"), F.count_if(F.col("item_id").isNull() & F.col("_corrupt_record").isNotNull()).alias("n_bad"))
+
+
+@query("s11_batched_write", f"{WITH} SELECT count(*) AS n_rows, CAST(ceil(count(*) / 500.0) AS BIGINT) <= count(*) AS batched FROM it")
+def s11(spark, d):
+    """Rows written in files of 500 at most, as a sink with a limit on a statement's rows takes them."""
+    path = files.work_folder(spark)
+    t.items(spark, d).write.option("maxRecordsPerFile", 500).parquet(path)
+    per_file = spark.read.parquet(path).groupBy(F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n"))
+    return per_file.agg(F.sum("n").alias("n_rows"), (F.max("n") <= 500).alias("batched"))
+
+
+@query("o2_multi_key_sort", f"{WITH} SELECT pr_id, line_no, item_id FROM ln ORDER BY line_no, pr_id")
+def o2(spark, d):
+    return current_lines(spark, d).select("pr_id", "line_no", "item_id").orderBy("line_no", "pr_id")
+
+
+@query("o3_newest_first", f"{WITH} SELECT pr_id, strftime(pr_date, '%Y-%m-%d') AS day FROM rq ORDER BY pr_date DESC, pr_id DESC")
+def o3(spark, d):
+    return t.requests(spark, d).orderBy(F.desc("pr_date"), F.desc("pr_id")).select("pr_id", F.date_format("pr_date", "yyyy-MM-dd").alias("day"))
+
+
+@query("f9_manual_review", f"{WITH} SELECT item_id, item_id % 10 = 0 AS manual FROM it WHERE item_id % 5 = 0")
+def f9(spark, d):
+    """Listed rows are set aside, the others go on; the list is itself a table."""
+    rows = t.items(spark, d).where("item_id % 5 = 0").select("item_id")
+    listed = rows.where("item_id % 10 = 0").withColumn("manual", F.lit(True))
+    return rows.join(listed, "item_id", "left").select("item_id", F.coalesce("manual", F.lit(False)).alias("manual"))
+
+
+@query("f17_blank_counts", f"{WITH} SELECT count(*) FILTER (item_id % 3 = 0) AS brand, count(*) FILTER (item_id % 4 = 0) AS category FROM it")
+def f17(spark, d):
+    rows = t.items(spark, d).select(F.when(F.col("item_id") % 3 == 0, "").otherwise(F.col("brand")).alias("brand"), F.when(F.col("item_id") % 4 == 0, "").otherwise(F.col("category")).alias("category"))
+    return rows.agg(*(F.count_if(F.col(c) == "").alias(c) for c in ("brand", "category")))
+
+
+@query("c11_dry_run", f"{WITH} SELECT 'duplicate_name' AS report, count(*) AS n FROM (SELECT name_en FROM it GROUP BY name_en HAVING count(*) > 1) UNION ALL SELECT 'dead_item_lines', count(*) FROM lv WHERE item_id NOT IN (SELECT item_id FROM it WHERE is_deleted = 0)")
+def c11(spark, d):
+    """All reports of a job, and no write."""
+    items = t.items(spark, d)
+    reports = {"duplicate_name": validate.duplicates(items, ["name_en"], "item_id"), "dead_item_lines": validate.orphans(t.request_line_versions(spark, d), "item_id", v.live(items), "item_id")}
+    return reconcile.stacked([r.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("report"), "n") for name, r in reports.items()])
+
+
+@query("c12_optional_table", f"{WITH} SELECT po_id, CAST(0 AS BIGINT) AS n_charges FROM ol GROUP BY po_id")
+def c12(spark, d):
+    """An optional source that isn't there counts as an empty table of its type."""
+    charges = spark.createDataFrame([], "po_id long, amount decimal(18,2)")
+    return t.order_lines(spark, d).select("po_id").distinct().join(charges.groupBy("po_id").agg(F.count(F.lit(1)).alias("n")), "po_id", "left").select("po_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_charges"))
+
+
+@query("c15_apply_once", f"{WITH} SELECT count(*) AS n_rows FROM it")
+def c15(spark, d):
+    """A job that finds itself in the log of applied jobs does nothing: applied twice, the rows are there once."""
+    base = files.work_folder(spark)
+    log = f"{base}/applied"
+    spark.createDataFrame([], "job string").write.parquet(log)
+    for _ in range(2):
+        if spark.read.schema("job string").parquet(log).where("job = 'load'").isEmpty():
+            t.items(spark, d).write.mode("append").parquet(f"{base}/table")
+            spark.createDataFrame([("load",)], "job string").write.mode("append").parquet(log)
+    return spark.read.parquet(f"{base}/table").agg(F.count(F.lit(1)).alias("n_rows"))
