@@ -13,9 +13,14 @@ def presence(name: str, source: DataFrame, target: DataFrame, key: str) -> DataF
     """One row: source rows, distinct target ids, source ids missing in the target, OK or MISSING."""
     ids = source.select(F.col(key).cast("string").alias("k"))
     here = target.select(F.col(key).cast("string").alias("k")).distinct()
-    counts = ids.agg(F.count(F.lit(1)).alias("source_rows")).crossJoin(here.agg(F.count(F.lit(1)).alias("target_ids")))  # two single rows
-    missing = ids.join(here, "k", "left_anti").agg(F.count(F.lit(1)).alias("missing"))
-    return counts.crossJoin(missing).select(F.lit(name).alias("table_name"), "*", F.when(F.col("missing") > 0, "MISSING").otherwise("OK").alias("state"))
+    lost = ids.join(here, "k", "left_anti")
+    return in_one_row(name, source_rows=ids, target_ids=here, missing=lost).withColumn("state", F.when(F.col("missing") > 0, "MISSING").otherwise("OK"))
+
+
+def in_one_row(name: str, **tables: DataFrame) -> DataFrame:
+    """One row with the number of rows of each table, under its keyword."""
+    counts = [df.agg(*((F.count(F.lit(1)) if k == c else F.lit(0).cast("long")).alias(c) for c in tables)) for k, df in tables.items()]
+    return stacked(counts).agg(*(F.sum(c).alias(c) for c in tables)).select(F.lit(name).alias("table_name"), *tables)
 
 
 def stacked(reports: Sequence[DataFrame]) -> DataFrame:

@@ -94,8 +94,8 @@ def r11(spark, d):
 @query("r12_side_counts", f"{WITH} SELECT 'lines' AS table_name, (SELECT count(*) FROM ln) AS n_current, (SELECT count(*) FROM lv) AS n_stored UNION ALL SELECT 'events', (SELECT count(*) FROM cm), (SELECT count(*) FROM cm)")
 def r12(spark, d):
     rows, log = t.request_line_versions(spark, d), t.commands(spark, d)
-    one = lambda name, a, b: a.agg(F.count(F.lit(1)).alias("n_current")).crossJoin(b.agg(F.count(F.lit(1)).alias("n_stored"))).select(F.lit(name).alias("table_name"), "*")  # noqa: E731  two single rows
-    return one("lines", rows.select(*t.LINE_KEYS).distinct(), rows).union(one("events", log, log))
+    current = rows.select(*t.LINE_KEYS).distinct()
+    return reconcile.in_one_row("lines", n_current=current, n_stored=rows).union(reconcile.in_one_row("events", n_current=log, n_stored=log))
 
 
 @query("r13_sync_twice", f"{WITH} SELECT {LINE_SQL} FROM ln")
