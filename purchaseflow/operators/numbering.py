@@ -1,7 +1,7 @@
 """Numbers and identifiers: line numbers, document numbers, repair of duplicate and missing ids.
 
-A window without a partition would bring all rows to one task; ``dense_numbers`` sorts by ranges instead, counts rows
-by range, and adds to each range's own numbers the total of the ranges before it.
+A window without a partition would bring all rows to one task; ``dense_numbers`` deals rows into ranges instead, counts
+them by range, and adds to each range's own numbers the total of the ranges before it.
 """
 
 from __future__ import annotations
@@ -11,27 +11,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from purchaseflow.sources.files import work_folder
+
 
 def line_numbers(rows: DataFrame, document: str, position: str) -> DataFrame:
     return rows.withColumn("line_no", F.row_number().over(Window.partitionBy(document).orderBy(position)))
 
 
-def dense_numbers(rows: DataFrame, order: Sequence[str], start: int | Column = 0, name: str = "number", buckets: int = 64) -> DataFrame:
-    """``rows`` with start + 1, start + 2, ... in ``order``, which has to be unique and led by a numeric column.
+def dense_numbers(rows: DataFrame, order: Sequence[str], start: int | Column = 0, name: str = "number") -> DataFrame:
+    """``rows`` with start + 1, start + 2, ... in ``order``, which has to be unique.
 
-    Rows are bucketed by approximate quantiles of the first column, which all rows agree on, so nothing depends on how
-    Spark cut its partitions; only the table of bucket sizes (``buckets`` rows) is summed up by one task.
+    Rows are dealt into ranges of the order, as many as the session has shuffle partitions, and written with the number
+    of their range, so that a task that runs again can't cut the ranges anew. Only the table of range sizes is summed
+    up by one task.
     """
-    lead = order[0]
-    cuts = rows.approxQuantile(lead, [k / buckets for k in range(1, buckets)], 0.01) if buckets > 1 else []
-    bucket = F.lit(0)
-    for c in sorted(set(cuts)):
-        bucket = bucket + F.when(F.col(lead) > F.lit(c), 1).otherwise(0)
-    dealt = rows.withColumn("_bucket", bucket)
+    spark = rows.sparkSession
+    path = work_folder(spark)
+    rows.repartitionByRange(*(F.col(c) for c in order)).withColumn("_bucket", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
     sizes = dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_bucket", (F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
     base = start if isinstance(start, Column) else F.lit(start)
+    # one row for each range: bounded by the number of shuffle partitions
     return dealt.join(F.broadcast(before), "_bucket").withColumn(name, (base + F.col("_before") + own).cast("long")).drop("_bucket", "_before")
 
 
