@@ -45,10 +45,15 @@ def padded(prefix: str, number: Column, width: int, year: Column | None = None)
 
 
 def document_numbers(rows: DataFrame, counters: DataFrame, year: str, order: Sequence[str], prefix: str, width: int = 3) -> DataFrame:
-    """``doc_no`` for each row: numbers run on from the counter (year, last_no) of its year."""
-    own = F.row_number().over(Window.partitionBy(year).orderBy(*order))
-    out = rows.withColumn("_own", own).join(F.broadcast(counters.select(F.col("year").alias(year), "last_no")), year, "left")
-    return out.withColumn("doc_no", padded(prefix, F.coalesce("last_no", F.lit(0)) + F.col("_own"), width, F.col(year))).drop("_own", "last_no")
+    """``doc_no`` for each row: numbers run on from the counter (year, last_no) of its year.
+
+    A year has no bound on its rows: all are numbered densely in order of year, and each year's least number is taken off.
+    """
+    dense = dense_numbers(rows, [year, *order], name="_all")
+    first = dense.groupBy(F.col(year).alias("year")).agg((F.min("_all") - 1).alias("_before"))
+    known = first.join(counters.select("year", "last_no"), "year", "left").select(F.col("year").alias(year), (F.coalesce("last_no", F.lit(0)) - F.col("_before")).alias("_add"))
+    out = dense.join(F.broadcast(known), year)  # a row for each year
+    return out.withColumn("doc_no", padded(prefix, F.col("_all") + F.col("_add"), width, F.col(year))).drop("_all", "_add")
 
 
 def counter_seed(numbers: DataFrame, column: str, pattern: str) -> DataFrame:
