@@ -8,6 +8,7 @@ or in between. In the second pass an undecided block takes the label of the near
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -24,8 +25,12 @@ STOP_WORDS = frozenset(
     el los las de y en que un una del por con para no es al se lo como más su sus pero este ha o fue si sobre son
     """.split()
 )
-#: Elements whose content is never text.
-SILENT = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "head", "select", "textarea", "canvas", "audio", "video", "button")
+#: Elements whose content is never text: raw ones run to their end tag, whatever stands between, or to the page's end.
+RAW = ("script", "style", "noscript", "template", "iframe", "textarea")
+#: The others are silent from their start tag to their own end tag; without one, just the tag is left out.
+SILENT = frozenset("svg math object select canvas audio video button".split())
+#: Of these, ``<svg/>`` has no content.
+FOREIGN = ("svg", "math")
 #: Elements that hold no article text, whatever their words.
 OUTSIDE = frozenset("nav footer aside form menu dialog".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
@@ -40,12 +45,13 @@ PLACE = re.compile(
 )
 ARTICLE_PLACE = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|content|body)(?=$|[\s_-])", re.I)
 
-_SILENT = "|".join(SILENT)
-#: Comments, declarations, silent elements with all they hold (to the end of the page if never closed), and tags.
+_RAW = "|".join(RAW)
+#: Comments, declarations, raw elements with all they hold, titles (just the tag and its words if never closed), and tags.
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<({_SILENT})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<({_RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<title(?=[\s/>])[^>]*>(?:.{{0,10000}}?</title\s*>|[^<]*)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S | re.I,
 )
+_MAY_BE_SILENT = re.compile(rf"<(?:{'|'.join(sorted(SILENT))})[\s/>]", re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
@@ -70,6 +76,31 @@ def hidden(attributes: str) -> bool:
     return bool(_HIDDEN.search(attributes)) or "hidden" in _QUOTED.sub("", attributes).replace("=", " ").split()
 
 
+def silent_ends(tokens: list[re.Match]) -> dict[int, int]:
+    """By the number of its start tag, the number of the end tag of each silent element that has one of its own: not
+    one of a later element of its name, nor one that stands behind the end of the element around it."""
+    out: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    depth: Counter[str] = Counter()
+    for i, m in enumerate(tokens):
+        name = m[3] and m[3].lower()
+        if name is None or name in INLINE or name in VOID:
+            continue
+        if not m[2]:
+            if not (m[4].endswith("/") and name not in SILENT or name in FOREIGN and m[4].endswith("/")):
+                stack.append((name, i))
+                depth[name] += 1
+        elif depth[name]:
+            while True:
+                top, begin = stack.pop()
+                depth[top] -= 1
+                if top == name:
+                    break
+            if name in SILENT:
+                out[begin] = i
+    return out
+
+
 def blocks(html: str) -> list[Block]:
     """The page's blocks in order, character references decoded and white space joined; empty ones are left out."""
     out: list[Block] = []
@@ -89,8 +120,12 @@ def blocks(html: str) -> list[Block]:
             parts.clear()
             linked.clear()
 
-    at = 0
-    for m in _TOKEN.finditer(html):
+    tokens = list(_TOKEN.finditer(html))
+    ends = silent_ends(tokens) if _MAY_BE_SILENT.search(html) else {}
+    at = skip = 0
+    for i, m in enumerate(tokens):
+        if i < skip:
+            continue
         if m.start() > at:
             parts.append(said := html[at : m.start()])
             if links:
@@ -100,6 +135,11 @@ def blocks(html: str) -> list[Block]:
         if name is None:
             continue
         name = name.lower()
+        if name in SILENT:
+            if i in ends:
+                skip = ends[i] + 1
+                at = tokens[ends[i]].end()
+            continue
         if name == "a":
             links = 0 if m[2] else 1
         if name in INLINE:
@@ -108,6 +148,8 @@ def blocks(html: str) -> list[Block]:
             parts.append(" ")
             continue
         close()
+        if name == "head":  # all that it may hold is silent; its end tag may be missing
+            continue
         if m[2]:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if k is not None:

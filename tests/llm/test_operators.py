@@ -475,6 +475,29 @@ def test_broken_pages(html):
     assert html_text.main_text(html) == ""
 
 
+PROSE = "The fox that was in the garden of the old house had come from the hills, and it is said that he was not alone there. "
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>x</title><body><article><p>{}</p></article></body></html>",
+        "<html><head><meta charset=utf-8><title>x</title><article><p>{}</p></article>",
+        "<html><head><title>a < b</title><link rel=x href=y><style>p{{}}</style></head><body><article><p>{}</p></article>",
+        "<html><head><title>x<body><article><p>{}</p></article>",
+        "<article><svg width='5' viewBox=\"0 0 1 1\"/><p>{}</p></article>",
+        "<article><math/><p>{}</p></article><svg><text>no</text></svg>",
+        "<article><svg><svg><text>no</text></svg><title>no</title></svg><p>{}</p></article>",
+        "<body><button><article><p>{}</p></article><button>no</button>",
+        "<div><video></div><article><p>{}</p></article><video>no</video>",
+        "<article><textarea><p>no</textarea><script>'<article>'</script><iframe>no</iframe><p>{}</p></article>",
+        "<article><select><option>no<option>no</select><object><p>no</p></object><p>{}</p></article>",
+    ],
+)
+def test_silent_elements_end(page):
+    assert html_text.main_text(page.format(PROSE * 3)) == (PROSE * 3).strip()
+
+
 def test_pages_table(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = html_text.extract(pages).collect()
