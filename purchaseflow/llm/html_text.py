@@ -10,7 +10,9 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,18 +33,25 @@ RAW = ("script", "style", "noscript", "template", "iframe", "textarea")
 SILENT = frozenset("svg math object select canvas audio video button".split())
 #: Of these, ``<svg/>`` has no content.
 FOREIGN = ("svg", "math")
-#: Elements that hold no article text, whatever their words.
-OUTSIDE = frozenset("nav footer aside form menu dialog".split())
+#: Elements that hold no article text, whatever their words. A form is a mark of the same kind as a place word.
+OUTSIDE = frozenset("nav footer aside menu dialog".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words in class, id or role that mark such places; matched as whole words between separators.
-PLACE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|advertisement|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notification|popup|modal|overlay|"
+_WORDS = (
+    r"ads?|advert\w*|advertisement|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notification|popup|modal|overlay|"
     r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|widget|footer|topbar|toolbar|comments?|reply|replies|respond|disqus|"
-    r"share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|pagination|pager|copyright|legal|disclaimer|skip|complementary|contentinfo|form)(?=$|[\s_-])",
-    re.I,
+    r"share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|pagination|pager|copyright|legal|disclaimer|skip|complementary|contentinfo|form"
 )
+#: Words in class, id or role that mark such places: a whole token, or its leading part, or that after a word for where
+#: it stands. What says that there is or isn't such a place (``with-sidebar``, ``comments-open``) marks none.
+_MARK = r"(?:^|\s)(?:(?:site|page|main|primary|secondary|global|top|bottom|left|right|post|entry|article|blog|inner|mobile|fixed|sticky)[_-]+)?(?:{})(?=$|[\s_-])(?![_-]+(?:open|opened|closed|enabled|disabled|allowed|on|off|active|visible|none|yes|no|true|false)(?:$|\s))"
+PLACE = re.compile(_MARK.format(_WORDS), re.I)
+HEADER = re.compile(_MARK.format("header|masthead"), re.I)
+#: What marks a comment or an advert on an element for articles, as a whole token.
+ARTICLE_MARK = re.compile(r"(?:^|\s)(?:comments?|reply|ads?|advert\w*|sponsor\w*)(?=$|\s)", re.I)
+#: Places of prose: they may hold more of it than the article does.
+TALK = re.compile(_MARK.format("comments?|reply|replies|respond|disqus"), re.I)
 ARTICLE_PLACE = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|content|body)(?=$|[\s_-])", re.I)
 
 _RAW = "|".join(RAW)
@@ -55,7 +64,8 @@ _MAY_BE_SILENT = re.compile(rf"<(?:{'|'.join(sorted(SILENT))})[\s/>]", re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
-_HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?=$|[\s_-])", re.I)
+#: Letters that stand for about three Latin ones: kana, ideographs, syllables.
+_WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 _SPACES = re.compile(r"\s+")
 
 LONG, SHORT = 200, 70
@@ -64,10 +74,65 @@ GOOD, NEAR, UNSURE, BAD = "good", "near", "unsure", "bad"
 
 
 class Block:
-    __slots__ = ("text", "linked", "outside", "article", "heading")
+    __slots__ = ("text", "linked", "outside", "article", "heading", "size", "_stops")
 
     def __init__(self, text: str, linked: int, outside: bool, article: bool, heading: bool) -> None:
         self.text, self.linked, self.outside, self.article, self.heading = text, linked, outside, article, heading
+        self.size = len(text) if text.isascii() else len(text) + 2 * len(_WIDE.findall(text))
+        self._stops = -1.0
+
+    @property
+    def stops(self) -> float:
+        """Share of its words that are stop words."""
+        if self._stops < 0:
+            words = self.text.lower().split()
+            self._stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+        return self._stops
+
+    @property
+    def prose(self) -> int:
+        """Letters outside links; none if it is mostly links."""
+        return 0 if self.linked > LINKS * len(self.text) else len(self.text) - self.linked
+
+
+class Mark:
+    """A form or an element with a place word: its blocks, and whether it holds a main element or a first heading."""
+
+    __slots__ = ("begin", "end", "form", "talk", "mains")
+
+    def __init__(self, begin: int, form: bool, talk: bool, mains: int) -> None:
+        self.begin, self.end, self.form, self.talk, self.mains = begin, -1, form, talk, mains
+
+
+@lru_cache(4096)
+def places(marked: str, is_article: bool) -> tuple[bool, bool, bool]:
+    """Whether class, id and role mark a place without article text, a page's header, a place of talk."""
+    return bool((ARTICLE_MARK if is_article else PLACE).search(marked)), bool(HEADER.search(marked)), bool(TALK.search(marked))
+
+
+def settle(page: list[Block], marks: list[Mark]) -> None:
+    """Blocks of marks become outside. A mark that holds most of the page's prose is a wrapper and is ignored: if it is a
+    form, holds the main element or a first heading, or leaves no marked article and too little prose for one beside it."""
+    prose = list(accumulate((0 if b.outside else b.prose for b in page), initial=0))
+    covers = [0] * (len(page) + 1)
+    wide = []
+    for m in marks:
+        if 2 * (prose[m.end] - prose[m.begin]) > prose[-1]:
+            wide.append(m)  # each of these is within the one before
+        else:
+            covers[m.begin] += 1
+            covers[m.end] -= 1
+    for block, n in zip(page, accumulate(covers)):
+        block.outside |= n > 0
+    if not wide:
+        return
+    free = list(accumulate((0 if b.outside else LONG if b.article else b.prose if b.size >= SHORT else 0 for b in page), initial=0))
+    for m in wide:
+        beside = free[-1] - (free[m.end] - free[m.begin])
+        if not (m.form or m.mains or beside < (SHORT if m.talk else LONG)):
+            for block in page[m.begin : m.end]:
+                block.outside = True
+            break
 
 
 def hidden(attributes: str) -> bool:
@@ -106,8 +171,9 @@ def blocks(html: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, whether it is an outside place, whether it is the article
-    outside = article = links = 0
+    stack: list[tuple[str, bool, bool, Mark | None]] = []  # element, whether it is outside, whether it is the article, its mark
+    marks: list[Mark] = []
+    outside = article = links = mains = 0
     heading = False
 
     def close() -> None:
@@ -120,6 +186,15 @@ def blocks(html: str) -> list[Block]:
             parts.clear()
             linked.clear()
 
+    def leave(k: int) -> None:
+        nonlocal outside, article
+        for _, was_outside, was_article, mark in stack[k:]:
+            outside -= was_outside
+            article -= was_article
+            if mark:
+                mark.end, mark.mains = len(out), mains - mark.mains
+        del stack[k:]
+
     tokens = list(_TOKEN.finditer(html))
     ends = silent_ends(tokens) if _MAY_BE_SILENT.search(html) else {}
     at = skip = 0
@@ -153,62 +228,75 @@ def blocks(html: str) -> list[Block]:
         if m[2]:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if k is not None:
-                for _, was_outside, was_article in stack[k:]:
-                    outside -= was_outside
-                    article -= was_article
-                del stack[k:]
+                leave(k)
             heading, links = False, 0
             continue
         if name == "p" or name in HEADINGS or name == "li":
             # these end an open element of the same kind without a closing tag of their own
             while stack and stack[-1][0] in ("p", *HEADINGS) or stack and name == "li" and stack[-1][0] == "li":
-                _, was_outside, was_article = stack.pop()
-                outside -= was_outside
-                article -= was_article
+                leave(len(stack) - 1)
             links = 0
         if name in VOID or m[4].endswith("/"):
             continue
         marked = " ".join(x for a in _ATTRIBUTE.finditer(m[4]) for x in a.groups()[1:] if x) if m[4] else ""
         is_article = name in ("article", "main") or bool(marked and ARTICLE_PLACE.search(marked))
-        is_outside = name in OUTSIDE or hidden(m[4]) or bool(marked) and name not in ("body", "html", "main") and bool(PLACE.search(marked))
+        is_outside = name in OUTSIDE or hidden(m[4])
+        is_place, is_header, is_talk = places(marked, name == "article") if marked and name not in ("body", "html", "main") else (False, False, False)
+        is_marked = name == "form" or is_place
         if not article and not is_article:  # an article's own header has its title
-            is_outside = is_outside or name == "header" or bool(marked and _HEADER.search(marked))
-        if is_outside and name == "article":
-            is_article = False
-        stack.append((name, is_outside, is_article))
+            is_outside = is_outside or name == "header"
+            is_marked = is_marked or is_header
+        mark = Mark(len(out), name == "form", is_talk, mains) if is_marked else None
+        if mark:
+            marks.append(mark)
+        mains += name in ("main", "h1")
+        stack.append((name, is_outside, is_article, mark))
         outside += is_outside
         article += is_article
         heading = name in HEADINGS
     if at < len(html):
         parts.append(html[at:])
     close()
+    leave(0)
+    if marks:
+        settle(out, marks)
     return out
 
 
-def first_label(block: Block) -> str:
-    """The label that a block gets by itself."""
+def first_label(block: Block, readable: bool = True) -> str:
+    """The label that a block gets by itself. In a language without a list of stop words, length and links decide."""
     if block.outside:
         return BAD
-    size = len(block.text)
-    if block.linked > LINKS * size:
+    if block.linked > LINKS * len(block.text):
         return BAD
-    if size < SHORT:
+    if block.size < SHORT:
         return UNSURE
-    words = block.text.lower().split()
-    stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-    if stops >= STOPS_HIGH:
-        return GOOD if size > LONG or block.article else NEAR
-    if stops >= STOPS_LOW:
+    if not readable and block.stops < STOPS_LOW:
+        return GOOD if block.size > LONG or block.article else NEAR
+    if block.stops >= STOPS_HIGH:
+        return GOOD if block.size > LONG or block.article else NEAR
+    if block.stops >= STOPS_LOW:
         return GOOD if block.article else NEAR
     return UNSURE if block.article else BAD
 
 
+def first_labels(page: list[Block]) -> list[str]:
+    """First labels. If most of the page's prose has no stop words to speak of, it is taken for another language. If no
+    block is good, near ones with few links count as good."""
+    prose = [b for b in page if not b.outside and b.prose and b.size >= SHORT]
+    readable = 2 * sum(b.prose for b in prose if b.stops >= STOPS_LOW) >= sum(b.prose for b in prose)
+    first = [first_label(b, readable) for b in page]
+    if GOOD not in first:
+        first = [GOOD if f == NEAR and 2 * b.linked <= LINKS * len(b.text) else f for f, b in zip(first, page)]
+    return first
+
+
 def labels(page: list[Block]) -> list[bool]:
     """Which blocks are main text. An undecided block within an article element is. Else it inherits from the nearest
     decided blocks before and after it: ``near`` is text if either is good; ``unsure`` takes the label that both have,
     else that of the nearer one, and between a good and a bad one at the same distance it is text if it ends as a
     sentence does, or if it is a heading before a good block. The page's ends count as bad."""
-    first = [first_label(b) for b in page]
+    first = first_labels(page)
     after: list[tuple[int, str]] = [(0, BAD)] * len(page)
     seen = (len(page), BAD)
     for i in range(len(page) - 1, -1, -1):

@@ -498,6 +498,51 @@ def test_silent_elements_end(page):
     assert html_text.main_text(page.format(PROSE * 3)) == (PROSE * 3).strip()
 
 
+FOREIGN = {
+    "it": "Questa mattina abbiamo visto molte persone camminare lungo quel fiume, mentre alcuni bambini giocavano vicino alle vecchie case. ",
+    "pl": "Wczoraj wieczorem pojechaliśmy nad jezioro, gdzie czekali nasi przyjaciele oraz ich rodzice z małymi dziećmi. ",
+    "ru": "Вчера вечером мы поехали на озеро, где нас ждали друзья и их родители с маленькими детьми. ",
+    "zh": "昨天晚上我们开车去了湖边，朋友们和他们的父母带着孩子在那里等着我们，大家一起吃了晚饭。",
+}
+FOOT = "<footer>us</footer>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article class='post category-legal tag-ads'><p>{}</p></article>" + FOOT,
+        "<article class='post legal'><p>{}</p></article>" + FOOT,
+        "<div id='content' class='with-sidebar'><p>{}</p></div>" + FOOT,
+        "<div class='post has-social comments-open'><p>{}</p></div>" + FOOT,
+        "<body class='header-fixed nav-left'><p>{}</p></body>",
+        "<div class='sidebar-right'><div class=menu><a href=/>Home</a></div><h1></h1><p>{}</p></div>" + FOOT,
+        "<form action=x><div class='sidebar'><p>no</div><div><p>{}</p></div></form><div class='cookie-notice'><p>no</div>",
+        "<form><div class='widget wide'><article><p>{}</p></article></div><section class=comments><p>" + PROSE + "</p></section></form>",
+        "<div class='site-footer'><p>" + PROSE * 2 + "</p></div><div><p>{}</p></div>",
+        "<div class=ad>" + PROSE * 9 + "</div><article><p>{}</p></article>",
+        "<article><p>{}</p></article><section id=comments><article class=comment><p>" + PROSE * 20 + "</p></article></section>",
+    ],
+)
+def test_place_words_mark_places_only(page):
+    assert html_text.main_text(page.format(PROSE * 3)) == (PROSE * 3).strip()
+
+
+@pytest.mark.parametrize("text", [PROSE, *FOREIGN.values()])
+@pytest.mark.parametrize("times", [1, 4])
+def test_pages_without_good_blocks(text, times):
+    page = f"<div><a href=/>Home</a></div><div><p>{text * times}</p><p>{text * times}</p></div><footer>{text * 3}</footer>"
+    assert html_text.main_text(page) == f"{(text * times).strip()} {(text * times).strip()}"
+
+
+def test_an_advert_is_no_wrapper():
+    assert html_text.main_text(f"<div class=ad>{PROSE}</div><article><h1>One</h1><p>Two.</article><footer>us</footer>") == "One Two."
+
+
+def test_many_nested_marks():
+    html = "<div class=ad>x" * 20_000
+    assert len(html_text.main_text(html)) in (0, 20_000 * 2 - 1)
+
+
 def test_pages_table(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = html_text.extract(pages).collect()
