@@ -205,34 +205,40 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
             yield pa.RecordBatch.from_arrays([pa.array([votes(facts(d)) for d in got], pa.int32()), pa.array([xxhash.xxh3_64_intdigest(d) >> 1 for d in got], pa.int64())], names=["pattern", "code"])
 
     seen = written(spark, rows.select("data").mapInArrow(judge, "pattern int, code long"), "votes")
-    counts = seen.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ** labellers rows
+    texts = seen.groupBy("pattern", "code").agg(F.count(F.lit(1)).alias("n"))
+    counts = texts.groupBy("pattern").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).collect()  # at most 3 ** labellers rows
     patterns, n = np.array([r["pattern"] for r in counts], np.int64), np.array([r["n"] for r in counts], np.float64)
     model = estimate(patterns, n) if len(n) else Estimate(0.5, np.full((len(LABELLERS), 2, 3), 1 / 3))
     weak = dict(zip(patterns.tolist(), model.posterior(patterns).tolist())) if len(n) else {}
 
-    # the sample: texts with the least hashes of either weak label; their number is bounded, so are the rows sent
-    by_label = {label: sum(c for p, c in zip(patterns.tolist(), n.tolist()) if (weak[p] > 0.5) == label) for label in (True, False)}
-    cut = {label: min(1.0, sample / 2 / c) if c else 0.0 for label, c in by_label.items()}
+    # the sample: the distinct texts with the least hashes of either weak label; a margin of six deviations over the share
+    # of hashes expected makes sure of as many as there may be, and their number is bounded, so are the rows sent
+    share = {True: sample - sample // 2, False: sample // 2}
+    by_label = {label: sum(r["texts"] for r in counts if (weak[r["pattern"]] > 0.5) == label) for label in share}
+    cut = {label: min(1.0, (share[label] + 6 * share[label] ** 0.5 + 20) / c) if c else 0.0 for label, c in by_label.items()}
 
     def learn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = WordSlots()
+        done: set[int] = set()  # texts sent by this task, about the sample's size at most
         for b in it:
             out = []
             for x in b.column(0):
                 d = x.as_py()
                 code = xxhash.xxh3_64_intdigest(d) >> 1
-                if code > max(cut.values()) * (1 << 63):
+                if code > max(cut.values()) * (1 << 63) or code in done:
                     continue
                 y = weak[votes(facts(d))]
                 if code <= cut[y > 0.5] * (1 << 63):
+                    done.add(code)
                     slot, value = features(d, slots)
                     out.append((code, y, slot.tobytes(), value.tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.float64(), pa.binary(), pa.binary()))], names=["code", "label", "slot", "value"])
 
     taken = rows.select("data").mapInArrow(learn, "code long, label double, slot binary, value binary")
-    taken = taken.dropDuplicates(["code"]).orderBy("code").limit(sample).collect() if len(n) else []
-    w, bias = fit([(np.frombuffer(r["slot"], np.int32), np.frombuffer(r["value"], np.float32), r["label"]) for r in sorted(taken, key=lambda r: r["code"])])
+    taken = sorted(taken.dropDuplicates(["code"]).collect(), key=lambda r: r["code"]) if len(n) else []
+    taken = sorted((r for label, most in share.items() for r in [r for r in taken if (r["label"] > 0.5) == label][:most]), key=lambda r: r["code"])
+    w, bias = fit([(np.frombuffer(r["slot"], np.int32), np.frombuffer(r["value"], np.float32), r["label"]) for r in taken])
 
     class WordWeights(dict):
         def __missing__(self, word: bytes) -> float:

@@ -303,6 +303,18 @@ def test_em_finds_accuracies():
         assert abs(bad - r) < 0.04 and abs(good - r) < 0.03
 
 
+def test_fitting_sample_counts_texts_not_copies(spark, monkeypatch):
+    good = [(k, f"{k} the man of the house was in the garden and it is said that he had not been there for {k} days or more") for k in range(300)]
+    bad = [(1000 + k, f"$$$ ### %%% WIN {k if k < 60 else 60 + k % 3} NOW !!! *** $$$ BUY !!! ### &&& FREE !!!") for k in range(3000)]
+    fitted, fit = [], weak_labels.fit
+    monkeypatch.setattr(weak_labels, "fit", lambda rows: fitted.extend(rows) or fit(rows))
+    for sample, n_good, n_bad in ((40, 20, 20), (200, 100, 63)):
+        fitted.clear()
+        got = weak_labels.classify(spark.createDataFrame(good + bad, "doc_id long, text string").repartition(8), sample=sample).collect()
+        assert (sum(y > 0.5 for *_, y in fitted), sum(y <= 0.5 for *_, y in fitted)) == (n_good, n_bad)
+        assert all(r.kept == (r.doc_id < 1000) for r in got)
+
+
 def test_weak_labels_on_odd_rows(odd, empty):
     assert Counter(r.doc_id for r in weak_labels.classify(odd).collect()) == Counter(r[0] for r in ODD)
     assert weak_labels.classify(empty).count() == 0
