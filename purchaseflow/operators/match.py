@@ -116,7 +116,7 @@ def search_top_k(queries: DataFrame, items: DataFrame, fields: dict[str, int], k
     wanted = asked.select("query_id", F.size("g").alias("n"), F.explode("g").alias("gram"))
     parts = None
     for field, weight in fields.items():
-        have = items.select("item_id", F.explode(grams(F.lower(F.coalesce(F.col(field), F.lit(""))))).alias("gram"))
+        have = items.select("item_id", F.explode(grams(F.lower(F.coalesce(F.col(field).cast("string"), F.lit(""))))).alias("gram"))
         hit = wanted.join(have, "gram").groupBy("query_id", "item_id", "n").agg((F.count(F.lit(1)) * weight).alias("w"))
         parts = hit if parts is None else parts.unionByName(hit)
     scored = parts.groupBy("query_id", "item_id", "n").agg(F.sum("w").alias("w")).withColumn("score", 1 - F.col("w") / (F.col("n") * total)).where(F.col("score") <= most)

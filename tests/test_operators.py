@@ -159,3 +159,40 @@ def test_uom_maps_disagree(spark):
 def test_rollup_and_fulfilment(spark):
     lines = spark.createDataFrame([(1, "rejected"), (1, "rejected"), (2, "approved"), (2, "rejected"), (3, "pending"), (3, "approved")], "pr_id int, status string")
     assert rows_of(purchasing.roll_up(lines)) == [(1, "rejected"), (2, "approved"), (3, None)]
+
+
+def test_search_of_every_fiftieth_item(spark, tmp_path):
+    from purchaseflow.plans import registry
+
+    rng = random.Random(5)
+    words = ["almond", "antique", "aqua", "azure", "beige", "bisque", "black", "blush", "brown", "chiffon"]
+    part = [(k, " ".join(rng.sample(words, 3)), "TYPE", f"Brand#{k % 5}", k % 50) for k in range(1, 301)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_type string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+
+    def two(x: str) -> set[str]:
+        return {x.lower()[i : i + 2] for i in range(len(x) - 1)}
+
+    full = {k: name + (" 轴承" if k % 3 == 0 else "" if k % 3 == 1 else " 水泵 M16*50") for k, name, *_ in part}
+    fields = {k: ((3, two(name)), (3, two(full[k])), (2, two(f"{size}mm")), (1, two(str(k)))) for k, name, _, _, size in part}
+
+    def search(text: str, k: int) -> list[tuple[float, int]]:
+        g = two(text)
+        scores = [(1 - sum(w * len(g & have) for w, have in fields[i]) / (9 * len(g)), i) for i in fields] if g else []
+        return sorted(x for x in scores if x[0] <= 0.4)[:k]
+
+    got = registry.queries()["j12_search_top_k"](spark, str(tmp_path)).collect()
+    want = [(q, i, p, round(s, 9)) for q, name, *_ in part if q % 50 == 0 for p, (s, i) in enumerate(search(name, 5), 1)]
+    assert len({q for q, *_ in want}) == 6
+    assert sorted((r.query_id, r.item_id, r.place, round(r.score, 9)) for r in got) == sorted(want)
+
+    want = []
+    for q in range(50, 301, 50):
+        chinese = "".join(c for c in full[q] if "\u4e00" <= c <= "\u9fff")
+        english = " ".join("".join(" " if "\u3000" <= c <= "\u9fff" else c for c in full[q]).split())
+        best: dict[int, float] = {}
+        for text in {full[q], english, chinese}:
+            for s, i in search(text, 4):
+                best[i] = min(s, best.get(i, 1.0))
+        want += [(q, i, round(s, 9)) for s, i in sorted((s, i) for i, s in best.items())[:4]]
+    got = registry.queries()["j13_multi_probe"](spark, str(tmp_path)).collect()
+    assert sorted((r.query_id, r.item_id, round(r.score, 9)) for r in got) == sorted(want)
