@@ -8,11 +8,15 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: White space of all contracts here: space and the control characters tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder, through Spark's reader only."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,11 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (tests on one machine), a folder under the warehouse is set.
+    Where a session on one machine has none (as in tests), a folder under the warehouse is set; on a cluster, where that
+    may be any machine's own disk, RuntimeError is raised.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and (own := spark.sparkContext.getCheckpointDir()):
         found = own
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not found:
         found = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
         spark.sparkContext.setCheckpointDir(found)
@@ -33,16 +40,49 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder for intermediate data, removed when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = file.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(file)  # only what exists can be marked
+    system.deleteOnExit(file)
+    return path
 
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` once to the shared folder and reads it from there."""
+    """Cuts lineage: writes ``df`` once to the shared folder and reads it from there. Its shuffle files go with the job."""
     path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.mode("append").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the folder of a table that ``written`` gave, once nothing reads it any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        file = spark._jvm.org.apache.hadoop.fs.Path(path)
+        file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, True)
+
+
+#: Keys at most that join_hot broadcasts.
+HOT_KEYS = 100_000
+
+
+def join_hot(rows: DataFrame, key: str, side: DataFrame, side_key: str, count: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``side``, which has one row a key and in ``count`` how many of the ``total`` rows have
+    it. Keys with more than total / HOT_KEYS rows, of which there are HOT_KEYS at most, are broadcast, so no task gets
+    all rows of a hot key; ``side_key`` and ``count`` are dropped."""
+    most = max(1000, total // HOT_KEYS)
+    hot, calm = F.broadcast(side.where(F.col(count) > most)), side.where(F.col(count) <= most)
+    on = F.col(key) == F.col(side_key)
+    return rows.join(hot, on).union(rows.join(hot, on, "left_anti").join(calm, on)).drop(side_key, count)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -52,6 +92,18 @@ def utf8(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("binary")
 
 
+def column(name: str) -> Column:
+    """A column by its name as it stands, dots, dashes and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def integral(docs: DataFrame, id_col: str) -> None:
+    """Raises TypeError where ids are no whole numbers: "smallest id" is about numbers here."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{id_col} must be a whole number, not {kind.simpleString()}")
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """A column name that ``df`` doesn't have, also not in other letter case."""
     taken = {c.lower() for c in df.columns}

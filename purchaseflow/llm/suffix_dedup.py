@@ -3,15 +3,17 @@
 A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller id. To sort
 suffixes on many machines, each window of ``length`` bytes is dealt by its least GRAM-byte hash: equal windows have
 equal least hashes, so they meet in one class. Windows next to each other mostly share theirs, and such a run is
-handled as one string (its context). The stages:
-
-1. scan: every text gives (class, context hash) for each run, packed in blocks, 12 bytes a run;
-2. meet: of equal contexts all but the least document's go whole; classes with several contexts are to be sorted;
-3. mark: texts meet their decisions; contexts to be sorted are cut out of them;
-4. sort: the contexts of a class are suffix-sorted, and equal windows, now neighbours, get their least document;
-5. cut: texts meet what step 4 removed.
-
-Documents without undecided runs are finished in step 3.
+handled as one string (its context). Hashes only say who must meet; every removal rests on bytes. The stages:
+
+1. scan: every text gives the class of each run, packed in blocks. A class that several rows of a block have is told
+   to these rows right away, so of a hot class each block sends one entry;
+2. meet: rows learn which of their classes another row has, and everybody which classes have too many contexts (HOT);
+3. mark: texts meet what they were told and cut out the contexts in question. Of equal contexts of a block, those of
+   later documents go and the first one stands for them. Runs of hot classes are cut into their single windows, each a
+   class of its own, so no class grows with the corpus;
+4. sort: equal contexts of a class are one string with its least document. Where a class has several strings they
+   are suffix-sorted (linear grouping), and equal windows, now neighbours, get their least document;
+5. cut: texts, with all other columns, meet the spans of steps 3 and 4.
 """
 
 from __future__ import annotations
@@ -24,17 +26,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import partitions, utf8, written
+from .common import column, integral, partitions, utf8, written
 from .suffix_sort import suffix_array
 
-GRAM = 24
+GRAM = 20
 #: Windows of a run at most; a context is then fully covered by its first and last window.
 RUN = 50
+#: Contexts of a class that one task may have to sort; beyond it, the class's windows are dealt singly.
+HOT = 4096
 #: Bytes of text that are hashed at once.
 SLICE = 1 << 19
 NOBODY = (1 << 63) - 1
@@ -42,7 +48,9 @@ _U = np.uint64
 _LETTERS = np.array([int.from_bytes(hashlib.sha256(b"letter %d" % i).digest()[:8], "little") for i in range(256)], _U)
 _BASE = np.array([0x9E3779B97F4A7C15], _U)
 _M1, _M2 = _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
-_LOW = _U((1 << 48) - 1)
+_LOW, _TAG = _U((1 << 48) - 1), _U((1 << 32) - 1)
+#: Runs that step 1 sends off together, and contexts that step 3 does.
+BLOCK, HELD = 1_000_000, 300_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -90,22 +98,22 @@ class Runs:
     hashes: np.ndarray
     start: np.ndarray
 
-    def gram_place(self, r: int, length: int) -> int:
-        """Where the least gram stands in run ``r``'s context; -1 if its windows have it at more than one place."""
-        width = length - min(GRAM, length) + 1
-        shift = int(self.end[r] - self.begin[r])
-        if shift >= width:
-            return -1
-        a = int(self.start[r])
-        seen = np.flatnonzero(self.hashes[a : a + shift + width] == self.gram[r])
-        return int(seen[0]) if len(seen) == 1 else -1
+    def gram_places(self, which: np.ndarray, length: int) -> np.ndarray:
+        """Where the least gram stands in the contexts of the runs ``which``; -1 where it has more than one place."""
+        n = self.end[which] - self.begin[which] + length - min(GRAM, length) + 1
+        first = np.cumsum(n) - n
+        inside = np.arange(n.sum()) - np.repeat(first, n)
+        seen = np.flatnonzero(self.hashes[np.repeat(self.start[which], n) + inside] == np.repeat(self.gram[which], n))
+        at = np.searchsorted(seen, first)
+        once = np.append(at[1:], len(seen)) - at == 1
+        return np.where(once, inside[seen[np.minimum(at, len(seen) - 1)]], -1) if len(seen) else np.full(len(which), -1)
 
 
 def find_runs(texts: list[bytes], length: int) -> Runs:
     """The runs of all texts, in order. Texts shorter than a window have none."""
-    sizes = np.array([len(t) for t in texts])
+    sizes = np.array([len(t) for t in texts], np.int64)
     flat = np.frombuffer(b"".join(texts), np.uint8)
-    if len(flat) < length:
+    if not len(sizes) or sizes.max() < length:
         none = np.empty(0, np.int64)
         return Runs(none, none, none, none.astype(_U), none.astype(_U), none.astype(_U), none)
     starts = np.cumsum(sizes) - sizes
@@ -127,21 +135,16 @@ def find_runs(texts: list[bytes], length: int) -> Runs:
     return Runs(owner[first], local[first], local[last], least[first], _mix(code), hashes, at[first])
 
 
-def slices(ids: list, texts: list[bytes]) -> Iterator[tuple[list, list[bytes]]]:
-    held, size, begin = [], 0, 0
+def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Begin and end of stretches of texts of about SLICE bytes."""
+    size, begin = 0, 0
     for k, t in enumerate(texts):
-        held.append(t)
         size += len(t)
         if size >= SLICE:
-            yield ids[begin : k + 1], held
-            held, size, begin = [], 0, k + 1
-    if held:
-        yield ids[begin:], held
-
-
-def row_key(doc: int, text: bytes) -> int:
-    """Names a row by its id and text, as ids may repeat; rows equal in both fare alike."""
-    return xxhash.xxh3_64_intdigest(text, seed=doc & ((1 << 64) - 1)) >> 1
+            yield begin, k + 1
+            size, begin = 0, k + 1
+    if begin < len(texts):
+        yield begin, len(texts)
 
 
 def order_of(doc: int | None) -> int:
@@ -162,70 +165,114 @@ def unpacked(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _dealt(runs: Runs, parts: int) -> np.ndarray:
-    return ((runs.gram >> _U(48)) * _U(0x9E3779B1) % _U(parts)).astype(np.int64)
+def _dealt(classes: np.ndarray, parts: int) -> np.ndarray:
+    return ((classes >> _U(40)) * _U(0x9E3779B1) % _U(parts)).astype(np.int64)
+
 
+def _home(tags: np.ndarray, parts: int) -> np.ndarray:
+    """The part where a row's text is, by the low half of its key, its tag."""
+    return (tags % _U(parts)).astype(np.int64)
 
-_BLOB = pa.schema([("target", pa.int32()), ("blob", pa.binary())])
-_BLOB_SQL = "target int, blob binary"
+
+#: Kinds of the rows that stages send each other. Within a part, lesser kinds come first.
+CLASSES, HOTS, TOLD, GONE, CONTEXTS, TEXT = range(6)
+_BLOB = pa.schema([("target", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
+_BLOB_SQL = "target int, kind int, blob binary"
 
 
 class Blobs:
-    """Rows (target, blob), sent on in Arrow batches of bounded size."""
+    """Rows (target, kind, blob), sent on in Arrow batches of bounded size."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple[int, bytes]] = []
+        self.rows: list[tuple[int, int, bytes]] = []
         self.load = 0
 
-    def add(self, target: int, blob: bytes) -> None:
-        self.rows.append((target, blob))
-        self.load += len(blob) + 32
+    def add(self, target: int, kind: int, blob: bytes) -> None:
+        self.rows.append((target, kind, blob))
+        self.load += len(blob) + 40
 
     def batches(self, last: bool = False) -> Iterator[pa.RecordBatch]:
-        if self.rows and (last or self.load > 16 << 20):
-            t, b = zip(*self.rows)
-            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(b, pa.binary())], schema=_BLOB)
+        if self.rows and (last or self.load > 8 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*self.rows), _BLOB.types)], schema=_BLOB)
             self.rows, self.load = [], 0
 
 
+def _split(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """48-bit numbers as four and two bytes."""
+    return values.astype("<u4"), (values >> _U(32)).astype("<u2")
+
+
+def _joined(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(_U) | high.astype(_U) << _U(32)
+
+
+def _runs_of(tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours that are equal as (value, how often), at most 65,535 each."""
+    if not len(tags):
+        return tags.astype("<u4"), np.empty(0, "<u2")
+    new = np.append(True, tags[1:] != tags[:-1])
+    first = np.flatnonzero(new)
+    new |= (np.arange(len(tags)) - first[np.cumsum(new) - 1]) % 65535 == 0
+    first = np.flatnonzero(new)
+    return tags[first].astype("<u4"), np.diff(np.append(first, len(tags))).astype("<u2")
+
+
+def _tell(out: Blobs, tag: np.ndarray, gram: np.ndarray, parts: int) -> None:
+    """Blobs for the homes: of each row (tag) the low halves of the classes that another row has. A tag or half that
+    happens to stand for two things only makes a context travel for nothing."""
+    pair = np.unique(tag << _U(32) | gram & _TAG)
+    tag, gram = pair >> _U(32), pair & _TAG
+    home = _home(tag, parts)
+    by = np.argsort(home, kind="stable")
+    tag, gram, home = tag[by], gram[by], home[by]
+    at = np.flatnonzero(np.append(True, home[1:] != home[:-1])) if len(home) else ()
+    for a, z in zip(at, np.append(at, len(home))[1:]):
+        out.add(int(home[a]), TOLD, packed(*_runs_of(tag[a:z]), gram[a:z].astype("<u4")))
+
+
 def _scan(length: int, parts: int):
-    """Step 1. A blob for each part: row keys and ids of its documents, runs of each, and of each run 48 bits of its
-    class and 48 of its context."""
+    """Step 1. A blob for each part: the classes (48 bits) that one row of this block has, with its tag, and those that
+    several have, with the number of their contexts."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Blobs()
         held: list[tuple[np.ndarray, ...]] = []
-        keys: list[int] = []
-        ids: list[int] = []
+        tags: list[int] = []
 
         def flush() -> None:
-            if not held:
+            gram, code, row = (np.concatenate(x) for x in zip(*held)) if held else (np.empty(0, _U),) * 3
+            held.clear()
+            if not len(gram):
                 return
-            part, doc, gram, code = (np.concatenate(x) for x in zip(*held))
-            by = np.argsort(part, kind="stable")
-            part, doc, gram, code = part[by], doc[by], gram[by], code[by]
-            cuts = np.searchsorted(part, np.arange(parts + 1))
-            all_keys, all_ids = np.array(keys, np.int64), np.array(ids, np.int64)
+            by = np.lexsort((code, gram))
+            gram, code, row = gram[by], code[by], row[by]
+            tag = np.array(tags, _U)[row]
+            new = np.append(True, gram[1:] != gram[:-1])
+            heads = np.flatnonzero(new)
+            contexts = np.add.reduceat((new | np.append(True, code[1:] != code[:-1])).astype(np.int64), heads)
+            several = np.minimum.reduceat(row, heads) != np.maximum.reduceat(row, heads)
+            hit = np.repeat(several, np.diff(np.append(heads, len(gram))))
+            _tell(out, tag[hit], gram[hit], parts)
+            many, contexts = gram[heads[several]], contexts[several]
+            gram, tag = gram[heads[~several]], tag[heads[~several]]
+            part, part_many = _dealt(gram, parts), _dealt(many, parts)
+            by, by_many = np.lexsort((tag, part)), np.argsort(part_many, kind="stable")
+            gram, tag, part, many, contexts, part_many = gram[by], tag[by], part[by], many[by_many], contexts[by_many], part_many[by_many]
+            cuts, cuts_many = (np.searchsorted(x, np.arange(parts + 1)) for x in (part, part_many))
             for p in range(parts):
-                d = doc[cuts[p] : cuts[p + 1]]
-                if len(d):
-                    here, n = np.unique(d, return_counts=True)
-                    g, c = gram[cuts[p] : cuts[p + 1]] & _LOW, code[cuts[p] : cuts[p + 1]] & _LOW
-                    halves = [x for y in (g, c) for x in (y.astype("<u4"), (y >> _U(32)).astype("<u2"))]
-                    out.add(p, packed(all_keys[here], all_ids[here], n.astype("<u4"), *halves))
-            held.clear()
-            keys.clear()
-            ids.clear()
+                a, z, b, y = cuts[p], cuts[p + 1], cuts_many[p], cuts_many[p + 1]
+                if a < z or b < y:
+                    out.add(p, CLASSES, packed(*_split(gram[a:z] & _LOW), *_runs_of(tag[a:z]), *_split(many[b:y] & _LOW), contexts[b:y].astype("<u4")))
 
         for b in it:
-            docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for some, these in slices(docs, texts):
-                runs = find_runs(these, length)
-                held.append((_dealt(runs, parts), runs.text + len(keys), runs.gram, runs.code))
-                keys += [row_key(order_of(d), t) for d, t in zip(some, these)]
-                ids += [order_of(d) for d in some]
-                if sum(len(h[0]) for h in held) > 1_000_000:
+            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for a, z in slices(texts):
+                runs = find_runs(texts[a:z], length)
+                held.append((runs.gram, runs.code, runs.text + len(tags)))
+                tags += [k & 0xFFFFFFFF for k in keys[a:z]]
+                if sum(len(h[0]) for h in held) > BLOCK:
                     flush()
+                    tags.clear()
                 yield from out.batches()
         flush()
         yield from out.batches(last=True)
@@ -233,82 +280,42 @@ def _scan(length: int, parts: int):
     return run
 
 
-def _home(keys: np.ndarray, parts: int) -> np.ndarray:
-    return (_mix(keys.astype(_U)) % _U(parts)).astype(np.int64)
-
-
-GONE, SORT = 1, 2
-
-
-def _meet(parts: int):
-    """Step 2. Blobs for the documents' homes: row key, and of its runs in a part the place among them and GONE or SORT."""
+def _meet(parts: int, hot: int):
+    """Step 2. TOLD blobs for homes, those of step 1 as they came; and for every home the classes with more than ``hot`` contexts."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Blobs()
         by_part: dict[int, list[list[np.ndarray]]] = defaultdict(list)
         for b in it:
-            for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                by_part[part].append(unpacked(blob, "<i8", "<i8", "<u4", "<u4", "<u2", "<u4", "<u2"))
-        out = Blobs()
+            for part, kind, blob in zip(*(c.to_pylist() for c in b.columns)):
+                if kind == TOLD:
+                    out.add(part, TOLD, blob)
+                else:
+                    by_part[part].append(unpacked(blob, "<u4", "<u2", "<u4", "<u2", "<u4", "<u2", "<u4"))
+            yield from out.batches()
         for part in list(by_part):
-            keys, ids, n, g_low, g_high, c_low, c_high = (np.concatenate(x) for x in zip(*by_part.pop(part)))
-            gram = g_low.astype(_U) | g_high.astype(_U) << _U(32)
-            code = c_low.astype(_U) | c_high.astype(_U) << _U(32)
-            del g_low, g_high, c_low, c_high
-            row = np.repeat(np.arange(len(keys)), n)
-            doc = ids[row]
-            by = np.lexsort((doc, code, gram))
-            gram, code, doc = gram[by], code[by], doc[by]
-            new_class = np.ones(len(by), bool)
-            new_class[1:] = gram[1:] != gram[:-1]
-            new_code = new_class.copy()
-            new_code[1:] |= code[1:] != code[:-1]
-            heads, code_heads = np.flatnonzero(new_class), np.flatnonzero(new_code)
-            if not len(heads):
-                continue
-            least = doc[code_heads][np.cumsum(new_code) - 1]
-            number = np.cumsum(new_class) - 1
-            several = (np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads)) & (np.add.reduceat(new_code.astype(np.int64), heads) > 1)
-            state = np.where(doc > least, GONE, np.where(several[number], SORT, 0)).astype(np.uint8)
-            said = np.zeros(len(by), np.uint8)
-            said[by] = state
-            hit = np.flatnonzero(said)
-            if not len(hit):
-                continue
-            rank = np.arange(len(row)) - (np.cumsum(n) - n)[row]
-            home = _home(keys[row[hit]], parts)
-            order = np.argsort(home, kind="stable")
-            hit, home = hit[order], home[order]
-            cuts = np.searchsorted(home, np.arange(parts + 1))
-            for p in range(parts):
-                h = hit[cuts[p] : cuts[p + 1]]
-                if len(h):
-                    out.add(p, packed(np.array([part], np.int64), keys[row[h]], rank[h].astype("<u4"), said[h]))
+            low, high, tag, n, low_many, high_many, contexts = (np.concatenate(x) for x in zip(*by_part.pop(part)))
+            gram, tag = np.append(_joined(low, high), _joined(low_many, high_many)), np.repeat(tag, n).astype(_U)
+            weight = np.append(np.ones(len(tag), np.int64), contexts.astype(np.int64))
+            single = np.arange(len(gram)) < len(tag)
+            by = np.argsort(gram, kind="stable")
+            gram, weight, single, place = gram[by], weight[by], single[by], by
+            heads = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+            shared = np.add.reduceat(np.where(single, 1, 2), heads) > 1
+            hit = np.repeat(shared, np.diff(np.append(heads, len(gram)))) & single
+            _tell(out, tag[place[hit]], gram[hit], parts)
+            too_many = gram[heads[(np.add.reduceat(weight, heads) > hot) & shared]]
+            if len(too_many):
+                blob = packed(*_split(too_many))
+                for p in range(parts):
+                    out.add(p, HOTS, blob)
+                    yield from out.batches()
             yield from out.batches()
         yield from out.batches(last=True)
 
     return run
 
 
-_TEXT_SQL = "target int, kind int, blob binary, doc long, has_doc boolean"
-_TEXT = pa.schema([("target", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary()), ("doc", pa.int64()), ("has_doc", pa.bool_())])
-DECISIONS, TEXT, CONTEXTS, DONE, OPEN = 0, 1, 2, 3, 4
-
-
-def _send_texts(parts: int):
-    """Texts, compressed, with the part that is their home."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
-        for b in it:
-            docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for k in range(0, len(docs), 1000):
-                some, these = docs[k : k + 1000], texts[k : k + 1000]
-                home = _home(np.array([row_key(order_of(d), t) for d, t in zip(some, these)], np.int64), parts)
-                yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), pa.array([TEXT] * len(some), pa.int32()), pa.array([pack.compress(t) for t in these], pa.binary()), pa.array([d or 0 for d in some], pa.int64()), pa.array([d is not None for d in some])], schema=_TEXT)
-
-    return run
-
-
 def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of the bytes in [begin, end); touching ones join."""
     if not len(begin):
@@ -321,87 +328,134 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[heads], end[np.append(heads[1:], len(begin)) - 1]
 
 
-class Rows:
-    """Rows of _TEXT, sent on in Arrow batches of bounded size."""
-
-    def __init__(self) -> None:
-        self.rows: list[tuple] = []
+def _within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which ``values`` are in the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _gone(out: Blobs, key: np.ndarray, doc: np.ndarray, begin: np.ndarray, end: np.ndarray, parts: int) -> None:
+    """Blobs for the homes: spans to remove, with key and id (its low half) of their row."""
+    home = _home(key.astype(_U) & _TAG, parts)
+    by = np.lexsort((begin, key, home))
+    key, doc, begin, end, home = key[by], (doc & 0xFFFFFFFF).astype("<u4")[by], begin.astype("<i4")[by], end.astype("<i4")[by], home[by]
+    at = np.flatnonzero(np.append(True, home[1:] != home[:-1])) if len(home) else ()
+    for a, z in zip(at, np.append(at, len(home))[1:]):
+        out.add(int(home[a]), GONE, packed(key[a:z].astype("<i8"), doc[a:z], begin[a:z], end[a:z]))
+
+
+class Held:
+    """Contexts of a block of texts, each string once, with the places where it stands."""
+
+    def __init__(self, length: int, parts: int) -> None:
+        self.length, self.parts = length, parts
+        self.docs: list[int] = []
+        self.keys: list[int] = []
+        self.strings: dict[bytes, int] = {}
+        self.classes: list[int] = []
+        self.places: list[int] = []
+        self.which: list[int] = []  # of each place: string, text, begin
+        self.owner: list[int] = []
+        self.begin: list[int] = []
         self.load = 0
 
-    def add(self, target: int, kind: int, blob: bytes, doc: int | None = 0) -> None:
-        self.rows.append((target, kind, blob, doc or 0, doc is not None))
-        self.load += len(blob) + 64
-
-    def batches(self, last: bool = False) -> Iterator[pa.RecordBatch]:
-        if self.rows and (last or self.load > 8 << 20):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*self.rows), _TEXT.types)], schema=_TEXT)
-            self.rows, self.load = [], 0
-
-
-def _result(text: bytes, begin: np.ndarray, end: np.ndarray) -> bytes:
-    """Spans as a blob: (begin, end) of the maximal removed runs."""
-    return packed(begin.astype("<i4"), end.astype("<i4"))
+    def add(self, texts: list[bytes], docs: list[int], keys: list[int], told: np.ndarray, hot: np.ndarray) -> None:
+        runs = find_runs(texts, self.length)
+        tag = np.array(keys, np.int64).astype(_U)[runs.text] & _TAG
+        shared = np.flatnonzero(_within(tag << _U(32) | runs.gram & _TAG, told))
+        single = _within(runs.gram[shared] & _LOW, hot)
+        base = len(self.docs)
+        calm = shared[~single]
+        strings, classes, places = self.strings, self.classes, self.places
+        which = []
+        begin, owner = runs.begin[calm].tolist(), runs.text[calm]
+        for k, a, z, g, p in zip(owner.tolist(), begin, (runs.end[calm] + self.length).tolist(), runs.gram[calm].tolist(), runs.gram_places(calm, self.length).tolist()):
+            i = strings.setdefault(texts[k][a:z], len(classes))
+            if i == len(classes):
+                classes.append(g)
+                places.append(p)
+            which.append(i)
+        self.which += which
+        self.begin += begin
+        self.owner += (owner + base).tolist()
+        for r in shared[single].tolist():
+            k = int(runs.text[r])
+            for a in range(int(runs.begin[r]), int(runs.end[r]) + 1):
+                s = texts[k][a : a + self.length]
+                i = strings.setdefault(s, len(classes))
+                if i == len(classes):
+                    classes.append(xxhash.xxh3_64_intdigest(s))
+                    places.append(-1)
+                self.which.append(i)
+                self.begin.append(a)
+                self.owner.append(base + k)
+        self.docs += docs
+        self.keys += keys
+        self.load = len(self.docs) // 20 + len(self.which)
+
+    def settle(self, out: Blobs, pack: zstandard.ZstdCompressor) -> None:
+        """GONE where a context of a lesser document stands in this block too; CONTEXTS of those that have the least."""
+        doc, key = np.array(self.docs, np.int64), np.array(self.keys, np.int64)
+        which, owner, begin = (np.array(x, np.int64) for x in (self.which, self.owner, self.begin))
+        size = np.array([len(s) for s in self.strings], np.int64)
+        least = np.full(len(size), NOBODY)
+        np.minimum.at(least, which, doc[owner])
+        gone = doc[owner] > least[which]
+        at = (owner[gone] << 32) + begin[gone]
+        start, stop = merged(at, at + size[which[gone]])
+        o = start >> 32
+        _gone(out, key[o], doc[o], start - (o << 32), stop - (o << 32), self.parts)
+        which, owner, begin = which[~gone], owner[~gone], begin[~gone]
+        classes, places = np.array(self.classes, "<u8"), np.array(self.places, "<i4")
+        part = _dealt(classes, self.parts)[which]
+        by = np.argsort(part, kind="stable")
+        strings = list(self.strings)
+        heads = np.flatnonzero(np.append(True, part[by][1:] != part[by][:-1])) if len(by) else ()
+        for a, z in zip(heads, np.append(heads, len(by))[1:]):
+            r = by[a:z]
+            w, o = which[r], owner[r]
+            flat = np.frombuffer(b"".join([strings[i] for i in w.tolist()]), np.uint8)
+            out.add(int(part[r[0]]), CONTEXTS, pack.compress(packed(classes[w], key[o], doc[o], begin[r].astype("<i4"), places[w], size[w].astype("<i4"), flat)))
 
 
 def _mark(length: int, parts: int):
-    """Step 3. A task has one part, sorted by kind, so its decisions are read before its texts. Gives DONE or OPEN rows
-    (text and spans) and CONTEXTS, dealt by class."""
+    """Step 3. A task has its part sorted by kind, so what texts are told is read before them. Rows: target, kind, blob, doc, key."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
-        said: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = defaultdict(list)
-        out = Rows()
-        cut: dict[int, list[tuple]] = defaultdict(list)
-        held = 0
-
-        def send() -> None:
-            nonlocal held
-            for p, rows in cut.items():
-                gram, key, doc, begin, place, text = zip(*rows)
-                blob = packed(np.array(gram, "<u8"), np.array(key, "<i8"), np.array(doc, "<i8"), np.array(begin, "<i4"), np.array(place, "<i4"), np.array(list(map(len, text)), "<i4"), np.frombuffer(b"".join(text), np.uint8))
-                out.add(p, CONTEXTS, pack.compress(blob))
-            cut.clear()
-            held = 0
-
+        pack, out = zstandard.ZstdCompressor(level=3), Blobs()
+        told, hot = np.empty(0, _U), np.empty(0, _U)
+        more_told: list[np.ndarray] = []
+        more_hot: list[np.ndarray] = []
+        held = Held(length, parts)
         for b in it:
-            todo, texts = [], []
-            for kind, blob, doc, known in zip(*(c.to_pylist() for c in b.columns[1:])):
-                if kind == DECISIONS:
-                    part, keys, rank, what = unpacked(blob, "<i8", "<i8", "<u4", "u1")
-                    by = np.argsort(keys, kind="stable")
-                    heads = np.flatnonzero(np.append(True, np.diff(keys[by]) != 0))
-                    for h, z in zip(heads, np.append(heads[1:], len(by))):
-                        said[int(keys[by[h]])].append((int(part[0]), rank[by[h:z]], what[by[h:z]]))
+            texts, rows = [], []
+            for k, (kind, blob) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                if kind == TEXT:
+                    rows.append(k)
+                    texts.append(blob)
+                elif kind == TOLD:
+                    tag, n, gram = unpacked(blob, "<u4", "<u2", "<u4")
+                    more_told.append(np.repeat(tag, n).astype(_U) << _U(32) | gram.astype(_U))
                 else:
-                    todo.append(doc if known else None)
-                    texts.append(unpack.decompress(blob))
-            for some, these in slices(todo, texts):
-                keys = [row_key(order_of(d), t) for d, t in zip(some, these)]
-                wanted = [k for k, key in enumerate(keys) if key in said]
-                runs = find_runs([these[k] for k in wanted], length) if wanted else None
-                if wanted:
-                    dealt = _dealt(runs, parts)
-                    ends = np.searchsorted(runs.text, np.arange(len(wanted) + 1))
-                where = {k: i for i, k in enumerate(wanted)}
-                for k, (doc, text) in enumerate(zip(some, these)):
-                    spans, pending = (np.empty(0, np.int64),) * 2, False
-                    if k in where:
-                        a, z = ends[where[k]], ends[where[k] + 1]
-                        state = np.zeros(z - a, np.uint8)
-                        mine = dealt[a:z]
-                        for part, rank, what in said[keys[k]]:
-                            state[np.flatnonzero(mine == part)[rank]] = what
-                        gone = np.flatnonzero(state == GONE) + a
-                        spans = merged(runs.begin[gone], runs.end[gone] + length)
-                        for r in (np.flatnonzero(state == SORT) + a).tolist():
-                            pending = True
-                            cut[int(dealt[r])].append((int(runs.gram[r]), keys[k], order_of(doc), int(runs.begin[r]), runs.gram_place(r, length), text[runs.begin[r] : runs.end[r] + length]))
-                            held += 100 + length
-                    out.add(int(_home(np.array([keys[k]]), parts)[0]), OPEN if pending else DONE, pack.compress(packed(np.frombuffer(text, np.uint8), np.array(spans[0], "<i4"), np.array(spans[1], "<i4"))), doc)
-                if held > 24 << 20:
-                    send()
+                    more_hot.append(_joined(*unpacked(blob, "<u4", "<u2")))
+            if not rows:
+                continue
+            if more_told:
+                told = np.unique(np.concatenate([told, *more_told]))
+                more_told.clear()
+            if more_hot:
+                hot = np.unique(np.concatenate([hot, *more_hot]))
+                more_hot.clear()
+            side = pa.array(rows, pa.int64())
+            docs, keys = [order_of(d) for d in b.column(3).take(side).to_pylist()], b.column(4).take(side).to_pylist()
+            for a, z in slices(texts):
+                held.add(texts[a:z], docs[a:z], keys[a:z], told, hot)
+                if held.load > HELD:
+                    held.settle(out, pack)
+                    held = Held(length, parts)
                 yield from out.batches()
-        send()
+        held.settle(out, pack)
         yield from out.batches(last=True)
 
     return run
@@ -443,73 +497,88 @@ def owners(strings: list[bytes], docs: list[int], length: int) -> list[np.ndarra
     return [np.array(least[b : b + len(s) - length + 1], np.int64) for b, s in zip(begins, strings)]
 
 
-def trimmed(rows: list[tuple[int, int, int, bytes, int]], length: int) -> list[tuple[int, int, int, bytes]]:
-    """Contexts (key, doc, begin, text, place of the gram) of a class, cut down to what can be in an equal window.
+def trimmed(strings: list[tuple[bytes, int]], length: int) -> list[tuple[int, int]]:
+    """Begin and end of what can be in an equal window of each of the distinct contexts (text, place of the gram) of a class.
 
     A window has ``length`` bytes and holds the gram, so of what stands before the gram in it and what stands after it
     one has ``side`` bytes at least. Where no other context has the same ``side`` bytes before its gram, equal windows
-    reach less far to the left, and likewise to the right; contexts left too short for a window go.
+    reach less far to the left, and likewise to the right; contexts left too short for a window are (0, 0).
     """
     gram = min(GRAM, length)
     side = (length - gram + 1) // 2
-    if side == 0 or any(p < 0 for *_, p in rows):
-        return [r[:4] for r in rows]
+    if side == 0 or any(p < 0 for _, p in strings):
+        return [(0, len(s)) for s, _ in strings]
     before: dict[bytes, int] = defaultdict(int)
     after: dict[bytes, int] = defaultdict(int)
-    for s, p in {s: p for _, _, _, s, p in rows}.items():
+    for s, p in strings:
         if p >= side:
             before[s[p - side : p]] += 1
         if len(s) >= p + gram + side:
             after[s[p + gram : p + gram + side]] += 1
     out = []
-    for k, d, at, s, p in rows:
+    for s, p in strings:
         a = 0 if p >= side and before[s[p - side : p]] > 1 else max(0, p - side + 1)
         z = len(s) if len(s) >= p + gram + side and after[s[p + gram : p + gram + side]] > 1 else min(len(s), p + gram + side - 1)
-        if z - a >= length:
-            out.append((k, d, at + a, s[a:z]))
+        out.append((a, z) if z - a >= length else (0, 0))
     return out
 
 
 def _sort(length: int, parts: int):
-    """Step 4. Blobs for the homes: row key, first and last removed window of each run of these."""
+    """Step 4. GONE blobs for the homes, those of step 3 as they came."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        by_class: dict[int, list[tuple]] = defaultdict(list)
+        unpack, out = zstandard.ZstdDecompressor(), Blobs()
+        got = []
         for b in it:
-            for blob in b.column(1).to_pylist():
-                gram, key, doc, begin, place, size, flat = unpacked(unpack.decompress(blob), "<u8", "<i8", "<i8", "<i4", "<i4", "<i4", "u1")
-                data, ends = flat.tobytes(), np.cumsum(size).tolist()
-                for g, k, d, at, p, n, z in zip(gram.tolist(), key.tolist(), doc.tolist(), begin.tolist(), place.tolist(), size.tolist(), ends):
-                    by_class[g].append((k, d, at, data[z - n : z], p))
-        out = Blobs()
-        found: list[tuple[int, int, int]] = []
+            for target, kind, blob in zip(*(c.to_pylist() for c in b.columns)):
+                if kind == GONE:
+                    out.add(target, GONE, blob)
+                else:
+                    got.append(unpacked(unpack.decompress(blob), "<u8", "<i8", "<i8", "<i4", "<i4", "<i4", "u1"))
+            yield from out.batches()
+        if not got:
+            yield from out.batches(last=True)
+            return
+        *columns, flat = zip(*got)
+        kind, key, doc, begin, place, size = (np.concatenate(x) for x in columns)
+        data, end = b"".join(flat), np.cumsum(size, dtype=np.int64)
+        del got, columns, flat
+        by = np.argsort(kind, kind="stable")
+        heads = np.flatnonzero(np.append(True, kind[by][1:] != kind[by][:-1]))
+        n = np.diff(np.append(heads, len(by)))
+        by, n = by[np.repeat(n > 1, n)], n[n > 1]  # a class with one context has nothing to meet
+        key, doc, begin, place, size, end = (x[by].tolist() for x in (key, doc, begin, place, size, end))
+        found: list[tuple[int, int, int, int]] = []
 
         def send() -> None:
             if found:
-                key, first, last = (np.array(x, np.int64) for x in zip(*found))
-                home = _home(key, parts)
-                by = np.argsort(home, kind="stable")
-                cuts = np.searchsorted(home[by], np.arange(parts + 1))
-                for p in range(parts):
-                    h = by[cuts[p] : cuts[p + 1]]
-                    if len(h):
-                        out.add(p, packed(key[h], first[h].astype("<i4"), last[h].astype("<i4")))
+                _gone(out, *(np.array(x, np.int64) for x in zip(*found)), parts)
                 found.clear()
 
-        while by_class:
-            rows = trimmed(by_class.popitem()[1], length)
-            strings: dict[bytes, int] = {}
-            for _, d, _, s in rows:
-                strings[s] = min(d, strings.get(s, d))
+        at = 0
+        for many in n.tolist():
+            strings: dict[bytes, list[int]] = {}
+            for r in range(at, at + many):
+                strings.setdefault(data[end[r] - size[r] : end[r]], []).append(r)
+            at += many
+            least = {}
+            for s, rows in strings.items():
+                least[s] = d = min(doc[r] for r in rows)
+                if len(rows) > 1:
+                    found += [(key[r], doc[r], begin[r], begin[r] + len(s)) for r in rows if doc[r] > d]
             if len(strings) > 1:
-                least = dict(zip(strings, owners(list(strings), list(strings.values()), length)))
-                for k, d, at, s in rows:
-                    gone = np.flatnonzero(np.diff(np.concatenate([[False], least[s] < d, [False]]).astype(np.int8)))
-                    for a, z in zip(gone[::2].tolist(), gone[1::2].tolist()):
-                        found.append((k, at + a, at + z - 1))
-            else:
-                found += [(k, at, at + len(s) - length) for k, d, at, s in rows if d > strings[s]]
+                cuts = trimmed([(s, place[rows[0]]) for s, rows in strings.items()], length)
+                kept: dict[bytes, int] = {}
+                for (s, d), (a, z) in zip(least.items(), cuts):
+                    if z:
+                        kept[s[a:z]] = min(d, kept.get(s[a:z], d))
+                if not kept:
+                    continue
+                firsts = dict(zip(kept, owners(list(kept), list(kept.values()), length))) if len(kept) > 1 else {s: np.full(len(s) - length + 1, d) for s, d in kept.items()}
+                for (s, rows), (a, z) in zip(strings.items(), cuts):
+                    if z:
+                        edge = np.flatnonzero(np.diff(np.concatenate([[False], firsts[s[a:z]] < least[s], [False]]).astype(np.int8))).tolist()
+                        found += [(key[r], doc[r], begin[r] + a + b, begin[r] + a + y - 1 + length) for b, y in zip(edge[::2], edge[1::2]) for r in rows if doc[r] == least[s]]
             if len(found) > 500_000:
                 send()
                 yield from out.batches()
@@ -519,69 +588,73 @@ def _sort(length: int, parts: int):
     return run
 
 
-def _cut(length: int):
-    """Step 5. (doc, text, spans) of rows whose removed windows came from step 4, sorted by target and kind."""
+_SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+_SPANS_SQL = "array<struct<begin:int,end:int>>"
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        said: dict[int, list[np.ndarray]] = defaultdict(list)
-        for b in it:
-            ids, texts, spans, load = [], [], [], 0
-            for kind, blob, doc, known in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
-                if kind == DECISIONS:
-                    keys, first, last = unpacked(blob, "<i8", "<i4", "<i4")
-                    by = np.argsort(keys, kind="stable")
-                    heads = np.flatnonzero(np.append(True, np.diff(keys[by]) != 0))
-                    for h, z in zip(heads, np.append(heads[1:], len(by))):
-                        said[int(keys[by[h]])].append(np.stack([first[by[h:z]], last[by[h:z]]]))
-                    continue
-                flat, begin, end = unpacked(unpack.decompress(blob), "u1", "<i4", "<i4")
-                text, doc = flat.tobytes(), doc if known else None
-                if more := said.get(row_key(order_of(doc), text)):
-                    both = np.concatenate(more, axis=1)
-                    begin, end = merged(np.concatenate([begin, both[0]]), np.concatenate([end, both[1] + length]))
-                ids.append(doc)
-                texts.append(text)
-                spans.append([{"begin": a, "end": z} for a, z in zip(begin.tolist(), end.tolist())])
-                load += len(text)
-                if load > 8 << 20:
-                    yield _spans_batch(ids, texts, spans)
-                    ids, texts, spans, load = [], [], [], 0
-            if ids:
-                yield _spans_batch(ids, texts, spans)
-
-    return run
 
-
-_SPANS = pa.schema([("id", pa.int64()), ("data", pa.binary()), ("spans", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))])
-
-
-def _spans_batch(ids: list, texts: list, spans: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, texts, spans), _SPANS.types)], schema=_SPANS)
-
-
-def _as_decisions(df: DataFrame) -> DataFrame:
-    return df.select("target", F.lit(DECISIONS).alias("kind"), "blob", F.lit(0).cast("long").alias("doc"), F.lit(True).alias("has_doc"))
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, parts: int | None = None) -> DataFrame:
+def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 5. (data, spans, row) of texts, from rows (target, kind, blob, doc, key, row) sorted by target and kind."""
+    said: dict[tuple[int, int], list[np.ndarray]] = defaultdict(list)
+    for b in it:
+        kinds, blobs = b.column(1).to_pylist(), b.column(2)
+        rows = []
+        for k, kind in enumerate(kinds):
+            if kind == TEXT:
+                rows.append(k)
+                continue
+            key, doc, begin, end = unpacked(blobs[k].as_py(), "<i8", "<u4", "<i4", "<i4")
+            by = np.lexsort((doc, key))
+            key, doc, both = key[by], doc[by], np.stack([begin[by], end[by]])
+            heads = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
+            for h, z, k_, d in zip(heads.tolist(), np.append(heads[1:], len(by)).tolist(), key[heads].tolist(), doc[heads].tolist()):
+                said[k_, d].append(both[:, h:z])
+        side = pa.array(rows, pa.int64())
+        docs, keys = b.column(3).take(side).to_pylist(), b.column(4).take(side).to_pylist()
+        sizes = pa.compute.binary_length(blobs).to_pylist()
+        spans, load, sent = [], 0, 0
+        for i, (doc, key) in enumerate(zip(docs, keys)):
+            found = said.get((key, order_of(doc) & 0xFFFFFFFF))
+            spans.append([{"begin": a, "end": z} for a, z in zip(*(x.tolist() for x in merged(*np.concatenate(found, axis=1))))] if found else [])
+            load += sizes[rows[i]]
+            if load > 8 << 20 or i == len(rows) - 1:
+                part = side.slice(sent, i + 1 - sent)
+                yield pa.RecordBatch.from_arrays([blobs.take(part), pa.array(spans, _SPANS), b.column(5).take(part)], names=["data", "spans", "row"])
+                spans, load, sent = [], 0, i + 1
+
+
+def _spans(docs: DataFrame, id_col: str, text_col: str, names: list[str], length: int, parts: int | None, hot: int) -> DataFrame:
+    """(data binary, spans, row struct) of every row: its UTF-8 bytes, the maximal runs to remove, its columns ``names``.
+
+    A row is named by 64 bits of its id and text and, again, by its id; rows equal in both fare alike."""
+    integral(docs, id_col)
+    parts = parts or partitions(docs.sparkSession)
+    rows = docs.select(column(id_col).cast("long").alias("doc"), utf8(column(text_col)).alias("data"), F.struct(*(column(c).alias(c) for c in names)).alias("row"))
+    rows = rows.withColumn("key", F.xxhash64("doc", "data"))
+    side = rows.schema["row"].dataType
+    nothing = {"doc": F.lit(None).cast("long"), "key": F.lit(None).cast("long"), "row": F.lit(None).cast(side)}
+    home = F.pmod(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(parts)).cast("int")
+
+    def at_home(blobs: DataFrame, *more: str) -> DataFrame:
+        """Blobs together with the texts that they are for, texts last."""
+        texts = rows.select(home.alias("target"), F.lit(TEXT).alias("kind"), F.col("data").alias("blob"), *more)
+        both = blobs.select("target", "kind", "blob", *(nothing[c].alias(c) for c in more)).union(texts)
+        return both.repartitionById(parts, "target").sortWithinPartitions("target", "kind")
+
+    met = rows.select("key", "data").mapInArrow(_scan(length, parts), _BLOB_SQL).repartitionById(parts, "target").mapInArrow(_meet(parts, hot), _BLOB_SQL)
+    contexts = at_home(met, "doc", "key").mapInArrow(_mark(length, parts), _BLOB_SQL).repartitionById(parts, "target")
+    gone = written(docs.sparkSession, contexts.mapInArrow(_sort(length, parts), _BLOB_SQL), "gone")
+    return at_home(gone, "doc", "key", "row").mapInArrow(_cut, StructType.fromDDL(f"data binary, spans {_SPANS_SQL}").add("row", side))
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, parts: int | None = None, hot: int = HOT) -> DataFrame:
     """(id, data binary, spans array<struct<begin,end>>) of every row: its UTF-8 bytes and the maximal runs to remove.
 
-    Null text counts as empty. Null ids come after all others. Rows with the same id never remove from each other.
-    Extra columns are left out. Texts shorter than ``length`` bytes keep all.
+    Ids are whole numbers (others raise TypeError). Null text counts as empty. Null ids come after all others. Rows
+    with the same id never remove from each other. Extra columns are left out, whatever their names. Texts shorter
+    than ``length`` bytes keep all. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    parts = parts or partitions(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), utf8(text_col).alias("data"))
-    met = rows.mapInArrow(_scan(length, parts), _BLOB_SQL).repartitionById(parts, "target").mapInArrow(_meet(parts), _BLOB_SQL)
-    texts = rows.mapInArrow(_send_texts(parts), _TEXT_SQL)
-    together = _as_decisions(met).union(texts).repartitionById(parts, "target").sortWithinPartitions("target", "kind")
-    marked = written(spark, together.mapInArrow(_mark(length, parts), _TEXT_SQL), "marked")
-    contexts = marked.where(F.col("kind") == CONTEXTS).select("target", "blob").repartitionById(parts, "target")
-    late = _as_decisions(contexts.mapInArrow(_sort(length, parts), _BLOB_SQL))
-    undone = late.union(marked.where(F.col("kind") == OPEN)).repartitionById(parts, "target").sortWithinPartitions("target", "kind")
-    both = undone.union(marked.where(F.col("kind") == DONE))
-    return both.mapInArrow(_cut(length), "id long, data binary, spans array<struct<begin:int,end:int>>").withColumnRenamed("id", id_col)
+    found = _spans(docs, id_col, text_col, [id_col], length, parts, hot)
+    return found.select(F.col("row")[id_col].alias(id_col), "data", "spans")
 
 
 def remaining(data: Column, spans: Column) -> Column:
@@ -591,19 +664,19 @@ def remaining(data: Column, spans: Column) -> Column:
     return F.aggregate(F.zip_with(begins, ends, lambda a, z: F.substring(data, a + 1, z - a)), F.lit(b""), lambda acc, x: F.concat(acc, x))
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
-    """(id, text, code) of every row: xxhash64 of its bytes, and its text without the passages that a document
-    with a smaller id has. Id and code say which row it is where ids repeat.
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, parts: int | None = None, hot: int = HOT) -> DataFrame:
+    """The rows of ``docs`` with their columns, their text without the passages that a document with a smaller id has.
 
-    A span that begins or ends inside a UTF-8 character is narrowed to whole characters.
+    A span that begins or ends inside a UTF-8 character is narrowed to whole characters. Null text becomes empty text.
+    All else is as in ``repeated_spans``; the other columns travel with the text and come out as they came.
     """
-    found = repeated_spans(docs, id_col, text_col, length)
-    kind = docs.schema[id_col].dataType.simpleString()
+    others = [c for c in docs.columns if c != text_col]
+    found = _spans(docs, id_col, text_col, others, length, parts, hot)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             texts = []
-            for data, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for data, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 at, out = 0, []
                 for s in spans:
                     begin, end = s["begin"], s["end"]
@@ -614,7 +687,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     out.append(data[at:begin])
                     at = max(begin, end)
                 texts.append(b"".join([*out, data[at:]]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary()).cast(pa.string()), b.column(3)], names=["id", "text", "code"])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()).cast(pa.string()), b.column(2)], names=["text", "row"])
 
-    rows = found.select(F.col(id_col).cast(kind).alias("id"), "data", "spans", F.xxhash64("data").alias("code"))
-    return rows.mapInArrow(run, f"id {kind}, text string, code long")
+    cut = found.mapInArrow(run, StructType.fromDDL("text string").add("row", found.schema["row"].dataType))
+    return cut.select(*((F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns))

@@ -113,8 +113,9 @@ def spans_of(df):
     return sorted(((suffix_dedup.order_of(r[0]), bytes(r.data), [(s.begin, s.end) for s in r.spans]) for r in df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("length", [50, 7])
-def test_passages_against_brute_force(spark, length):
+@pytest.mark.parametrize("length,hot", [(50, suffix_dedup.HOT), (50, 1), (7, suffix_dedup.HOT), (7, 2)])
+def test_passages_against_brute_force(spark, monkeypatch, length, hot):
+    monkeypatch.setattr(suffix_dedup, "SLICE", 2000)
     rng = random.Random(length)
     words = ["alpha", "beta", "gamma", "delta", "épsilon", "zeta", "eta", "theta", "iota", "kappa"]
     shared = [" ".join(rng.choices(words, k=30)) for _ in range(5)]
@@ -124,7 +125,7 @@ def test_passages_against_brute_force(spark, length):
         rows.append((rng.choice([i, i, None, rng.randint(0, 60)]), rng.choice([" ".join(parts), shared[0], None, ""])))
     rows += rows[:3]
     df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], DOCS)
-    assert spans_of(suffix_dedup.repeated_spans(df, length=length)) == brute_spans(rows, length)
+    assert spans_of(suffix_dedup.repeated_spans(df, length=length, hot=hot)) == brute_spans(rows, length)
 
 
 def test_passages_on_odd_rows(odd, empty):
@@ -134,7 +135,7 @@ def test_passages_on_odd_rows(odd, empty):
 
 def test_cut_text_keeps_whole_characters(spark):
     rows = [(1, "é" * 60, "x", "y"), (2, "a" + "é" * 60 + "b", "x", "y")]
-    got = {r.id: r.text for r in suffix_dedup.cut_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    got = {r.doc_id: r.text for r in suffix_dedup.cut_repeats(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == {1: "é" * 60, 2: "ab"}
 
 
@@ -194,11 +195,13 @@ def test_pigeonhole_keys():
     """Signatures that differ in up to 2 * chunks - 1 symbols share a key."""
     rng = np.random.default_rng(1)
     chunks = minhash.chunks_for(85)
+    assert minhash.beyond(chunks * minhash.WIDTH, 0.15, minhash.far_for(chunks)) <= minhash.MISS
     for _ in range(300):
-        a = rng.integers(0, 256, chunks * minhash.WIDTH, dtype=np.uint8)
+        a = rng.integers(0, 65536, chunks * minhash.WIDTH, dtype=np.uint16)
         b = a.copy()
         at = rng.choice(len(a), 2 * chunks - 1, replace=False)
         b[at] ^= 1
+        assert minhash.far_for(chunks) == len(at)
         ka, kb = minhash.keys_of(np.stack([a, b]))
         assert set(ka) & set(kb)
 
