@@ -1,8 +1,10 @@
 """Main text of web pages by two passes of block rules.
 
-The page is cut into blocks at block-level tags. The first pass labels each block from its place (menus, footers,
-forms, adverts, comments), its link density, length and stop-word density: good, bad, or undecided where it is short
-or in between. In the second pass an undecided block takes the label of the nearest decided blocks around it.
+The page is cut into blocks at block-level tags. The first pass labels each block by link density, length and
+stop-word density: good, bad, or undecided where it is short or in between. What stands in a place without article
+text (menus, footers, forms, adverts, comments) is bad. In the second pass an undecided block takes the label of the
+nearest decided blocks around it. Elements for articles only say how far to look: a block within one asks the decided
+blocks of its own article first.
 """
 
 from __future__ import annotations
@@ -16,7 +18,9 @@ from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .common import column
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -55,9 +59,11 @@ TALK = re.compile(_MARK.format("comments?|reply|replies|respond|disqus"), re.I)
 ARTICLE_PLACE = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|content|body)(?=$|[\s_-])", re.I)
 
 _RAW = "|".join(RAW)
+#: Attributes: a quote means something only as the first character of a value.
+_ATTRIBUTES = r"(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+"
 #: Comments, declarations, raw elements with all they hold, titles (just the tag and its words if never closed), and tags.
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<({_RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<title(?=[\s/>])[^>]*>(?:.{{0,10000}}?</title\s*>|[^<]*)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<({_RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<title(?=[\s/>])[^>]*>(?:.{{0,10000}}?</title\s*>|[^<]*)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRIBUTES})(?:>|\Z)",
     re.S | re.I,
 )
 _MAY_BE_SILENT = re.compile(rf"<(?:{'|'.join(sorted(SILENT))})[\s/>]", re.I)
@@ -69,6 +75,8 @@ _WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 _SPACES = re.compile(r"\s+")
 
 LONG, SHORT = 200, 70
+#: Blocks in a row that are mostly links: so many are a menu, wherever they stand.
+MENU = 3
 STOPS_HIGH, STOPS_LOW, LINKS = 0.25, 0.12, 0.4
 GOOD, NEAR, UNSURE, BAD = "good", "near", "unsure", "bad"
 
@@ -76,7 +84,8 @@ GOOD, NEAR, UNSURE, BAD = "good", "near", "unsure", "bad"
 class Block:
     __slots__ = ("text", "linked", "outside", "article", "heading", "size", "_stops")
 
-    def __init__(self, text: str, linked: int, outside: bool, article: bool, heading: bool) -> None:
+    def __init__(self, text: str, linked: int, outside: bool, article: int, heading: bool) -> None:
+        # article: the number of the outermost element for articles around it, 0 if there is none
         self.text, self.linked, self.outside, self.article, self.heading = text, linked, outside, article, heading
         self.size = len(text) if text.isascii() else len(text) + 2 * len(_WIDE.findall(text))
         self._stops = -1.0
@@ -173,7 +182,7 @@ def blocks(html: str) -> list[Block]:
     linked: list[str] = []
     stack: list[tuple[str, bool, bool, Mark | None]] = []  # element, whether it is outside, whether it is the article, its mark
     marks: list[Mark] = []
-    outside = article = links = mains = 0
+    outside = article = articles = links = mains = 0
     heading = False
 
     def close() -> None:
@@ -182,7 +191,7 @@ def blocks(html: str) -> list[Block]:
             text = _SPACES.sub(" ", unescape("".join(parts))).strip()
             if text:
                 held = _SPACES.sub(" ", unescape("".join(linked))).strip() if linked else ""
-                out.append(Block(text, len(held), outside > 0, article > 0, heading))
+                out.append(Block(text, len(held), outside > 0, articles if article else 0, heading))
             parts.clear()
             linked.clear()
 
@@ -252,6 +261,7 @@ def blocks(html: str) -> list[Block]:
         mains += name in ("main", "h1")
         stack.append((name, is_outside, is_article, mark))
         outside += is_outside
+        articles += is_article and not article
         article += is_article
         heading = name in HEADINGS
     if at < len(html):
@@ -267,58 +277,83 @@ def first_label(block: Block, readable: bool = True) -> str:
     """The label that a block gets by itself. In a language without a list of stop words, length and links decide."""
     if block.outside:
         return BAD
+    wordy = block.size >= SHORT and (block.stops >= STOPS_LOW or not readable)
     if block.linked > LINKS * len(block.text):
-        return BAD
+        return NEAR if block.article and wordy else UNSURE if block.article else BAD
     if block.size < SHORT:
         return UNSURE
-    if not readable and block.stops < STOPS_LOW:
+    if wordy and (block.stops >= STOPS_HIGH or not readable and block.stops < STOPS_LOW):
         return GOOD if block.size > LONG or block.article else NEAR
-    if block.stops >= STOPS_HIGH:
-        return GOOD if block.size > LONG or block.article else NEAR
-    if block.stops >= STOPS_LOW:
+    if wordy:
         return GOOD if block.article else NEAR
     return UNSURE if block.article else BAD
 
 
 def first_labels(page: list[Block]) -> list[str]:
-    """First labels. If most of the page's prose has no stop words to speak of, it is taken for another language. If no
-    block is good, near ones with few links count as good."""
+    """First labels. If most of the page's prose has no stop words to speak of, it is taken for another language. Short
+    blocks of links, MENU or more in a row, are bad. If no block is good, near ones with few links count as good."""
     prose = [b for b in page if not b.outside and b.prose and b.size >= SHORT]
     readable = 2 * sum(b.prose for b in prose if b.stops >= STOPS_LOW) >= sum(b.prose for b in prose)
     first = [first_label(b, readable) for b in page]
+    row: list[int] = []
+    for i, b in enumerate([*page, None]):
+        if b and first[i] == UNSURE and b.linked > LINKS * len(b.text):
+            row.append(i)
+            continue
+        if len(row) >= MENU:
+            for k in row:
+                first[k] = BAD
+        row = []
     if GOOD not in first:
         first = [GOOD if f == NEAR and 2 * b.linked <= LINKS * len(b.text) else f for f, b in zip(first, page)]
     return first
 
 
-def labels(page: list[Block]) -> list[bool]:
-    """Which blocks are main text. An undecided block within an article element is. Else it inherits from the nearest
-    decided blocks before and after it: ``near`` is text if either is good; ``unsure`` takes the label that both have,
-    else that of the nearer one, and between a good and a bad one at the same distance it is text if it ends as a
-    sentence does, or if it is a heading before a good block. The page's ends count as bad."""
-    first = first_labels(page)
-    after: list[tuple[int, str]] = [(0, BAD)] * len(page)
-    seen = (len(page), BAD)
-    for i in range(len(page) - 1, -1, -1):
-        after[i] = seen
+def decided(page: list[Block], first: list[str], order: range) -> list[tuple[int, str] | None]:
+    """For each block the nearest decided one before it in ``order``: for a block of an article, of that article, where
+    places without article text say nothing; for others, of the page."""
+    out: list[tuple[int, str] | None] = [None] * len(page)
+    seen, within, number = None, None, 0
+    for i in order:
+        b = page[i]
+        if b.article and b.article != number:
+            within, number = None, b.article
+        out[i] = within if b.article else seen
         if first[i] in (GOOD, BAD):
             seen = (i, first[i])
+            if b.article and not b.outside:
+                within = seen
+    return out
+
+
+def labels(page: list[Block]) -> list[bool]:
+    """Which blocks are main text. An undecided block inherits from the nearest decided blocks before and after it:
+    ``near`` is text if either is good; ``unsure`` takes the label that both have, else that of the nearer one, and
+    between a good and a bad one at the same distance it is text if it ends as a sentence does, or if it is a heading
+    before a good block. Beyond an article's ends there is no neighbour, and where it has none at all, its element
+    decides; the page's ends count as bad."""
+    first = first_labels(page)
+    ahead, behind = decided(page, first, range(len(page))), decided(page, first, range(len(page) - 1, -1, -1))
     out: list[bool] = []
-    seen = (-1, BAD)
     for i, block in enumerate(page):
         if first[i] in (GOOD, BAD):
             out.append(first[i] == GOOD)
-            seen = (i, first[i])
             continue
-        (p, before), (q, behind) = seen, after[i]
-        if block.article or before == behind:
-            out.append(block.article or before == GOOD)
+        if block.article:
+            p, q = ahead[i] or behind[i], behind[i] or ahead[i]
+            if p is None:
+                out.append(True)
+                continue
+        else:
+            p, q = ahead[i] or (-1, BAD), behind[i] or (len(page), BAD)
+        if p[1] == q[1]:
+            out.append(p[1] == GOOD)
         elif first[i] == NEAR:
             out.append(True)
         elif block.heading:
-            out.append(behind == GOOD)
-        elif i - p != q - i:
-            out.append((before if i - p < q - i else behind) == GOOD)
+            out.append(q[1] == GOOD)
+        elif i - p[0] != q[0] - i:
+            out.append((p if i - p[0] < q[0] - i else q)[1] == GOOD)
         else:
             out.append(block.text[-1] in ".!?…\"”»)")
     return out
@@ -334,9 +369,10 @@ def main_text(html: str | None) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row, without a shuffle. Null or empty pages give empty text; ids and urls
-    pass through, null or not; repeated rows come out as often as they come in; other columns are left out."""
-    src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
-    schema = f"page_id {src.schema['page_id'].dataType.simpleString()}, url {src.schema['url'].dataType.simpleString()}, text string, n_chars long"
+    pass through, null or not; repeated rows come out as often as they come in. Other columns are left out, so their
+    names clash with nothing. An empty table gives no rows; a page of any length is taken whole."""
+    src = pages.select(column(id_col).alias("page_id"), column(url_col).alias("url"), column(html_col).cast("string").alias("html"))
+    schema = StructType([src.schema["page_id"], src.schema["url"], *StructType.fromDDL("text string, n_chars long")])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
