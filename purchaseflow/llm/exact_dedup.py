@@ -8,6 +8,7 @@ of copies each map task sends one row, and no key is hot in the shuffle.
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, batches, partitions, utf8
+from .common import SPACE, batches, column, free_name, integral, partitions, utf8
 
 #: Bytes of labels that a task's trie holds before it writes its largest subtree to a scratch file.
 TRIE_BYTES = 96 << 20
@@ -51,7 +52,7 @@ class Trie:
 
     Beyond ``limit`` bytes of labels the heaviest subtree goes to an unnamed scratch file of the task (as Spark's own
     sorts spill), and what later comes to its node is appended there. items() reads each file back into a trie of its
-    own, so memory stays bounded by the limit, or by the longest string, and each string comes out once.
+    own, so memory stays bounded by the limit, or by the longest string of each first byte, and each string comes out once.
     """
 
     def __init__(self, limit: int = TRIE_BYTES) -> None:
@@ -87,7 +88,8 @@ class Trie:
             self._spill()
 
     def _spill(self) -> None:
-        """Moves what is below the lowest node that holds most of the trie to that node's file."""
+        """Moves what is below the lowest node that holds most of a branch of the root to that node's file. Branches of
+        one string stay; where there are no others, the trie has at most 256 strings."""
         weight: dict[int, int] = {}
         todo = [(self.root, False)]
         while todo:
@@ -97,16 +99,16 @@ class Trie:
             else:
                 todo.append((node, True))
                 todo.extend((k, False) for k in node.kids.values())
-        node = max(self.root.kids.values(), key=lambda k: weight[id(k)])
-        while node.kids:
+        forked = [k for k in self.root.kids.values() if k.kids]
+        if not forked:
+            return
+        node = max(forked, key=lambda k: weight[id(k)])
+        while True:
             heavy = max(node.kids.values(), key=lambda k: weight[id(k)])
             if not heavy.kids or 2 * weight[id(heavy)] < weight[id(node)]:
                 break
             node = heavy
-        if not node.kids:
-            self.limit *= 2  # one string is as heavy as that
-            return
-        node.file = tempfile.TemporaryFile()  # noqa: SIM115
+        node.file = tempfile.TemporaryFile(dir=scratch_folder())  # noqa: SIM115
         for kid in node.kids.values():
             self.bytes -= weight[id(kid)]
             for item in walk(kid, b""):
@@ -120,6 +122,12 @@ class Trie:
         return walk(self.root, b"", self.limit)
 
 
+def scratch_folder() -> str | None:
+    """Where Spark's own sorts of this machine spill; a task's scratch file goes there and dies with the task."""
+    found = os.environ.get("LOCAL_DIRS") or os.environ.get("SPARK_LOCAL_DIRS") or ""
+    return next((d for d in found.split(",") if os.path.isdir(d)), None)
+
+
 def _append(file, key: bytes, least: int | None, count: int) -> None:
     at = b"-" if least is None else str(least).encode()
     file.write(b"%s %d %d\n" % (at, count, len(key)) + key)
@@ -161,13 +169,13 @@ def _through_tries(it: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Reco
 
 def normalised(text_col: str) -> Column:
     """The text with each run of white space as one space; null counts as empty."""
-    return F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " ")
+    return F.regexp_replace(F.coalesce(column(text_col), F.lit("")), SPACE, " ")
 
 
 def classes(docs: DataFrame, id_col: str, data: Column, limit: int = TRIE_BYTES, at_least: int = 1) -> DataFrame:
     """Distinct strings ``data`` (binary) with more rows than ``at_least - 1``: sha256, least id, rows."""
     spark = docs.sparkSession
-    rows = docs.select(data.alias("data"), F.col(id_col).cast("long").alias("least"), F.lit(1).cast("long").alias("n"))
+    rows = docs.select(data.alias("data"), column(id_col).cast("long").alias("least"), F.lit(1).cast("long").alias("n"))
     local = rows.mapInArrow(lambda it: _through_tries(it, limit), _SQL)
     dealt = local.repartition(partitions(spark), F.length("data"), F.xxhash64("data"))
     whole = dealt.mapInArrow(lambda it: _through_tries(it, limit), _SQL)
@@ -179,9 +187,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when identical after white space runs become one space. Null text counts as empty, all empty texts
     are one group. A null id is never chosen unless all ids of the group are null (keep_id is then null and kept true).
-    Rows that repeat one id with one text all say ``kept`` (they are one document); an empty table gives no rows.
+    Rows that repeat one id with one text all say ``kept`` (they are one document); an empty table gives no rows. Ids are
+    whole numbers, others raise TypeError. Texts of any length are taken whole; other columns are left out.
     """
-    rows = docs.select(F.col(id_col).alias("id"), utf8(normalised(text_col)).alias("data"))
+    integral(docs, id_col)
+    rows = docs.select(column(id_col).alias("id"), utf8(normalised(text_col)).alias("data"))
     found = classes(rows, "id", F.col("data"), limit, at_least=2)
     shas = rows.select("id", F.sha2("data", 256).alias("text_sha256"))
     out = shas.join(found, shas.text_sha256 == found.sha, "left")
@@ -193,9 +203,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` without those whose normalised text has a smaller id elsewhere; columns as they came.
 
     Of rows that repeat one id and one text, all stay or go together. Only ids and hashes of rows that go are joined.
+    Nulls, empty texts and empty tables fare as in ``exact_dedup``.
     """
     seen = exact_dedup(docs, id_col, text_col, limit)
-    gone = seen.where(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_sha"))
+    one, other = free_name(docs, "gone"), free_name(docs, "sha")
+    gone = seen.where(~F.col("kept")).select(column(id_col).alias(one), F.col("text_sha256").alias(other))
     at = F.sha2(utf8(normalised(text_col)), 256)
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")) & (at == F.col("_sha")), "left_anti")
+    return docs.join(gone, column(id_col).eqNullSafe(F.col(one)) & (at == F.col(other)), "left_anti")
 

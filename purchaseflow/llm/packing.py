@@ -15,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from pyspark.sql.types import StructType
+
+from .common import batches, column
 
 #: Permitted lengths, in words.
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -88,7 +90,7 @@ def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> list[t
 def pieces(docs: DataFrame, id_col: str, length: Column, most: int) -> DataFrame:
     """(id, piece, begin, n) of each document cut into pieces of ``most`` words, the last one shorter; of a document
     without words one piece of length 0."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(length, F.lit(0)).cast("long").alias("total"))
+    rows = docs.select(column(id_col).alias("id"), F.coalesce(length, F.lit(0)).cast("long").alias("total"))
     cut = F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.floor((F.col("total") - 1) / most), F.lit(0).cast("long"))), lambda k: k * most))
     rows = rows.select("id", "total", cut.alias("piece", "begin"))
     return rows.select("id", "piece", "begin", F.least(F.col("total") - F.col("begin"), F.lit(most).cast("long")).alias("n"))
@@ -98,9 +100,10 @@ def best_fit(docs: DataFrame, length: Column, id_col: str = "doc_id", capacities
     """One row per piece: id, piece, begin, n_words, bin, capacity, place.
 
     ``length`` is a column of ``docs``, null counts as 0. Pieces without words have no bin (null) and capacity 0.
-    Null ids and rows that repeat an id are packed as documents of their own. An empty table gives no rows.
+    Null ids and rows that repeat an id are packed as documents of their own. An empty table gives no rows. Documents
+    longer than the largest capacity are cut into pieces; other columns are left out, whatever their names.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = docs.schema[id_col].dataType
     sizes = tuple(sorted(set(capacities)))
     shards = max(1, -(-docs.count() // shard))
     cut = pieces(docs, id_col, length, sizes[-1])
@@ -134,11 +137,11 @@ def best_fit(docs: DataFrame, length: Column, id_col: str = "doc_id", capacities
             yield from batches((x for part in ((first,), source) for x in part), schema)
 
     dealt = dealt.select("id", "piece", "begin", "n", "shard").repartition(shards, "shard").sortWithinPartitions("shard", F.desc("n"), "id", "piece")
-    out = dealt.mapInArrow(run, f"id {kind}, piece int, begin long, n_words long, bin long, capacity long, place long")
+    out = dealt.mapInArrow(run, StructType([*StructType().add("id", kind), *StructType.fromDDL("piece int, begin long, n_words long, bin long, capacity long, place long")]))
     none = cut.where("n = 0").select("id", "piece", "begin", F.col("n").alias("n_words"), F.lit(None).cast("long").alias("bin"), F.lit(0).cast("long").alias("capacity"), F.lit(0).cast("long").alias("place"))
     return out.union(none).withColumnRenamed("id", id_col)
 
 
 def word_count(text: str = "text") -> Column:
     """Words of a text: runs without white space; null has none."""
-    return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]++"))
+    return F.regexp_count(F.coalesce(column(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]++"))

@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, utf8, words_of
+from pyspark.sql.types import DataType, LongType, StructType
+
+from .common import column, free_name, utf8, words_of
 
 #: Characters that count as symbols (fixed by the contract of op7).
 SYMBOLS = b"#*$%&|<>"
@@ -62,6 +64,13 @@ def measure_text(data: bytes) -> tuple[int, ...]:
     )
 
 
+def _with_measures(name: str, kind: DataType) -> StructType:
+    out = StructType().add(name, kind)
+    for m in MEASURES:
+        out = out.add(m, LongType())
+    return out
+
+
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id and MEASURES (long). A null text has no words; rows repeat as they do in the input."""
 
@@ -73,7 +82,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             cols = list(zip(*got)) if got else [()] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=["id", *MEASURES])
 
-    out = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("data")).mapInArrow(run, f"id {kind.simpleString()}, " + ", ".join(f"{m} long" for m in MEASURES))
+    out = docs.select(column(id_col).alias("id"), utf8(column(text_col)).alias("data")).mapInArrow(run, _with_measures("id", kind))
     return out.withColumnRenamed("id", id_col)
 
 
@@ -165,7 +174,7 @@ def keep_good(docs: DataFrame, policy: Policy = POLICIES[-1], id_col: str = "doc
     words and fail ``too_few_words`` wherever a policy has that rule. Columns that clash with MEASURES are kept.
     """
     names = docs.columns
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), utf8(text_col).alias("data"))
+    packed = docs.select(F.struct(*(column(c).alias(c) for c in names)).alias("row"), utf8(column(text_col)).alias("data"))
     schema = packed.schema
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,6 +183,5 @@ def keep_good(docs: DataFrame, policy: Policy = POLICIES[-1], id_col: str = "doc
             cols = list(zip(*got)) if got else [()] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=["row", *MEASURES])
 
-    out = schema["row"].dataType.simpleString()
-    book = packed.mapInArrow(run, f"row {out}, " + ", ".join(f"{m} long" for m in MEASURES)).withColumn("failed_bits", failure_bits(rules))
+    book = packed.mapInArrow(run, _with_measures("row", schema["row"].dataType)).withColumn("failed_bits", failure_bits(rules))
     return book.where(passes(policy, rules)).select(*(F.col("row").getField(c).alias(c) for c in names))

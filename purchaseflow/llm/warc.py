@@ -152,7 +152,8 @@ RECORD_SQL = (
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple]:
-    """Rows of RECORD from the bytes of an archive. Header names are case-blind; a cut-off last record ends the archive."""
+    """Rows of RECORD from the bytes of an archive. Header names are case-blind. A record shorter than
+    its Content-Length raises EOFError: what may follow it would be lost without a word."""
     while line := stream.readline():
         if not line.strip():
             continue
@@ -170,7 +171,7 @@ def parse(stream: io.BufferedIOBase) -> Iterator[tuple]:
         size = int(head.get("content-length", 0))
         block = stream.read(size)
         if len(block) < size:
-            return
+            raise EOFError(f"a record of {size} bytes ends after {len(block)}")
         kind, about, http, payload, fields = head.get("warc-type", ""), head.get("content-type", ""), None, block, None
         if about.startswith("application/http"):
             front, _, payload = block.partition(b"\r\n\r\n")
