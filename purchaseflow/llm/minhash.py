@@ -1,11 +1,12 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
-A document's signature has chunks of WIDTH symbols, each some bits of one minimum hash. Two signatures within
+A document's signature has chunks of WIDTH symbols, each BITS bits of one minimum hash. Two signatures within
 ``2 * chunks - 1`` unequal symbols agree, by the pigeonhole principle, in some chunk but for one symbol at most; so
-each chunk is indexed once for each symbol left out, and all such pairs share a key. Pairs beyond that distance are
-found too where one chunk is close enough, and those within ``far`` unequal symbols are linked loosely. The loose groups
-only say which documents must meet: each is then split by exact set similarity, all its members compared as far as
-they aren't yet known to be connected, so no true link between members is lost.
+each chunk is indexed once for each symbol left out, and all such pairs share a key. That distance is the threshold
+for a loose link, and there are as many chunks as it takes for a pair just at the wanted similarity to be beyond it
+with a chance of MISS at most. The loose groups only say which documents must meet: each is then split by exact set
+similarity, all its members compared as far as they aren't yet known to be connected, so no true link between members
+is lost.
 
 Sets that are equal are one node from the start, however many documents have them.
 """
@@ -14,23 +15,29 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, batches, partitions, utf8, written
+from .common import HOT_KEYS, LOWER_ASCII, batches, column, free_name, integral, join_hot, partitions, utf8, written
 from .components import components
 
-WIDTH = 6
-#: Chance at most that a pair just at the threshold shares no key, and about that of its being too far for a loose link.
+#: Symbols of a chunk, and bits of a symbol: few unlike texts agree in four symbols, however many there are.
+WIDTH, BITS = 5, 16
+#: Chance at most that a pair just at the threshold of similarity is beyond the signatures' threshold.
 MISS = 1e-6
 #: Members of a bucket that one task compares; in larger buckets all are tied to the least member instead.
 BUCKET = 20_000
-#: Shingles of a block of an oversize loose group; smaller groups are one block.
+#: Shingles that a task compares at once; larger loose groups are compared in parts.
 BLOCK = 4_000_000
+#: Members of a large loose group that all others are compared with first.
+PIVOTS = 16
+#: Parts that the rows of a large loose group are dealt into, so that no task gets all of them.
+SPREAD = 64
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -62,17 +69,19 @@ def shingles(data: bytes, hashes: WordHashes, width: int = 3) -> np.ndarray:
     return np.unique(out)
 
 
+def beyond(n: int, chance: float, most: int) -> float:
+    """The chance of more than ``most`` of ``n`` independent symbols being unequal, each with ``chance``."""
+    return sum(comb(n, k) * chance**k * (1 - chance) ** (n - k) for k in range(most + 1, n + 1))
+
+
 def chunks_for(percent: int) -> int:
-    """Chunks that leave a pair of just this similarity without a common key with a chance of MISS at most."""
-    s = percent / 100
-    within_one = s**WIDTH + WIDTH * (1 - s) * s ** (WIDTH - 1)
-    return next(c for c in range(1, 1000) if (1 - within_one) ** c <= MISS)
+    """The fewest chunks that keep pairs of just this similarity within the signatures' threshold but for MISS."""
+    return next(c for c in range(1, 150) if beyond(c * WIDTH, 1 - percent / 100, far_for(c)) <= MISS)
 
 
-def far_for(percent: int) -> int:
-    """Unequal symbols, five and a half standard deviations above what such a pair has on average."""
-    n, d = chunks_for(percent) * WIDTH, 1 - percent / 100
-    return min(n, int(n * d + 5.5 * (n * d * (1 - d)) ** 0.5) + 1)
+def far_for(chunks: int) -> int:
+    """The signatures' threshold: unequal symbols that leave one chunk with one error at most."""
+    return 2 * chunks - 1
 
 
 def multipliers(count: int) -> np.ndarray:
@@ -81,11 +90,11 @@ def multipliers(count: int) -> np.ndarray:
 
 
 def signature(found: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """A symbol (uint8) for each factor: bits of the least hash under it."""
+    """A symbol (uint16) for each factor: bits of the least hash under it."""
     least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(found), 4096):
         np.minimum(least, (found[k : k + 4096, None] * factors).min(axis=0), out=least)
-    return (_mix(least) >> np.uint64(56)).astype(np.uint8)
+    return (_mix(least) >> np.uint64(64 - BITS)).astype("<u2")
 
 
 def keys_of(signatures: np.ndarray) -> np.ndarray:
@@ -116,7 +125,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
             n, h, sig = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(sig, pa.binary())], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("data")).mapInArrow(run, "id long, n_shingles long, set_hash binary, signature binary")
+    return docs.select(column(id_col).cast("long").alias("id"), utf8(column(text_col)).alias("data")).mapInArrow(run, "id long, n_shingles long, set_hash binary, signature binary")
 
 
 def _groups(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -144,7 +153,7 @@ def buckets(nodes: DataFrame, most: int = BUCKET) -> DataFrame:
     def index(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             if b.num_rows:
-                sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                sig = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u2").reshape(b.num_rows, -1)
                 ids = np.repeat(b.column(0).to_numpy(), sig.shape[1])
                 flat = pa.RecordBatch.from_arrays([pa.array(keys_of(sig).reshape(-1).view(np.int64)), pa.array(ids)], names=["key", "id"])
                 for k in range(0, flat.num_rows, 50_000):
@@ -190,7 +199,7 @@ def loose_links(nodes: DataFrame, far: int, most: int = BUCKET) -> DataFrame:
     def tie(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for _, held in _groups(it):
-                sig = np.frombuffer(b"".join(s for _, s in held), np.uint8).reshape(len(held), -1)
+                sig = np.frombuffer(b"".join(s for _, s in held), "<u2").reshape(len(held), -1)
                 left = np.arange(len(held))
                 while len(left) > 1:
                     todo, left = [left[0]], left[1:]
@@ -212,39 +221,26 @@ def loose_links(nodes: DataFrame, far: int, most: int = BUCKET) -> DataFrame:
     return small.mapInArrow(tie, "u long, v long").union(large)
 
 
-def close_pairs(sets: list[np.ndarray], percent: int, groups: list[int] | None = None) -> Iterator[tuple[int, int]]:
+def close_pairs(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
     """Index pairs that span the graph of sets with ``100 * intersection >= percent * union``.
 
     A breadth-first search: each set reached is compared, by counting shared elements through postings, with all sets
-    that aren't reached yet, so every component comes out whole. Members that ``groups`` gives one number are known to
-    be connected and are not compared with each other.
+    that aren't reached yet, so every component comes out whole.
     """
     left = np.arange(len(sets))
-    sizes = np.array([len(s) for s in sets])
     todo: list[int] = []
-    built = 0
+    index, reached = None, np.zeros(len(sets), bool)
     while len(left):
-        if built == 0 or len(left) < built // 2:
-            owner = np.repeat(left, sizes[left])
-            element = np.concatenate([sets[i] for i in left])
-            order = np.argsort(element, kind="stable")
-            element, owner = element[order], owner[order]
-            built, reached = len(left), np.ones(len(sets), bool)
-            reached[left] = False
+        if index is None or len(left) < len(index.which) // 2:
+            index = Postings([sets[i] for i in left], left)
         if not todo:
             todo.append(int(left[0]))
             reached[left[0]] = True
             left = left[1:]
             continue
         i = todo.pop()
-        a, z = np.searchsorted(element, sets[i], "left"), np.searchsorted(element, sets[i], "right")
-        n = z - a
-        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        common = np.bincount(owner[at], minlength=len(sets))
-        j = np.flatnonzero((common > 0) & ~reached)
-        j = j[100 * common[j] >= percent * (sizes[i] + sizes[j] - common[j])]
-        if groups is not None:
-            j = np.flatnonzero(~reached & np.isin(groups, np.unique(np.append(np.asarray(groups)[j], groups[i])))) if len(j) else np.flatnonzero(~reached & (np.asarray(groups) == groups[i]))
+        j = index.close_to(sets[i], percent)
+        j = j[~reached[j]]
         for x in j.tolist():
             yield i, x
         todo.extend(j.tolist())
@@ -252,11 +248,49 @@ def close_pairs(sets: list[np.ndarray], percent: int, groups: list[int] | None =
         left = left[~reached[left]]
 
 
+class Postings:
+    """Sets with numbers ``which``, by element."""
+
+    def __init__(self, sets: list[np.ndarray], which: np.ndarray) -> None:
+        self.which, self.sizes = which, np.array([len(s) for s in sets], np.int64)
+        element, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        by = np.argsort(element, kind="stable")
+        self.element, self.owner = element[by], owner[by]
+
+    def close_to(self, found: np.ndarray, percent: int) -> np.ndarray:
+        """Numbers of the sets that have ``percent`` hundredths of their union with ``found`` in common."""
+        a, z = np.searchsorted(self.element, found, "left"), np.searchsorted(self.element, found, "right")
+        n = z - a
+        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        common = np.bincount(self.owner[at], minlength=len(self.sizes))
+        j = np.flatnonzero(common)
+        return self.which[j[100 * common[j] >= percent * (len(found) + self.sizes[j] - common[j])]]
+
+
+class Union:
+    """Which of the numbers 0 to n - 1 are known to be connected."""
+
+    def __init__(self, n: int) -> None:
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+_LINK, _LINK_SQL = pa.schema([("u", pa.int64()), ("v", pa.int64())]), "u long, v long"
+
+
 def exact_links(docs: DataFrame, loose: DataFrame, id_col: str, text_col: str, width: int, percent: int, block: int = BLOCK) -> DataFrame:
     """(u, v): links that span the exact components within each loose group (node, root).
 
-    A group's sets meet in one task up to ``block`` shingles. Larger groups are cut into blocks of half that size and
-    every two blocks meet, so each pair of members is compared somewhere and no task holds more.
+    The sets of a group of up to ``block`` shingles meet in one task; for larger ones see ``large_links``.
     """
     spark = docs.sparkSession
 
@@ -274,19 +308,124 @@ def exact_links(docs: DataFrame, loose: DataFrame, id_col: str, text_col: str, w
                 ids, sets = [r[0] for r in held], [np.frombuffer(r[1], np.uint64) for r in held]
                 yield from ((ids[i], ids[j]) for i, j in close_pairs(sets, percent))
 
-        yield from batches(rows(), pa.schema([("u", pa.int64()), ("v", pa.int64())]), 50_000)
+        yield from batches(rows(), _LINK, 50_000)
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("data"))
+    texts = docs.select(column(id_col).cast("long").alias("id"), utf8(column(text_col)).alias("data"))
     texts = loose.join(texts, loose.node == texts.id).select("root", "id", "data")
-    sets = written(spark, texts.mapInArrow(load, "root long, id long, n long, data binary"), "sets")
-    sizes = sets.groupBy(F.col("root").alias("group")).agg(F.sum("n").alias("total"))
-    cuts = F.ceil(F.col("total") / F.lit(block // 2)).cast("int")
-    rows = sets.join(sizes, F.col("root") == F.col("group")).withColumn("cuts", F.when(F.col("total") <= block, 1).otherwise(cuts))
-    own = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda o: F.struct(F.least(o, own).alias("a"), F.greatest(o, own).alias("b")))
-    rows = rows.select("root", F.explode(meets).alias("m"), "id", "data")
-    one = F.xxhash64("root", "m.a", "m.b").alias("meeting")
-    return rows.select(one, "id", "data").repartition(partitions(spark), "meeting").sortWithinPartitions("meeting").mapInArrow(compare, "u long, v long")
+    sets = written(spark, texts.mapInArrow(load, "root long, id long, n long, data binary").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SPREAD))), "sets")
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long")))
+    large = sets.groupBy(F.col("root").alias("group")).agg(F.sum("n").alias("total")).where(F.col("total") > block)
+    if large.isEmpty():
+        small, more = sets, None
+    else:
+        large = large.withColumn("part", salts)
+        on = (F.col("root") == F.col("group")) & (F.col("salt") == F.col("part"))
+        small, more = sets.join(large, on, "left_anti"), large_links(written(spark, sets.join(large, on, "left_semi"), "large"), percent, block)
+    links = small.select("root", "id", "data").repartition(partitions(spark), "root").sortWithinPartitions("root").mapInArrow(compare, _LINK_SQL)
+    return links if more is None else links.union(more)
+
+
+def large_links(sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """The links of loose groups too large for one task: ``sets`` (root, id, n, data, salt).
+
+    All members are first compared with PIVOTS of them. Members that this connects to each other, most of them where a
+    group is copies of one text, need no comparison among them; the rest of the group is cut into blocks, and all
+    members stream past each block. So the work grows with members times blocks of the rest, memory stays at a block,
+    and a row is sent once for each block.
+    """
+    spark = sets.sparkSession
+    order = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("id"), "id"))
+    chosen = sets.select("root", "id").withColumn("r", order).where(F.col("r") <= PIVOTS).select("root", "id")
+    pivots = sets.join(chosen, ["root", "id"]).select("root", "id", "n", "data")
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("salt")
+
+    def with_pivots(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(root, id, pivot): a pivot close to each member, and pivots that are connected."""
+
+        def rows() -> Iterator[tuple]:
+            at, index = None, None
+            for b in it:
+                for root, salt, kind, id_, data in zip(*(c.to_pylist() for c in b.columns)):
+                    if (root, salt) != at:
+                        at, index, ids, sets_, known = (root, salt), None, [], [], Union(PIVOTS)
+                    found = np.frombuffer(data, np.uint64)
+                    if kind == 0:
+                        ids.append(id_)
+                        sets_.append(found)
+                        continue
+                    index = index or Postings(sets_, np.arange(len(sets_)))
+                    close = index.close_to(found, percent).tolist()
+                    if close:
+                        yield root, id_, ids[close[0]]
+                        for k in close[1:]:
+                            if known.join(close[0], k):
+                                yield root, ids[k], ids[close[0]]
+
+        yield from batches(rows(), pa.schema([("root", pa.int64()), ("id", pa.int64()), ("pivot", pa.int64())]), 50_000)
+
+    both = pivots.select("root", salts, F.lit(0).alias("kind"), "id", "data").union(sets.select("root", "salt", F.lit(1).alias("kind"), "id", "data"))
+    near = both.repartition(partitions(spark), "root", "salt").sortWithinPartitions("root", "salt", "kind").mapInArrow(with_pivots, "root long, id long, pivot long")
+    near = written(spark, near, "near-pivots")
+
+    def name_groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(root, pivot, name) of the pivots' components; a root has PIVOTS * SPREAD rows at most."""
+
+        def rows() -> Iterator[tuple]:
+            for root, held in _groups(it):
+                number = {p: k for k, p in enumerate(sorted({x for pair in held for x in pair}))}
+                known = Union(len(number))
+                for a, b in held:
+                    known.join(number[a], number[b])
+                names = list(number)
+                yield from ((root, p, names[known.root(k)]) for p, k in number.items())
+
+        yield from batches(rows(), pa.schema([("root", pa.int64()), ("pivot", pa.int64()), ("name", pa.int64())]), 50_000)
+
+    among = near.join(chosen, ["root", "id"], "left_semi").union(chosen.select("root", "id", F.col("id").alias("pivot"))).distinct()
+    named = among.repartition(partitions(spark), "root").sortWithinPartitions("root").mapInArrow(name_groups, "root long, pivot long, name long")
+    named = written(spark, named, "pivots")
+    sizes = near.groupBy("root", "pivot").agg(F.countDistinct("id").alias("n")).join(named, ["root", "pivot"]).groupBy("root", "name").agg(F.sum("n").alias("n"))
+    main = named.join(sizes.groupBy("root").agg(F.max_by("name", F.struct("n", "name")).alias("name")), ["root", "name"]).select("root", "pivot")
+    settled = near.join(F.broadcast(main) if main.count() <= HOT_KEYS else main, ["root", "pivot"]).select("root", "id").distinct()
+    marked = written(spark, sets.join(settled.withColumn("is_main", F.lit(True)), ["root", "id"], "left").withColumn("is_main", F.coalesce("is_main", F.lit(False))), "marked-sets")
+
+    weights = marked.groupBy("root").agg(F.sum(F.when(~F.col("is_main"), F.col("n"))).alias("rest"))
+    weights = weights.where("rest > 0").select(F.col("root").alias("group"), F.ceil(F.col("rest") / F.lit(max(block // 2, 1))).cast("long").alias("cuts"), salts.alias("part"))
+    rows = marked.join(weights, (F.col("root") == F.col("group")) & (F.col("salt") == F.col("part")))
+    own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("cuts"))
+    stream = rows.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"), "salt", F.lit(1).alias("kind"), "is_main", "id", "data")
+    blocks = rows.where("NOT is_main").select("root", own.alias("cut"), salts, F.lit(0).alias("kind"), "is_main", "id", "data")
+
+    def pass_by(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows_() -> Iterator[tuple]:
+            at, index = None, None
+            for b in it:
+                for root, cut, salt, kind, is_main, id_, data in zip(*(c.to_pylist() for c in b.columns)):
+                    if (root, cut, salt) != at:
+                        at, index, ids, sets_, place = (root, cut, salt), None, [], [], {}
+                    found = np.frombuffer(data, np.uint64)
+                    if kind == 0:
+                        place[id_] = len(ids)
+                        ids.append(id_)
+                        sets_.append(found)
+                        continue
+                    if not ids:
+                        continue
+                    if index is None:
+                        index, known = Postings(sets_, np.arange(len(sets_))), Union(len(sets_) + 1)  # the last is all that is main
+                    close = index.close_to(found, percent).tolist()
+                    me = len(ids) if is_main else place.get(id_)
+                    for k in close:
+                        if me is None:
+                            me = k
+                            yield id_, ids[k]
+                        elif known.join(me, k):
+                            yield id_, ids[k]
+
+        yield from batches(rows_(), _LINK, 50_000)
+
+    met = stream.union(blocks).repartition(partitions(spark), "root", "cut", "salt").sortWithinPartitions("root", "cut", "salt", "kind").mapInArrow(pass_by, _LINK_SQL)
+    return near.select(F.col("id").alias("u"), F.col("pivot").alias("v")).union(met)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
@@ -295,15 +434,18 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Links tie documents whose sets of ``width``-word shingles (words lower-cased for A-Z) have ``percent`` hundredths
     of their union in common. component_id is the least id reachable. Null and blank texts have empty sets and are
     linked with nothing; so are rows with a null id (component_id null, kept). Rows that repeat an id are one document.
+    Ids are whole numbers, others raise TypeError; an empty table gives no rows; other columns are left out.
     """
+    integral(docs, id_col)
     spark = docs.sparkSession
     seen = written(spark, profiles(docs, id_col, text_col, width, percent), "profiles")
     linked = seen.where("n_shingles > 0 AND id IS NOT NULL")
-    nodes = linked.groupBy("set_hash").agg(F.min("id").alias("id"), F.first("signature").alias("signature"))
+    nodes = linked.groupBy("set_hash").agg(F.min("id").alias("id"), F.first("signature").alias("signature"), F.count(F.lit(1)).alias("n"))
     nodes = written(spark, nodes, "nodes")
-    loose = components(loose_links(nodes, far_for(percent), bucket))
-    close = exact_links(docs.where(F.col(id_col).isNotNull()), loose, id_col, text_col, width, percent, block)
-    same = linked.join(nodes.select("set_hash", F.col("id").alias("v")), "set_hash").where("id != v").select(F.col("id").alias("u"), "v")
+    loose = components(loose_links(nodes.select("id", "signature"), far_for(chunks_for(percent)), bucket))
+    close = exact_links(docs.where(column(id_col).isNotNull()), loose, id_col, text_col, width, percent, block)
+    firsts = nodes.where("n > 1").select(F.col("set_hash").alias("hash"), F.col("id").alias("v"), "n")
+    same = join_hot(linked.select("set_hash", F.col("id").alias("u")), "set_hash", firsts, "hash", "n", linked.count()).where("u != v").select("u", "v")
     found = components(close.union(same))
     out = seen.join(found, F.col("id") == F.col("node"), "left").withColumn("component_id", F.coalesce("root", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -312,7 +454,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the row with the least id; columns as they came.
 
-    Rows of null ids stay. Rows that repeat the id that stays, stay too.
+    Rows of null ids stay. Rows that repeat the id that stays, stay too. Null, blank and long texts and empty tables
+    fare as in ``near_dedup``.
     """
-    gone = near_dedup(docs, id_col, text_col, width, percent).where("NOT kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    name = free_name(docs, "gone")
+    gone = near_dedup(docs, id_col, text_col, width, percent).where("NOT kept").select(column(id_col).alias(name)).distinct()
+    return docs.join(gone, column(id_col) == F.col(name), "left_anti")
