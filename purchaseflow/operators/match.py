@@ -2,7 +2,7 @@
 
 Fuzzy candidates come from shared q-grams of squeezed names. For a ratio of 90 the indel distance is a tenth of the
 summed lengths at most, so by the q-gram count bound every qualifying pair of names shares a gram among the rarest
-ones of either side (prefix filter); nothing is dropped by it. Short names are paired by deletions instead.
+ones of either side (prefix filter); nothing is dropped by it. Names too short to have that many grams meet by length.
 """
 
 from __future__ import annotations
@@ -33,13 +33,19 @@ def grams(name: Column, q: int = 2) -> Column:
 
 
 def indel(a: str, b: str) -> int:
-    """Insertions and deletions that turn ``a`` into ``b``: lengths less twice the longest common subsequence."""
-    row = [0] * (len(b) + 1)
+    """Insertions and deletions that turn ``a`` into ``b``: lengths less twice the longest common subsequence.
+
+    The rows of its table are bits of one number: a bit turns 0 where the subsequence grows by one.
+    """
+    places: dict[str, int] = {}
+    for k, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << k
+    whole = (1 << len(b)) - 1
+    row = whole
     for x in a:
-        left = 0
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], left + 1 if x == y else max(row[j], row[j - 1])
-    return len(a) + len(b) - 2 * row[-1]
+        hit = row & places.get(x, 0)
+        row = (row + hit | row - hit) & whole
+    return len(a) + len(b) - 2 * (len(b) - row.bit_count())
 
 
 def _ratio_udf():
@@ -108,18 +114,39 @@ def greedy_new(pairs: DataFrame, ids: DataFrame, checkpoint) -> DataFrame:
             return state
 
 
+def new_items(batch: DataFrame, master: DataFrame, checkpoint, least: float = 90.0) -> DataFrame:
+    """(id, kept) of the batch (id, key): an item is new unless it matches the master or an earlier new item.
+
+    Equal keys are one item, the first. ``checkpoint`` cuts lineage.
+    """
+    firsts = batch.groupBy("key").agg(F.min("id").alias("id")).select("id", "key")
+    unknown = checkpoint(best_match(firsts, master, least).where("match_id IS NULL").select("id").join(firsts, "id"))
+    pairs = similar_pairs(unknown, unknown, least).where("id < match_id").select(F.col("id").alias("earlier"), F.col("match_id").alias("later"))
+    kept = greedy_new(checkpoint(pairs), unknown.select("id"), checkpoint)
+    return batch.select("id").join(kept, "id", "left").select("id", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
 def search_top_k(queries: DataFrame, items: DataFrame, fields: dict[str, int], k: int = 5, most: float = 0.4) -> DataFrame:
     """The ``k`` best items of each query (query_id, text): score is the weighted mean over fields of one less the share
-    of the query's 2-grams that the field has; scores over ``most`` don't count. Ties by item id."""
-    asked = queries.select("query_id", grams(F.lower("text")).alias("g"))
-    total = sum(fields.values())
-    wanted = asked.select("query_id", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    parts = None
-    for field, weight in fields.items():
-        have = items.select("item_id", F.explode(grams(F.lower(F.coalesce(F.col(field).cast("string"), F.lit(""))))).alias("gram"))
-        hit = wanted.join(have, "gram").groupBy("query_id", "item_id", "n").agg((F.count(F.lit(1)) * weight).alias("w"))
-        parts = hit if parts is None else parts.unionByName(hit)
-    scored = parts.groupBy("query_id", "item_id", "n").agg(F.sum("w").alias("w")).withColumn("score", 1 - F.col("w") / (F.col("n") * total)).where(F.col("score") <= most)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "item_id"))
-    return scored.withColumn("place", rank).where(F.col("place") <= k).select("query_id", "item_id", "score", "place")
+    of the query's 2-grams that the field has; scores over ``most`` don't count. Ties by item id.
 
+    A weighted mean of shares is no more than the greatest of them, so an item within ``most`` has a field with
+    ``(1 - most) * n`` of the query's n grams, and so one of any ``n - need + 1`` of them: only the rarest ones in
+    that field are looked up (prefix filter), and what is found is scored in full. Nothing is lost by it.
+    """
+    total = sum(fields.values())
+    asked = queries.select("query_id", grams(F.lower("text")).alias("g")).where(F.size("g") > 0)
+    have = items.select("item_id", *(grams(F.lower(F.coalesce(F.col(f).cast("string"), F.lit("")))).alias(f"_{i}") for i, f in enumerate(fields)))
+    listed = F.explode(F.array(*(F.struct(F.lit(i).alias("field"), F.col(f"_{i}").alias("gs")) for i in range(len(fields)))))
+    index = have.select("item_id", listed.alias("e")).select("item_id", "e.field", F.explode("e.gs").alias("gram"))
+    rarity = index.groupBy("field", "gram").agg(F.count(F.lit(1)).alias("df"))
+    need = F.ceil((1 - most) * F.size("g") - 1e-9).cast("int")
+    wanted = asked.select("query_id", (F.size("g") - need + 1).alias("take"), F.explode("g").alias("gram"), F.lit(list(range(len(fields)))).alias("fs"))
+    wanted = wanted.select("query_id", "take", "gram", F.explode("fs").alias("field")).join(rarity, ["field", "gram"], "left")
+    rank = F.row_number().over(Window.partitionBy("query_id", "field").orderBy(F.coalesce("df", F.lit(0)), "gram"))
+    probes = wanted.withColumn("_r", rank).where((F.col("_r") <= F.col("take")) & F.col("df").isNotNull()).select("query_id", "field", "gram")
+    met = probes.join(index, ["field", "gram"]).select("query_id", "item_id").distinct()
+    shared = sum((F.size(F.array_intersect("g", f"_{i}")) * w for i, w in enumerate(fields.values())), F.lit(0))
+    scored = met.join(asked, "query_id").join(have, "item_id").select("query_id", "item_id", (1 - shared / (F.size("g") * total)).alias("score")).where(F.col("score") <= most)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "item_id"))
+    return scored.withColumn("place", place).where(F.col("place") <= k).select("query_id", "item_id", "score", "place")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from purchaseflow.operators import match, numbering
+
 # Rates of withholding by kind of tax, value added tax, and accounts of charges.
 WITHHOLDING = {"pph23": "0.02", "pph15": "0.012", "pph22_solar": "0.003", "pph22_impor": "0.025"}
 VAT = "0.11"
@@ -61,7 +66,8 @@ def open_lines(requests: DataFrame, lines: DataFrame, items: DataFrame, order_li
 
 
 def order_totals(order_lines: DataFrame, terms: DataFrame) -> DataFrame:
-    """Totals of each order. ``terms``: po_id, discount_pct, charges, withholding (a kind or none). Decimals, half up."""
+    """Totals of each order. ``terms``: po_id, discount_pct, charges, withholding (a kind or none), include_vat (null: no).
+    Value added tax is on net and charges, and only where the order includes it. Decimals, half up."""
     money = lambda c: F.round(c, 2).cast("decimal(18,2)")
     sub = order_lines.where("is_deleted = 0").groupBy("po_id").agg(F.sum(F.col("unit_price") * F.col("ordered_qty")).cast("decimal(28,6)").alias("sub"))
     rate = F.lit("0").cast("decimal(5,4)")
@@ -70,7 +76,8 @@ def order_totals(order_lines: DataFrame, terms: DataFrame) -> DataFrame:
     rows = sub.join(terms, "po_id").withColumn("pct", F.least(F.greatest(F.col("discount_pct").cast("decimal(5,2)"), F.lit(0).cast("decimal(5,2)")), F.lit(100).cast("decimal(5,2)")))
     rows = rows.withColumn("subtotal", money(F.col("sub"))).withColumn("discount", money(F.col("subtotal") * F.col("pct") / 100))
     rows = rows.withColumn("net", (F.col("subtotal") - F.col("discount")).cast("decimal(18,2)"))
-    rows = rows.withColumn("vat", money((F.col("net") + F.col("charges")) * F.lit(VAT).cast("decimal(5,4)"))).withColumn("withheld", money(F.col("net") * rate))
+    vat = money((F.col("net") + F.col("charges")) * F.lit(VAT).cast("decimal(5,4)"))
+    rows = rows.withColumn("vat", F.when(F.col("include_vat"), vat).otherwise(F.lit(0).cast("decimal(18,2)"))).withColumn("withheld", money(F.col("net") * rate))
     return rows.withColumn("total", (F.col("net") + F.col("charges") + F.col("vat") - F.col("withheld")).cast("decimal(18,2)")).drop("sub", "pct")
 
 
@@ -92,19 +99,97 @@ def decide(lines: DataFrame, decisions: DataFrame) -> DataFrame:
 MOVES = {("pending_approval", "approve"): "approved", ("pending_approval", "reject"): "rejected", ("rejected", "resubmit"): "pending_approval"}
 
 
+def next_state(state: str, action: str, note: str | None) -> str | None:
+    """The state after a command; null if it is refused."""
+    then = MOVES.get((state, action))
+    return None if action == "reject" and not note else then
+
+
 def fold_status(commands: DataFrame) -> DataFrame:
-    """The state of each document after its commands (document_id, at, seq, action, note) in order, and how many were refused."""
-    event = F.struct("at", "seq", "action", "note")
-
-    def step(acc: Column, e: Column) -> Column:
-        state = F.lit(None).cast("string")
-        for (source, action), target in MOVES.items():
-            legal = (acc["state"] == source) & (e["action"] == action)
-            if action == "reject":
-                legal = legal & (F.coalesce(e["note"], F.lit("")) != "")
-            state = F.when(legal, target).otherwise(state)
-        return F.struct(F.coalesce(state, acc["state"]).alias("state"), (acc["refused"] + F.when(state.isNull(), 1).otherwise(0)).alias("refused"), (acc["seen"] + 1).alias("seen"))
-
-    start = F.struct(F.lit("pending_approval").alias("state"), F.lit(0).alias("refused"), F.lit(0).alias("seen"))
-    folded = commands.groupBy("document_id").agg(F.aggregate(F.array_sort(F.collect_list(event)), start, step).alias("s"))
-    return folded.select("document_id", "s.state", "s.refused", "s.seen")
+    """The state of each document after its commands (document_id, at, seq, action, note) in order, and how many were refused.
+
+    Commands are sorted by Spark and stream past: a document with a third of all commands takes no memory.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        now, state, refused, seen = None, "", 0, 0
+        for b in it:
+            for document, action, note in zip(*(c.to_pylist() for c in b.columns)):
+                if seen == 0 or document != now:
+                    if seen:
+                        out.append((now, state, refused, seen))
+                    now, state, refused, seen = document, "pending_approval", 0, 0
+                then = next_state(state, action, note)
+                state, refused, seen = then or state, refused + (then is None), seen + 1
+            if len(out) > 10_000:
+                yield _states(out)
+                out = []
+        if seen:
+            out.append((now, state, refused, seen))
+        yield _states(out)
+
+    sorted_ = commands.repartition("document_id").sortWithinPartitions("document_id", "at", "seq").select("document_id", "action", "note")
+    return sorted_.mapInArrow(run, f"document_id {commands.schema['document_id'].dataType.simpleString()}, state string, refused long, seen long")
+
+
+def _states(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["document_id", "state", "refused", "seen"])
+
+
+def create_requests(submissions: DataFrame, lines: DataFrame, counters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(headers, lines) of new requests. ``submissions``: submission_id, year, requested_by, department, notes; ``lines``:
+    submission_id, position, item_id, qty, uom, unit_price, department; ``counters``: year, last_no.
+
+    A request is numbered on from its year's counter. Without a department of its own it takes its first line's. Lines
+    are numbered by position; without unit they are pieces, without quantity or price these are 0; all is pending.
+    """
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    first = lines.groupBy("submission_id").agg(F.min_by("department", "position").alias("first_department"))
+    headers = submissions.join(first, "submission_id", "left").withColumn("department", F.coalesce(blank("department"), blank("first_department"), F.lit(""))).drop("first_department")
+    headers = numbering.document_numbers(headers, counters, "year", ["submission_id"], "PR")
+    headers = headers.withColumns({"status": F.lit("pending"), "search_text": F.lower(F.concat_ws(" ", "doc_no", "requested_by"))})
+    qty, price = F.coalesce("qty", zero()), F.coalesce("unit_price", zero())
+    made = numbering.line_numbers(lines.withColumnRenamed("department", "line_department"), "submission_id", "position").join(headers.select("submission_id", "doc_no", "department"), "submission_id")
+    made = made.withColumns({
+        "qty": qty, "uom": F.coalesce(blank("uom"), F.lit("pcs")), "unit_price": price, "estimate": (qty * price).cast("decimal(28,6)"),
+        "department": F.coalesce(blank("department"), blank("line_department"), F.lit("")), "status": F.lit("pending"),
+    })
+    return headers, made.drop("line_department")
+
+
+def request_detail(requests: DataFrame, lines: DataFrame, items: DataFrame, order_lines: DataFrame, actions: DataFrame) -> DataFrame:
+    """The live requests as rows (pr_id, part, position, text, amount): a header with the estimate of its live lines, the
+    lines with status and fulfilment, and the history of its actions (document_id, at, seq, action) in order. Rows, as a
+    request's history has no bound."""
+    live = requests.where("is_deleted = 0").select("pr_id", F.col("status").alias("header"))
+    rows = lines.where("is_deleted = 0").join(items.where("is_deleted = 0").select("item_id"), "item_id").join(live, "pr_id", "left_semi")
+    rows = with_ordered(rows, order_lines).withColumn("amount", (F.col("price") * F.col("requested_qty")).cast("decimal(28,6)"))
+    estimate = rows.groupBy("pr_id").agg(F.sum("amount").cast("decimal(28,6)").alias("amount"))
+    nothing = F.lit(0).cast("decimal(28,6)")
+    head = live.join(estimate, "pr_id", "left").select("pr_id", F.lit("header").alias("part"), F.lit(0).cast("long").alias("position"), F.col("header").alias("text"), F.coalesce("amount", nothing).alias("amount"))
+    body = rows.select("pr_id", F.lit("line"), F.col("line_no").cast("long"), F.concat_ws(" ", "status", line_fulfilment()), "amount")
+    order = F.row_number().over(Window.partitionBy("document_id").orderBy("at", "seq"))
+    past = actions.join(live, actions.document_id == live.pr_id, "left_semi").select(F.col("document_id").alias("pr_id"), F.lit("action"), order.cast("long"), "action", nothing)
+    return head.union(body).union(past)
+
+
+def order_detail(order_lines: DataFrame, terms: DataFrame, vendors: DataFrame, stored: DataFrame) -> DataFrame:
+    """Each order with its vendor, number of live lines, charges and totals computed anew from the lines; ``matches`` says
+    whether the stored total (po_id, stored_total) is that."""
+    live = order_lines.where("is_deleted = 0")
+    head = live.groupBy("po_id").agg(F.count(F.lit(1)).alias("n_lines"), F.min("vendor_id").alias("vendor_id"))
+    totals = order_totals(order_lines, terms).select("po_id", "subtotal", "charges", "vat", "withheld", "total")
+    out = head.join(vendors.select("vendor_id", "vendor_name"), "vendor_id", "left").join(totals, "po_id").join(stored, "po_id", "left")
+    return out.withColumn("matches", F.col("stored_total").eqNullSafe(F.col("total")))
+
+
+def import_templates(rows: DataFrame, index: DataFrame, keys: Sequence[Column], index_key: str) -> DataFrame:
+    """Template lines (template, position, name, uom) with item_id, name and uom; the matched item's values win where it
+    has them. ``keys`` are tried in order against ``index`` (item_id, item_name, item_uom and its key). ``sort_order``
+    counts from 0 within a template, in order of position, whether a line is matched or not."""
+    found = match.prioritised_lookup(rows.withColumn("line_id", F.struct("template", "position")), "line_id", keys, index, index_key, "item_id", ["item_id"])
+    out = rows.withColumn("line_id", F.struct("template", "position")).join(found, "line_id", "left").join(index.select("item_id", "item_name", "item_uom").dropDuplicates(["item_id"]), "item_id", "left")
+    place = F.row_number().over(Window.partitionBy("template").orderBy("position")) - 1
+    return out.select("template", F.col("item_id"), F.coalesce(F.nullif("item_name", F.lit("")), "name").alias("name"), F.coalesce(F.nullif("item_uom", F.lit("")), "uom").alias("uom"), place.cast("long").alias("sort_order"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EPOCH = "1970-01-01 00:00:00"
@@ -31,8 +31,28 @@ def append_only(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
     return source.join(target.select(F.col(key).cast("string").alias("_k")).distinct(), F.col(key).cast("string") == F.col("_k"), "left_anti")
 
 
-def apply_changes(target: DataFrame, news: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The target's current rows after appending new versions: the newest of each key."""
+def apply_changes(target: DataFrame, news: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """The target's current rows after appending new versions: the newest of each key; ``order`` breaks ties, else a hash."""
     both = target.unionByName(news)
-    order = F.struct("sync_version", F.xxhash64(*both.columns))
+    order = F.struct("sync_version", *order, F.xxhash64(*both.columns))
     return both.groupBy(*keys).agg(F.max_by(F.struct(*both.columns), order).alias("r")).select("r.*")
+
+
+def advance(spark: SparkSession, state_path: str, started: str, mode: str = "incremental") -> None:
+    """Notes that everything up to ``started`` has been copied."""
+    row = spark.createDataFrame([(started, mode)], "started string, mode string")
+    row.select(F.current_timestamp().alias("run_at"), F.col("started").cast("timestamp").alias("synced_through"), "mode").write.mode("append").parquet(state_path)
+
+
+def run(sources: dict[str, tuple[DataFrame, str, str]], state_path: str, started: str, overlap_minutes: int = 15) -> str:
+    """Appends the changes of every source (rows, column of the update, target path) since the watermark; returns it.
+
+    The watermark moves last, and to the start of this run: a run that fails at any table leaves it, so the next one
+    copies the same changes again, and what was updated meanwhile is never missed. Versions make a repeat harmless.
+    """
+    spark = next(iter(sources.values()))[0].sparkSession
+    since = watermark(spark.read.parquet(state_path), overlap_minutes)
+    for rows, updated, path in sources.values():
+        changes(rows, updated, since).write.mode("append").parquet(path)
+    advance(spark, state_path, started)
+    return since

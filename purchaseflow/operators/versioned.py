@@ -36,8 +36,8 @@ def ambiguous(rows: DataFrame, keys: Sequence[str], version: str, content: Seque
 
 
 def lookup(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Live current rows of the wanted keys; the semi-join comes first, so only their versions are sorted."""
-    return live(current_state(rows.join(wanted, list(keys), "left_semi"), keys, order))
+    """Live current rows of the wanted keys, or leading parts of keys; the semi-join comes first, so only their versions are sorted."""
+    return live(current_state(rows.join(wanted, [k for k in keys if k in wanted.columns], "left_semi"), keys, order))
 
 
 def tombstones(current: DataFrame, doomed: DataFrame, keys: Sequence[str], version: Column) -> DataFrame:

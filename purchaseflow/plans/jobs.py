@@ -16,9 +16,7 @@ from purchaseflow.sources import tables as t
 from purchaseflow.streaming import jobs as streams
 
 from .registry import query
-from .reports import LINE, LINE_SQL, WITH, _num, current_lines, order_commands
-
-
+from .reports import LINE, LINE_SQL, ORDER_STATUS_SQL, WITH, _num, current_lines, order_commands
 
 # --- replication -------------------------------------------------------------------------------------------------
 
@@ -39,15 +37,25 @@ def r2(spark, d):
 @query("r3_watermark", f"{WITH} SELECT strftime(max(version) - INTERVAL 15 MINUTE, '%Y-%m-%d %H:%M:%S') AS since FROM lv")
 def r3(spark, d):
     state = t.request_line_versions(spark, d).select(F.col("version").alias("synced_through"))
-    return state.agg(F.date_format(F.max("synced_through") - F.expr("INTERVAL 15 MINUTES"), "yyyy-MM-dd HH:mm:ss").alias("since"))
+    return spark.createDataFrame([(sync.watermark(state),)], "since string")
+
+
+def synced(spark, d, runs: int) -> DataFrame:
+    """Old versions are in the target; runs of the sync, each overlapping the one before, bring the rest."""
+    base, rows = files.work_folder(spark), t.request_line_versions(spark, d)
+    old = rows.where(F.col("version") <= F.lit("1997-06-01 00:00:00").cast("timestamp_ntz"))
+    old.withColumn("sync_version", sync.version_of(F.col("version"))).write.parquet(f"{base}/target")
+    sync.advance(spark, f"{base}/state", "1997-06-01 00:00:00", "full")
+    for k in range(runs):
+        # every run starts when the first one did, so the watermark stays and all that is newer comes again
+        sync.run({"lines": (rows, "version", f"{base}/target")}, f"{base}/state", "1997-06-01 00:00:00")
+    return spark.read.parquet(f"{base}/target")
 
 
 @query("r4_sync_applied", f"{WITH} SELECT {LINE_SQL} FROM ln")
 def r4(spark, d):
-    """Old versions are the target, newer ones arrive by a sync that overlaps them: the newest of each key remains."""
-    rows = t.request_line_versions(spark, d)
-    old = rows.where(F.col("version") <= F.lit("1997-06-01 00:00:00").cast("timestamp_ntz"))
-    return _num(v.current_state(old.union(rows.where(F.col("version") > F.lit(SINCE).cast("timestamp_ntz"))), t.LINE_KEYS, t.LINE_ORDER).select(*LINE))
+    rows = synced(spark, d, 1)
+    return _num(sync.apply_changes(rows.limit(0), rows, t.LINE_KEYS, t.LINE_ORDER).select(*LINE))
 
 
 @query("r5_append_only", f"{WITH} SELECT event_id FROM cm WHERE event_id NOT IN (SELECT event_id FROM cm WHERE event_id % 3 = 0)")
@@ -86,7 +94,18 @@ def r10(spark, d):
     return t.request_line_versions(spark, d).agg(F.sum(F.col("price").cast("decimal(28,4)")).cast("decimal(38,4)").cast("string").alias("total"))
 
 
-@query("r11_checksum")
+def _row_text(table: str, columns: str) -> str:
+    text = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in columns.split())
+    return f"SELECT '{table[0]}' AS table_name, count(*) AS n_rows, CAST(sum(CAST(('0x' || substr(md5({text}), 1, 15))::BIGINT AS HUGEINT)) AS VARCHAR) AS checksum FROM {table[1]}"
+
+
+R11_SQL = " UNION ALL ".join((
+    _row_text(("requests", "rq"), "pr_id requester_id status pr_date priority total is_deleted"), _row_text(("items", "it"), "item_id name_en category brand size is_deleted"),
+    _row_text(("order_lines", "ol"), "po_id vendor_id pr_id line_no item_id ordered_qty unit_price is_deleted"),
+))
+
+
+@query("r11_checksum", f"{WITH} {R11_SQL}")
 def r11(spark, d):
     return reconcile.stacked([reconcile.checksum(name, f(spark, d)) for name, f in (("requests", t.requests), ("items", t.items), ("order_lines", t.order_lines))])
 
@@ -100,8 +119,8 @@ def r12(spark, d):
 
 @query("r13_sync_twice", f"{WITH} SELECT {LINE_SQL} FROM ln")
 def r13(spark, d):
-    rows = t.request_line_versions(spark, d)
-    return _num(v.current_state(rows.union(rows), t.LINE_KEYS, t.LINE_ORDER).select(*LINE))
+    rows = synced(spark, d, 2)
+    return _num(sync.apply_changes(rows.limit(0), rows, t.LINE_KEYS, t.LINE_ORDER).select(*LINE))
 
 
 @query("a17_distinct_exact", f"{WITH} SELECT count(DISTINCT item_id) AS n_distinct FROM lv")
@@ -168,11 +187,33 @@ def j7(spark, d):
     return validate.orphans(t.request_line_versions(spark, d), "pr_id", t.requests(spark, d).where("status != 'rejected'"), "pr_id").select("pr_id", "line_no")
 
 
-@query("c7_referential_checks", f"{WITH} SELECT 'line_item' AS rule, count(*) AS n FROM lv WHERE item_id NOT IN (SELECT item_id FROM it WHERE is_deleted = 0) UNION ALL SELECT 'line_request', count(*) FROM lv WHERE pr_id NOT IN (SELECT pr_id FROM rq WHERE is_deleted = 0) UNION ALL SELECT 'order_vendor', count(*) FROM ol WHERE vendor_id NOT IN (SELECT vendor_id FROM ve)")
+C7_SQL = f"""{WITH}, po AS (SELECT po_id, CASE WHEN po_id % 9 = 0 THEN '' ELSE CAST(min(pr_id) AS VARCHAR) END AS primary_pr FROM ol WHERE po_id % 13 <> 5 GROUP BY po_id),
+ch AS (SELECT DISTINCT po_id FROM ol WHERE po_id % 2 = 0), tp AS (SELECT DISTINCT category FROM it WHERE length(category) % 2 = 0)
+SELECT 'line_request' AS rule, count(*) AS n FROM lv WHERE pr_id NOT IN (SELECT pr_id FROM rq WHERE is_deleted = 0)
+UNION ALL SELECT 'line_item', count(*) FROM lv WHERE item_id NOT IN (SELECT item_id FROM it WHERE is_deleted = 0)
+UNION ALL SELECT 'order_line_order', count(*) FROM ol WHERE po_id NOT IN (SELECT po_id FROM po)
+UNION ALL SELECT 'order_line_request_line', count(*) FROM ol WHERE pr_id * 10 + line_no NOT IN (SELECT pr_id * 10 + line_no FROM ln WHERE is_deleted = 0)
+UNION ALL SELECT 'order_line_item', count(*) FROM ol WHERE item_id NOT IN (SELECT item_id FROM it WHERE is_deleted = 0)
+UNION ALL SELECT 'order_primary_request', count(*) FROM po WHERE primary_pr <> '' AND primary_pr NOT IN (SELECT CAST(pr_id AS VARCHAR) FROM rq WHERE is_deleted = 0)
+UNION ALL SELECT 'charge_order', count(*) FROM ch WHERE po_id NOT IN (SELECT po_id FROM po)
+UNION ALL SELECT 'template_item_template', count(*) FROM it WHERE category NOT IN (SELECT category FROM tp)
+UNION ALL SELECT 'order_vendor', count(*) FROM ol WHERE vendor_id NOT IN (SELECT vendor_id FROM ve)"""
+
+
+@query("c7_referential_checks", C7_SQL)
 def c7(spark, d):
-    lines, orders = t.request_line_versions(spark, d), t.order_lines(spark, d)
-    rules = (("line_item", lines, "item_id", v.live(t.items(spark, d))), ("line_request", lines, "pr_id", v.live(t.requests(spark, d))), ("order_vendor", orders, "vendor_id", t.vendors(spark, d)))
-    return reconcile.stacked([validate.orphans(child, c, parent, c).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("rule"), "n") for name, child, c, parent in rules])
+    """A table of rules: child, its column, parent, its key. Empty texts mean that there is no parent."""
+    lines, ordered, items = t.request_line_versions(spark, d), t.order_lines(spark, d), t.items(spark, d)
+    line_id = (F.col("pr_id") * 10 + F.col("line_no")).alias("line_id")
+    orders = ordered.where("po_id % 13 != 5").groupBy("po_id").agg(F.min("pr_id").cast("string").alias("pr")).select("po_id", F.when(F.col("po_id") % 9 == 0, "").otherwise(F.col("pr")).alias("primary_pr"))
+    live_requests, live_items = v.live(t.requests(spark, d)), v.live(items)
+    rules = (
+        ("line_request", lines, "pr_id", live_requests, "pr_id"), ("line_item", lines, "item_id", live_items, "item_id"), ("order_line_order", ordered, "po_id", orders, "po_id"),
+        ("order_line_request_line", ordered.select(line_id), "line_id", v.live(current_lines(spark, d)).select(line_id), "line_id"), ("order_line_item", ordered, "item_id", live_items, "item_id"),
+        ("order_primary_request", orders, "primary_pr", live_requests.select(F.col("pr_id").cast("string").alias("pr_id")), "pr_id"), ("charge_order", ordered.where("po_id % 2 = 0").select("po_id").distinct(), "po_id", orders, "po_id"),
+        ("template_item_template", items, "category", items.where("length(category) % 2 = 0").select("category").distinct(), "category"), ("order_vendor", ordered, "vendor_id", t.vendors(spark, d), "vendor_id"),
+    )
+    return reconcile.stacked([validate.orphans(child, c, parent, k).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("rule"), "n") for name, child, c, parent, k in rules])
 
 
 @query("c8_domain", f"{WITH} SELECT pr_id, priority FROM rq WHERE priority NOT IN ('1-URGENT', '2-HIGH')")
@@ -250,10 +291,14 @@ def w4(spark, d):
     return numbering.repair_all(legacy(spark, d), "legacy_id", ["size", "item_id"]).select("item_id", "fixed_id", "conflict")
 
 
+def greatest_item(spark, d) -> int:
+    """The greatest item number, 0 without items."""
+    return t.items(spark, d).agg(F.coalesce(F.max("item_id"), F.lit(0))).first()[0]
+
+
 @query("w5_deferred_ids", f"{WITH} SELECT pr_id, (SELECT max(item_id) FROM it) + row_number() OVER (ORDER BY pr_id) AS new_id FROM rq WHERE status = 'pending'")
 def w5(spark, d):
-    top = t.items(spark, d).agg(F.max("item_id")).first()[0]
-    return numbering.dense_numbers(t.requests(spark, d).where("status = 'pending'").select("pr_id"), ["pr_id"], int(top), "new_id")
+    return numbering.dense_numbers(t.requests(spark, d).where("status = 'pending'").select("pr_id"), ["pr_id"], greatest_item(spark, d), "new_id")
 
 
 @query("w6_document_numbers", f"{WITH}, c AS (SELECT CAST(year(pr_date) AS INT) AS y, count(*) % 7 AS last_no FROM rq GROUP BY 1), k AS (SELECT pr_id, y, last_no + row_number() OVER (PARTITION BY y ORDER BY pr_id) AS no FROM rq JOIN c ON year(pr_date) = y) SELECT pr_id, 'PR-' || y || '-' || CASE WHEN no < 1000 THEN lpad(CAST(no AS VARCHAR), 3, '0') ELSE CAST(no AS VARCHAR) END AS doc_no FROM k")
@@ -285,10 +330,28 @@ def m18(spark, d):
     return current_lines(spark, d).where("status != 'pending'").join(repaired, "pr_id", "left_semi").select("pr_id").distinct()
 
 
-@query("m12_create_requests", f"{WITH}, k AS (SELECT document_id, event_id, coalesce(value, 0) AS qty FROM cm) SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY event_id) AS line_no, 'pcs' AS uom, qty FROM k")
+M12_SQL = f"""{WITH}, h AS (SELECT document_id, year(min("at")) AS y, CASE WHEN document_id % 2 = 0 THEN 'D' || document_id % 7 ELSE '' END AS own, arg_min(action, event_id) AS first_department FROM cm GROUP BY document_id),
+nn AS (SELECT *, 10 + row_number() OVER (PARTITION BY y ORDER BY document_id) AS no FROM h),
+hd AS (SELECT document_id, 'PR-' || y || '-' || CASE WHEN no < 1000 THEN lpad(CAST(no AS VARCHAR), 3, '0') ELSE CAST(no AS VARCHAR) END AS doc_no, CASE WHEN own = '' THEN first_department ELSE own END AS department FROM nn),
+li AS (SELECT document_id, event_id, row_number() OVER (PARTITION BY document_id ORDER BY event_id) AS line_no, CAST(coalesce(CAST(value AS DECIMAL(18,2)), 0) AS DECIMAL(18,4)) AS qty,
+       CASE WHEN event_id % 5 = 0 THEN 0 ELSE event_id % 50 END AS unit_price, CASE WHEN event_id % 3 = 0 THEN 'box' ELSE 'pcs' END AS uom, event_id % 200 AS item_id FROM cm)
+SELECT document_id, doc_no, line_no, item_id, CAST(qty AS DOUBLE) AS qty, uom, CAST(unit_price AS DOUBLE) AS unit_price, CAST(qty * CAST(unit_price AS DECIMAL(18,4)) AS DOUBLE) AS estimate, department, 'pending' AS status
+FROM li JOIN hd USING (document_id)"""
+
+
+@query("m12_create_requests", M12_SQL)
 def m12(spark, d):
-    rows = t.commands(spark, d).select("document_id", "event_id", F.coalesce("value", F.lit(0.0)).alias("qty"))
-    return numbering.line_numbers(rows, "document_id", "event_id").select("document_id", F.col("line_no").cast("long"), F.lit("pcs").alias("uom"), "qty")
+    rows = t.commands(spark, d)
+    asked = rows.groupBy(F.col("document_id").alias("submission_id")).agg(F.year(F.min("at")).alias("year"))
+    asked = asked.withColumns({"department": F.when(F.col("submission_id") % 2 == 0, F.concat(F.lit("D"), (F.col("submission_id") % 7).cast("string"))).otherwise(""), "requested_by": F.lit("someone"), "notes": F.lit("")})
+    decimal = lambda c: c.cast("decimal(18,2)").cast("decimal(18,4)")
+    lines = rows.select(
+        F.col("document_id").alias("submission_id"), F.col("event_id").alias("position"), (F.col("event_id") % 200).alias("item_id"), decimal(F.col("value")).alias("qty"),
+        F.when(F.col("event_id") % 3 == 0, "box").when(F.col("event_id") % 3 == 1, "").alias("uom"), F.when(F.col("event_id") % 5 != 0, decimal(F.col("event_id") % 50)).alias("unit_price"), F.col("action").alias("department"),
+    )
+    counters = asked.select("year").distinct().withColumn("last_no", F.lit(10))
+    made = purchasing.create_requests(asked, lines, counters)[1]
+    return _num(made.select(F.col("submission_id").alias("document_id"), "doc_no", F.col("line_no").cast("long"), "item_id", "qty", "uom", "unit_price", "estimate", "department", "status"))
 
 
 @query("m13_create_orders", f"{WITH}, k AS (SELECT vendor_id, pr_id, line_no, item_id, row_number() OVER (PARTITION BY vendor_id ORDER BY pr_id, line_no) AS po_line FROM ln WHERE status = 'approved' AND is_deleted = 0) SELECT vendor_id, po_line, item_id, first_value(pr_id) OVER (PARTITION BY vendor_id ORDER BY po_line) AS primary_pr FROM k")
@@ -302,8 +365,7 @@ def m13(spark, d):
 @query("m14_item_requests", f"{WITH}, top AS (SELECT max(item_id) AS m FROM it) SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'approved' ELSE 'rejected' END AS status, CASE WHEN event_id % 2 = 0 THEN m + count(*) FILTER (event_id % 2 = 0) OVER (ORDER BY event_id) END AS item_no FROM cm, top WHERE action = 'click'")
 def m14(spark, d):
     asked = t.commands(spark, d).where("action = 'click'").select("event_id", F.when(F.col("event_id") % 2 == 0, "approved").otherwise("rejected").alias("status"))
-    top = t.items(spark, d).agg(F.max("item_id")).first()[0]
-    made = numbering.dense_numbers(asked.where("status = 'approved'"), ["event_id"], int(top), "item_no")
+    made = numbering.dense_numbers(asked.where("status = 'approved'"), ["event_id"], greatest_item(spark, d), "item_no")
     return made.unionByName(asked.where("status = 'rejected'").withColumn("item_no", F.lit(None).cast("long")))
 
 
@@ -360,10 +422,10 @@ def f6(spark, d):
     return bilingual(spark, d).select("item_id", F.array_join(n.probes(F.col("name")), "|").alias("probes"))
 
 
-@query("f7_department", f"{WITH} SELECT item_id, CASE WHEN item_id % 2 = 0 THEN category ELSE '仓库' END AS department FROM it WHERE NOT regexp_matches(category, '[0-9]')")
+@query("f7_department", f"{WITH} SELECT item_id, CASE WHEN item_id % 2 = 0 THEN category ELSE '仓库' END AS department FROM it")
 def f7(spark, d):
     name = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("仓库 "), "category")).otherwise("仓库")
-    return t.items(spark, d).where(~F.col("category").rlike("[0-9]")).select("item_id", n.department(name).alias("department"))
+    return t.items(spark, d).select("item_id", n.department(name).alias("department"))
 
 
 @query("f8_spec_extract", f"{WITH} SELECT item_id, CASE item_id % 3 WHEN 0 THEN name_en || ' x' WHEN 1 THEN name_en ELSE NULL END AS base, CASE item_id % 3 WHEN 1 THEN size || 'mm end' END AS spec, CASE item_id % 3 WHEN 1 THEN 'mm_size' WHEN 2 THEN 'manual' END AS kind FROM it")
@@ -428,10 +490,10 @@ def a14(spark, d):
     return t.items(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f15_reparse", f"{WITH} SELECT item_id, name_en AS en FROM it WHERE item_id % 3 = 2")
+@query("f15_reparse", f"{WITH} SELECT item_id, name_en AS en FROM it WHERE item_id % 3 <> 1")
 def f15(spark, d):
     cn, en = n.split_bilingual(F.col("name"))
-    return bilingual(spark, d).select("item_id", en.alias("en"), (en != F.col("name")).alias("changed"), cn.alias("cn")).where("changed AND item_id % 3 = 2").select("item_id", "en")
+    return bilingual(spark, d).select("item_id", en.alias("en"), (en != F.col("name")).alias("changed"), cn.alias("cn")).where("changed").select("item_id", "en")
 
 
 @query("f16_garbled", f"{WITH} SELECT item_id, name_en AS name FROM it")
@@ -451,10 +513,9 @@ def p9(spark, d):
     return corrections.junk(rows, "en", "cn", ("test",)).select("item_id")
 
 
-@query("f18_base_name", f"{WITH} SELECT item_id, lower(name_en) AS base FROM it WHERE NOT regexp_matches(name_en, '[0-9]')")
+@query("f18_base_name", f"{WITH} SELECT item_id, lower(name_en) AS base FROM it")
 def f18(spark, d):
-    rows = t.items(spark, d).where(~F.col("name_en").rlike("[0-9]"))
-    return rows.select("item_id", n.base_name(F.concat("name_en", F.lit(" "), F.col("size").cast("string"), F.lit(" mm"))).alias("base"))
+    return t.items(spark, d).select("item_id", n.base_name(F.concat("name_en", F.lit(" "), F.col("size").cast("string"), F.lit(" mm"))).alias("base"))
 
 
 @query("w7_variants", f"{WITH}, g AS (SELECT lower(name_en) AS base_name, min(item_id) AS base_item_id, count(*) AS n FROM it GROUP BY 1 HAVING count(*) > 1) SELECT item_id, base_name, base_item_id, n FROM it JOIN g ON lower(name_en) = base_name WHERE item_id <> base_item_id")
@@ -504,7 +565,7 @@ def a19(spark, d):
 @query("j9_vendor_backfill", f"{WITH} SELECT po_id, ol.vendor_id FROM ol JOIN ve USING (vendor_id) GROUP BY ALL")
 def j9(spark, d):
     named = t.order_lines(spark, d).join(t.vendors(spark, d), "vendor_id").select("po_id", F.concat(F.upper("vendor_name"), F.lit(" ")).alias("raw")).distinct()
-    index = t.vendors(spark, d).select(F.col("vendor_id"), F.lower(n.tidy(F.col("vendor_name"))).alias("key"))
+    index = match.first_per_key(t.vendors(spark, d).select("vendor_id", F.lower(n.tidy(F.col("vendor_name"))).alias("key")), ["key"], ["vendor_id"])
     return named.withColumn("key", F.lower(n.tidy(F.col("raw")))).join(index, "key", "left").select("po_id", "vendor_id")
 
 
@@ -579,11 +640,12 @@ def f33(spark, d):
 # --- matching ----------------------------------------------------------------------------------------------------
 
 
-@query("j8_prioritised_lookup", f"{WITH}, i AS (SELECT lower(name_en) AS k, min(item_id) AS item_id FROM it WHERE item_id % 2 = 0 GROUP BY 1) SELECT a.item_id AS asked_id, i.item_id FROM it a LEFT JOIN i ON lower(a.name_en) = k")
+@query("j8_prioritised_lookup", f"{WITH}, e AS (SELECT lower(name_en) AS k, lower(name_en) || '|' || brand AS kb, item_id FROM it WHERE item_id % 2 = 0), i AS (SELECT k, min(item_id) AS item_id FROM e GROUP BY k), b AS (SELECT kb, min(item_id) AS item_id FROM e GROUP BY kb) SELECT a.item_id AS asked_id, coalesce(b.item_id, i.item_id) AS item_id FROM it a LEFT JOIN b ON lower(a.name_en) || '|' || a.brand = kb LEFT JOIN i ON lower(a.name_en) = k")
 def j8(spark, d):
-    asked = t.items(spark, d).select(F.col("item_id").alias("asked_id"), F.lower("name_en").alias("k"))
-    index = t.items(spark, d).where("item_id % 2 = 0").select(F.lower("name_en").alias("name_key"), "item_id")
-    return match.prioritised_lookup(asked, "asked_id", [F.concat("k", F.lit("|none")), F.col("k")], index, "name_key", "item_id", ["item_id"])
+    """Name and brand are tried first, then the name alone, against an index that has both keys of each item."""
+    asked = t.items(spark, d).select(F.col("item_id").alias("asked_id"), F.lower("name_en").alias("k"), "brand")
+    index = t.items(spark, d).where("item_id % 2 = 0").select("item_id", F.explode(F.array(F.lower("name_en"), F.concat_ws("|", F.lower("name_en"), "brand"))).alias("name_key"))
+    return match.prioritised_lookup(asked, "asked_id", [F.concat_ws("|", "k", "brand"), F.col("k")], index, "name_key", "item_id", ["item_id"])
 
 
 @query("a21_match_rate", f"{WITH}, i AS (SELECT DISTINCT name_en FROM it WHERE item_id % 40 = 0) SELECT category, count(*) AS n_items, count(*) FILTER (name_en IN (SELECT name_en FROM i)) AS n_matched FROM it GROUP BY category")
@@ -619,15 +681,15 @@ def f30(spark, d):
 
 @query("w8_greedy_new")
 def w8(spark, d):
-    typed, _ = fuzzy_names(spark, d)
-    pairs = match.similar_pairs(typed, typed).where("id < match_id").select(F.col("id").alias("earlier"), F.col("match_id").alias("later"))
+    """Typed names against a master of every second true name: new is what neither the master nor an earlier new one has."""
+    typed, names = fuzzy_names(spark, d)
 
     def cut(df: DataFrame) -> DataFrame:
         path = files.work_folder(spark)
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    return match.greedy_new(cut(pairs), typed.select("id"), cut)
+    return match.new_items(typed, names.where("id % 2 = 1"), cut)
 
 
 #: Fields of the item search and their weights.
@@ -639,13 +701,28 @@ def searched(spark, d) -> DataFrame:
     return t.items(spark, d).select("item_id", "name_en", F.concat(F.col("size").cast("string"), F.lit("mm")).alias("spec")).join(bilingual(spark, d).withColumnRenamed("name", "name_cn"), "item_id")
 
 
-@query("j12_search_top_k")
+def _grams(text: str) -> str:
+    return f"CASE WHEN length({text}) > 1 THEN list_distinct([substr({text}, i, 2) for i in range(1, length({text}))]) ELSE [] END"
+
+
+FIELDS_SQL = f"f AS (SELECT item_id, {_grams('lower(name_en)')} AS g1, {_grams('lower(name_cn)')} AS g2, {_grams('spec')} AS g3, {_grams('CAST(item_id AS VARCHAR)')} AS g4 FROM (SELECT item_id, name_en, {BILINGUAL} AS name_cn, size || 'mm' AS spec FROM it))"
+SCORE_SQL = "1 - CAST(3 * len(list_intersect(g, g1)) + 3 * len(list_intersect(g, g2)) + 2 * len(list_intersect(g, g3)) + len(list_intersect(g, g4)) AS DOUBLE) / (len(g) * 9)"
+J12_SQL = f"""{WITH}, {FIELDS_SQL}, q AS (SELECT item_id AS query_id, {_grams('lower(name_en)')} AS g FROM it WHERE item_id % 50 = 0),
+s AS (SELECT query_id, item_id, {SCORE_SQL} AS score FROM q CROSS JOIN f), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, item_id) AS place FROM s WHERE score <= 0.4)
+SELECT query_id, item_id, score, place FROM r WHERE place <= 5"""
+PROBES_SQL = "CASE item_id % 3 WHEN 0 THEN [name_en || ' 轴承', name_en, '轴承'] WHEN 1 THEN [name_en] ELSE [name_en || ' 水泵 M16*50', name_en || ' M16*50', '水泵'] END"
+J13_SQL = f"""{WITH}, {FIELDS_SQL}, p AS (SELECT item_id AS query_id, unnest({PROBES_SQL}) AS text FROM it WHERE item_id % 50 = 0), q AS (SELECT query_id, text, {_grams('lower(text)')} AS g FROM p),
+s AS (SELECT query_id, text, item_id, {SCORE_SQL} AS score FROM q CROSS JOIN f), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY score, item_id) AS k FROM s WHERE score <= 0.4),
+b AS (SELECT query_id, item_id, min(score) AS score FROM r WHERE k <= 4 GROUP BY ALL) SELECT query_id, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, item_id) AS place FROM b) WHERE place <= 4"""
+
+
+@query("j12_search_top_k", J12_SQL)
 def j12(spark, d):
     asked = t.items(spark, d).where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("name_en").alias("text"))
     return match.search_top_k(asked, searched(spark, d), SEARCHED, 5, 0.4)
 
 
-@query("j13_multi_probe")
+@query("j13_multi_probe", J13_SQL)
 def j13(spark, d):
     asked = bilingual(spark, d).where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.posexplode(n.probes(F.col("name"))).alias("probe", "text"))
     spread = asked.select(F.struct("query_id", "probe").alias("query_id"), "text")
@@ -724,10 +801,13 @@ def s10(spark, d):
     return rows.join(last, F.lower("name_en") == F.col("k"), "left").select("item_id", F.coalesce("cn", F.lit("")).alias("name_cn"))
 
 
-@query("m17_template_import", f"{WITH} SELECT category, item_id, row_number() OVER (PARTITION BY category ORDER BY item_id) - 1 AS sort_order FROM it WHERE is_deleted = 0")
+@query("m17_template_import", f"{WITH}, e AS (SELECT item_id, name_en, CASE WHEN item_id % 4 = 0 THEN 'set' ELSE '' END AS uom, lower(name_en) AS k, lower(name_en) || '|' || brand AS kb FROM it WHERE item_id % 2 = 0 AND is_deleted = 0), i AS (SELECT k, min(item_id) AS m FROM e GROUP BY k), b AS (SELECT kb, min(item_id) AS m FROM e GROUP BY kb), x AS (SELECT category, item_id AS pos, lower(name_en) || CASE WHEN item_id % 5 = 0 THEN ' zz' ELSE '' END AS name, brand, CASE WHEN item_id % 3 = 0 THEN 'box' ELSE '' END AS uom FROM it), y AS (SELECT x.*, coalesce(b.m, i.m) AS m FROM x LEFT JOIN b ON name || '|' || brand = kb LEFT JOIN i ON name = k) SELECT y.category AS template, m AS item_id, coalesce(e.name_en, name) AS name, coalesce(nullif(e.uom, ''), y.uom) AS uom, row_number() OVER (PARTITION BY y.category ORDER BY pos) - 1 AS sort_order FROM y LEFT JOIN e ON m = e.item_id")
 def m17(spark, d):
-    rows = numbering.line_numbers(v.live(t.items(spark, d)), "category", "item_id")
-    return rows.select("category", "item_id", (F.col("line_no") - 1).cast("long").alias("sort_order"))
+    """Sheets are categories; their lines name live items, by name and brand or by name alone, or nothing known."""
+    items = t.items(spark, d)
+    rows = items.select(F.col("category").alias("template"), F.col("item_id").alias("position"), F.concat(F.lower("name_en"), F.when(F.col("item_id") % 5 == 0, " zz").otherwise("")).alias("name"), "brand", F.when(F.col("item_id") % 3 == 0, "box").otherwise("").alias("uom"))
+    known = v.live(items).where("item_id % 2 = 0").select("item_id", F.col("name_en").alias("item_name"), F.when(F.col("item_id") % 4 == 0, "set").otherwise("").alias("item_uom"), F.explode(F.array(F.lower("name_en"), F.concat_ws("|", F.lower("name_en"), "brand"))).alias("name_key"))
+    return purchasing.import_templates(rows, known, [F.concat_ws("|", "name", "brand"), F.col("name")], "name_key")
 
 
 def _streamed(spark, d, name: str) -> tuple[DataFrame, str]:
@@ -753,15 +833,15 @@ def t2(spark, d):
     return spark.read.parquet(f"{base}/out").select("event_id")
 
 
-@query("t3_order_status_stream")
+@query("t3_order_status_stream", ORDER_STATUS_SQL)
 def t3(spark, d):
+    """Commands lie in files by document, so each trigger has whole histories; the newest state of each document is read."""
     base = files.work_folder(spark)
     commands = order_commands(spark, d).withColumn("at", F.col("at").cast("timestamp"))
-    commands.repartition(1).write.parquet(f"{base}/in")
-    rows = streams.source(spark, f"{base}/in", commands.schema)
-    name = f"status_{base.rsplit('-', 1)[-1]}"
-    streams.order_status_stream(rows, name, f"{base}/state")
-    return spark.table(name)
+    commands.repartition(4, "document_id").write.parquet(f"{base}/in")
+    streams.order_status_stream(streams.source(spark, f"{base}/in", commands.schema, 1), f"{base}/out", f"{base}/state")
+    newest = spark.read.parquet(f"{base}/out").groupBy("document_id").agg(F.max_by(F.struct("state", "refused", "seen"), "seen").alias("s"))
+    return newest.select("document_id", "s.state", "s.refused", "s.seen")
 
 
 # --- the remaining scans, sinks, sorts and guards ------------------------------------------------------------------
@@ -810,18 +890,22 @@ def o3(spark, d):
     return t.requests(spark, d).orderBy(F.desc("pr_date"), F.desc("pr_id")).select("pr_id", F.date_format("pr_date", "yyyy-MM-dd").alias("day"))
 
 
-@query("f9_manual_review", f"{WITH} SELECT item_id, item_id % 10 = 0 AS manual FROM it WHERE item_id % 5 = 0")
+@query("f9_manual_review", f"{WITH} SELECT item_id, item_id % 10 = 0 AS manual FROM it")
 def f9(spark, d):
     """Listed rows are set aside, the others go on; the list is itself a table."""
-    rows = t.items(spark, d).where("item_id % 5 = 0").select("item_id")
+    rows = t.items(spark, d).select("item_id")
     listed = rows.where("item_id % 10 = 0").withColumn("manual", F.lit(True))
     return rows.join(listed, "item_id", "left").select("item_id", F.coalesce("manual", F.lit(False)).alias("manual"))
 
 
-@query("f17_blank_counts", f"{WITH} SELECT count(*) FILTER (item_id % 3 = 0) AS brand, count(*) FILTER (item_id % 4 = 0) AS category FROM it")
+@query("f17_blank_counts", f"{WITH} SELECT column_name, count(*) FILTER (item_id % k = 0) AS n_blank, count(*) FILTER (item_id % k = 0) AS n_null_after FROM it CROSS JOIN (VALUES ('brand', 3), ('category', 4)) x(column_name, k) GROUP BY column_name")
 def f17(spark, d):
+    """Empty texts of a list of columns become null; how many there were, and how many nulls there are then."""
     rows = t.items(spark, d).select(F.when(F.col("item_id") % 3 == 0, "").otherwise(F.col("brand")).alias("brand"), F.when(F.col("item_id") % 4 == 0, "").otherwise(F.col("category")).alias("category"))
-    return rows.agg(*(F.count_if(F.col(c) == "").alias(c) for c in ("brand", "category")))
+    nulled, counts = files.blank_to_null(rows, ["brand", "category"])
+    after = nulled.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in nulled.columns))
+    tall = lambda df, name: df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias(name)) for c in df.columns))).alias("e")).select("e.*")
+    return tall(counts, "n_blank").join(tall(after, "n_null_after"), "column_name")
 
 
 @query("c11_dry_run", f"{WITH} SELECT 'duplicate_name' AS report, count(*) AS n FROM (SELECT name_en FROM it GROUP BY name_en HAVING count(*) > 1) UNION ALL SELECT 'dead_item_lines', count(*) FROM lv WHERE item_id NOT IN (SELECT item_id FROM it WHERE is_deleted = 0)")
@@ -832,11 +916,15 @@ def c11(spark, d):
     return reconcile.stacked([r.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("report"), "n") for name, r in reports.items()])
 
 
-@query("c12_optional_table", f"{WITH} SELECT po_id, CAST(0 AS BIGINT) AS n_charges FROM ol GROUP BY po_id")
+@query("c12_optional_table", f"{WITH} SELECT po_id, CASE WHEN po_id % 3 = 0 THEN 1 ELSE 0 END AS n_charges, CAST(0 AS BIGINT) AS n_refunds FROM ol GROUP BY po_id")
 def c12(spark, d):
-    """An optional source that isn't there counts as an empty table of its type."""
-    charges = spark.createDataFrame([], "po_id long, amount decimal(18,2)")
-    return t.order_lines(spark, d).select("po_id").distinct().join(charges.groupBy("po_id").agg(F.count(F.lit(1)).alias("n")), "po_id", "left").select("po_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_charges"))
+    """Of two optional sources one is there; the other counts as an empty table of its type."""
+    base, orders = files.work_folder(spark), t.order_lines(spark, d).select("po_id").distinct()
+    orders.where("po_id % 3 = 0").write.parquet(f"{base}/charges")
+    for name in ("charges", "refunds"):
+        found = files.read_or_empty(spark, f"{base}/{name}", orders.schema).groupBy("po_id").agg(F.count(F.lit(1)).alias(f"n_{name}"))
+        orders = orders.join(found, "po_id", "left").withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0)).cast("long"))
+    return orders
 
 
 @query("c15_apply_once", f"{WITH} SELECT count(*) AS n_rows FROM it")

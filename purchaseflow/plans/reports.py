@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from purchaseflow.operators import numbering
 from purchaseflow.operators import purchasing as p
 from purchaseflow.operators import versioned as v
 from purchaseflow.sources import tables as t
@@ -82,9 +83,8 @@ def v4(spark, d):
 
 @query("v5_key_lookup", f"{WITH} SELECT {LINE_SQL} FROM ln WHERE is_deleted = 0 AND pr_id IN (SELECT pr_id FROM rq WHERE status = 'rejected')")
 def v5(spark, d):
-    rows = t.request_line_versions(spark, d)
     wanted = t.requests(spark, d).where("status = 'rejected'").select("pr_id")
-    return _num(v.live(v.current_state(rows.join(wanted, "pr_id", "left_semi"), t.LINE_KEYS, t.LINE_ORDER)).select(*LINE))
+    return _num(v.lookup(t.request_line_versions(spark, d), wanted, t.LINE_KEYS, t.LINE_ORDER).select(*LINE))
 
 
 @query("v6_soft_delete", f"{WITH} SELECT pr_id, line_no, 1 AS is_deleted FROM ln WHERE is_deleted = 0 AND status = 'rejected'")
@@ -197,10 +197,12 @@ def a8(spark, d):
     return items.select("category").distinct().join(live, "category", "left").groupBy("category").agg(F.count("item_id").alias("n_items"))
 
 
-@query("a9_nested_by_department", f"{WITH} SELECT coalesce(nullif(category, ''), 'Other') AS department, string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY size, item_id) AS items FROM it WHERE is_deleted = 0 GROUP BY 1")
+@query("a9_nested_by_department", f"{WITH} SELECT coalesce(nullif(category, ''), 'Other') AS department, row_number() OVER (PARTITION BY coalesce(nullif(category, ''), 'Other') ORDER BY size, item_id) AS place, item_id FROM it WHERE is_deleted = 0")
 def a9(spark, d):
-    rows = t.items(spark, d).where("is_deleted = 0").groupBy(F.coalesce(F.nullif("category", F.lit("")), F.lit("Other")).alias("department"))
-    return rows.agg(F.array_sort(F.collect_list(F.struct("size", "item_id"))).alias("s")).select("department", F.array_join(F.transform("s", lambda x: x["item_id"].cast("string")), " ").alias("items"))
+    """Items in their place within their department; rows, as a department may have any number of them."""
+    rows = t.items(spark, d).where("is_deleted = 0").withColumn("department", F.coalesce(F.nullif("category", F.lit("")), F.lit("Other")))
+    place = F.row_number().over(Window.partitionBy("department").orderBy("size", "item_id"))
+    return rows.select("department", place.cast("long").alias("place"), "item_id")
 
 
 @query("a10_roll_up", f"{WITH} SELECT pr_id, CASE WHEN bool_or(status IN ('', 'pending')) THEN NULL WHEN bool_and(status = 'rejected') THEN 'rejected' ELSE 'approved' END AS new_status FROM ln WHERE is_deleted = 0 GROUP BY pr_id")
@@ -208,19 +210,19 @@ def a10(spark, d):
     return p.roll_up(current_lines(spark, d).where("is_deleted = 0"))
 
 
-TERMS_SQL = "tm AS (SELECT DISTINCT po_id, (po_id % 130) - 10 AS discount_pct, CAST(po_id % 7 * 1000 AS DECIMAL(18,2)) AS charges, CASE po_id % 5 WHEN 0 THEN 'pph23' WHEN 1 THEN 'pph15' WHEN 2 THEN 'pph22_solar' WHEN 3 THEN 'pph22_impor' ELSE '' END AS withholding FROM ol)"
+TERMS_SQL = "tm AS (SELECT DISTINCT po_id, (po_id % 130) - 10 AS discount_pct, CAST(po_id % 7 * 1000 AS DECIMAL(18,2)) AS charges, CASE po_id % 5 WHEN 0 THEN 'pph23' WHEN 1 THEN 'pph15' WHEN 2 THEN 'pph22_solar' WHEN 3 THEN 'pph22_impor' ELSE '' END AS withholding, po_id % 3 <> 0 AS include_vat FROM ol)"
 
 
 def terms(spark, d):
     kind = F.when(F.col("po_id") % 5 == 0, "pph23").when(F.col("po_id") % 5 == 1, "pph15").when(F.col("po_id") % 5 == 2, "pph22_solar").when(F.col("po_id") % 5 == 3, "pph22_impor").otherwise("")
-    return t.order_lines(spark, d).select("po_id").distinct().select("po_id", (F.col("po_id") % 130 - 10).alias("discount_pct"), (F.col("po_id") % 7 * 1000).cast("decimal(18,2)").alias("charges"), kind.alias("withholding"))
+    return t.order_lines(spark, d).select("po_id").distinct().select("po_id", (F.col("po_id") % 130 - 10).alias("discount_pct"), (F.col("po_id") % 7 * 1000).cast("decimal(18,2)").alias("charges"), kind.alias("withholding"), (F.col("po_id") % 3 != 0).alias("include_vat"))
 
 
 TOTALS_SQL = f"""{WITH}, {TERMS_SQL},
 s AS (SELECT po_id, round(CAST(sum(unit_price * ordered_qty) AS DECIMAL(28,6)), 2) AS subtotal FROM ol WHERE is_deleted = 0 GROUP BY po_id),
 a AS (SELECT *, round(subtotal * CAST(least(greatest(discount_pct, 0), 100) AS DECIMAL(5,2)) * CAST(0.01 AS DECIMAL(4,2)), 2) AS discount FROM s JOIN tm USING (po_id)),
 b AS (SELECT *, CAST(subtotal - discount AS DECIMAL(18,2)) AS net FROM a),
-c AS (SELECT *, round((net + charges) * CAST(0.11 AS DECIMAL(5,4)), 2) AS vat,
+c AS (SELECT *, CASE WHEN include_vat THEN round((net + charges) * CAST(0.11 AS DECIMAL(5,4)), 2) ELSE 0 END AS vat,
       round(net * CASE withholding WHEN 'pph23' THEN CAST(0.02 AS DECIMAL(5,4)) WHEN 'pph15' THEN CAST(0.012 AS DECIMAL(5,4)) WHEN 'pph22_solar' THEN CAST(0.003 AS DECIMAL(5,4)) WHEN 'pph22_impor' THEN CAST(0.025 AS DECIMAL(5,4)) ELSE CAST(0 AS DECIMAL(5,4)) END, 2) AS withheld FROM b)
 SELECT po_id, CAST(subtotal AS DOUBLE) AS subtotal, CAST(discount AS DOUBLE) AS discount, CAST(vat AS DOUBLE) AS vat, CAST(withheld AS DOUBLE) AS withheld, CAST(net + charges + vat - withheld AS DOUBLE) AS total FROM c"""
 
@@ -261,18 +263,27 @@ def p5(spark, d):
     return p.with_ordered(current_lines(spark, d), t.order_lines(spark, d)).where(F.col("ordered_qty") < p.wanted()).select("pr_id", "line_no")
 
 
-@query("m7_request_detail", f"{WITH}, {ORDERED} SELECT rq.pr_id, rq.status, string_agg(CAST(ln.line_no AS VARCHAR) || ':' || ln.status, ' ' ORDER BY ln.line_no) AS lines, CAST(sum(price * requested_qty) AS DOUBLE) AS estimate FROM rq JOIN ln USING (pr_id) JOIN it USING (item_id) WHERE rq.is_deleted = 0 AND ln.is_deleted = 0 AND it.is_deleted = 0 GROUP BY rq.pr_id, rq.status")
+M7_SQL = f"""{WITH}, {ORDERED}, lr AS (SELECT pr_id, status FROM rq WHERE is_deleted = 0),
+b AS (SELECT ln.pr_id, ln.line_no, price * requested_qty AS amount, ln.status || ' ' || CASE WHEN coalesce(od.ordered_qty, 0) = 0 THEN 'unfulfilled' WHEN od.ordered_qty >= {WANTED} THEN 'fulfilled' ELSE 'partial' END AS text
+      FROM ln JOIN it USING (item_id) LEFT JOIN od USING (pr_id, line_no) WHERE ln.is_deleted = 0 AND it.is_deleted = 0 AND ln.pr_id IN (SELECT pr_id FROM lr))
+SELECT lr.pr_id, 'header' AS part, CAST(0 AS BIGINT) AS position, status AS text, CAST(coalesce(sum(amount), 0) AS DOUBLE) AS amount FROM lr LEFT JOIN b USING (pr_id) GROUP BY lr.pr_id, status
+UNION ALL SELECT pr_id, 'line', line_no, text, CAST(amount AS DOUBLE) FROM b
+UNION ALL SELECT document_id, 'action', row_number() OVER (PARTITION BY document_id ORDER BY "at", event_id), action, 0.0 FROM cm WHERE document_id IN (SELECT pr_id FROM lr)"""
+
+
+@query("m7_request_detail", M7_SQL)
 def m7(spark, d):
-    rows = current_lines(spark, d).where("is_deleted = 0").join(t.items(spark, d).where("is_deleted = 0").select("item_id"), "item_id")
-    nested = rows.groupBy("pr_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "status"))).alias("s"), F.sum(F.col("price") * F.col("requested_qty")).alias("estimate"))
-    out = t.requests(spark, d).where("is_deleted = 0").join(nested, "pr_id")
-    return _num(out.select("pr_id", "status", F.array_join(F.transform("s", lambda x: F.concat(x["line_no"].cast("string"), F.lit(":"), x["status"])), " ").alias("lines"), "estimate"))
+    actions = t.commands(spark, d).select("document_id", "at", F.col("event_id").alias("seq"), "action")
+    return _num(p.request_detail(t.requests(spark, d), current_lines(spark, d), t.items(spark, d), t.order_lines(spark, d), actions))
 
 
-@query("m8_order_detail", f"{WITH} SELECT po_id, vendor_name, count(*) AS n_lines, CAST(sum(unit_price * ordered_qty) AS DOUBLE) AS amount FROM ol JOIN ve USING (vendor_id) JOIN it USING (item_id) WHERE ol.is_deleted = 0 GROUP BY po_id, vendor_name")
+@query("m8_order_detail", f"WITH tt AS ({TOTALS_SQL}) SELECT po_id, s_name AS vendor_name, n_lines, CAST(po_id % 7 * 1000 AS DOUBLE) AS charges, subtotal, vat, withheld, total, po_id % 4 <> 0 AS matches FROM tt JOIN (SELECT l_suppkey * 100 + month(l_shipdate) AS po_id, min(l_suppkey) AS s_suppkey, count(*) AS n_lines FROM lineitem WHERE l_linestatus = 'F' AND NOT l_tax >= 0.08 GROUP BY 1) USING (po_id) JOIN supplier USING (s_suppkey)")
 def m8(spark, d):
-    rows = t.order_lines(spark, d).where("is_deleted = 0").join(t.vendors(spark, d).select("vendor_id", "vendor_name"), "vendor_id").join(t.items(spark, d).select("item_id"), "item_id")
-    return _num(rows.groupBy("po_id", "vendor_name").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("unit_price") * F.col("ordered_qty")).alias("amount")))
+    """Every fourth order's stored total is off by one, which the recomputed total shows."""
+    lines, known = t.order_lines(spark, d), terms(spark, d)
+    stored = p.order_totals(lines, known).select("po_id", (F.col("total") + F.when(F.col("po_id") % 4 == 0, 1).otherwise(0)).cast("decimal(18,2)").alias("stored_total"))
+    out = p.order_detail(lines, known, t.vendors(spark, d), stored)
+    return _num(out.select("po_id", "vendor_name", "n_lines", "charges", "subtotal", "vat", "withheld", "total", "matches"))
 
 
 @query("j5_order_to_request_chain", f"{WITH} SELECT ol.po_id, count(*) AS n, count(ln.line_no) AS n_lines, count(rq.pr_id) AS n_requests FROM ol LEFT JOIN ln ON ol.pr_id = ln.pr_id AND ol.line_no = ln.line_no LEFT JOIN rq ON ln.pr_id = rq.pr_id GROUP BY ol.po_id")
@@ -304,7 +315,16 @@ def order_commands(spark, d):
     return t.commands(spark, d).select("document_id", "at", F.col("event_id").alias("seq"), action.alias("action"), F.when(F.col("event_id") % 3 != 0, "note").otherwise("").alias("note"))
 
 
-@query("m11_order_status")
+ORDER_STATUS_SQL = f"""WITH RECURSIVE {t.SQL},
+c AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY "at", event_id) AS n, CASE action WHEN 'click' THEN 'approve' WHEN 'view' THEN 'reject' WHEN 'purchase' THEN 'resubmit' ELSE 'other' END AS action, event_id % 3 <> 0 AS noted FROM cm),
+f AS (SELECT DISTINCT document_id, CAST(0 AS BIGINT) AS n, 'pending_approval' AS state, CAST(0 AS BIGINT) AS refused FROM c
+      UNION ALL SELECT document_id, n, coalesce(then_, state), refused + CASE WHEN then_ IS NULL THEN 1 ELSE 0 END FROM (
+          SELECT c.document_id, c.n, f.state, f.refused, CASE WHEN f.state = 'pending_approval' AND action = 'approve' THEN 'approved' WHEN f.state = 'pending_approval' AND action = 'reject' AND noted THEN 'rejected' WHEN f.state = 'rejected' AND action = 'resubmit' THEN 'pending_approval' END AS then_
+          FROM f JOIN c ON c.document_id = f.document_id AND c.n = f.n + 1))
+SELECT document_id, state, refused, n AS seen FROM f QUALIFY n = max(n) OVER (PARTITION BY document_id)"""
+
+
+@query("m11_order_status", ORDER_STATUS_SQL)
 def m11(spark, d):
     return p.fold_status(order_commands(spark, d))
 
@@ -344,8 +364,7 @@ def p10(spark, d):
 
 @query("o1_byte_order", f"{WITH} SELECT name_en, row_number() OVER (ORDER BY name_en) AS place FROM (SELECT DISTINCT name_en FROM it)")
 def o1(spark, d):
-    names = t.items(spark, d).select("name_en").distinct()
-    return names.select("name_en", F.row_number().over(Window.orderBy("name_en")).cast("long").alias("place"))  # a few dozen names
+    return numbering.dense_numbers(t.items(spark, d).select("name_en").distinct(), ["name_en"], 0, "place").select("name_en", "place")
 
 
 @query("o4_top_k", f"{WITH} SELECT vendor_id, vendor_name FROM ve WHERE strpos(lower(vendor_name), '1') > 0 ORDER BY vendor_name, vendor_id LIMIT 10")

@@ -10,9 +10,30 @@ from pyspark.sql.types import StructType
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
+    """A new path below the folder that driver and executors share, ``spark.checkpoint.dir``; what is written there goes
+    when the application ends. A session on one machine may have none (a folder of the warehouse serves then); on a
+    cluster that raises RuntimeError."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    top = f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
+    store, folder = _store(spark, top)
+    store.mkdirs(folder)
+    store.deleteOnExit(folder)
+    return f"{top}/data"
+
+
+def _store(spark: SparkSession, path: str):
+    """The file system of a path, and the path as its own class."""
+    jvm = spark.sparkContext._jvm
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def _move(spark: SparkSession, source: str, target: str) -> bool:
+    store, old = _store(spark, source)
+    return store.rename(old, _store(spark, target)[1])
 
 
 def write_ndjson(rows: DataFrame, path: str) -> None:
@@ -41,16 +62,27 @@ def append_log(spark: SparkSession, path: str, source: str, parsed: int, matched
 
 
 def replace_table(rows: DataFrame, path: str) -> None:
-    """Writes beside the table and moves the result there, so readers see the old table or the new one."""
+    """Writes beside the table, then moves the old one aside and the new one in its place.
+
+    The old table is deleted only when the new one stands there; if that move fails, the old one is put back and OSError
+    raised. Between the two renames a reader may find no table; it never finds half of one.
+    """
     spark = rows.sparkSession
-    staged = f"{path}.staged-{uuid.uuid4().hex}"
+    tag = uuid.uuid4().hex
+    staged, aside = f"{path}.staged-{tag}", f"{path}.old-{tag}"
     rows.write.parquet(staged)
-    jvm = spark.sparkContext._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(staged)
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if not fs.rename(new, old):
+    store, table = _store(spark, path)
+    there = store.exists(table)
+    if there and not _move(spark, path, aside):
+        store.delete(_store(spark, staged)[1], True)
+        raise OSError(f"{path} can't be moved aside")
+    if not _move(spark, staged, path):
+        if there:
+            _move(spark, aside, path)
+        store.delete(_store(spark, staged)[1], True)
         raise OSError(f"{staged} can't be moved to {path}")
+    if there:
+        store.delete(_store(spark, aside)[1], True)
 
 
 def publish(rows: DataFrame, path: str, checks: dict[str, DataFrame]) -> dict[str, int]:
@@ -61,6 +93,17 @@ def publish(rows: DataFrame, path: str, checks: dict[str, DataFrame]) -> dict[st
     return found
 
 
+def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table at ``path``, or an empty one if nothing is there."""
+    store, found = _store(spark, path)
+    return spark.read.schema(schema).parquet(path) if store.exists(found) else spark.createDataFrame([], schema)
+
+
+def blank_to_null(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows with the empty texts of ``columns`` as null, one row with how many each column had)."""
+    return rows.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in columns}), rows.agg(*(F.count_if(F.col(c) == "").alias(c) for c in columns))
+
+
 def conform(rows: DataFrame, schema: StructType) -> tuple[DataFrame, list[str], list[str]]:
     """(rows in the target's columns and types, columns dropped, columns defaulted)."""
     have, want = set(rows.columns), {f.name for f in schema}

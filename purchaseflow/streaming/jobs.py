@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from purchaseflow.operators.purchasing import MOVES
+from purchaseflow.operators.purchasing import next_state
 
 
 def source(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 8) -> DataFrame:
@@ -31,24 +31,30 @@ def append_once_stream(rows: DataFrame, key: str, time: str, delay: str, target:
     return query
 
 
+def _fold(rows: pd.DataFrame, now: str, refused: int, seen: int) -> tuple[str, int, int]:
+    for r in rows.sort_values(["at", "seq"]).itertuples():
+        then = next_state(now, r.action, r.note)
+        now, refused, seen = then or now, refused + (then is None), seen + 1
+    return now, refused, seen
+
+
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now, refused, seen = state.get if state.exists else ("pending_approval", 0, 0)
-    for rows in batches:
-        for r in rows.sort_values(["at", "seq"]).itertuples():
-            then = MOVES.get((now, r.action))
-            if then and (r.action != "reject" or r.note):
-                now = then
-            else:
-                refused += 1
-            seen += 1
-    state.update((now, refused, seen))
-    yield pd.DataFrame([(key[0], now, refused, seen)], columns=["document_id", "state", "refused", "seen"])
-
-
-def order_status_stream(commands: DataFrame, target_name: str, checkpoint: str):
-    """State of each document after each batch of commands, in the in-memory table ``target_name``."""
+    start = state.get if state.exists else ("pending_approval", 0, 0)
+    # rows of one trigger may come in any order; what earlier triggers had is taken to be older
+    after = _fold(pd.concat(list(batches)), *start)
+    state.update(after)
+    yield pd.DataFrame([(key[0], *after)], columns=["document_id", "state", "refused", "seen"])
+
+
+def order_status_stream(commands: DataFrame, target: str, checkpoint: str):
+    """Appends the state of each document that a batch of commands touched to the table at ``target``, with the number of
+    its commands so far (``seen``), by which readers take the newest. A batch that runs again replaces its own folder."""
     schema = "document_id long, state string, refused long, seen long"
     out = commands.groupBy("document_id").applyInPandasWithState(_step, schema, "state string, refused long, seen long", "update", GroupStateTimeout.NoTimeout)
-    query = out.writeStream.outputMode("update").format("memory").queryName(target_name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{target}/batch={batch}")
+
+    query = out.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import random
 from datetime import datetime
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from purchaseflow.functions import naming as n
@@ -13,6 +15,8 @@ from purchaseflow.operators import match, numbering, purchasing, reconcile, sync
 from purchaseflow.operators import versioned as v
 from purchaseflow.sources import files
 
+from .conftest import DATA
+
 
 def rows_of(df):
     return sorted(map(tuple, df.collect()), key=repr)
@@ -76,6 +80,54 @@ def test_failed_check_leaves_what_was_there(spark):
     assert spark.read.parquet(path).count() == 9
 
 
+def test_a_failed_move_leaves_the_old_table(spark, monkeypatch):
+    path = files.work_folder(spark)
+    files.replace_table(spark.range(3), path)
+    move = files._move
+    monkeypatch.setattr(files, "_move", lambda s, a, b: ".staged-" not in a and move(s, a, b))
+    with pytest.raises(OSError):
+        files.replace_table(spark.range(9), path)
+    assert spark.read.parquet(path).count() == 3
+    monkeypatch.undo()
+    files.replace_table(spark.range(9), path)
+    assert spark.read.parquet(path).count() == 9
+    left = path.rsplit("/", 1)[0]
+    assert [x for x in os.listdir(left) if "staged" in x or "old" in x] == []
+
+
+def test_a_failed_sync_leaves_the_watermark(spark):
+    base = files.work_folder(spark)
+    rows = spark.createDataFrame([(1, datetime(2025, 1, 1, 9)), (2, datetime(2025, 1, 1, 11))], "id long, updated timestamp")
+    bad = rows.withColumn("broken", F.raise_error(F.lit("no")).cast("string"))
+    sync.advance(spark, f"{base}/state", "2025-01-01 10:00:00")
+    with pytest.raises(Exception, match="no"):
+        sync.run({"good": (rows, "updated", f"{base}/good"), "bad": (bad, "updated", f"{base}/bad")}, f"{base}/state", "2025-01-01 12:00:00")
+    assert sync.watermark(spark.read.parquet(f"{base}/state")) == "2025-01-01 09:45:00"
+    assert sync.run({"good": (rows, "updated", f"{base}/good")}, f"{base}/state", "2025-01-01 12:00:00") == "2025-01-01 09:45:00"
+    assert sync.watermark(spark.read.parquet(f"{base}/state")) == "2025-01-01 11:45:00"
+    # the failed run may have copied the good table already; versions make that harmless
+    good = spark.read.parquet(f"{base}/good")
+    assert {r.id for r in good.collect()} == {2} and sync.apply_changes(good.limit(0), good, ["id"]).count() == 1
+
+
+def test_numbers_run_on_from_nothing(spark, tmp_path):
+    from purchaseflow.plans import registry
+
+    for name in ("part", "orders", "events"):
+        table = spark.read.parquet(f"{DATA}/{name}.parquet")
+        (table.limit(0) if name == "part" else table).write.parquet(f"{tmp_path}/{name}.parquet")
+    made = registry.queries()["w5_deferred_ids"](spark, str(tmp_path)).agg(F.min("new_id"), F.max("new_id"), F.count("*")).first()
+    assert made[0] == 1 and made[1] == made[2] > 0
+    assert registry.queries()["m14_item_requests"](spark, str(tmp_path)).agg(F.min("item_no")).first()[0] == 1
+
+
+def test_vat_only_where_it_is_included(spark):
+    lines = spark.createDataFrame([(k, Decimal("10"), Decimal("100"), 0) for k in (1, 2, 3)], "po_id int, ordered_qty decimal(18,4), unit_price decimal(18,2), is_deleted int")
+    terms = spark.createDataFrame([(1, 10, Decimal("100"), "pph23", True), (2, 10, Decimal("100"), "pph23", False), (3, 10, Decimal("100"), "", None)], "po_id int, discount_pct int, charges decimal(18,2), withholding string, include_vat boolean")
+    got = {r.po_id: (float(r.vat), float(r.withheld), float(r.total)) for r in purchasing.order_totals(lines, terms).collect()}
+    assert got == {1: (110.0, 18.0, 1092.0), 2: (0.0, 18.0, 982.0), 3: (0.0, 0.0, 1000.0)}
+
+
 def test_legacy_ids(spark):
     rows = spark.createDataFrame([(1, 7, 1), (2, 7, 0), (3, 8, 1), (4, 8, 1), (5, 9, 0), (6, 9, 0), (7, None, 0)], "pk int, legacy_id int, is_deleted int")
     got = {r.pk: (r.fixed_id, r.conflict) for r in numbering.repair_all(rows, "legacy_id", ["pk"]).collect()}
@@ -131,6 +183,27 @@ def test_greedy_rounds_are_the_sequential_rule(spark):
         assert {r.id: r.kept for r in got.collect()} == kept
 
 
+def test_new_items_are_those_of_the_sequential_rule(spark):
+    rng = random.Random(6)
+    base = ["".join(rng.choices("abcdxyz", k=rng.choice([11, 19, 30]))) for _ in range(25)]
+
+    def near(a, b):
+        return a == b or 100 * (1 - plain_indel(a, b) / (len(a) + len(b))) >= 90
+
+    typo = lambda s: s[: (k := rng.randrange(len(s)))] + "q" + s[k + rng.randrange(2) :]
+    master = [(1000 + k, s) for k, s in enumerate(base[:8])]
+    batch = [(k, rng.choice([s, typo(s), typo(typo(s))])) for k, s in enumerate(base * 3)]
+    known, want = [s for _, s in master], {}
+    for k, s in batch:
+        want[k] = not any(near(s, x) for x in known)
+        if want[k]:
+            known.append(s)
+    cut = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    got = match.new_items(spark.createDataFrame(batch, "id long, key string"), spark.createDataFrame(master, "id long, key string"), cut)
+    assert {r.id: r.kept for r in got.collect()} == want and 0 < sum(want.values()) < len(batch)
+    assert match.new_items(spark.createDataFrame([], "id long, key string"), spark.createDataFrame(master, "id long, key string"), cut).count() == 0
+
+
 def test_order_state_machine(spark):
     rows = [(1, 1, 1, "approve", ""), (1, 2, 2, "reject", "late"), (2, 1, 1, "reject", ""), (2, 2, 2, "reject", "no"), (2, 3, 3, "resubmit", ""), (2, 4, 4, "approve", "")]
     got = rows_of(purchasing.fold_status(spark.createDataFrame(rows, "document_id long, at long, seq long, action string, note string")))
