@@ -108,7 +108,7 @@ def render(turns: DataFrame) -> DataFrame:
 
 
 def digests(rendered: DataFrame) -> DataFrame:
-    """One row per conversation, read back from its segments in order of (turn, role, segment).
+    """One row per conversation, read back from its segments in order of (turn, role, segment); null ids are one conversation.
 
     Segments are sorted by Spark and streamed through hashes, so a conversation of any length takes no memory. A hash
     over all turns in order is one sequence: the turns of one conversation meet in one task, and only these.

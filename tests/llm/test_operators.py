@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -81,6 +83,14 @@ def test_trie_holds_what_was_put_in(rows, limit):
     assert {k: (i, n) for k, i, n in trie.items()} == want
 
 
+def test_long_single_strings_keep_the_limit():
+    trie, keys = exact_dedup.Trie(2000), [bytes([c]) * 3000 for c in range(65, 91)] + [b"Z" * k for k in range(1, 400)]
+    for k in keys * 2:
+        trie.add(k, 1, 1)
+    assert trie.limit == 2000
+    assert {k: n for k, _, n in trie.items()} == {k: 2 for k in keys}
+
+
 # --- suffix sorting and passages -----------------------------------------------------------------------------------
 
 
@@ -128,11 +138,49 @@ def test_passages_against_brute_force(spark, monkeypatch, length, hot):
     assert spans_of(suffix_dedup.repeated_spans(df, length=length, hot=hot)) == brute_spans(rows, length)
 
 
+@pytest.mark.parametrize("parts", [8, 51, 480, 5000])
+def test_first_step_of_passages_stays_small(small, parts):
+    """What step 1 sends is bounded by the bytes of the texts, into however many parts it is dealt."""
+    texts = [(k, (r.text or "").encode()) for k, r in enumerate(small.collect())] * 8
+    batch = pa.RecordBatch.from_arrays([pa.array([k * 7919 + n for n, (k, _) in enumerate(texts)], pa.int64()), pa.array([t for _, t in texts], pa.binary())], names=["key", "data"])
+    sent = sum(b.nbytes for b in suffix_dedup._scan(50, parts)(iter([batch])))
+    assert sent <= 1.2 * sum(len(t) for _, t in texts)
+
+
 def test_passages_on_odd_rows(odd, empty):
     assert spans_of(suffix_dedup.repeated_spans(odd)) == brute_spans([(r[0], r[1]) for r in ODD], 50)
     assert suffix_dedup.repeated_spans(empty).count() == 0
 
 
+CLASHES = ["_gone", "_sha", "_name", "_code", "_text", "my-col", "a.b", "row", "data", "key", "gone", "sha", "spans", "n", "`x`"]
+
+
+def test_stages_take_columns_of_any_name(spark):
+    text = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(80))
+    rows = [(1, text), (2, text), (3, text + " x"), (4, "other " + text[::-1])]
+    df = spark.createDataFrame([(i, t, *range(len(CLASHES))) for i, t in rows], ["doc_id", "text", *CLASHES])
+    assert sorted(r.doc_id for r in quality_rules.keep_good(df).collect()) == [1, 2, 3, 4]
+    assert sorted(r.doc_id for r in exact_dedup.drop_copies(df).collect()) == [1, 3, 4]
+    assert sorted(r.doc_id for r in minhash.drop_near(df).collect()) == [1, 4]
+    cut = suffix_dedup.cut_repeats(df)
+    assert {r.doc_id: r.text for r in cut.collect()} == {1: text, 2: "", 3: " x", 4: "other " + text[::-1]}
+    for stage in (quality_rules.keep_good, exact_dedup.drop_copies, minhash.drop_near, suffix_dedup.cut_repeats):
+        out = stage(df)
+        assert out.columns == df.columns and {tuple(r)[2:] for r in out.collect()} == {tuple(range(len(CLASHES)))}
+    assert packing.best_fit(df, packing.word_count()).count() == 4
+    named = df.withColumnRenamed("doc_id", "my-id").withColumnRenamed("text", "the.text")
+    assert quality_rules.keep_good(named, id_col="my-id", text_col="the.text").count() == 4
+    assert exact_dedup.drop_copies(named, "my-id", "the.text").count() == 3 and minhash.drop_near(named, "my-id", "the.text").count() == 2
+    assert suffix_dedup.cut_repeats(named, "my-id", "the.text").columns == named.columns
+
+
+def test_ids_that_are_no_numbers_are_refused(spark):
+    df = spark.createDataFrame([("a", "x y z")], "doc_id string, text string")
+    for stage in (exact_dedup.drop_copies, minhash.drop_near, suffix_dedup.cut_repeats, suffix_dedup.repeated_spans):
+        with pytest.raises(TypeError):
+            stage(df)
+
+
 def test_cut_text_keeps_whole_characters(spark):
     rows = [(1, "é" * 60, "x", "y"), (2, "a" + "é" * 60 + "b", "x", "y")]
     got = {r.doc_id: r.text for r in suffix_dedup.cut_repeats(spark.createDataFrame(rows, DOCS)).collect()}
@@ -461,6 +509,13 @@ def test_archives_round_trip(spark, tmp_path):
     assert Counter((r.page_id, r.type, r.to_page) for r in ids) == Counter([(1, "revisit", 2), (None, "revisit", 2), (2, "response", None), (2, "response", None), (3, "response", None), (5, "response", None), (6, "response", None)])
 
 
+def test_cut_off_archives_raise():
+    whole = b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 10\r\n\r\n0123456789\r\n\r\n"
+    assert len(list(warc.parse(io.BytesIO(whole * 2)))) == 2
+    with pytest.raises(EOFError):
+        list(warc.parse(io.BytesIO(whole + whole[:-8])))
+
+
 def test_no_pages(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.page_ids(warc.round_trip(df)).count() == 0
@@ -549,6 +604,105 @@ def test_pages_without_good_blocks(text, times):
     assert html_text.main_text(page) == f"{(text * times).strip()} {(text * times).strip()}"
 
 
+def plain_labels(page):
+    """Both passes by the rules as they are told, each undecided block looking through all others."""
+    T = html_text
+    linky = [b.linked > T.LINKS * len(b.text) for b in page]
+    prose = [b for b, k in zip(page, linky) if not b.outside and not k and b.size >= T.SHORT]
+    weight = lambda some: sum(len(b.text) - b.linked for b in some)
+    readable = 2 * weight([b for b in prose if b.stops >= T.STOPS_LOW]) >= weight(prose)
+    first = []
+    for b, k in zip(page, linky):
+        wordy = b.size >= T.SHORT and (b.stops >= T.STOPS_LOW or not readable)
+        dense = b.stops >= T.STOPS_HIGH or not readable and b.stops < T.STOPS_LOW
+        if b.outside or k and not b.article:
+            first.append("bad")
+        elif k:
+            first.append("near" if wordy else "unsure")
+        elif b.size < T.SHORT:
+            first.append("unsure")
+        elif not wordy:
+            first.append("unsure" if b.article else "bad")
+        else:
+            first.append("good" if b.article or dense and b.size > T.LONG else "near")
+    menu = [f == "unsure" and k for f, k in zip(first, linky)]
+    for i in range(len(page)):
+        a, z = i, i
+        while a > 0 and menu[a - 1]:
+            a -= 1
+        while z < len(page) and menu[z]:
+            z += 1
+        if menu[i] and z - a >= T.MENU:
+            first[i] = "bad"
+    if "good" not in first:
+        first = ["good" if f == "near" and 2 * b.linked <= T.LINKS * len(b.text) else f for f, b in zip(first, page)]
+    out = []
+    for i, b in enumerate(page):
+        if first[i] in ("good", "bad"):
+            out.append(first[i] == "good")
+            continue
+        known = [(j, first[j]) for j in range(len(page)) if first[j] in ("good", "bad") and (not b.article or page[j].article == b.article and not page[j].outside)]
+        if not b.article:
+            known = [(-1, "bad"), *known, (len(page), "bad")]
+        if not known:
+            out.append(True)
+            continue
+        left, right = [x for x in known if x[0] < i], [x for x in known if x[0] > i]
+        p, q = (left or right[:1])[-1], (right or left[-1:])[0]
+        same = i - p[0] == q[0] - i
+        if p[1] == q[1]:
+            out.append(p[1] == "good")
+        elif first[i] == "near":
+            out.append(True)
+        elif b.heading:
+            out.append(q[1] == "good")
+        elif same:
+            out.append(b.text[-1] in ".!?…\"”»)")
+        else:
+            out.append((p if i - p[0] < q[0] - i else q)[1] == "good")
+    return out
+
+
+BLOCK_TEXTS = ["Home", "Read more.", "Terms and conditions", "x" * 90, "one two three four five six seven " * 3, PROSE, PROSE * 3, "the of and to in is was " * 4]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(BLOCK_TEXTS), st.sampled_from([0, 0, 0.3, 1]), st.booleans(), st.sampled_from([0, 0, 1, 2]), st.booleans()), max_size=14))
+def test_both_passes_against_a_plain_version(rows):
+    rows = [(t.strip(), share, outside and k % 3 == 0, article, heading) for k, (t, share, outside, article, heading) in enumerate(rows)]
+    page = [html_text.Block(t, int(share * len(t)), outside, article, heading) for t, share, outside, article, heading in sorted(rows, key=lambda r: r[3])]
+    assert html_text.labels(page) == plain_labels(page)
+
+
+LINKED = '<p>It is said that <a href=/x>the fox was seen by all of the people in the garden of the old house</a> at night.</p>'
+BARE = [
+    # (page, its main text): pages without elements for articles or telling class names, labelled by hand
+    (f"<div><a href=/>Home</a><div><a href=/n>News of the day and of the week</a></div></div><div>Bold Foxes</div><div>{PROSE * 3}</div><div>They ran.</div><div>{PROSE * 2}</div><div><a href=/t>Terms</a></div><div>&copy; 2020 Fox Inc</div>", f"{PROSE * 3}They ran. {PROSE * 2}"),
+    (f"<table><tr><td><a href=/>a</a><td><a href=/b>b</a></table><h1>The fox</h1><div>{PROSE * 4}</div><div>Subscribe</div><div><a href=/1>One</a></div>", f"The fox {PROSE * 4}"),
+    (f"<div>{PROSE * 3}</div><div>AD</div><div>{PROSE * 3}</div><ul><li><a href=1>1<li><a href=2>2</ul>", f"{PROSE * 3}AD {PROSE * 3}"),
+    (f"<div class=x1>Price 10 20 30 40 50 60 70 80 90 Size 1 2 3 4 5 6 7 8 9 Stock 11 12 13 14 15 16 17 18</div><div class=x2>{PROSE * 4}</div>", PROSE * 4),
+    (f"<div id=content><p>{PROSE * 2}</p>{LINKED}<p>So it was.</p></div>", f"{PROSE * 2}It is said that the fox was seen by all of the people in the garden of the old house at night. So it was."),
+    (f"<article><p title=it's>{PROSE * 2}</p><p><a href=/more>See the old house</a></p><p>{PROSE}</p><ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul></article>", f"{PROSE * 2}See the old house {PROSE}"),
+    ("<article><h2>Note</h2><p>It rained.</p></article><div><a href=/>Home</a></div>", "Note It rained."),
+]
+
+
+@pytest.mark.parametrize("page,want", BARE)
+def test_bare_pages(page, want):
+    assert html_text.main_text(page) == want.strip()
+
+
+def test_the_passes_alone_find_the_text(spark, sf_dir):
+    """With all marks stripped, so that no place list helps, the passes find nearly the same words."""
+    found = wanted = common = 0
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        bare = re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", r.html or "")
+        bare = re.sub(r"(</?)(?:article|main|nav|footer|aside|header|section)(?=[\s>])", r"\1div", bare)
+        a, b = Counter(html_text.main_text(r.html).split()), Counter(html_text.main_text(bare).split())
+        common, wanted, found = common + sum((a & b).values()), wanted + sum(a.values()), found + sum(b.values())
+    assert common >= 0.95 * wanted and common >= 0.95 * found
+
+
 def test_an_advert_is_no_wrapper():
     assert html_text.main_text(f"<div class=ad>{PROSE}</div><article><h1>One</h1><p>Two.</article><footer>us</footer>") == "One Two."
 
