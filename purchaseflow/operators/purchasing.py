@@ -193,3 +193,16 @@ def import_templates(rows: DataFrame, index: DataFrame, keys: Sequence[Column],
     out = rows.withColumn("line_id", F.struct("template", "position")).join(found, "line_id", "left").join(index.select("item_id", "item_name", "item_uom").dropDuplicates(["item_id"]), "item_id", "left")
     place = F.row_number().over(Window.partitionBy("template").orderBy("position")) - 1
     return out.select("template", F.col("item_id"), F.coalesce(F.nullif("item_name", F.lit("")), "name").alias("name"), F.coalesce(F.nullif("item_uom", F.lit("")), "uom").alias("uom"), place.cast("long").alias("sort_order"))
+
+
+def price_on(asked: DataFrame, prices: DataFrame) -> DataFrame:
+    """``asked`` (item_id, vendor_id, day and what else it has) with ``price``: that of the newest entry of ``prices``
+    (item_id, vendor_id, valid_from, price; one for each day) not after the day; null if there is none.
+
+    Both are sorted together by day within item and vendor, so it is one pass and no join of ranges.
+    """
+    names = asked.columns
+    entries = prices.select("item_id", "vendor_id", F.col("valid_from").alias("_at"), F.lit(0).alias("_asked"), "price", F.lit(None).cast(asked.select(F.struct(*names)).schema[0].dataType).alias("_row"))
+    wishes = asked.select("item_id", "vendor_id", F.col("day").alias("_at"), F.lit(1).alias("_asked"), F.lit(None).cast(prices.schema["price"].dataType).alias("price"), F.struct(*names).alias("_row"))
+    newest = Window.partitionBy("item_id", "vendor_id").orderBy("_at", "_asked")
+    return entries.union(wishes).withColumn("price", F.last("price", ignorenulls=True).over(newest)).where("_asked = 1").select("_row.*", "price")

@@ -421,3 +421,11 @@ def d7(spark, d):
     has = t.order_lines(spark, d).select("pr_id").distinct().withColumn("ordered", F.lit(True))
     stage = F.when(F.col("status") == "pending", "submitted").when(F.col("status") == "rejected", "closed").when(F.col("ordered"), "ordered").otherwise("approved")
     return t.requests(spark, d).join(has, "pr_id", "left").groupBy(stage.alias("stage")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("d8_price_on_date", f"{WITH}, pr AS (SELECT item_id, vendor_id, CAST(version AS DATE) AS valid_from, max(price) AS price FROM lv GROUP BY ALL), a AS (SELECT ln.pr_id, line_no, item_id, vendor_id, CAST(pr_date + 90 AS DATE) AS day FROM ln JOIN rq USING (pr_id)) SELECT a.pr_id, a.line_no, CAST(pr.price AS DOUBLE) AS price FROM a ASOF LEFT JOIN pr ON a.item_id = pr.item_id AND a.vendor_id = pr.vendor_id AND a.day >= pr.valid_from")
+def d8(spark, d):
+    """The price of each line's item and vendor ninety days after its request."""
+    prices = t.request_line_versions(spark, d).groupBy("item_id", "vendor_id", F.to_date("version").alias("valid_from")).agg(F.max("price").alias("price"))
+    asked = current_lines(spark, d).select("pr_id", "line_no", "item_id", "vendor_id").join(t.requests(spark, d).select("pr_id", F.date_add("pr_date", 90).alias("day")), "pr_id")
+    return _num(p.price_on(asked, prices).select("pr_id", "line_no", "price"))
