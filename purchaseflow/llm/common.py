@@ -129,6 +129,13 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
+def portions(it: Iterable[pa.RecordBatch], size: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``size`` at most, so that few texts at a time are held as Python objects."""
+    for b in it:
+        for k in range(0, b.num_rows, size):
+            yield b.slice(k, size)
+
+
 def words_of(data: bytes) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes; bytes.split() knows just that white space."""
     return data.split()

@@ -88,12 +88,14 @@ def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> list[t
 
 
 def pieces(docs: DataFrame, id_col: str, length: Column, most: int) -> DataFrame:
-    """(id, piece, begin, n) of each document cut into pieces of ``most`` words, the last one shorter; of a document
-    without words one piece of length 0."""
-    rows = docs.select(column(id_col).alias("id"), F.coalesce(length, F.lit(0)).cast("long").alias("total"))
+    """(id, piece, begin, n, deal) of each document cut into pieces of ``most`` words, the last one shorter; of a document
+    without words one piece of length 0. ``deal`` is a hash of the id, or of the whole row where there is no id."""
+    whole = [column(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    deal = F.when(column(id_col).isNotNull(), F.xxhash64(column(id_col))).otherwise(F.xxhash64(*whole)).alias("deal")
+    rows = docs.select(column(id_col).alias("id"), F.coalesce(length, F.lit(0)).cast("long").alias("total"), deal)
     cut = F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.floor((F.col("total") - 1) / most), F.lit(0).cast("long"))), lambda k: k * most))
-    rows = rows.select("id", "total", cut.alias("piece", "begin"))
-    return rows.select("id", "piece", "begin", F.least(F.col("total") - F.col("begin"), F.lit(most).cast("long")).alias("n"))
+    rows = rows.select("id", "total", "deal", cut.alias("piece", "begin"))
+    return rows.select("id", "piece", "begin", F.least(F.col("total") - F.col("begin"), F.lit(most).cast("long")).alias("n"), "deal")
 
 
 def best_fit(docs: DataFrame, length: Column, id_col: str = "doc_id", capacities: tuple[int, ...] = CAPACITIES, shard: int = SHARD) -> DataFrame:
@@ -107,7 +109,7 @@ def best_fit(docs: DataFrame, length: Column, id_col: str = "doc_id", capacities
     sizes = tuple(sorted(set(capacities)))
     shards = max(1, -(-docs.count() // shard))
     cut = pieces(docs, id_col, length, sizes[-1])
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(shards)).cast("long")).where("n > 0")
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("deal", "piece"), F.lit(shards)).cast("long")).where("n > 0")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = None

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import column, integral, partitions, utf8, written
+from .common import column, integral, partitions, portions, utf8, written
 from .suffix_sort import suffix_array
 
 GRAM = 20
@@ -50,7 +50,7 @@ _BASE = np.array([0x9E3779B97F4A7C15], _U)
 _M1, _M2 = _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
 _LOW, _TAG = _U((1 << 48) - 1), _U((1 << 32) - 1)
 #: Runs that step 1 sends off together, and contexts that step 3 does.
-BLOCK, HELD = 1_000_000, 300_000
+BLOCK, HELD = 750_000, 200_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -264,7 +264,7 @@ def _scan(length: int, parts: int):
                 if a < z or b < y:
                     out.add(p, CLASSES, packed(*_split(gram[a:z] & _LOW), *_runs_of(tag[a:z]), *_split(many[b:y] & _LOW), contexts[b:y].astype("<u4")))
 
-        for b in it:
+        for b in portions(it):
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for a, z in slices(texts):
                 runs = find_runs(texts[a:z], length)
@@ -428,7 +428,7 @@ def _mark(length: int, parts: int):
         more_told: list[np.ndarray] = []
         more_hot: list[np.ndarray] = []
         held = Held(length, parts)
-        for b in it:
+        for b in portions(it):
             texts, rows = [], []
             for k, (kind, blob) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
                 if kind == TEXT:
@@ -595,7 +595,7 @@ _SPANS_SQL = "array<struct<begin:int,end:int>>"
 def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 5. (data, spans, row) of texts, from rows (target, kind, blob, doc, key, row) sorted by target and kind."""
     said: dict[tuple[int, int], list[np.ndarray]] = defaultdict(list)
-    for b in it:
+    for b in portions(it):
         kinds, blobs = b.column(1).to_pylist(), b.column(2)
         rows = []
         for k, kind in enumerate(kinds):
@@ -674,7 +674,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = _spans(docs, id_col, text_col, others, length, parts, hot)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in portions(it):
             texts = []
             for data, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 at, out = 0, []
