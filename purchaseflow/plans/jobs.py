@@ -428,11 +428,23 @@ def f7(spark, d):
     return t.items(spark, d).select("item_id", n.department(name).alias("department"))
 
 
-@query("f8_spec_extract", f"{WITH} SELECT item_id, CASE item_id % 3 WHEN 0 THEN name_en || ' x' WHEN 1 THEN name_en ELSE NULL END AS base, CASE item_id % 3 WHEN 1 THEN size || 'mm end' END AS spec, CASE item_id % 3 WHEN 1 THEN 'mm_size' WHEN 2 THEN 'manual' END AS kind FROM it")
+#: Endings of names, with what is extracted from them, by kind in order; then one without any.
+ENDINGS = (
+    (" φ26*10mm end", "φ26*10mm end", "diameter"), (" M16*50 8.8级", "M16*50 8.8级", "thread"), (" SCH 40", "SCH 40", "sch_size"), (" DN 100 - brass", "DN 100 brass", "dn_size"),
+    (" - 10mm x 20mm", "10mm x 20mm", "dimension"), (' 2" valve', '2" valve', "inch_size"), (" - 30mm - end", "30mm end", "mm_size"), (" VRLA-12/100", "VRLA-12/100", "model"), (" (8.8)", "(8.8)", "grade"), ("", None, None),
+)
+_ENDINGS_SQL = ", ".join(f"({k}, '{e}', {'NULL' if x is None else repr(x)}, {'NULL' if kind is None else repr(kind)})" for k, (e, x, kind) in enumerate(ENDINGS))
+
+
+@query("f8_spec_extract", f"{WITH}, e(k, ending, spec, kind) AS (VALUES {_ENDINGS_SQL}) SELECT item_id, CASE WHEN item_id % 12 < 10 THEN name_en WHEN item_id % 12 = 11 THEN name_en || ' 30mm' END AS base, spec, CASE WHEN item_id % 12 = 10 THEN 'manual' ELSE kind END AS kind FROM it LEFT JOIN e ON item_id % 12 = k")
 def f8(spark, d):
-    size = F.col("size").cast("string")
-    name = F.when(F.col("item_id") % 3 == 0, F.concat("name_en", F.lit(" x"))).when(F.col("item_id") % 3 == 1, F.concat("name_en", F.lit(" - "), size, F.lit("mm - end"))).otherwise(F.concat(size, F.lit("mm")))
-    return t.items(spark, d).select("item_id", name.alias("n")).select("item_id", n.extract_spec(F.col("n"), F.lit("")).alias("s")).select("item_id", "s.base", "s.spec", "s.kind")
+    """Every kind; a name that is nothing but a specification (10) needs a look, one that has one already (11) stays."""
+    k = F.col("item_id") % 12
+    name = F.when(k == 10, "30mm").otherwise(F.concat("name_en", F.lit(" 30mm")))
+    for i, (ending, _, _) in enumerate(ENDINGS):
+        name = F.when(k == i, F.concat("name_en", F.lit(ending))).otherwise(name)
+    rows = t.items(spark, d).select("item_id", name.alias("n"), F.when(k == 11, "30mm").alias("has"))
+    return rows.select("item_id", n.extract_spec(F.col("n"), F.col("has")).alias("s")).select("item_id", "s.base", "s.spec", "s.kind")
 
 
 @query("p6_spec_like", f"{WITH} SELECT item_id FROM it WHERE item_id % 2 = 0")
@@ -449,19 +461,38 @@ def uoms(spark, d):
     return t.items(spark, d).select("item_id", F.when(k == 0, "个").when(k == 1, "PCS").when(k == 2, "unit").when(k == 3, "盒").when(k == 4, "xyz").otherwise("kg").alias("uom"))
 
 
-@query("f10_uom_ingest", f"{WITH} SELECT item_id, CASE item_id % 6 WHEN 0 THEN 'pcs' WHEN 1 THEN 'pcs' WHEN 2 THEN 'unit' WHEN 3 THEN 'box' WHEN 4 THEN 'xyz' ELSE 'kg' END AS uom FROM it")
+def spellings(mapping: dict[str, str]) -> list[str]:
+    """All spellings of a map, with spaces around every third and every other one in upper case, and two unknown ones."""
+    found = [f" {w} " if k % 3 == 0 else w.upper() if k % 2 else w for k, w in enumerate(mapping)]
+    return [*found, *mapping, "xyz", "  "]
+
+
+def spelt(spark, d, mapping: dict[str, str]) -> DataFrame:
+    words = spellings(mapping)
+    return t.items(spark, d).select("item_id", F.element_at(F.array(*map(F.lit, words)), (F.col("item_id") % len(words) + 1).cast("int")).alias("uom"))
+
+
+def spelt_sql(mapping: dict[str, str], fold: bool) -> str:
+    words = spellings(mapping)
+    text = lambda w: "'" + w + "'"
+    pairs = ", ".join(f"({text(k)}, {text(v)})" for k, v in mapping.items())
+    return f"""{WITH}, m(k, v) AS (VALUES {pairs}), x AS (SELECT item_id, trim([{", ".join(map(text, words))}][item_id % {len(words)} + 1]) AS u FROM it)
+SELECT item_id, coalesce(a.v, {"b.v, " if fold else ""}u) AS uom FROM x LEFT JOIN m a ON u = a.k LEFT JOIN m b ON lower(u) = b.k"""
+
+
+@query("f10_uom_ingest", spelt_sql(n.UOM_INGEST, True))
 def f10(spark, d):
-    return uoms(spark, d).select("item_id", n.normalise_uom(F.col("uom"), n.UOM_INGEST).alias("uom"))
+    return spelt(spark, d, n.UOM_INGEST).select("item_id", n.normalise_uom(F.col("uom"), n.UOM_INGEST).alias("uom"))
 
 
-@query("f11_uom_enrich", f"{WITH} SELECT item_id, CASE item_id % 6 WHEN 0 THEN 'pcs' ELSE {UOM_CASE} END AS uom FROM it")
+@query("f11_uom_enrich", spelt_sql(n.UOM_ENRICH, False))
 def f11(spark, d):
-    return uoms(spark, d).select("item_id", n.normalise_uom(F.col("uom"), n.UOM_ENRICH, fold_case=False).alias("uom"))
+    return spelt(spark, d, n.UOM_ENRICH).select("item_id", n.normalise_uom(F.col("uom"), n.UOM_ENRICH, fold_case=False).alias("uom"))
 
 
-@query("f12_uom_canonical", f"{WITH} SELECT item_id, CASE item_id % 6 WHEN 0 THEN '个' WHEN 1 THEN 'pcs' WHEN 2 THEN 'pcs' WHEN 3 THEN 'drum' WHEN 4 THEN 'xyz' ELSE 'kg' END AS uom FROM it")
+@query("f12_uom_canonical", spelt_sql(n.UOM_CANONICAL, False))
 def f12(spark, d):
-    return uoms(spark, d).select("item_id", n.normalise_uom(F.col("uom"), n.UOM_CANONICAL, fold_case=False).alias("uom"))
+    return spelt(spark, d, n.UOM_CANONICAL).select("item_id", n.normalise_uom(F.col("uom"), n.UOM_CANONICAL, fold_case=False).alias("uom"))
 
 
 @query("a13_uom_histogram", f"{WITH}, u AS (SELECT {UOM_CASE} AS uom FROM it) SELECT uom, CASE uom WHEN 'PCS' THEN 'pcs' WHEN 'unit' THEN 'pcs' WHEN '盒' THEN 'drum' ELSE uom END AS unit, CASE WHEN uom IN ('个', 'xyz') THEN 'unmapped' WHEN uom = 'kg' THEN 'unchanged' ELSE 'mapped' END AS state, count(*) AS n FROM u GROUP BY ALL")
@@ -549,9 +580,10 @@ def f20(spark, d):
     return t.items(spark, d).select("item_id", n.search_text(F.col("name_en"), F.col("brand"), F.lit("")).alias("search_text"))
 
 
-@query("f21_placeholders", f"{WITH} SELECT vendor_id, vendor_id % 6 = 0 AS flagged FROM ve")
+@query("f21_placeholders", f"{WITH} SELECT vendor_id, vendor_id % 6 < 4 AS flagged FROM ve")
 def f21(spark, d):
-    name = F.when(F.col("vendor_id") % 6 == 0, "PT. Barang").otherwise(F.col("vendor_name"))
+    k = F.col("vendor_id") % 6
+    name = F.when(k == 0, "PT. Barang").when(k == 1, "barang").when(k == 2, "VENDOR").when(k == 3, "Test").when(k == 4, "Testing").otherwise(F.col("vendor_name"))
     return t.vendors(spark, d).select("vendor_id", n.is_placeholder(name).alias("flagged"))
 
 
@@ -632,9 +664,11 @@ def f32(spark, d):
     return t.items(spark, d).select("item_id", n.full_name(F.col("name_en"), spec).alias("name"))
 
 
-@query("f33_blank_cleaning", f"{WITH} SELECT item_id, CASE item_id % 3 WHEN 0 THEN '' WHEN 1 THEN '' ELSE brand END AS brand FROM it")
+@query("f33_blank_cleaning", f"{WITH} SELECT item_id, CASE item_id % 6 WHEN 4 THEN brand WHEN 5 THEN 'none such' ELSE '' END AS brand FROM it")
 def f33(spark, d):
-    return t.items(spark, d).select("item_id", n.cleaned(F.when(F.col("item_id") % 3 == 0, " None ").when(F.col("item_id") % 3 == 2, F.col("brand"))).alias("brand"))
+    k = F.col("item_id") % 6
+    raw = F.when(k == 0, " None ").when(k == 1, "NONE").when(k == 2, "  ").when(k == 4, F.concat(F.lit(" "), "brand", F.lit(" "))).when(k == 5, "none such")
+    return t.items(spark, d).select("item_id", n.cleaned(raw).alias("brand"))
 
 
 # --- matching ----------------------------------------------------------------------------------------------------
