@@ -128,6 +128,21 @@ def test_vat_only_where_it_is_included(spark):
     assert got == {1: (110.0, 18.0, 1092.0), 2: (0.0, 18.0, 982.0), 3: (0.0, 0.0, 1000.0)}
 
 
+def test_relational_tables_are_read_in_parts(spark):
+    from purchaseflow.sources import relational
+
+    url = "jdbc:derby:memory:orders;create=true"
+    rows = spark.createDataFrame([(k, f"n{k}") for k in range(1, 101)] + [(None, "none")], "ID int, NAME string")
+    rows.coalesce(1).write.format("jdbc").option("url", url).option("dbtable", "orders").save()
+    got = relational.read_table(spark, url, "orders", "ID", 4)
+    assert got.rdd.getNumPartitions() == 4
+    assert rows_of(got) == rows_of(rows)
+    changed = got.where("ID > 90").select("NAME")
+    assert changed.count() == 10 and "GreaterThan(ID,90)" in changed._jdf.queryExecution().executedPlan().toString()
+    rows.limit(0).write.format("jdbc").option("url", url).option("dbtable", "nothing").save()
+    assert relational.read_table(spark, url, "nothing", "ID", 4).count() == 0
+
+
 def test_legacy_ids(spark):
     rows = spark.createDataFrame([(1, 7, 1), (2, 7, 0), (3, 8, 1), (4, 8, 1), (5, 9, 0), (6, 9, 0), (7, None, 0)], "pk int, legacy_id int, is_deleted int")
     got = {r.pk: (r.fixed_id, r.conflict) for r in numbering.repair_all(rows, "legacy_id", ["pk"]).collect()}
