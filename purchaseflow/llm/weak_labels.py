@@ -124,11 +124,14 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) ->
     return found
 
 
+_SMALL = bytes([*range(97, 123), *range(128, 256)])
 _SHAPES = ((re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[0-9]+"), b"0"))
 
 
 def shape(word: bytes) -> bytes:
     """A word with each run of letters, capitals or digits as one character, and other characters once each in a row."""
+    if not word.translate(None, _SMALL):  # most words
+        return b"a" if word else b""
     for pattern, sign in _SHAPES:
         word = pattern.sub(sign, word)
     return re.sub(rb"(.)\1+", rb"\1", word)
