@@ -822,10 +822,13 @@ def s7(spark, d):
     return found.select("sheet", "row", "name", "spec", "department")
 
 
-@query("s8_layout", f"{WITH} SELECT brand AS sheet, 'stock' AS layout FROM it GROUP BY brand")
+@query("s8_layout", f"{WITH} SELECT brand AS sheet, CASE CAST(substr(brand, 7) AS INT) % 3 WHEN 0 THEN 'vessel' WHEN 1 THEN 'stock' ELSE 'generic' END AS layout FROM it GROUP BY brand")
 def s8(spark, d):
-    signs = item_cells(spark, d).groupBy("sheet").agg(F.bool_or(F.lower("value").contains("vessel")).alias("vessel"), F.bool_or(F.lower("value").contains("stock")).alias("stock"))
-    return signs.select("sheet", F.when(F.col("vessel"), "vessel").when(F.col("stock"), "stock").otherwise("generic").alias("layout"))
+    """Titles say what a sheet is: every third one is a vessel's list (which mentions stock, too), every third one stock."""
+    k = F.regexp_extract("sheet", "([0-9]+)$", 1).cast("int") % 3
+    title = F.when(k == 0, "Stock of the Vessel").when(k == 1, "STOCK").otherwise("Parts")
+    rows = item_cells(spark, d).withColumn("value", F.when(F.col("value") == "Stock", title).otherwise(F.col("value")))
+    return cell.layouts(rows, (("vessel", "vessel"), ("stock", "stock"))).select("sheet", "layout")
 
 
 @query("s10_enrichment", f"{WITH}, l AS (SELECT lower(name_en) AS k, max(item_id) AS last_id FROM it GROUP BY 1) SELECT item_id, CAST(last_id AS VARCHAR) AS name_cn FROM it JOIN l ON lower(name_en) = k")

@@ -35,3 +35,11 @@ def records(cells: DataFrame, fields: dict[str, tuple[str, ...]], keywords: tupl
     first = F.lower(F.trim(F.coalesce(F.col(next(iter(fields))), F.lit(""))))
     out = out.where((first != "") & ~first.rlike("^(" + "|".join(skip) + ")"))
     return out.withColumn("department", F.coalesce(F.nullif(F.trim("department"), F.lit("")), F.col("sheet"))) if "department" in fields else out
+
+
+def layouts(cells: DataFrame, signs: tuple[tuple[str, str], ...], default: str = "generic") -> DataFrame:
+    """(file, sheet, layout): the first layout of ``signs`` (word, layout) whose word is in any cell of the sheet."""
+    found = F.lit(default)
+    for word, layout in reversed(signs):
+        found = F.when(F.bool_or(F.contains(F.lower("value"), F.lit(word))), layout).otherwise(found)
+    return cells.groupBy("file", "sheet").agg(found.alias("layout"))
