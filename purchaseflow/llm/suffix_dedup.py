@@ -26,7 +26,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -592,38 +591,57 @@ _SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 _SPANS_SQL = "array<struct<begin:int,end:int>>"
 
 
-def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 5. (data, spans, row) of texts, from rows (target, kind, blob, doc, key, row) sorted by target and kind."""
-    said: dict[tuple[int, int], list[np.ndarray]] = defaultdict(list)
-    for b in portions(it):
-        kinds, blobs = b.column(1).to_pylist(), b.column(2)
-        rows = []
-        for k, kind in enumerate(kinds):
-            if kind == TEXT:
-                rows.append(k)
+def kept_text(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without its spans, these narrowed to whole characters."""
+    at, out = 0, []
+    for begin, end in spans:
+        while begin < len(data) and data[begin] & 0xC0 == 0x80:
+            begin += 1
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(data[at:begin])
+        at = max(begin, end)
+    return b"".join([*out, data[at:]])
+
+
+def _cut(as_text: bool):
+    """Step 5. (data, spans, row) of texts, or (text, row), from rows (target, kind, blob, doc, key, row) sorted by target
+    and kind. Both are made here, as a second pass over the rows would need twice as many Python workers."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        said: dict[tuple[int, int], list[np.ndarray]] = defaultdict(list)
+        for b in portions(it):
+            blobs, rows = b.column(2), []
+            for k, kind in enumerate(b.column(1).to_pylist()):
+                if kind == TEXT:
+                    rows.append(k)
+                    continue
+                key, doc, begin, end = unpacked(blobs[k].as_py(), "<i8", "<u4", "<i4", "<i4")
+                by = np.lexsort((doc, key))
+                key, doc, both = key[by], doc[by], np.stack([begin[by], end[by]])
+                heads = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
+                for h, z, k_, d in zip(heads.tolist(), np.append(heads[1:], len(by)).tolist(), key[heads].tolist(), doc[heads].tolist()):
+                    said[k_, d].append(both[:, h:z])
+            if not rows:
                 continue
-            key, doc, begin, end = unpacked(blobs[k].as_py(), "<i8", "<u4", "<i4", "<i4")
-            by = np.lexsort((doc, key))
-            key, doc, both = key[by], doc[by], np.stack([begin[by], end[by]])
-            heads = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
-            for h, z, k_, d in zip(heads.tolist(), np.append(heads[1:], len(by)).tolist(), key[heads].tolist(), doc[heads].tolist()):
-                said[k_, d].append(both[:, h:z])
-        side = pa.array(rows, pa.int64())
-        docs, keys = b.column(3).take(side).to_pylist(), b.column(4).take(side).to_pylist()
-        sizes = pa.compute.binary_length(blobs).to_pylist()
-        spans, load, sent = [], 0, 0
-        for i, (doc, key) in enumerate(zip(docs, keys)):
-            found = said.get((key, order_of(doc) & 0xFFFFFFFF))
-            spans.append([{"begin": a, "end": z} for a, z in zip(*(x.tolist() for x in merged(*np.concatenate(found, axis=1))))] if found else [])
-            load += sizes[rows[i]]
-            if load > 8 << 20 or i == len(rows) - 1:
-                part = side.slice(sent, i + 1 - sent)
-                yield pa.RecordBatch.from_arrays([blobs.take(part), pa.array(spans, _SPANS), b.column(5).take(part)], names=["data", "spans", "row"])
-                spans, load, sent = [], 0, i + 1
-
-
-def _spans(docs: DataFrame, id_col: str, text_col: str, names: list[str], length: int, parts: int | None, hot: int) -> DataFrame:
-    """(data binary, spans, row struct) of every row: its UTF-8 bytes, the maximal runs to remove, its columns ``names``.
+            side = pa.array(rows, pa.int64())
+            spans = []
+            for doc, key in zip(b.column(3).take(side).to_pylist(), b.column(4).take(side).to_pylist()):
+                found = said.get((key, order_of(doc) & 0xFFFFFFFF))
+                spans.append(list(zip(*(x.tolist() for x in merged(*np.concatenate(found, axis=1))))) if found else [])
+            data, row = blobs.take(side), b.column(5).take(side)
+            if as_text:
+                texts = pa.array([kept_text(x.as_py(), found) for x, found in zip(data, spans)], pa.binary())
+                yield pa.RecordBatch.from_arrays([texts.cast(pa.string()), row], names=["text", "row"])
+            else:
+                yield pa.RecordBatch.from_arrays([data, pa.array([[{"begin": a, "end": z} for a, z in found] for found in spans], _SPANS), row], names=["data", "spans", "row"])
+
+    return run
+
+
+def _spans(docs: DataFrame, id_col: str, text_col: str, names: list[str], length: int, parts: int | None, hot: int, as_text: bool) -> DataFrame:
+    """(data binary, spans, row struct) of every row: its UTF-8 bytes, the maximal runs to remove, its columns ``names``;
+    or (text, row), what is left.
 
     A row is named by 64 bits of its id and text and, again, by its id; rows equal in both fare alike."""
     integral(docs, id_col)
@@ -643,7 +661,7 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, names: list[str], length
     met = rows.select("key", "data").mapInArrow(_scan(length, parts), _BLOB_SQL).repartitionById(parts, "target").mapInArrow(_meet(parts, hot), _BLOB_SQL)
     contexts = at_home(met, "doc", "key").mapInArrow(_mark(length, parts), _BLOB_SQL).repartitionById(parts, "target")
     gone = written(docs.sparkSession, contexts.mapInArrow(_sort(length, parts), _BLOB_SQL), "gone")
-    return at_home(gone, "doc", "key", "row").mapInArrow(_cut, StructType.fromDDL(f"data binary, spans {_SPANS_SQL}").add("row", side))
+    return at_home(gone, "doc", "key", "row").mapInArrow(_cut(as_text), StructType.fromDDL("text string" if as_text else f"data binary, spans {_SPANS_SQL}").add("row", side))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, parts: int | None = None, hot: int = HOT) -> DataFrame:
@@ -653,7 +671,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with the same id never remove from each other. Extra columns are left out, whatever their names. Texts shorter
     than ``length`` bytes keep all. An empty table gives no rows.
     """
-    found = _spans(docs, id_col, text_col, [id_col], length, parts, hot)
+    found = _spans(docs, id_col, text_col, [id_col], length, parts, hot, as_text=False)
     return found.select(F.col("row")[id_col].alias(id_col), "data", "spans")
 
 
@@ -671,23 +689,5 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     All else is as in ``repeated_spans``; the other columns travel with the text and come out as they came.
     """
     others = [c for c in docs.columns if c != text_col]
-    found = _spans(docs, id_col, text_col, others, length, parts, hot)
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in portions(it):
-            texts = []
-            for data, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                at, out = 0, []
-                for s in spans:
-                    begin, end = s["begin"], s["end"]
-                    while begin < len(data) and data[begin] & 0xC0 == 0x80:
-                        begin += 1
-                    while end < len(data) and data[end] & 0xC0 == 0x80:
-                        end -= 1
-                    out.append(data[at:begin])
-                    at = max(begin, end)
-                texts.append(b"".join([*out, data[at:]]))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()).cast(pa.string()), b.column(2)], names=["text", "row"])
-
-    cut = found.mapInArrow(run, StructType.fromDDL("text string").add("row", found.schema["row"].dataType))
+    cut = _spans(docs, id_col, text_col, others, length, parts, hot, as_text=True)
     return cut.select(*((F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns))
