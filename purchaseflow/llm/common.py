@@ -73,11 +73,11 @@ def forget(df: DataFrame) -> None:
 HOT_KEYS = 100_000
 
 
-def join_hot(rows: DataFrame, key: str, side: DataFrame, side_key: str, count: str, total: int) -> DataFrame:
+def join_hot(rows: DataFrame, key: str, side: DataFrame, side_key: str, count: str, total: int, keys: int = HOT_KEYS) -> DataFrame:
     """Inner join of ``rows`` with ``side``, which has one row a key and in ``count`` how many of the ``total`` rows have
-    it. Keys with more than total / HOT_KEYS rows, of which there are HOT_KEYS at most, are broadcast, so no task gets
+    it. Keys with more than total / ``keys`` rows, of which there are ``keys`` at most, are broadcast, so no task gets
     all rows of a hot key; ``side_key`` and ``count`` are dropped."""
-    most = max(1000, total // HOT_KEYS)
+    most = max(1000, total // keys)
     hot, calm = F.broadcast(side.where(F.col(count) > most)), side.where(F.col(count) <= most)
     on = F.col(key) == F.col(side_key)
     return rows.join(hot, on).union(rows.join(hot, on, "left_anti").join(calm, on)).drop(side_key, count)
