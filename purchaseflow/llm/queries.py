@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, html_text, minhash, packing, quality_rules, structure_repair, suffix_dedup, toxicity, warc, weak_labels
+from . import bpe, chat, exact_dedup, html_text, lexical_search, minhash, packing, quality_rules, structure_repair, suffix_dedup, toxicity, warc, weak_labels
 from .common import table
 
 
@@ -96,6 +96,10 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure_repair.digests(structure_repair.repair(damaged(turns), turns))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -114,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_html_text": op9_html_text,
         "op10_minhash": op10_minhash,
         "op11_structure_repair": op11_structure_repair,
+        "op12_lexical_search": op12_lexical_search,
         "op13_toxicity": op13_toxicity,
     }
 
@@ -190,5 +195,20 @@ FROM n LEFT JOIN c USING (doc_id)
 """
 
 
+_TERMS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, {_TERMS_SQL} AS ws FROM documents WHERE text IS NOT NULL),
+g AS (SELECT count(*) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_terms FROM d WHERE len(ws) > 0),
+q AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest({_TERMS_SQL}) AS term FROM benchmark) GROUP BY ALL),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, g GROUP BY term, n_docs),
+i AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))) AS impact FROM p JOIN w USING (term), g),
+s AS (SELECT item_id, doc_id, CAST(sum(c * impact) AS BIGINT) AS score FROM q JOIN i USING (term) GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op5_suffix_dedup": OP5_SQL, "op6_chat": OP6_SQL, "op7_quality_rules": OP7_SQL}
+    return {"op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op5_suffix_dedup": OP5_SQL, "op6_chat": OP6_SQL, "op7_quality_rules": OP7_SQL, "op12_lexical_search": OP12_SQL}
