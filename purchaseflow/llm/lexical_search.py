@@ -100,7 +100,7 @@ def postings(docs: DataFrame, ids: dict[bytes, int], id_col: str, text_col: str,
         if n_docs:
             yield block_row()
 
-    return docs.select(column(id_col).cast("long"), utf8(column(text_col).cast("string"))).mapInArrow(run, _POSTINGS)
+    return docs.select(column(id_col).cast("long").alias("_id"), utf8(column(text_col).cast("string")).alias("_data")).mapInArrow(run, _POSTINGS)
 
 
 @dataclass(frozen=True)

@@ -51,10 +51,10 @@ def _pieces(rope: Rope) -> Iterator[str]:
     stack = [rope]
     while stack:
         r = stack.pop()
-        if isinstance(r, str):
-            yield r
-        else:
+        if not isinstance(r, str):
             stack += (r[1], r[0])
+        elif r:
+            yield r
 
 
 def text_of(rope: Rope) -> str:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, free_name, portions, written
+from .common import column, portions, written
 
 #: Labelled rows that a fit reads at most.
 SAMPLE = 6_000
@@ -191,8 +191,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     equal scores; an empty table gives an empty one. The id keeps its name and type.
     """
     slopes, lean = model.slopes(), float(model.bias[1] - model.bias[0])
-    source = docs.select(column(id_col), column(text_col).cast("string").alias(free_name(docs.select(column(id_col)), "_text")))
-    out = source.select(column(id_col), F.lit(0.0).alias(free_name(source, "_z"))).schema
+    source = docs.select(column(id_col).alias("_id"), column(text_col).cast("string").alias("_text"))
+    out = source.select("_id", F.lit(0.0).alias("_z")).schema
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         @lru_cache(200_000)
@@ -209,5 +209,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], names=out.names)
 
     scored = source.mapInArrow(run, out)
-    chance = column(out.names[1])
-    return scored.select(column(id_col), held_out(id_col).alias("held_out"), chance.alias("score"), (chance >= 0.5).cast("int").alias("predicted"))
+    return scored.select(F.col("_id").alias(id_col), held_out("_id").alias("held_out"), F.col("_z").alias("score"), (F.col("_z") >= 0.5).cast("int").alias("predicted"))
