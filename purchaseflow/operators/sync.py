@@ -6,8 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from purchaseflow.sources import files
 
 EPOCH = "1970-01-01 00:00:00"
+STATE = StructType().add("run_at", "timestamp").add("synced_through", "timestamp").add("mode", "string")
 
 
 def version_of(updated: Column, floor: int = 0) -> Column:
@@ -47,12 +51,17 @@ def advance(spark: SparkSession, state_path: str, started: str, mode: str = "inc
 def run(sources: dict[str, tuple[DataFrame, str, str]], state_path: str, started: str, overlap_minutes: int = 15) -> str:
     """Appends the changes of every source (rows, column of the update, target path) since the watermark; returns it.
 
+    Where no run has left a state yet, all rows are copied, those without a time of update too, and the state says ``full``.
+
     The watermark moves last, and to the start of this run: a run that fails at any table leaves it, so the next one
     copies the same changes again, and what was updated meanwhile is never missed. Versions make a repeat harmless.
     """
     spark = next(iter(sources.values()))[0].sparkSession
-    since = watermark(spark.read.parquet(state_path), overlap_minutes)
+    since = watermark(files.read_or_empty(spark, state_path, STATE), overlap_minutes)
     for rows, updated, path in sources.values():
-        changes(rows, updated, since).write.mode("append").parquet(path)
-    advance(spark, state_path, started)
+        news = changes(rows, updated, since)
+        if since == EPOCH:
+            news = news.unionByName(rows.where(F.col(updated).isNull() | (F.col(updated) <= F.lit(EPOCH).cast(rows.schema[updated].dataType))).withColumn("sync_version", F.coalesce(version_of(F.col(updated)), F.lit(0))))
+        news.write.mode("append").parquet(path)
+    advance(spark, state_path, started, "full" if since == EPOCH else "incremental")
     return since

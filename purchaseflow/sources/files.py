@@ -99,6 +99,14 @@ def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFra
     return spark.read.schema(schema).parquet(path) if store.exists(found) else spark.createDataFrame([], schema)
 
 
+def folders(spark: SparkSession, path: str, pattern: str) -> list[str]:
+    """The folders below ``path`` that hold a file of this pattern, such as ``batch=*/_SUCCESS``."""
+    jvm = spark.sparkContext._jvm
+    store, _ = _store(spark, path)
+    found = store.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/{pattern}"))
+    return sorted(f.getPath().getParent().toString() for f in found or [])
+
+
 def blank_to_null(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows with the empty texts of ``columns`` as null, one row with how many each column had)."""
     return rows.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in columns}), rows.agg(*(F.count_if(F.col(c) == "").alias(c) for c in columns))

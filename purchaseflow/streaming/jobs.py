@@ -1,60 +1,198 @@
-"""The same replication as streams, and the order status machine with state."""
+"""Replication as streams: versions into a versioned table, logs by id exactly once, and order status in event time."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from purchaseflow.operators import sync
 from purchaseflow.operators.purchasing import next_state
+from purchaseflow.sources import files
+
+#: The batch that wrote a row, as a folder of the target.
+BATCH = "_batch"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def source(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 8) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def sync_stream(rows: DataFrame, target: str, checkpoint: str):
-    """Appends every row of the stream once, as a version; returns the query after all that is there now."""
-    query = rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
-
-
-def append_once_stream(rows: DataFrame, key: str, time: str, delay: str, target: str, checkpoint: str):
-    """Log rows by id, each once within ``delay`` of event time: state is bounded, and exact only within it."""
-    once = rows.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
-    query = once.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _run(rows: DataFrame, each: Callable[[DataFrame, str], None], checkpoint: str, mode: str = "append"):
+    """Runs the stream over all that is there now, batch by batch. ``each`` gets a batch's rows and its tag: the same when
+    the batch runs again, another one for each batch and each stream."""
+    stream = f"{zlib.crc32(checkpoint.encode()):08x}"
+    query = rows.writeStream.outputMode(mode).foreachBatch(lambda df, n: each(df, f"{stream}-{n}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
-def _fold(rows: pd.DataFrame, now: str, refused: int, seen: int) -> tuple[str, int, int]:
-    for r in rows.sort_values(["at", "seq"]).itertuples():
-        then = next_state(now, r.action, r.note)
-        now, refused, seen = then or now, refused + (then is None), seen + 1
-    return now, refused, seen
-
+def keep_batch(rows: DataFrame, batch: str, target: str) -> None:
+    """Writes a batch into a folder of its own, whole or not at all for readers of ``read_batches``; again in place of itself."""
+    rows.write.mode("overwrite").parquet(f"{target}/{BATCH}={batch}")
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    start = state.get if state.exists else ("pending_approval", 0, 0)
-    # rows of one trigger may come in any order; what earlier triggers had is taken to be older
-    after = _fold(pd.concat(list(batches)), *start)
-    state.update(after)
-    yield pd.DataFrame([(key[0], *after)], columns=["document_id", "state", "refused", "seen"])
 
-
-def order_status_stream(commands: DataFrame, target: str, checkpoint: str):
-    """Appends the state of each document that a batch of commands touched to the table at ``target``, with the number of
-    its commands so far (``seen``), by which readers take the newest. A batch that runs again replaces its own folder."""
-    schema = "document_id long, state string, refused long, seen long"
-    out = commands.groupBy("document_id").applyInPandasWithState(_step, schema, "state string, refused long, seen long", "update", GroupStateTimeout.NoTimeout)
-
-    def keep(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{target}/batch={batch}")
-
-    query = out.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
+def read_batches(spark: SparkSession, target: str, schema: StructType) -> DataFrame:
+    """All batches that were written whole, without the number of the batch; nothing there is an empty table."""
+    found = files.folders(spark, target, f"{BATCH}=*/_SUCCESS")
+    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
+
+
+def sync_stream(changes: dict[str, DataFrame], updated: str, targets: dict[str, Sequence[str]], checkpoint: str, floor: int = 0, written: Callable[[str, str], None] | None = None) -> dict:
+    """Copies streams of changed rows into versioned tables: each row with ``sync_version``, never under ``floor``.
+
+    ``changes`` has a stream for each table and ``targets`` the folders to which it goes, several if it has several sinks.
+    The tag of the batch is the key of a write: a batch that fails after some of its writes runs again with the same rows
+    and puts them in place of those, so every sink has one copy. ``written(target, batch)`` is called after each write.
+    """
+    queries = {}
+    for name, rows in changes.items():
+
+        def each(batch: DataFrame, tag: str, name: str = name) -> None:
+            versioned = batch.withColumn("sync_version", sync.version_of(F.col(updated), floor))
+            if len(targets[name]) > 1:
+                versioned = versioned.persist()
+            try:
+                for target in targets[name]:
+                    keep_batch(versioned, tag, target)
+                    if written:
+                        written(target, tag)
+            finally:
+                versioned.unpersist()
+
+        queries[name] = _run(rows, each, f"{checkpoint}/{name}")
+    return queries
+
+
+def append_once_stream(rows: DataFrame, key: str, time: str, target: str, checkpoint: str, delay: str | None = None):
+    """Log rows by id, each once, however late it comes again: the first that is seen stays.
+
+    Each batch is compared with the days of the table that it touches, by an anti-join that reads just these folders, so no
+    state is kept and nothing is forgotten; rows of an id must have one time. ``delay`` takes out repeats within it before,
+    by the watermark's bounded state. Batches are folders below their days, so one that runs again leaves one copy.
+    """
+    if delay:
+        rows = rows.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+
+    def each(batch: DataFrame, tag: str) -> None:
+        spark = batch.sparkSession
+        dated = batch.dropDuplicates([key]).withColumn("_day", F.to_date(time))
+        days = [r[0] for r in dated.select("_day").distinct().collect()]
+        old = known_rows(spark, target, dated.schema, days).where(F.col(BATCH) != tag)
+        fresh = dated.join(old.select(F.col(key).alias("_known")), F.col(key) == F.col("_known"), "left_anti")
+        fresh.withColumn(BATCH, F.lit(tag)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_day", BATCH).parquet(target)
+
+    return _run(rows, each, checkpoint)
+
+
+def known_rows(spark: SparkSession, target: str, schema: StructType, days: Sequence | None = None) -> DataFrame:
+    """The table that ``append_once_stream`` writes (with ``_day`` and the batch), limited to some days: only their folders are read."""
+    whole = StructType([f for f in schema if f.name not in ("_day", BATCH)]).add("_day", "date").add(BATCH, "string")
+    table = files.read_or_empty(spark, target, whole)
+    return table if days is None else table.where(F.col("_day").isin(days) | (F.col("_day").isNull() if None in days else F.lit(False)))
+
+
+COMMAND = "at long, seq long, action string, note string"
+STATUS = "document_id long, kind string, state string, refused long, seen long, at timestamp, seq long, action string, note string"
+
+
+class OrderStatus(StatefulProcessor):
+    """The status machine of one document in event time.
+
+    Commands of which the time is after the watermark are open: one that comes later may still go before them. They are kept
+    as they are, and the status that is reported is that of the settled ones followed by the open ones in order of (at,
+    seq). When the watermark passes a command, nothing can go before it any more: it is settled, and if the machine
+    refuses it, it leaves as a row of its own. So the state holds a status and the commands of one watermark's delay.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.settled = handle.getValueState("settled", "state string, refused long, seen long")
+        self.open = handle.getListState("open", COMMAND)
+
+    def _load(self) -> tuple[tuple, list[tuple]]:
+        return (tuple(self.settled.get()) if self.settled.exists() else ("pending_approval", 0, 0)), [tuple(c) for c in self.open.get()] if self.open.exists() else []
+
+    def _store(self, commands: list[tuple]) -> None:
+        if commands:
+            self.open.put(commands)
+            self.handle.registerTimer(commands[0][0] // 1000)
+        else:
+            self.open.clear()
+
+    @staticmethod
+    def _fold(start: tuple, commands: Sequence[tuple]) -> tuple[tuple, list[tuple]]:
+        (now, refused, seen), bad = start, []
+        for c in commands:
+            then = next_state(now, c[2], c[3])
+            if then is None:
+                bad.append((now, *c))
+            now, refused, seen = then or now, refused + (then is None), seen + 1
+        return (now, refused, seen), bad
+
+    @staticmethod
+    def _rows(key: tuple, status: list[tuple], refused: Sequence[tuple] = ()) -> pd.DataFrame:
+        rows = [(key[0], "status", *s, None, None, None, None) for s in status]
+        rows += [(key[0], "refused", now, None, None, pd.Timestamp(at, unit="us"), seq, action, note) for now, at, seq, action, note in refused]
+        out = pd.DataFrame(rows, columns=[f.split()[0] for f in STATUS.split(", ")])
+        return out.astype({"refused": "Int64", "seen": "Int64", "seq": "Int64", "at": "datetime64[us]"})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        start, commands = self._load()
+        for part in rows:
+            commands += [(int(at), int(seq), action, note) for at, seq, action, note in zip(part["at_us"], part["seq"], part["action"], part["note"], strict=True)]
+        commands.sort(key=lambda c: c[:2])
+        self._store(commands)
+        yield self._rows(key, [self._fold(start, commands)[0]])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000 + 999
+        start, commands = self._load()
+        done = [c for c in commands if c[0] <= passed]
+        after, refused = self._fold(start, done)
+        self.settled.update(after)
+        self._store(commands[len(done) :])
+        yield self._rows(key, [], refused)
+
+    def close(self) -> None:
+        pass
+
+
+def order_status_stream(commands: DataFrame, target: str, checkpoint: str, delay: str = "1 hour"):
+    """Order status from commands (document_id, at, seq, action, note) that come in any order within ``delay`` of event time.
+
+    ``status`` below the target gets a row for each document that a batch touched, with the number of its commands so far
+    (``seen``), by which readers take the newest; ``refused`` gets each refused command once the watermark has passed it, with
+    the state it met. Commands later than that don't reach the machine; the query's progress counts them as dropped by
+    the watermark. A batch that runs again replaces its own folders.
+    """
+    spark = commands.sparkSession
+    timed = commands.withColumn("at_us", F.unix_micros("at")).withWatermark("at", delay)
+    out = timed.groupBy("document_id").transformWithStateInPandas(OrderStatus(), STATUS, "Update", "EventTime")
+
+    def each(rows: DataFrame, tag: str) -> None:
+        rows.persist()
+        keep_batch(rows.where("kind = 'status'").select("document_id", "state", "refused", "seen"), tag, f"{target}/status")
+        keep_batch(rows.where("kind = 'refused'").select("document_id", "at", "seq", "action", "note", "state"), tag, f"{target}/refused")
+        rows.unpersist()
+
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKS)
+    try:
+        return _run(out, each, checkpoint, "update")
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+
+
+def current_status(spark: SparkSession, target: str) -> DataFrame:
+    """The newest status of each document of an ``order_status_stream``."""
+    rows = read_batches(spark, f"{target}/status", StructType.fromDDL("document_id long, state string, refused long, seen long"))
+    newest = rows.groupBy("document_id").agg(F.max_by(F.struct("state", "refused", "seen"), "seen").alias("s"))
+    return newest.select("document_id", "s.state", "s.refused", "s.seen")
