@@ -911,7 +911,7 @@ def t2(spark, d):
     rows, base = _streamed(spark, d, "events")
     timed = rows.selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS at")
     for run in range(2):
-        streams.append_once_stream(timed, "event_id", "at", f"{base}/out", f"{base}/state-{run}", "1 hour")
+        streams.append_once_stream(timed, "event_id", "at", f"{base}/out", f"{base}/state-{run}")
     return spark.read.parquet(f"{base}/out").select("event_id")
 
 

@@ -71,15 +71,13 @@ def sync_stream(changes: dict[str, DataFrame], updated: str, targets: dict[str,
     return queries
 
 
-def append_once_stream(rows: DataFrame, key: str, time: str, target: str, checkpoint: str, delay: str | None = None):
+def append_once_stream(rows: DataFrame, key: str, time: str, target: str, checkpoint: str):
     """Log rows by id, each once, however late it comes again: the first that is seen stays.
 
     Each batch is compared with the days of the table that it touches, by an anti-join that reads just these folders, so no
-    state is kept and nothing is forgotten; rows of an id must have one time. ``delay`` takes out repeats within it before,
-    by the watermark's bounded state. Batches are folders below their days, so one that runs again leaves one copy.
+    state is kept, nothing is forgotten and no row is too late; rows of an id must have one time. Batches are folders below
+    their days, so one that runs again leaves one copy.
     """
-    if delay:
-        rows = rows.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
     def each(batch: DataFrame, tag: str) -> None:
         spark = batch.sparkSession

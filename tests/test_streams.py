@@ -104,11 +104,11 @@ def test_ids_that_come_back_late_are_refused_and_days_are_pruned(spark):
 
     def run(rows, name="s"):
         spark.createDataFrame(rows, log).coalesce(1).write.mode("append").parquet(f"{base}/in")
-        streams.append_once_stream(streams.source(spark, f"{base}/in", spark.createDataFrame([], log).schema, 1), "id", "at", f"{base}/out", f"{base}/{name}", "1 hour")
+        streams.append_once_stream(streams.source(spark, f"{base}/in", spark.createDataFrame([], log).schema, 1), "id", "at", f"{base}/out", f"{base}/{name}")
         return rows_of(spark.read.parquet(f"{base}/out").select("id", "text"))
 
     run([(1, day(0), "a"), (2, day(0), "b"), (2, day(0), "b")])
-    run([(3, day(9), "c")])  # the watermark is nine days on
+    run([(3, day(9), "c")])  # event time is nine days on
     assert run([(1, day(0), "a"), (4, day(9), "d")]) == [(1, "a"), (2, "b"), (3, "c"), (4, "d")]
     assert run([(5, None, "e"), (5, None, "e")], "s") == [(1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, "e")]
     assert run([(6, day(3), "f")], "another")[:5] == [(1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, "e")]
