@@ -56,12 +56,13 @@ def _ratio_udf():
     return ratio
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, least: float = 90.0) -> DataFrame:
-    """(id, match_id, ratio) of all pairs of distinct keys (id, key) with a ratio of at least ``least``.
+def _candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(id_a, key, id_b, key_b, ratio) of all pairs of distinct keys (id, key) with a ratio of at least ``least``, each once.
 
     Each side's distinct keys index their rarest grams: a pair within the distance shares all but 2 * d of the grams of
     either key, so one of the first 2 * d + 1 grams in order of rarity is common. Keys too short to have that many
-    grams index them all and the marker of their length, so that they meet every key of a like length.
+    grams index them all and the marker of their length, so that they meet every key of a like length. A pair that meets
+    at several of these is taken at the first one, so no shuffle is needed to make pairs distinct.
     """
     share = (100 - least) / 100 + 1e-9  # so that rounding loses no pair just at the bound
 
@@ -76,56 +77,123 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float = 90.0) -> Dat
         n = F.length("key")
         most = F.floor(n * (2 * share / (1 - share))).cast("int")
         need = 2 * most + 1
-        listed = df.select(f"id_{tag}", "key", need.alias("need"), F.explode("grams").alias("gram")).join(rarity, "gram")
-        ranked = listed.groupBy(f"id_{tag}", "key", "need").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
-        prefix = ranked.select(f"id_{tag}", "key", F.explode(F.transform(F.slice("g", F.lit(1), F.greatest(F.col("need"), F.lit(1))), lambda x: x["gram"])).alias("token"))
+        # a key of one character has no gram, so it has its length alone
+        listed = df.select(f"id_{tag}", "key", F.explode_outer("grams").alias("gram")).join(rarity, "gram", "left")
+        ranked = listed.groupBy(f"id_{tag}", "key").agg(F.array_sort(F.collect_list(F.when(F.col("gram").isNotNull(), F.struct("df", "gram")))).alias("g"))
+        prefix = F.transform(F.slice("g", F.lit(1), F.greatest(need, F.lit(1))), lambda x: x["gram"])
         # keys with no more grams than that could share none: they meet by length
-        few = df.where(F.size("grams") <= need).select(f"id_{tag}", "key", F.explode(F.sequence(F.greatest(n - most, F.lit(1)), n + most)).alias("length"))
-        return prefix.union(few.select(f"id_{tag}", "key", F.concat(F.lit("#"), F.col("length").cast("string")).alias("token")))
+        lengths = F.transform(F.sequence(F.greatest(n - most, F.lit(1)), n + most), lambda k: F.concat(F.lit("#"), k.cast("string")))
+        tokens = F.array_distinct(F.concat(prefix, F.when(F.size("g") <= need, lengths).otherwise(F.array().cast("array<string>"))))
+        return ranked.select(f"id_{tag}", "key", tokens.alias(f"tokens_{tag}")).withColumn("token", F.explode(f"tokens_{tag}"))
+
+    x, y = indexed(a, "a"), indexed(b, "b").withColumnRenamed("key", "key_b")
+    bound = share * (F.length("key") + F.length("key_b"))
+    met = x.join(y, "token").where((F.abs(F.length("key") - F.length("key_b")) <= bound) & (F.element_at(F.array_intersect("tokens_a", "tokens_b"), 1) == F.col("token")))
+    near = met.where(F.levenshtein("key", "key_b") <= bound).select("id_a", "key", "id_b", "key_b")
+    return near.withColumn("ratio", _ratio_udf()("key", "key_b")).where(F.col("ratio") >= least - 1e-7)
 
-    x = indexed(a, "a")
-    y = indexed(b, "b").withColumnRenamed("key", "key_b")
-    pairs = x.join(y, "token").select("id_a", "key", "id_b", "key_b").where(F.abs(F.length("key") - F.length("key_b")) <= share * (F.length("key") + F.length("key_b"))).distinct()
-    near = pairs.where(F.levenshtein("key", "key_b") <= share * (F.length("key") + F.length("key_b")))
-    return near.withColumn("ratio", _ratio_udf()("key", "key_b")).where(F.col("ratio") >= least - 1e-7).select(F.col("id_a").alias("id"), F.col("id_b").alias("match_id"), "key", "key_b", "ratio")
+
+def similar_pairs(left: DataFrame, right: DataFrame, least: float = 90.0) -> DataFrame:
+    """(id, match_id, key, key_b, ratio) of all pairs of distinct keys (id, key) with a ratio of at least ``least``."""
+    return _candidates(left, right, least).select(F.col("id_a").alias("id"), F.col("id_b").alias("match_id"), "key", "key_b", "ratio")
 
 
 def best_match(left: DataFrame, right: DataFrame, least: float = 90.0) -> DataFrame:
-    """Each left row (id, key) with the id of an equal right key, else of the most similar one; ties by least id."""
-    exact = right.groupBy("key").agg(F.min("id").alias("exact_id"))
-    found = similar_pairs(left, right, least).groupBy("key").agg(F.min_by("match_id", F.struct(-F.col("ratio"), "match_id")).alias("near_id"), F.max("ratio").alias("ratio"))
-    out = left.join(exact.where("key != ''"), "key", "left").join(found, "key", "left")
+    """Each left row (id, key) with the id of an equal right key, else of the most similar one; ties by least id.
+
+    Keys that have an equal one are settled first. Of the others each task keeps the best match so far of every key, so one row a
+    key and task is shuffled, however many are similar.
+    """
+    exact = right.where("key != ''").groupBy("key").agg(F.min("id").alias("exact_id"))
+    open_ = left.select("key").distinct().join(exact, "key", "left_anti").withColumn("id", F.lit(0).cast("long"))
+    found = _candidates(open_, right, least).groupBy("key").agg(F.min_by("id_b", F.struct(-F.col("ratio"), "id_b")).alias("near_id"), F.max("ratio").alias("ratio"))
+    out = left.join(exact, "key", "left").join(found, "key", "left")
     return out.select("id", F.coalesce("exact_id", "near_id").alias("match_id"), F.when(F.col("exact_id").isNotNull(), 100.0).otherwise(F.col("ratio")).alias("ratio"))
 
 
-def greedy_new(pairs: DataFrame, ids: DataFrame, checkpoint) -> DataFrame:
-    """(id, kept): in order of id, an item is dropped if it matches an earlier kept one.
+def greedy_dropped(pairs: DataFrame, checkpoint) -> DataFrame | None:
+    """Ids that the sequential rule drops: in order of id, an item goes if it matches an earlier kept one. None if no pair is there.
 
-    Equal to the sequential rule, in rounds: an undecided item without an earlier neighbour that is kept or undecided
-    is kept; one with an earlier kept neighbour is dropped. ``pairs``: (earlier, later). ``checkpoint`` cuts lineage.
+    In rounds, over undecided items only: those without an earlier undecided neighbour are kept, their later neighbours
+    dropped, and the pairs of both are done with. ``pairs``: (earlier, later); ``checkpoint`` cuts lineage.
     """
-    state = checkpoint(ids.select("id", F.lit(None).cast("boolean").alias("kept")))
-    while True:
-        early = state.select(F.col("id").alias("earlier"), F.col("kept").alias("was"))
-        seen = pairs.join(early, "earlier").groupBy(F.col("later").alias("id")).agg(F.max(F.coalesce("was", F.lit(False))).alias("beside_kept"), F.max(F.col("was").isNull()).alias("waits"))
-        step = F.when(F.col("beside_kept"), False).when(F.coalesce("waits", F.lit(False)), None).otherwise(True)
-        state = checkpoint(state.join(seen, "id", "left").select("id", F.coalesce("kept", step).alias("kept")))
-        if state.where("kept IS NULL").isEmpty():
-            return state
+    out, pairs = None, checkpoint(pairs)
+    while not pairs.isEmpty():
+        roots = pairs.select("earlier").distinct().join(pairs.select(F.col("later").alias("earlier")), "earlier", "left_anti")
+        gone = checkpoint(pairs.join(roots, "earlier").select(F.col("later").alias("id")).distinct())
+        out = gone if out is None else out.union(gone)
+        pairs = checkpoint(pairs.join(gone, F.col("later") == F.col("id"), "left_anti").join(gone, F.col("earlier") == F.col("id"), "left_anti"))
+    return out
+
+
+def greedy_new(pairs: DataFrame, ids: DataFrame, checkpoint) -> DataFrame:
+    """(id, kept) of all ``ids`` by the rule of ``greedy_dropped``."""
+    gone = greedy_dropped(pairs, checkpoint)
+    if gone is None:
+        return ids.select("id", F.lit(True).alias("kept"))
+    return ids.select("id").join(gone.withColumn("_gone", F.lit(True)), "id", "left").select("id", F.col("_gone").isNull().alias("kept"))
+
+
+#: Items of the first portion of a batch; each next one is twice as large.
+PORTION = 1000
 
 
 def new_items(batch: DataFrame, master: DataFrame, checkpoint, least: float = 90.0) -> DataFrame:
-    """(id, kept) of the batch (id, key): an item is new unless it matches the master or an earlier new item.
+    """(id, kept) of the batch (id, key, stored): an item is new unless its key matches the master's keys (id, key) or what an
+    earlier new item is stored as.
 
-    Equal keys are one item, the first. ``checkpoint`` cuts lineage.
+    ``key`` is what an item asks with and ``stored`` what later ones meet (the key itself if the batch has no such column): names
+    ask without a trailing remark in brackets, but are stored with it. An item with an empty key is always new. Items
+    that ask and are stored alike are one, the first. ``checkpoint`` cuts lineage.
+
+    Portions of the ids, in order and of growing size, are compared with the new items before them first; new items are
+    unlike each other, so that finds a few for each. Only what is left of a portion is compared within it, so a family of
+    like names costs the square of its part in the portion that it begins in, not of its size.
     """
-    firsts = batch.groupBy("key").agg(F.min("id").alias("id")).select("id", "key")
-    unknown = checkpoint(best_match(firsts, master, least).where("match_id IS NULL").select("id").join(firsts, "id"))
-    pairs = similar_pairs(unknown, unknown, least).where("id < match_id").select(F.col("id").alias("earlier"), F.col("match_id").alias("later"))
-    kept = greedy_new(checkpoint(pairs), unknown.select("id"), checkpoint)
+    if "stored" not in batch.columns:
+        batch = batch.withColumn("stored", F.col("key"))
+    rows = batch.select("id", F.coalesce("key", F.lit("")).alias("key"), F.coalesce("stored", F.lit("")).alias("stored"))
+    asked = rows.where("key != ''")
+    known = best_match(asked.select("id", "key"), master, least).where("match_id IS NOT NULL").select("id")
+    alike = asked.where("key = stored").groupBy("key").agg(F.min("id").alias("_first"))
+    copies = asked.where("key = stored").join(alike, "key").where("id > _first").select("id")
+    left = checkpoint(rows.join(known.union(copies), "id", "left_anti"))
+    new, seen = [], None
+    for part in _portions(left):
+        if seen is not None:
+            met = _pairs(part, seen, least, checkpoint).select(F.col("later").alias("id")).distinct()
+            part = checkpoint(part.join(met, "id", "left_anti"))
+        gone = greedy_dropped(_pairs(part, part, least, checkpoint), checkpoint)
+        own = part if gone is None else checkpoint(part.join(gone, "id", "left_anti"))
+        new.append(own)
+        seen = own if seen is None else seen.union(own)
+    kept = seen.select("id", F.lit(True).alias("kept")) if new else left.select("id", F.lit(True).alias("kept"))
     return batch.select("id").join(kept, "id", "left").select("id", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
+def _portions(rows: DataFrame) -> list[DataFrame]:
+    """The rows by ranges of their id, the first of about PORTION rows, each next one of twice as many as the one before."""
+    total = rows.count()
+    shares, size = [], PORTION
+    while sum(shares) < total:
+        shares.append(size)
+        size *= 2
+    if not shares:
+        return []
+    places = [sum(shares[: k + 1]) / total for k in range(len(shares) - 1)]
+    cuts = rows.stat.approxQuantile("id", places, min(0.01, PORTION / total / 2)) if places else []
+    low = [None, *sorted(set(cuts))]
+    return [rows.where((F.lit(True) if a is None else F.col("id") > a) & (F.lit(True) if b is None else F.col("id") <= b)) for a, b in zip(low, [*low[1:], None], strict=True)]
+
+
+def _pairs(later: DataFrame, earlier: DataFrame, least: float, checkpoint) -> DataFrame:
+    """(earlier, later) ids of which the later one's key matches what the earlier one is stored as."""
+    texts = checkpoint(_candidates(later.select("id", "key"), earlier.select("id", F.col("stored").alias("key")), least).select("key", "key_b"))
+    asks = later.select(F.col("id").alias("later"), "key")
+    has = earlier.select(F.col("id").alias("earlier"), F.col("stored").alias("key_b"))
+    return asks.join(texts, "key").join(has, "key_b").where("earlier < later").select("earlier", "later")
+
+
 def search_top_k(queries: DataFrame, items: DataFrame, fields: dict[str, int], k: int = 5, most: float = 0.4) -> DataFrame:
     """The ``k`` best items of each query (query_id, text): score is the weighted mean over fields of one less the share
     of the query's 2-grams that the field has; scores over ``most`` don't count. Ties by item id.

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+import zlib
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -107,6 +110,54 @@ def folders(spark: SparkSession, path: str, pattern: str) -> list[str]:
     return sorted(f.getPath().getParent().toString() for f in found or [])
 
 
+#: Names of files that aren't data: hidden ones, markers, what is still being written, open sheets.
+LEFT_OUT = r"^(_.*|\..*|.*\.tmp|~\$.*)$"
+_SQUEEZED = "gz"
+
+
+def _whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(file, whole) of files by their bytes: a compressed one must come to its end, others are whole as they are."""
+    for files in parts:
+        yield pd.DataFrame({"file": files["file"], "whole": [_ends(p, b) for p, b in zip(files["file"], files["content"], strict=True)]})
+
+
+def _ends(path: str, content: bytes) -> bool:
+    if not path.endswith(f".{_SQUEEZED}"):
+        return True
+    rest = content
+    while rest:
+        member = zlib.decompressobj(31)
+        try:
+            while rest and not member.eof:
+                member.decompress(rest, 1 << 20)
+                rest = member.unconsumed_tail
+        except zlib.error:
+            return False
+        if not member.eof:
+            return False
+        rest = member.unused_data
+    return bool(content)
+
+
+def read_what_can(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """(rows, report) of the NDJSON files of a folder and those below: files that don't come to their end are set aside whole.
+
+    ``rows`` has the schema's columns, ``_corrupt_record`` (a broken line as it is, with the rest null) and ``file``.
+    ``report`` has file, n_bytes and state of each file: read, unreadable (cut off, or not what its ending says) or left
+    out (LEFT_OUT). Tasks try each file, one at a time and without keeping what they decompress; rows are then read by Spark
+    and taken from whole files only, also where a bad one gave some before its end.
+    """
+    seen = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    named = seen.select(F.col("path").alias("file"), F.col("length").alias("n_bytes"), "content", F.element_at(F.split("path", "/"), -1).rlike(LEFT_OUT).alias("ignored"))
+    tried = named.where("NOT ignored").select("file", "content").mapInPandas(_whole, "file string, whole boolean")
+    report = named.drop("content").join(tried, "file", "left").select("file", "n_bytes", F.when(F.col("ignored"), "left out").when(F.col("whole"), "read").otherwise("unreadable").alias("state"))
+    kept = StructType([*schema, *StructType().add("_corrupt_record", "string")])
+    lines = spark.read.schema(kept).option("recursiveFileLookup", True).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True).json(path)
+    rows = lines.select("*", F.col("_metadata.file_path").alias("file"))
+    good = report.where("state = 'read'").select("file")
+    return rows.join(good, "file", "left_semi").select(*kept.names, "file"), report
+
+
 def blank_to_null(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows with the empty texts of ``columns`` as null, one row with how many each column had)."""
     return rows.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in columns}), rows.agg(*(F.count_if(F.col(c) == "").alias(c) for c in columns))
