@@ -44,12 +44,20 @@ VOID = frozenset("br hr img input meta link area base col embed source track wbr
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WORDS = (
     r"ads?|advert\w*|advertisement|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notification|popup|modal|overlay|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|widget|footer|topbar|toolbar|comments?|reply|replies|respond|disqus|"
+    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|widget|footer|topbar|toolbar|comments?|commentlist|reply|replies|respond|disqus|cc[_-]window|(?:col|column)[_-](?:left|right)|(?:left|right)[_-](?:col|column)|"
     r"share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|pagination|pager|copyright|legal|disclaimer|skip|complementary|contentinfo|form"
 )
-#: Words in class, id or role that mark such places: a whole token, or its leading part, or that after a word for where
-#: it stands. What says that there is or isn't such a place (``with-sidebar``, ``comments-open``) marks none.
-_MARK = r"(?:^|\s)(?:(?:site|page|main|primary|secondary|global|top|bottom|left|right|post|entry|article|blog|inner|mobile|fixed|sticky)[_-]+)?(?:{})(?=$|[\s_-])(?![_-]+(?:open|opened|closed|enabled|disabled|allowed|on|off|active|visible|none|yes|no|true|false)(?:$|\s))"
+#: What may follow such a word in its token: parts of a page, or a number. ``share-price`` and ``legal-history`` name a topic.
+_PARTS = (
+    r"\d+|ads?|area|aside|author|avatar|banner|bar|block|body|box|btn|button|buttons|card|cards|column|container|content|count|dialog|drawer|entry|feed|field|fields|"
+    r"footer|form|group|head|header|heading|holder|icon|icons|inner|input|item|items|label|layer|layout|left|link|links|list|listing|main|menu|message|meta|modal|module|nav|"
+    r"navigation|notice|outer|overlay|panel|policy|popup|post|posts|primary|region|right|root|row|secondary|section|settings|sheet|sidebar|slot|stories|story|strip|text|thread|tile|"
+    r"title|toggle|top|bottom|tray|unit|widget|widgets|window|wrap|wrapper|zone|articles?|news|media|signup|share|sharing|results?|tools?|rail|sticky|fixed|inline|mobile|desktop"
+)
+#: Words in class, id or role that mark such places: a whole token, or its leading part before parts of a page or more such
+#: words, or that after a word for where it stands. What says that there is or isn't such a place (``with-sidebar``,
+#: ``comments-open``) marks none.
+_MARK = rf"(?:^|\s)(?:(?:site|page|main|primary|secondary|global|top|bottom|left|right|post|entry|article|blog|inner|mobile|fixed|sticky|user|reader|visitor)[_-]+)?(?:{{0}})(?:[_-]+(?:{_PARTS}|{_WORDS}))*(?=$|\s)"
 PLACE = re.compile(_MARK.format(_WORDS), re.I)
 HEADER = re.compile(_MARK.format("header|masthead"), re.I)
 #: What marks a comment or an advert on an element for articles, as a whole token.
@@ -58,6 +66,10 @@ ARTICLE_MARK = re.compile(r"(?:^|\s)(?:comments?|reply|ads?|advert\w*|sponsor\w*
 TALK = re.compile(_MARK.format("comments?|reply|replies|respond|disqus"), re.I)
 ARTICLE_PLACE = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|content|body)(?=$|[\s_-])", re.I)
 
+#: Headings under which readers speak, and blocks that only say that an advert stands there.
+TALK_HEADING = re.compile(r"(?:\d[\d.,]*\s+)?(?:comments?|replies|responses|kommentare?|commentaires?|comentarios?)(?:\s*[:(]?\s*\d*\s*\)?)?", re.I)
+ADVERT_LABEL = re.compile(r"(?:ads?|adverts?|advertisements?|advertising|sponsored|anzeige|werbung|publicité|publicidad)[.:]?", re.I)
+
 _RAW = "|".join(RAW)
 #: Attributes: a quote means something only as the first character of a value.
 _ATTRIBUTES = r"(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+"
@@ -182,6 +194,8 @@ def blocks(html: str) -> list[Block]:
     linked: list[str] = []
     stack: list[tuple[str, bool, bool, Mark | None]] = []  # element, whether it is outside, whether it is the article, its mark
     marks: list[Mark] = []
+    talks: list[tuple[int, Mark]] = []  # open places of talk under a heading, with the number of elements around each
+    names: Counter[str] = Counter()  # of the open elements
     outside = article = articles = links = mains = 0
     heading = False
 
@@ -197,7 +211,11 @@ def blocks(html: str) -> list[Block]:
 
     def leave(k: int) -> None:
         nonlocal outside, article
-        for _, was_outside, was_article, mark in stack[k:]:
+        while talks and talks[-1][0] > k:
+            mark = talks.pop()[1]
+            mark.end, mark.mains = len(out), mains - mark.mains
+        for name, was_outside, was_article, mark in stack[k:]:
+            names[name] -= 1
             outside -= was_outside
             article -= was_article
             if mark:
@@ -235,9 +253,11 @@ def blocks(html: str) -> list[Block]:
         if name == "head":  # all that it may hold is silent; its end tag may be missing
             continue
         if m[2]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if k is not None:
-                leave(k)
+            if names[name]:
+                leave(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
+            if name in HEADINGS and out and out[-1].heading and TALK_HEADING.fullmatch(out[-1].text):
+                talks.append((len(stack), Mark(len(out) - 1, False, True, mains)))
+                marks.append(talks[-1][1])
             heading, links = False, 0
             continue
         if name == "p" or name in HEADINGS or name == "li":
@@ -260,6 +280,7 @@ def blocks(html: str) -> list[Block]:
             marks.append(mark)
         mains += name in ("main", "h1")
         stack.append((name, is_outside, is_article, mark))
+        names[name] += 1
         outside += is_outside
         articles += is_article and not article
         article += is_article
@@ -268,6 +289,8 @@ def blocks(html: str) -> list[Block]:
         parts.append(html[at:])
     close()
     leave(0)
+    for _, mark in talks:  # with no element around
+        mark.end, mark.mains = len(out), mains - mark.mains
     if marks:
         settle(out, marks)
     return out
@@ -275,7 +298,7 @@ def blocks(html: str) -> list[Block]:
 
 def first_label(block: Block, readable: bool = True) -> str:
     """The label that a block gets by itself. In a language without a list of stop words, length and links decide."""
-    if block.outside:
+    if block.outside or block.size < SHORT and ADVERT_LABEL.fullmatch(block.text):
         return BAD
     wordy = block.size >= SHORT and (block.stops >= STOPS_LOW or not readable)
     if block.linked > LINKS * len(block.text):

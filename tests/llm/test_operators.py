@@ -6,6 +6,7 @@ import hashlib
 import io
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -679,7 +680,7 @@ BARE = [
     # (page, its main text): pages without elements for articles or telling class names, labelled by hand
     (f"<div><a href=/>Home</a><div><a href=/n>News of the day and of the week</a></div></div><div>Bold Foxes</div><div>{PROSE * 3}</div><div>They ran.</div><div>{PROSE * 2}</div><div><a href=/t>Terms</a></div><div>&copy; 2020 Fox Inc</div>", f"{PROSE * 3}They ran. {PROSE * 2}"),
     (f"<table><tr><td><a href=/>a</a><td><a href=/b>b</a></table><h1>The fox</h1><div>{PROSE * 4}</div><div>Subscribe</div><div><a href=/1>One</a></div>", f"The fox {PROSE * 4}"),
-    (f"<div>{PROSE * 3}</div><div>AD</div><div>{PROSE * 3}</div><ul><li><a href=1>1<li><a href=2>2</ul>", f"{PROSE * 3}AD {PROSE * 3}"),
+    (f"<div>{PROSE * 3}</div><div>AD</div><div>{PROSE * 3}</div><ul><li><a href=1>1<li><a href=2>2</ul>", f"{PROSE * 3}{PROSE * 3}"),
     (f"<div class=x1>Price 10 20 30 40 50 60 70 80 90 Size 1 2 3 4 5 6 7 8 9 Stock 11 12 13 14 15 16 17 18</div><div class=x2>{PROSE * 4}</div>", PROSE * 4),
     (f"<div id=content><p>{PROSE * 2}</p>{LINKED}<p>So it was.</p></div>", f"{PROSE * 2}It is said that the fox was seen by all of the people in the garden of the old house at night. So it was."),
     (f"<article><p title=it's>{PROSE * 2}</p><p><a href=/more>See the old house</a></p><p>{PROSE}</p><ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul></article>", f"{PROSE * 2}See the old house {PROSE}"),
@@ -687,6 +688,34 @@ BARE = [
 ]
 
 
+AROUND = f"<article><p>{PROSE * 3}</p>{{}}<p>{PROSE * 2}</p></article>{{}}"
+
+
+@pytest.mark.parametrize("mark", ["class='share-price'", "class='search-and-rescue'", "id='legal-history'", "class='comments-open'", "class='social-contract'", "class='menu-of-the-day'"])
+def test_topics_are_no_places(mark):
+    assert html_text.main_text(AROUND.format(f"<section {mark}><p>{PROSE}</p></section>", "")) == f"{PROSE * 3}{PROSE}{PROSE * 2}".strip()
+
+
+@pytest.mark.parametrize("place", ["div class='user-comment'", "ol class='commentlist'", "div class='cc-window'", "div class='col-right'", "div class='comment-list-item'", "div id='cookie-notice-2'", "section class='related-posts'", "div class='share-buttons'"])
+def test_places_beside_an_article(place):
+    assert html_text.main_text(AROUND.format("", f"<{place}><p>{PROSE * 2}</p></div></ol></section>")) == f"{PROSE * 3}{PROSE * 2}".strip()
+
+
+@pytest.mark.parametrize("heading", ["3 Comments", "Comments", "Comments (12)", "1,204 comments", "Kommentare"])
+def test_talk_under_a_heading(heading):
+    talk = f"<div><h3>{heading}</h3><p>{PROSE}</p><p>Nice.</p></div>"
+    assert html_text.main_text(AROUND.format("", talk)) == f"{PROSE * 3}{PROSE * 2}".strip()
+    assert html_text.main_text(AROUND.format("", f"<h3>{heading}</h3><p>{PROSE}</p>")) == f"{PROSE * 3}{PROSE * 2}".strip()
+    about = AROUND.format("<h3>Comments on the law</h3>", "")
+    assert "Comments on the law" in html_text.main_text(about)
+
+
+def test_time_is_linear_in_end_tags_without_a_start():
+    began = time.time()
+    html_text.main_text("<div>" * 100_000 + "</zz>" * 100_000 + f"<p>{PROSE * 3}")
+    assert time.time() - began < 3
+
+
 @pytest.mark.parametrize("page,want", BARE)
 def test_bare_pages(page, want):
     assert html_text.main_text(page) == want.strip()
