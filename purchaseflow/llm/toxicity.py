@@ -4,18 +4,19 @@ linear softmax over that mean is trained jointly with the vectors.
 The fit reads a bounded sample of labelled rows (``SAMPLE``, half of it for either label, by a hash of the id). Tasks count
 in how many texts of either label each n-gram occurs; n-grams that don't depend on the label get no vector, so rare ones can't
 be learned by heart. What the tasks send to the driver is a sparse row for each text of the sample. The softmax is
-linear in the mean, so for scoring all vectors become one number for each n-gram: a text costs a look-up for each word, and
-a misspelling that was never seen shares most n-grams with what was.
+linear in the mean, so for scoring all vectors become one number for each n-gram, which an automaton finds in a word in one
+pass; a misspelling that was never seen shares most n-grams with what was.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,19 +26,18 @@ from .common import column, portions, written
 
 #: Labelled rows that a fit reads at most.
 SAMPLE = 6_000
-#: n-grams are hashed into so many buckets, of which GRAMS at most have vectors of DIM numbers.
-BUCKETS, GRAMS, DIM = 1 << 18, 1024, 4
+#: n-grams with vectors at most, and the numbers of a vector.
+GRAMS, DIM = 1024, 4
 SHORTEST, LONGEST = 3, 6
 #: Standard errors by which an n-gram's share of texts must differ between the labels.
 FAR = 4.0
 EPOCHS, RATE, DECAY, SCALE = 150, 0.02, 1e-6, 50.0
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of a word's distinct n-grams, itself with both edges among them."""
+def grams(word: str) -> set[str]:
+    """A word's distinct n-grams, edges and the whole word included."""
     edged = f"<{word}>"
-    found = {edged[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(edged) - n + 1)} | {edged}
-    return sorted(zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in found)
+    return {edged[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(edged) - n + 1)} | {edged}
 
 
 def bag(text: str | None) -> list[str]:
@@ -47,9 +47,9 @@ def bag(text: str | None) -> list[str]:
 
 @dataclass(frozen=True)
 class Model:
-    """``kept``: sorted buckets that have vectors; ``vectors``: theirs; ``weights`` and ``bias`` of the softmax over labels 0 and 1."""
+    """``kept``: sorted n-grams that have vectors; ``vectors``: theirs; ``weights`` and ``bias`` of the softmax over labels 0 and 1."""
 
-    kept: np.ndarray
+    kept: list[str]
     vectors: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
@@ -57,9 +57,7 @@ class Model:
     def vector(self, word: str) -> np.ndarray:
         """The mean over all n-grams of a word; those without a vector count as zero."""
         own = grams(word)
-        at = np.searchsorted(self.kept, own)
-        hit = [i for i, g in zip(at, own, strict=True) if i < len(self.kept) and self.kept[i] == g]
-        return self.vectors[hit].sum(0) / len(own)
+        return self.vectors[[k for k, g in enumerate(self.kept) if g in own]].sum(0) / len(own)
 
     def probability(self, text: str | None) -> float:
         """Of label 1; the plain form of what ``score`` computes."""
@@ -69,10 +67,10 @@ class Model:
         e = np.exp(z - z.max())
         return float(e[1] / e.sum())
 
-    def slopes(self) -> dict[int, float]:
-        """What an n-gram of each bucket adds to the difference of the two labels' logits."""
+    def slopes(self) -> dict[str, float]:
+        """What each n-gram adds to the difference of the two labels' logits."""
         each = SCALE * self.vectors @ (self.weights[:, 1] - self.weights[:, 0])
-        return dict(zip(self.kept.tolist(), each.tolist(), strict=True))
+        return dict(zip(self.kept, each.tolist(), strict=True))
 
 
 def held_out(id_col: str) -> Column:
@@ -96,32 +94,33 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def _counted(sample: DataFrame) -> DataFrame:
-    """(bucket, n0, n1): texts of either label that have an n-gram of the bucket; a row a bucket and task before the shuffle."""
+    """(gram, n0, n1): texts of either label that have an n-gram; a row a gram and task before the shuffle."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lru_cache(200_000)(grams)
-        counts = np.zeros((2, BUCKETS), np.int64)
-        for b in it:
+        known = lru_cache(50_000)(grams)
+        counts = Counter(), Counter()
+        for b in portions(it):
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found: set[int] = set()
+                found: set[str] = set()
                 for w in bag(text):
                     found.update(known(w))
-                counts[label, list(found)] += 1
-        at = np.flatnonzero(counts.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[0, at]), pa.array(counts[1, at])], names=["bucket", "n0", "n1"])
+                counts[label].update(found)
+        for label, own in enumerate(counts):
+            n, zero = pa.array(list(own.values()), pa.int64()), pa.array([0] * len(own), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), zero if label else n, n if label else zero], names=["gram", "n0", "n1"])
 
-    return sample.select("text", "label").mapInArrow(run, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return sample.select("text", "label").mapInArrow(run, "gram string, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def _rows(sample: DataFrame, kept: np.ndarray) -> DataFrame:
+def _rows(sample: DataFrame, kept: list[str]) -> DataFrame:
     """(label, at, share): for each text the places in ``kept`` of its n-grams, 16 bits each, and their shares of its mean."""
-    place = {int(g): k for k, g in enumerate(kept)}
+    place = {g: k for k, g in enumerate(kept)}
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         @lru_cache(200_000)
         def known(word: str) -> tuple[list[int], int]:
             own = grams(word)
-            return [place[g] for g in own if g in place], len(own)
+            return sorted(place[g] for g in own if g in place), len(own)
 
         for b in portions(it):
             at, share = [], []
@@ -177,8 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n0, n1 = (max(1, n.get(k, 0)) for k in (0, 1))
     p = (F.col("n0") + F.col("n1")) / (n0 + n1)
     far = F.abs(F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n0 + 1 / n1))
-    best = _counted(sample).select("bucket", far.alias("far")).where(F.col("far") >= FAR).orderBy(F.desc("far"), "bucket").limit(GRAMS)
-    kept = np.array(sorted(r["bucket"] for r in best.collect()), np.int64)
+    best = _counted(sample).select("gram", far.alias("far")).where(F.col("far") >= FAR).orderBy(F.desc("far"), "gram").limit(GRAMS)
+    kept = sorted(r["gram"] for r in best.collect())
     rows = sorted((r["label"], bytes(r["at"]), bytes(r["share"])) for r in _rows(sample, kept).collect())
     return Model(kept, *train(rows, len(kept)))
 
@@ -195,10 +194,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     out = source.select("_id", F.lit(0.0).alias("_z")).schema
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = ahocorasick.Automaton()
+        for g in slopes:
+            finder.add_word(g, g)
+        finder.make_automaton()
+
         @lru_cache(200_000)
         def known(word: str) -> float:
-            own = grams(word)
-            return sum(slopes.get(g, 0.0) for g in own) / len(own)
+            hit = {g for _, g in finder.iter(f"<{word}>")} if slopes else None
+            return sum(slopes[g] for g in sorted(hit)) / len(grams(word)) if hit else 0.0
 
         for b in portions(it):
             found = []
