@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from purchaseflow.operators import ledger, validate
+from purchaseflow.operators import keywords, ledger, validate
 from purchaseflow.operators import purchasing as p
 from purchaseflow.operators import versioned as v
 from purchaseflow.sources import bucketed
@@ -160,3 +160,30 @@ def c1_rows(spark, d):
     out = converted_items(spark, d)
     return _num(out.withColumns({"day": F.date_format("day", "yyyy-MM-dd"), "moment": F.date_format("moment", "yyyy-MM-dd HH:mm:ss"), "small": F.col("small").cast("int"), "n_errors": F.size("errors")}).drop("errors"))
 
+
+# --- keyword rules -------------------------------------------------------------------------------------------------
+
+RULE_SETS_SQL = f"""{WITH}, x AS (SELECT item_id, brand, lower(name_en || ' ' || category) AS x, name_en, category FROM it),
+k AS (SELECT 'by_head' AS s, item_id AS no, brand AS c, substr(name_en, 1, 7) AS w FROM it WHERE item_id % 2 = 0
+      UNION ALL SELECT 'by_middle', 1000000000 - item_id, brand, substr(name_en, 4, 5) FROM it
+      UNION ALL SELECT 'by_type', item_id, brand, substr(category, 1 + item_id % 9, 8) FROM it WHERE item_id % 3 = 0),
+l AS (SELECT s, lower(w) AS w, min(no) AS no FROM k GROUP BY ALL),
+h AS (SELECT item_id, s, min(no) AS no FROM x JOIN l ON contains(x, w) GROUP BY ALL),
+n AS (SELECT s, no, min(c) AS c FROM k GROUP BY ALL),
+r AS (SELECT item_id, s, c FROM h JOIN n USING (s, no))
+SELECT item_id, coalesce(max(c) FILTER (s = 'by_head'), 'Uncategorized') AS by_head, coalesce(max(c) FILTER (s = 'by_middle'), 'Uncategorized') AS by_middle, coalesce(max(c) FILTER (s = 'by_type'), 'Uncategorized') AS by_type
+FROM it LEFT JOIN r USING (item_id) GROUP BY item_id"""
+
+
+@query("f13_rule_sets", RULE_SETS_SQL)
+def f13_sets(spark, d):
+    """Three rule sets that disagree, with keywords cut from all names and types, many within words."""
+    items = t.items(spark, d)
+    rule = lambda rows, no, word: rows.select(no.alias("rule_no"), F.col("brand").alias("category"), word.alias("keyword"))
+    rules = keywords.by_rule_table({
+        "by_head": rule(items.where("item_id % 2 = 0"), F.col("item_id"), F.substring("name_en", 1, 7)),
+        "by_middle": rule(items, 1_000_000_000 - F.col("item_id"), F.substring("name_en", 4, 5)),
+        "by_type": rule(items.where("item_id % 3 = 0"), F.col("item_id"), F.col("category").substr(F.col("item_id").cast("int") % 9 + 1, F.lit(8))),
+    })
+    texts = items.select("item_id", F.concat_ws(" ", "name_en", "category").alias("text"))
+    return keywords.classify(texts, "text", rules, ["by_head", "by_middle", "by_type"]).drop("text")

@@ -196,3 +196,25 @@ def test_conversion_counts_in_the_same_pass(spark):
     with pytest.raises(TypeError):
         validate.convert_to(texts, StructType().add("n", "array<int>"))
     assert len(re.findall("Scan", out._jdf.queryExecution().executedPlan().toString())) == 1
+
+
+def test_keyword_rules_against_all_rules_in_turn(spark, monkeypatch):
+    from purchaseflow.operators import keywords
+
+    rng = random.Random(12)
+    letters = "abcde"
+    rules = [(s, rng.randrange(3000), f"c{rng.randrange(40)}", "".join(rng.choices(letters, k=rng.randrange(2, 6))).upper()) for s in ("x", "y") for _ in range(2500)]
+    rules += [("z", 9, "all", ""), ("z", 4, "Nut", "NUT"), ("x", 1, "null", None), ("other", 0, "o", "a")]
+    texts = [None, "", "walnut", "Ñandú NUT"] + ["".join(rng.choices(letters + " ", k=rng.randrange(30))) for _ in range(150)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    table = spark.createDataFrame(rules, "rule_set string, rule_no int, category string, keyword string")
+
+    def first(text, s):
+        hits = [no for q, no, _, w in rules if q == s and w is not None and text is not None and w.lower() in text.lower()]
+        return min(c for q, no, c, _ in rules if q == s and no == min(hits)) if hits else "none"
+
+    want = [(i, x, *(first(x, s) for s in "xyz")) for i, x in enumerate(texts)]
+    for size in (keywords.PORTION, 4000):  # at once, and in portions
+        monkeypatch.setattr(keywords, "PORTION", size)
+        assert rows_of(keywords.classify(rows, "text", table, ["x", "y", "z"], "none")) == sorted(want, key=repr)
+    assert rows_of(keywords.classify(rows, "text", table.limit(0), ["x"], "none").select("x").distinct()) == [("none",)]
