@@ -155,7 +155,7 @@ def c1_errors(spark, d):
 
 @query("c1_schema_rows", f"""{TYPED_SQL} SELECT item_id, CASE WHEN length(uid) = 36 THEN lower(uid) END AS uid, CASE "day" WHEN '2024-02-29' THEN "day" END AS "day", CASE moment WHEN '2024-02-29 10:11:12.5' THEN '2024-02-29 10:11:12' END AS moment,
     CASE small WHEN '-32768' THEN -32768 END AS small, CASE WHEN whole <> '-2147483649' THEN CAST(whole AS INT) END AS whole, CASE "large" WHEN '-9223372036854775808' THEN CAST("large" AS BIGINT) END AS "large",
-    CASE money WHEN '-12.50' THEN -12.5 END AS money, CASE WHEN item_id % 4 <> 0 THEN label END AS label, CAST((SELECT count(*) FROM e WHERE e.item_id = x.item_id) AS INT) AS n_errors FROM x""")
+    CAST(CASE money WHEN '-12.50' THEN -12.5 END AS DOUBLE) AS money, CASE WHEN item_id % 4 <> 0 THEN label END AS label, CAST((SELECT count(*) FROM e WHERE e.item_id = x.item_id) AS INT) AS n_errors FROM x""")
 def c1_rows(spark, d):
     out = converted_items(spark, d)
     return _num(out.withColumns({"day": F.date_format("day", "yyyy-MM-dd"), "moment": F.date_format("moment", "yyyy-MM-dd HH:mm:ss"), "small": F.col("small").cast("int"), "n_errors": F.size("errors")}).drop("errors"))
