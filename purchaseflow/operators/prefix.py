@@ -56,6 +56,11 @@ def running_sums(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sum
     return both.withColumns({n: F.coalesce(F.col(n), zero) + F.coalesce(F.col(f"_b_{n}"), zero) for n in sums}).drop(RANGE, *(f"_b_{n}" for n in sums))
 
 
+def places(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """``rows`` numbered 1, 2, ... within each key in ``order``, whose values don't repeat within a key."""
+    return running_sums(rows.withColumn("_one", F.lit(1)), keys, order, {name: "_one"}).drop("_one")
+
+
 def neighbours(rows: DataFrame, keys: Sequence[str], order: str, ahead: Sequence[str] = (), behind: Sequence[str] = ()) -> DataFrame:
     """``rows`` with ``next_<c>``, the first known value of ``c`` from this row on, for the columns ``ahead``, and
     ``last_<c>``, the last known one before this row, for those of ``behind``. ``order`` has no repeats within a key."""

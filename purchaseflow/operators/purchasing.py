@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from purchaseflow.operators import match, numbering
+from purchaseflow.operators.prefix import places
 
 # Rates of withholding by kind of tax, value added tax, and accounts of charges.
 WITHHOLDING = {"pph23": "0.02", "pph15": "0.012", "pph22_solar": "0.003", "pph22_impor": "0.025"}
@@ -188,11 +189,12 @@ def order_detail(order_lines: DataFrame, terms: DataFrame, vendors: DataFrame, s
 def import_templates(rows: DataFrame, index: DataFrame, keys: Sequence[Column], index_key: str) -> DataFrame:
     """Template lines (template, position, name, uom) with item_id, name and uom; the matched item's values win where it
     has them. ``keys`` are tried in order against ``index`` (item_id, item_name, item_uom and its key). ``sort_order``
-    counts from 0 within a template, in order of position, whether a line is matched or not."""
+    counts from 0 within a template, in order of position, whether a line is matched or not; a template may have any number
+    of lines."""
     found = match.prioritised_lookup(rows.withColumn("line_id", F.struct("template", "position")), "line_id", keys, index, index_key, "item_id", ["item_id"])
     out = rows.withColumn("line_id", F.struct("template", "position")).join(found, "line_id", "left").join(index.select("item_id", "item_name", "item_uom").dropDuplicates(["item_id"]), "item_id", "left")
-    place = F.row_number().over(Window.partitionBy("template").orderBy("position")) - 1
-    return out.select("template", F.col("item_id"), F.coalesce(F.nullif("item_name", F.lit("")), "name").alias("name"), F.coalesce(F.nullif("item_uom", F.lit("")), "uom").alias("uom"), place.cast("long").alias("sort_order"))
+    lines = out.select("template", "position", F.col("item_id"), F.coalesce(F.nullif("item_name", F.lit("")), "name").alias("name"), F.coalesce(F.nullif("item_uom", F.lit("")), "uom").alias("uom"))
+    return places(lines, ["template"], ["position"], "_place").select("template", "item_id", "name", "uom", (F.col("_place") - 1).cast("long").alias("sort_order"))
 
 
 def price_on(asked: DataFrame, prices: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ def r7(spark, d):
     return e.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("utc_text"), F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("document"), F.col("value").cast("decimal(18,2)").cast("double").alias("amount"))
 
 
-@query("r8_presence", f"{WITH} SELECT 'lines' AS table_name, count(*) AS source_rows, (SELECT count(DISTINCT pr_id) FROM rq) AS target_ids, count(*) FILTER (pr_id NOT IN (SELECT pr_id FROM rq WHERE status <> 'rejected')) * 0 + (SELECT count(*) FROM lv WHERE pr_id NOT IN (SELECT pr_id FROM rq)) AS missing, 'OK' AS state FROM lv UNION ALL SELECT 'items', (SELECT count(*) FROM it), (SELECT count(DISTINCT item_id) FROM ol), (SELECT count(*) FROM it WHERE item_id NOT IN (SELECT item_id FROM ol)), CASE WHEN (SELECT count(*) FROM it WHERE item_id NOT IN (SELECT item_id FROM ol)) > 0 THEN 'MISSING' ELSE 'OK' END")
+@query("r8_presence", f"{WITH} SELECT 'lines' AS table_name, count(*) AS source_rows, (SELECT count(DISTINCT pr_id) FROM rq) AS target_ids, count(*) FILTER (pr_id NOT IN (SELECT pr_id FROM rq)) AS missing, 'OK' AS state FROM lv UNION ALL SELECT 'items', (SELECT count(*) FROM it), (SELECT count(DISTINCT item_id) FROM ol), (SELECT count(*) FROM it WHERE item_id NOT IN (SELECT item_id FROM ol)), CASE WHEN (SELECT count(*) FROM it WHERE item_id NOT IN (SELECT item_id FROM ol)) > 0 THEN 'MISSING' ELSE 'OK' END")
 def r8(spark, d):
     return reconcile.stacked([
         reconcile.presence("lines", t.request_line_versions(spark, d), t.requests(spark, d), "pr_id"),
@@ -409,9 +409,12 @@ def m16(spark, d):
 BILINGUAL = "name_en || CASE WHEN item_id % 3 = 0 THEN ' 轴承' WHEN item_id % 3 = 1 THEN '' ELSE ' 水泵 M16*50' END"
 
 
+def bilingual_name():
+    return F.concat("name_en", F.when(F.col("item_id") % 3 == 0, " 轴承").when(F.col("item_id") % 3 == 1, "").otherwise(" 水泵 M16*50"))
+
+
 def bilingual(spark, d):
-    tail = F.when(F.col("item_id") % 3 == 0, " 轴承").when(F.col("item_id") % 3 == 1, "").otherwise(" 水泵 M16*50")
-    return t.items(spark, d).select("item_id", F.concat("name_en", tail).alias("name"))
+    return t.items(spark, d).select("item_id", bilingual_name().alias("name"))
 
 
 @query("f1_tidy", f"{WITH} SELECT item_id, trim(regexp_replace('  ' || name_en || '  x ', '\\s+', ' ', 'g')) AS name FROM it")
@@ -757,7 +760,7 @@ SEARCHED = {"name_en": 3, "name_cn": 3, "spec": 2, "item_id": 1}
 
 def searched(spark, d) -> DataFrame:
     """All items with the fields that are searched; the Chinese name is the bilingual one, as the data has no other."""
-    return t.items(spark, d).select("item_id", "name_en", F.concat(F.col("size").cast("string"), F.lit("mm")).alias("spec")).join(bilingual(spark, d).withColumnRenamed("name", "name_cn"), "item_id")
+    return t.items(spark, d).select("item_id", "name_en", F.concat(F.col("size").cast("string"), F.lit("mm")).alias("spec"), bilingual_name().alias("name_cn"))
 
 
 def _grams(text: str) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from purchaseflow.operators import numbering
+from purchaseflow.operators import numbering, prefix
 from purchaseflow.operators import purchasing as p
 from purchaseflow.operators import versioned as v
 from purchaseflow.sources import tables as t
@@ -201,8 +201,7 @@ def a8(spark, d):
 def a9(spark, d):
     """Items in their place within their department; rows, as a department may have any number of them."""
     rows = t.items(spark, d).where("is_deleted = 0").withColumn("department", F.coalesce(F.nullif("category", F.lit("")), F.lit("Other")))
-    place = F.row_number().over(Window.partitionBy("department").orderBy("size", "item_id"))
-    return rows.select("department", place.cast("long").alias("place"), "item_id")
+    return prefix.places(rows.select("department", "size", "item_id"), ["department"], ["size", "item_id"], "place").select("department", F.col("place").cast("long").alias("place"), "item_id")
 
 
 @query("a10_roll_up", f"{WITH} SELECT pr_id, CASE WHEN bool_or(status IN ('', 'pending')) THEN NULL WHEN bool_and(status = 'rejected') THEN 'rejected' ELSE 'approved' END AS new_status FROM ln WHERE is_deleted = 0 GROUP BY pr_id")
