@@ -96,6 +96,25 @@ def publish(rows: DataFrame, path: str, checks: dict[str, DataFrame]) -> dict[st
     return found
 
 
+def apply_once(rows: DataFrame, path: str, job: str) -> bool:
+    """Adds the rows of a job to the table at ``path`` if the job isn't there yet; returns whether it was added.
+
+    A job is a folder of the table, and the mark that Spark writes at its end is the log of applied jobs: rows and entry
+    become visible in one step. What a job left that broke off is seen by no reader and is overwritten.
+    """
+    store, mark = _store(rows.sparkSession, f"{path}/_job={job}/_SUCCESS")
+    if store.exists(mark):
+        return False
+    rows.write.mode("overwrite").parquet(f"{path}/_job={job}")
+    return True
+
+
+def read_applied(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of all jobs that ``apply_once`` has added whole; none is an empty table."""
+    found = folders(spark, path, "_job=*/_SUCCESS")
+    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The table at ``path``, or an empty one if nothing is there."""
     store, found = _store(spark, path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -127,3 +128,15 @@ def test_first_run_of_a_sync_copies_all_and_the_next_what_is_new(spark):
     assert sync.run({"t": (rows, "updated", f"{base}/t")}, f"{base}/state", "2025-01-01 12:00:00") == "2025-01-01 10:45:00"
     assert rows_of(spark.read.parquet(f"{base}/t").select("id")) == [(1,), (2,), (3,), (4,), (4,), (5,)]
     assert sorted(r.mode for r in spark.read.parquet(f"{base}/state").collect()) == ["full", "incremental"]
+
+
+def test_a_job_that_broke_off_is_applied_again_and_a_whole_one_never(spark):
+    path = f"{files.work_folder(spark)}/table"
+    read = lambda: rows_of(files.read_applied(spark, path, spark.range(1).schema))
+    assert read() == []
+    spark.range(5).write.parquet(f"{path}/_job=load")
+    local = f"{path.removeprefix('file:')}/_job=load/_SUCCESS"
+    os.remove(local)  # as a driver leaves it that dies before the end
+    assert read() == []
+    assert files.apply_once(spark.range(3), path, "load") and not files.apply_once(spark.range(9), path, "load")
+    assert files.apply_once(spark.range(7, 8), path, "more") and read() == [(0,), (1,), (2,), (7,)]
