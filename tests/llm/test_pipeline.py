@@ -77,7 +77,7 @@ def test_pipeline_on_odd_documents(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_against_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{os.path.join(sf_dir, t)}.parquet'")
     want = con.sql(queries.oracle_sql()[name])
     columns, rows = list(want.columns), want.fetchall()
