@@ -162,8 +162,8 @@ def create_requests(submissions: DataFrame, lines: DataFrame, counters: DataFram
 
 def request_detail(requests: DataFrame, lines: DataFrame, items: DataFrame, order_lines: DataFrame, actions: DataFrame) -> DataFrame:
     """The live requests as rows (pr_id, part, position, text, amount): a header with the estimate of its live lines, the
-    lines with status and fulfilment, and the history of its actions (document_id, at, seq, action) in order. Rows, as a
-    request's history has no bound."""
+    lines with status and fulfilment, and the history of its actions (document_type, document_id, at, seq, action) in order, of
+    type PR only, as orders have ids of their own. Rows, as a request's history has no bound."""
     live = requests.where("is_deleted = 0").select("pr_id", F.col("status").alias("header"))
     rows = lines.where("is_deleted = 0").join(items.where("is_deleted = 0").select("item_id"), "item_id").join(live, "pr_id", "left_semi")
     rows = with_ordered(rows, order_lines).withColumn("amount", (F.col("price") * F.col("requested_qty")).cast("decimal(28,6)"))
@@ -171,8 +171,8 @@ def request_detail(requests: DataFrame, lines: DataFrame, items: DataFrame, orde
     nothing = F.lit(0).cast("decimal(28,6)")
     head = live.join(estimate, "pr_id", "left").select("pr_id", F.lit("header").alias("part"), F.lit(0).cast("long").alias("position"), F.col("header").alias("text"), F.coalesce("amount", nothing).alias("amount"))
     body = rows.select("pr_id", F.lit("line"), F.col("line_no").cast("long"), F.concat_ws(" ", "status", line_fulfilment()), "amount")
-    order = F.row_number().over(Window.partitionBy("document_id").orderBy("at", "seq"))
-    past = actions.join(live, actions.document_id == live.pr_id, "left_semi").select(F.col("document_id").alias("pr_id"), F.lit("action"), order.cast("long"), "action", nothing)
+    own = actions.where("document_type = 'PR'").withColumnRenamed("document_id", "pr_id").join(live, "pr_id", "left_semi")
+    past = places(own.select("pr_id", "at", "seq", "action"), ["pr_id"], ["at", "seq"], "_place").select("pr_id", F.lit("action"), F.col("_place").cast("long"), "action", nothing)
     return head.union(body).union(past)
 
 

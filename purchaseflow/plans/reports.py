@@ -267,12 +267,13 @@ b AS (SELECT ln.pr_id, ln.line_no, price * requested_qty AS amount, ln.status ||
       FROM ln JOIN it USING (item_id) LEFT JOIN od USING (pr_id, line_no) WHERE ln.is_deleted = 0 AND it.is_deleted = 0 AND ln.pr_id IN (SELECT pr_id FROM lr))
 SELECT lr.pr_id, 'header' AS part, CAST(0 AS BIGINT) AS position, status AS text, CAST(coalesce(sum(amount), 0) AS DOUBLE) AS amount FROM lr LEFT JOIN b USING (pr_id) GROUP BY lr.pr_id, status
 UNION ALL SELECT pr_id, 'line', line_no, text, CAST(amount AS DOUBLE) FROM b
-UNION ALL SELECT document_id, 'action', row_number() OVER (PARTITION BY document_id ORDER BY "at", event_id), action, 0.0 FROM cm WHERE document_id IN (SELECT pr_id FROM lr)"""
+UNION ALL SELECT document_id, 'action', row_number() OVER (PARTITION BY document_id ORDER BY "at", event_id), action, 0.0 FROM cm WHERE event_id % 4 <> 0 AND document_id IN (SELECT pr_id FROM lr)"""
 
 
 @query("m7_request_detail", M7_SQL)
 def m7(spark, d):
-    actions = t.commands(spark, d).select("document_id", "at", F.col("event_id").alias("seq"), "action")
+    kind = F.when(F.col("event_id") % 4 == 0, "PO").otherwise("PR")
+    actions = t.commands(spark, d).select(kind.alias("document_type"), "document_id", "at", F.col("event_id").alias("seq"), "action")
     return _num(p.request_detail(t.requests(spark, d), current_lines(spark, d), t.items(spark, d), t.order_lines(spark, d), actions))
 
 
