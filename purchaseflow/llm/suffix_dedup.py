@@ -152,15 +152,19 @@ def order_of(doc: int | None) -> int:
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    return b"".join(struct.pack("<q", a.nbytes) + a.tobytes() for a in arrays)
+    """The arrays end to end, each after its number of values: a byte, or 255 and eight bytes, as most blobs are small."""
+    return b"".join((bytes([len(a)]) if len(a) < 255 else b"\xff" + struct.pack("<q", len(a))) + a.tobytes() for a in arrays)
 
 
 def unpacked(blob: bytes, *kinds: str) -> list[np.ndarray]:
     out, at = [], 0
     for kind in kinds:
-        (n,) = struct.unpack_from("<q", blob, at)
-        out.append(np.frombuffer(blob, kind, n // np.dtype(kind).itemsize, at + 8))
-        at += 8 + n
+        n, at = blob[at], at + 1
+        if n == 255:
+            (n,) = struct.unpack_from("<q", blob, at)
+            at += 8
+        out.append(np.frombuffer(blob, kind, n, at))
+        at += n * np.dtype(kind).itemsize
     return out
 
 
@@ -196,6 +200,22 @@ class Blobs:
             self.rows, self.load = [], 0
 
 
+def _number(parts: int) -> str:
+    """The type of a part's number."""
+    return "<u2" if parts < 1 << 16 else "<u4"
+
+
+def _grouped(by: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of stretches of equal neighbours."""
+    heads = np.flatnonzero(np.append(True, by[1:] != by[:-1])) if len(by) else np.empty(0, np.int64)
+    return zip(heads.tolist(), np.append(heads, len(by))[1:].tolist())
+
+
+def _stretches(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of stretches of ``n``, one after the other."""
+    return np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+
+
 def _split(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """48-bit numbers as four and two bytes."""
     return values.astype("<u4"), (values >> _U(32)).astype("<u2")
@@ -231,7 +251,7 @@ def _tell(out: Blobs, tag: np.ndarray, gram: np.ndarray, parts: int) -> None:
 
 def _scan(length: int, parts: int):
     """Step 1. A blob for each part: the classes (48 bits) that one row of this block has, with its tag, and those that
-    several have, with the number of their contexts."""
+    several have, with the number of their contexts and the homes of their rows."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Blobs()
@@ -250,18 +270,24 @@ def _scan(length: int, parts: int):
             heads = np.flatnonzero(new)
             contexts = np.add.reduceat((new | np.append(True, code[1:] != code[:-1])).astype(np.int64), heads)
             several = np.minimum.reduceat(row, heads) != np.maximum.reduceat(row, heads)
-            hit = np.repeat(several, np.diff(np.append(heads, len(gram))))
+            size = np.diff(np.append(heads, len(gram)))
+            hit = np.repeat(several, size)
             _tell(out, tag[hit], gram[hit], parts)
             many, contexts = gram[heads[several]], contexts[several]
+            pair = np.unique(np.repeat(np.arange(len(many)), size[several]) << 32 | _home(tag[hit], parts))
+            n_homes, homes = np.bincount(pair >> 32, minlength=len(many)), pair & 0xFFFFFFFF
             gram, tag = gram[heads[~several]], tag[heads[~several]]
             part, part_many = _dealt(gram, parts), _dealt(many, parts)
             by, by_many = np.lexsort((tag, part)), np.argsort(part_many, kind="stable")
             gram, tag, part, many, contexts, part_many = gram[by], tag[by], part[by], many[by_many], contexts[by_many], part_many[by_many]
-            cuts, cuts_many = (np.searchsorted(x, np.arange(parts + 1)) for x in (part, part_many))
-            for p in range(parts):
-                a, z, b, y = cuts[p], cuts[p + 1], cuts_many[p], cuts_many[p + 1]
-                if a < z or b < y:
-                    out.add(p, CLASSES, packed(*_split(gram[a:z] & _LOW), *_runs_of(tag[a:z]), *_split(many[b:y] & _LOW), contexts[b:y].astype("<u4")))
+            homes = homes[_stretches((np.cumsum(n_homes) - n_homes)[by_many], n_homes[by_many])]
+            n_homes = n_homes[by_many]
+            before = np.append(0, np.cumsum(n_homes))
+            targets = np.union1d(part, part_many)
+            cuts, cuts_many = (np.searchsorted(x, [targets, targets + 1]).T.tolist() for x in (part, part_many))
+            for p, (a, z), (b, y) in zip(targets.tolist(), cuts, cuts_many):
+                where = homes[before[b] : before[y]].astype(_number(parts))
+                out.add(p, CLASSES, packed(*_split(gram[a:z] & _LOW), *_runs_of(tag[a:z]), *_split(many[b:y] & _LOW), contexts[b:y].astype("<u4"), n_homes[b:y].astype(_number(parts)), where))
 
         for b in portions(it):
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -280,7 +306,7 @@ def _scan(length: int, parts: int):
 
 
 def _meet(parts: int, hot: int):
-    """Step 2. TOLD blobs for homes, those of step 1 as they came; and for every home the classes with more than ``hot`` contexts."""
+    """Step 2. TOLD blobs for homes, those of step 1 as they came; and for each home those of its rows' classes that have more than ``hot`` contexts."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Blobs()
@@ -290,10 +316,10 @@ def _meet(parts: int, hot: int):
                 if kind == TOLD:
                     out.add(part, TOLD, blob)
                 else:
-                    by_part[part].append(unpacked(blob, "<u4", "<u2", "<u4", "<u2", "<u4", "<u2", "<u4"))
+                    by_part[part].append(unpacked(blob, "<u4", "<u2", "<u4", "<u2", "<u4", "<u2", "<u4", _number(parts), _number(parts)))
             yield from out.batches()
         for part in list(by_part):
-            low, high, tag, n, low_many, high_many, contexts = (np.concatenate(x) for x in zip(*by_part.pop(part)))
+            low, high, tag, n, low_many, high_many, contexts, n_homes, homes = (np.concatenate(x) for x in zip(*by_part.pop(part)))
             gram, tag = np.append(_joined(low, high), _joined(low_many, high_many)), np.repeat(tag, n).astype(_U)
             weight = np.append(np.ones(len(tag), np.int64), contexts.astype(np.int64))
             single = np.arange(len(gram)) < len(tag)
@@ -301,14 +327,20 @@ def _meet(parts: int, hot: int):
             gram, weight, single, place = gram[by], weight[by], single[by], by
             heads = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
             shared = np.add.reduceat(np.where(single, 1, 2), heads) > 1
-            hit = np.repeat(shared, np.diff(np.append(heads, len(gram)))) & single
+            size = np.diff(np.append(heads, len(gram)))
+            hit = np.repeat(shared, size) & single
             _tell(out, tag[place[hit]], gram[hit], parts)
-            too_many = gram[heads[(np.add.reduceat(weight, heads) > hot) & shared]]
-            if len(too_many):
-                blob = packed(*_split(too_many))
-                for p in range(parts):
-                    out.add(p, HOTS, blob)
-                    yield from out.batches()
+            too_many = np.repeat((np.add.reduceat(weight, heads) > hot) & shared, size)
+            alone, several = too_many & single, too_many & ~single
+            which = place[several] - len(tag)
+            n_homes = n_homes.astype(np.int64)
+            told = np.append(_home(tag[place[alone]], parts), homes[_stretches((np.cumsum(n_homes) - n_homes)[which], n_homes[which])].astype(np.int64))
+            many = np.append(gram[alone], np.repeat(gram[several], n_homes[which]))
+            by = np.lexsort((many, told))
+            told, many = told[by], many[by]
+            for a, z in _grouped(told):
+                out.add(int(told[a]), HOTS, packed(*_split(np.unique(many[a:z]))))
+                yield from out.batches()
             yield from out.batches()
         yield from out.batches(last=True)
 

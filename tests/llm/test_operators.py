@@ -139,7 +139,7 @@ def test_passages_against_brute_force(spark, monkeypatch, length, hot):
     assert spans_of(suffix_dedup.repeated_spans(df, length=length, hot=hot)) == brute_spans(rows, length)
 
 
-@pytest.mark.parametrize("parts", [8, 51, 480, 5000])
+@pytest.mark.parametrize("parts", [8, 51, 480, 5000, 50_000])
 def test_first_step_of_passages_stays_small(small, parts):
     """What step 1 sends is bounded by the bytes of the texts, into however many parts it is dealt."""
     texts = [(k, (r.text or "").encode()) for k, r in enumerate(small.collect())] * 8
@@ -148,6 +148,31 @@ def test_first_step_of_passages_stays_small(small, parts):
     assert sent <= 1.2 * sum(len(t) for _, t in texts)
 
 
+@pytest.mark.parametrize("parts", [7, 70_000])
+def test_homes_hear_only_of_their_own_hot_classes(small, parts):
+    """What is told of hot classes goes to the homes of rows that have them, each once, however many parts there are."""
+    texts = [(k, (r.text or "").encode()) for k, r in enumerate(small.collect())]
+    batches = [pa.RecordBatch.from_arrays([pa.array([k * 7919 for k, _ in some], pa.int64()), pa.array([t for _, t in some], pa.binary())], names=["key", "data"]) for some in (texts[::2], texts[1::2], texts)]
+    sent = [b for batch in batches for b in suffix_dedup._scan(50, parts)(iter([batch]))]
+    told, hot = set(), []
+    for b in suffix_dedup._meet(parts, 1)(iter(sent)):
+        for home, kind, blob in zip(*(c.to_pylist() for c in b.columns)):
+            if kind == suffix_dedup.TOLD:
+                tag, n, gram = suffix_dedup.unpacked(blob, "<u4", "<u2", "<u4")
+                assert set((tag % parts).tolist()) == {home}
+                told |= {(home, g) for g in gram.tolist()}
+            elif kind == suffix_dedup.HOTS:
+                low, _ = suffix_dedup.unpacked(blob, "<u4", "<u2")
+                hot += [(home, g) for g in low.tolist()]
+    assert hot and set(hot) == told  # with a limit of one context every shared class is hot
+
+
+def test_packed_arrays_come_back():
+    arrays = [np.arange(n, dtype="<u4") for n in (0, 1, 254, 255, 256, 70_000)]
+    back = suffix_dedup.unpacked(suffix_dedup.packed(*arrays), *["<u4"] * len(arrays))
+    assert all((x == y).all() and len(x) == len(y) for x, y in zip(arrays, back))
+
+
 def test_passages_on_odd_rows(odd, empty):
     assert spans_of(suffix_dedup.repeated_spans(odd)) == brute_spans([(r[0], r[1]) for r in ODD], 50)
     assert suffix_dedup.repeated_spans(empty).count() == 0
