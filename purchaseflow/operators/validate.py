@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
@@ -103,11 +104,39 @@ def orphans(children: DataFrame, column: str, parents: DataFrame, parent_key: st
     return asked.withColumn("_k", as_key(column)).join(parents.select(as_key(parent_key).alias("_k")), "_k", "left_anti").drop("_k")
 
 
+def referential_counts(children: Sequence[tuple[DataFrame, dict[str, tuple[str, str]]]], parents: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """(rule, n) for all rules at once: how many child rows have a parent that isn't there. Null and empty texts mean "no
+    parent"; a rule without findings gives 0.
+
+    ``children``: tables, each with its rules as ``rule: (column, parent)``; ``parents``: ``parent: (table, key)``. Each table is
+    read once. References are counted by key before the one shuffle, in which they meet the parents' keys, so a
+    frequent key sends a row a task and no parent has to fit into memory.
+    """
+    names = [rule for _, rules in children for rule in rules]
+    sides = []
+    for rows, rules in children:
+        asked = F.array(*(F.struct(F.lit(parent).alias("parent"), F.col(column).cast("string").alias("key"), F.lit(rule).alias("rule")) for rule, (column, parent) in rules.items()))
+        sides.append(rows.select(F.inline(asked)).where("key != ''"))
+    for parent, (rows, key) in parents.items():
+        sides.append(rows.select(F.lit(parent).alias("parent"), F.col(key).cast("string").alias("key"), F.lit(None).cast("string").alias("rule")).where("key IS NOT NULL"))
+    met = reduce(DataFrame.unionAll, sides).groupBy("parent", "key").agg(F.bool_or(F.col("rule").isNull()).alias("_there"), *(F.count_if(F.col("rule") == r).alias(r) for r in names))
+    total = met.where("NOT _there").agg(*(F.coalesce(F.sum(F.col(r)), F.lit(0)).alias(r) for r in names))
+    return total.select(F.inline(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("n")) for r in names))))
+
+
 def duplicates(rows: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     """Groups of more than one row, with the least and greatest label and the count: members are not gathered."""
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(label).alias("first_label"), F.max(label).alias("last_label")).where("n > 1")
 
 
+def members(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All rows that share their keys with another one, with the size ``n`` of their group; nulls are equal. Rows are joined
+    to their group's size, so no group is gathered."""
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*(F.col(c).alias(f"_{k}") for k, c in enumerate(keys)), "n")
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{k}")) for k, c in enumerate(keys)))
+    return rows.join(sizes, same).drop(*(f"_{k}" for k in range(len(keys))))
+
+
 def outside(rows: DataFrame, column: str, allowed: Sequence) -> DataFrame:
     return rows.where(F.col(column).isNull() | ~F.col(column).isin(*allowed))
 

@@ -207,6 +207,16 @@ def c6(spark, d):
     return validate.duplicates(v.live(t.items(spark, d)), ["name_en", "brand"], "item_id")
 
 
+@query("a11_group_members", f"{WITH} SELECT pr_id, vendor_id, line_no, n FROM (SELECT *, count(*) OVER (PARTITION BY pr_id, vendor_id) AS n FROM lv) WHERE n > 1")
+def a11_members(spark, d):
+    return validate.members(t.request_line_versions(spark, d), ["pr_id", "vendor_id"]).select("pr_id", "vendor_id", "line_no", "n")
+
+
+@query("c6_live_members", f"{WITH} SELECT name_en, item_id, n FROM (SELECT *, count(*) OVER (PARTITION BY name_en) AS n FROM it WHERE is_deleted = 0) WHERE n > 1")
+def c6_members(spark, d):
+    return validate.members(v.live(t.items(spark, d)), ["name_en"]).select("name_en", "item_id", "n")
+
+
 @query("j7_orphans", f"{WITH} SELECT pr_id, line_no FROM lv WHERE pr_id NOT IN (SELECT pr_id FROM rq WHERE status <> 'rejected')")
 def j7(spark, d):
     return validate.orphans(t.request_line_versions(spark, d), "pr_id", t.requests(spark, d).where("status != 'rejected'"), "pr_id").select("pr_id", "line_no")
@@ -227,18 +237,20 @@ UNION ALL SELECT 'order_vendor', count(*) FROM ol WHERE vendor_id NOT IN (SELECT
 
 @query("c7_referential_checks", C7_SQL)
 def c7(spark, d):
-    """A table of rules: child, its column, parent, its key. Empty texts mean that there is no parent."""
+    """Nine rules over five tables of children and six of parents, in one shuffle."""
     lines, ordered, items = t.request_line_versions(spark, d), t.order_lines(spark, d), t.items(spark, d)
     line_id = (F.col("pr_id") * 10 + F.col("line_no")).alias("line_id")
     orders = ordered.where("po_id % 13 != 5").groupBy("po_id").agg(F.min("pr_id").cast("string").alias("pr")).select("po_id", F.when(F.col("po_id") % 9 == 0, "").otherwise(F.col("pr")).alias("primary_pr"))
-    live_requests, live_items = v.live(t.requests(spark, d)), v.live(items)
-    rules = (
-        ("line_request", lines, "pr_id", live_requests, "pr_id"), ("line_item", lines, "item_id", live_items, "item_id"), ("order_line_order", ordered, "po_id", orders, "po_id"),
-        ("order_line_request_line", ordered.select(line_id), "line_id", v.live(current_lines(spark, d)).select(line_id), "line_id"), ("order_line_item", ordered, "item_id", live_items, "item_id"),
-        ("order_primary_request", orders, "primary_pr", live_requests.select(F.col("pr_id").cast("string").alias("pr_id")), "pr_id"), ("charge_order", ordered.where("po_id % 2 = 0").select("po_id").distinct(), "po_id", orders, "po_id"),
-        ("template_item_template", items, "category", items.where("length(category) % 2 = 0").select("category").distinct(), "category"), ("order_vendor", ordered, "vendor_id", t.vendors(spark, d), "vendor_id"),
-    )
-    return reconcile.stacked([validate.orphans(child, c, parent, k).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("rule"), "n") for name, child, c, parent, k in rules])
+    children = [
+        (lines, {"line_request": ("pr_id", "request"), "line_item": ("item_id", "item")}),
+        (ordered.withColumn("line_id", line_id), {"order_line_order": ("po_id", "order"), "order_line_request_line": ("line_id", "line"), "order_line_item": ("item_id", "item"), "order_vendor": ("vendor_id", "vendor")}),
+        (orders, {"order_primary_request": ("primary_pr", "request")}), (ordered.where("po_id % 2 = 0").select("po_id").distinct(), {"charge_order": ("po_id", "order")}), (items, {"template_item_template": ("category", "template")}),
+    ]
+    parents = {
+        "request": (v.live(t.requests(spark, d)), "pr_id"), "item": (v.live(items), "item_id"), "order": (orders, "po_id"), "line": (v.live(current_lines(spark, d)).select(line_id), "line_id"),
+        "template": (items.where("length(category) % 2 = 0"), "category"), "vendor": (t.vendors(spark, d), "vendor_id"),
+    }
+    return validate.referential_counts(children, parents)
 
 
 @query("c8_domain", f"{WITH} SELECT pr_id, priority FROM rq WHERE priority NOT IN ('1-URGENT', '2-HIGH')")

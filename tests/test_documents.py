@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from purchaseflow.operators import documents, snapshot
+from purchaseflow.operators import documents, snapshot, validate
 
 REQUESTS = "pr_id long, status string, is_deleted int"
 LINES = "pr_id long, line_no int, item_id long, requested_qty decimal(18,4), status string, is_deleted int, uom string"
@@ -86,3 +86,14 @@ def test_snapshot_loses_no_row(spark):
     got = snapshot.actions(old, parents, "2001-02-03 04:05:06").orderBy("approval_id").collect()
     assert [bool(r["request_key"]) for r in got] == [True, False, False]
     assert {(r["actor"], r["action"], str(r["action_at"])) for r in got} == {("a", "approve", "2001-02-03 04:05:06"), ("", "approve", "2001-02-03 04:05:06")}
+
+
+def test_references_and_members_with_nulls(spark):
+    children = spark.createDataFrame([(1, "a"), (2, ""), (None, None), (9, "b"), (9, "b")], "parent long, other string")
+    parents = spark.createDataFrame([(1,), (1,), (None,)], "id long")
+    rules = [(children, {"first": ("parent", "p"), "second": ("other", "q")}), (children.limit(0), {"none": ("parent", "p")})]
+    counts = validate.referential_counts(rules, {"p": (parents, "id"), "q": (spark.createDataFrame([("a",)], "k string"), "k")})
+    assert dict(counts.collect()) == {"first": 3, "second": 2, "none": 0}
+    assert sorted(map(tuple, validate.members(children, ["parent", "other"]).collect())) == [(9, "b", 2), (9, "b", 2)]
+    nulls = spark.createDataFrame([(None, 1), (None, 2), (3, 3)], "k long, id int")
+    assert sorted(r["id"] for r in validate.members(nulls, ["k"]).collect()) == [1, 2]
