@@ -105,23 +105,26 @@ def orphans(children: DataFrame, column: str, parents: DataFrame, parent_key: st
 
 
 def referential_counts(children: Sequence[tuple[DataFrame, dict[str, tuple[str, str]]]], parents: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """(rule, n) for all rules at once: how many child rows have a parent that isn't there. Null and empty texts mean "no
+    """(rule, n) for all rules: how many child rows have a parent that isn't there. Null and empty texts mean "no
     parent"; a rule without findings gives 0.
 
-    ``children``: tables, each with its rules as ``rule: (column, parent)``; ``parents``: ``parent: (table, key)``. Each table is
-    read once. References are counted by key before the one shuffle, in which they meet the parents' keys, so a
-    frequent key sends a row a task and no parent has to fit into memory.
+    ``children``: tables, each with its rules as ``rule: (column, parent)``; ``parents``: ``parent: (table, key)``. References to a
+    parent are counted by key before the one shuffle in which they meet the parent's keys, so a frequent key sends a row a
+    task and no parent has to fit into memory. Keys of different types are compared as texts.
     """
-    names = [rule for _, rules in children for rule in rules]
-    sides = []
-    for rows, rules in children:
-        asked = F.array(*(F.struct(F.lit(parent).alias("parent"), F.col(column).cast("string").alias("key"), F.lit(rule).alias("rule")) for rule, (column, parent) in rules.items()))
-        sides.append(rows.select(F.inline(asked)).where("key != ''"))
-    for parent, (rows, key) in parents.items():
-        sides.append(rows.select(F.lit(parent).alias("parent"), F.col(key).cast("string").alias("key"), F.lit(None).cast("string").alias("rule")).where("key IS NOT NULL"))
-    met = reduce(DataFrame.unionAll, sides).groupBy("parent", "key").agg(F.bool_or(F.col("rule").isNull()).alias("_there"), *(F.count_if(F.col("rule") == r).alias(r) for r in names))
-    total = met.where("NOT _there").agg(*(F.coalesce(F.sum(F.col(r)), F.lit(0)).alias(r) for r in names))
-    return total.select(F.inline(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("n")) for r in names))))
+    found = []
+    for parent, (table, key) in parents.items():
+        asked = [(rows, rule, column) for rows, rules in children for rule, (column, of) in rules.items() if of == parent]
+        if not asked:
+            continue
+        kinds = {table.schema[key].dataType.simpleString(), *(rows.schema[column].dataType.simpleString() for rows, _, column in asked)}
+        kind = kinds.pop() if len(kinds) == 1 else "string"
+        sides = [table.select(F.col(key).cast(kind).alias("key"), F.lit(-1).alias("rule")), *(rows.select(F.col(column).cast(kind).alias("key"), F.lit(k).alias("rule")) for k, (rows, _, column) in enumerate(asked))]
+        known = reduce(DataFrame.unionAll, sides).where("key IS NOT NULL")
+        met = (known.where("key != ''") if kind == "string" else known).groupBy("key").agg(F.min("rule").alias("_least"), *(F.count_if(F.col("rule") == k).alias(f"_{k}") for k in range(len(asked))))
+        total = met.where("_least >= 0").agg(*(F.coalesce(F.sum(f"_{k}"), F.lit(0)).alias(f"_{k}") for k in range(len(asked))))
+        found.append(total.select(F.inline(F.array(*(F.struct(F.lit(rule).alias("rule"), F.col(f"_{k}").alias("n")) for k, (_, rule, _) in enumerate(asked))))))
+    return reduce(DataFrame.unionAll, found)
 
 
 def duplicates(rows: DataFrame, keys: Sequence[str], label: str) -> DataFrame:

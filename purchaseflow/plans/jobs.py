@@ -237,7 +237,7 @@ UNION ALL SELECT 'order_vendor', count(*) FROM ol WHERE vendor_id NOT IN (SELECT
 
 @query("c7_referential_checks", C7_SQL)
 def c7(spark, d):
-    """Nine rules over five tables of children and six of parents, in one shuffle."""
+    """Nine rules over five tables of children, one shuffle for each of six parents."""
     lines, ordered, items = t.request_line_versions(spark, d), t.order_lines(spark, d), t.items(spark, d)
     line_id = (F.col("pr_id") * 10 + F.col("line_no")).alias("line_id")
     orders = ordered.where("po_id % 13 != 5").groupBy("po_id").agg(F.min("pr_id").cast("string").alias("pr")).select("po_id", F.when(F.col("po_id") % 9 == 0, "").otherwise(F.col("pr")).alias("primary_pr"))
@@ -280,6 +280,18 @@ def c10(spark, d):
     return reduce(DataFrame.union, out)
 
 
+@query("c10_outcomes", f"{WITH} SELECT 0 AS job, 0 AS outcome, (SELECT count(*) FROM it) AS n_stored UNION ALL SELECT 1, 1, (SELECT count(*) FROM it) UNION ALL SELECT 2, 2, (SELECT count(*) FROM it WHERE item_id % 2 = 0)")
+def c10_outcomes(spark, d):
+    """Three loads into one table: a good one, one that a check refuses, one that stores half of what was meant."""
+    items, path, out = t.items(spark, d), files.work_folder(spark), []
+    half = items.where("item_id % 2 = 0")
+    for job, (rows, findings) in enumerate(((items, items.where("item_id IS NULL")), (half, items.where("is_deleted = 1")), (half, items.where("item_id IS NULL")))):
+        outcome, _ = files.load(rows, path, {"check": findings}, lambda stored: items.join(stored, "item_id", "left_anti"))
+        counted = files.read_version(spark, path, items.schema).agg(F.count(F.lit(1)).alias("n_stored"))
+        out.append(counted.select(F.lit(job).alias("job"), F.lit(outcome).alias("outcome"), "n_stored"))
+    return reduce(DataFrame.union, out)
+
+
 @query("c13_first_error", f"{WITH}, e AS (SELECT pr_id, line_no, CASE WHEN requested_qty > 49 THEN 'quantity too large' WHEN status = 'rejected' THEN 'line is rejected' END AS error FROM ln), f AS (SELECT *, row_number() OVER (PARTITION BY pr_id ORDER BY line_no) AS r FROM e WHERE error IS NOT NULL) SELECT pr_id, error FROM f WHERE r = 1")
 def c13(spark, d):
     return validate.first_error(current_lines(spark, d), "pr_id", "line_no", [(F.col("requested_qty") > 49, "quantity too large"), (F.col("status") == "rejected", "line is rejected")])

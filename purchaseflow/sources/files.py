@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -96,6 +98,43 @@ def publish(rows: DataFrame, path: str, checks: dict[str, DataFrame]) -> dict[st
     return found
 
 
+#: Outcomes of a load: published; refused by a check, nothing written; published, but not what was meant; failed, the old rows stand.
+PUBLISHED, REFUSED, DIFFERENT, FAILED = range(4)
+
+
+def write_version(rows: DataFrame, path: str) -> int:
+    """Writes the rows as the table's next version, a folder of its own, and returns its number. Readers take the greatest
+    version that Spark has marked as whole, so there is always one to read and nothing is renamed. Of two writers at a time
+    one raises."""
+    jvm = rows.sparkSession.sparkContext._jvm
+    store, _ = _store(rows.sparkSession, path)
+    taken = [int(f.getPath().getName().split("=")[1]) for f in store.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/version=*")) or []]
+    number = max(taken, default=0) + 1
+    rows.write.mode("errorifexists").parquet(f"{path}/version={number}")
+    return number
+
+
+def read_version(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The newest whole version of a table; an empty one if there is none."""
+    whole = folders(spark, path, "version=*/_SUCCESS")
+    newest = max(whole, key=lambda f: int(f.rsplit("=", 1)[1]), default=None)
+    return spark.read.schema(schema).parquet(newest) if newest else spark.createDataFrame([], schema)
+
+
+def load(rows: DataFrame, path: str, checks: dict[str, DataFrame], differences: Callable[[DataFrame], DataFrame]) -> tuple[int, dict[str, int]]:
+    """(outcome, counts of findings): a version is written only if all checks are empty; what is stored then is read
+    back, and ``differences`` gives the rows in which it isn't what was meant. A job that Spark can't finish is FAILED."""
+    found = {name: check.count() for name, check in checks.items()}
+    if any(found.values()):
+        return REFUSED, found
+    try:
+        write_version(rows, path)
+    except (PySparkException, Py4JJavaError):
+        return FAILED, found
+    found["differences"] = differences(read_version(rows.sparkSession, path, rows.schema)).count()
+    return (DIFFERENT if found["differences"] else PUBLISHED), found
+
+
 def apply_once(rows: DataFrame, path: str, job: str) -> bool:
     """Adds the rows of a job to the table at ``path`` if the job isn't there yet; returns whether it was added.
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from purchaseflow.operators import documents, snapshot, validate
+from purchaseflow.sources import files
 
 REQUESTS = "pr_id long, status string, is_deleted int"
 LINES = "pr_id long, line_no int, item_id long, requested_qty decimal(18,4), status string, is_deleted int, uom string"
@@ -97,3 +100,15 @@ def test_references_and_members_with_nulls(spark):
     assert sorted(map(tuple, validate.members(children, ["parent", "other"]).collect())) == [(9, "b", 2), (9, "b", 2)]
     nulls = spark.createDataFrame([(None, 1), (None, 2), (3, 3)], "k long, id int")
     assert sorted(r["id"] for r in validate.members(nulls, ["k"]).collect()) == [1, 2]
+
+
+def test_a_failed_load_leaves_the_old_version(spark):
+    path, same = files.work_folder(spark), lambda stored: stored.where("id < 0")
+    assert files.read_version(spark, path, spark.range(1).schema).count() == 0
+    assert files.load(spark.range(3), path, {}, same)[0] == files.PUBLISHED
+    broken = spark.range(5).select(F.when(F.col("id") == 4, F.raise_error(F.lit("broken")).cast("long")).otherwise(F.col("id")).alias("id"))
+    assert files.load(broken, path, {}, same)[0] == files.FAILED
+    assert files.read_version(spark, path, spark.range(1).schema).count() == 3
+    assert files.load(spark.range(9), path, {"bad": spark.range(2)}, same) == (files.REFUSED, {"bad": 2})
+    assert files.load(spark.range(9), path, {}, lambda stored: stored.where("id = 8"))[0] == files.DIFFERENT
+    assert files.read_version(spark, path, spark.range(1).schema).count() == 9
