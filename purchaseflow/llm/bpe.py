@@ -22,8 +22,9 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from .common import utf8
+from .common import column, portions, utf8
 
 #: Entries of each of a task's caches (chunks, words, token pairs); beyond it a cache starts anew.
 CACHE_WORDS = 200_000
@@ -221,33 +222,45 @@ def _shipped(spark: SparkSession, path: str) -> tuple[str, str]:
     return path.rsplit("/", 1)[-1], digest
 
 
+def _tokens(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, decoded: bool) -> DataFrame:
+    name, digest = _shipped(docs.sparkSession, vocabulary)
+    schema = StructType().add("id", docs.schema[id_col].dataType).add("ids", ArrayType(IntegerType()))
+    schema = schema.add("text", "string") if decoded else schema
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(_load(Vocabulary, digest, SparkFiles.get(name)))
+        table = _load(OffsetTable, digest, SparkFiles.get(name)) if decoded else None
+        for b in portions(it, 512):
+            rows = [encoder.encode(x.as_py()) for x in b.column(1)]
+            ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+            flat = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32), pa.int32())
+            out = [b.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)]
+            if table:
+                out.append(pa.array(map(table.decode, rows), pa.binary()).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays(out, names=schema.names)
+
+    return docs.select(column(id_col).alias("id"), utf8(column(text_col)).alias("data")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of each whole text, without a shuffle. ``vocabulary`` is a file's path on the driver.
 
-    Null counts as empty and gives no ids; repeated rows are encoded each; ids pass through, null or not.
+    Null counts as empty and gives no ids; repeated rows are encoded each; ids pass through, null or not. Long texts are
+    encoded whole, 512 rows at a time; other columns are left out, whatever their names. An empty table gives no rows.
     """
-    kind = docs.schema[id_col].dataType
-    name, digest = _shipped(docs.sparkSession, vocabulary)
+    return _tokens(docs, vocabulary, id_col, text_col, False)
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(_load(Vocabulary, digest, SparkFiles.get(name)))
-        for b in it:
-            step = 512
-            for k in range(0, max(1, b.num_rows), step):
-                part = b.slice(k, step)
-                rows = [encoder.encode(x.as_py()) for x in part.column(1)]
-                ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-                flat = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["id", "ids"])
 
-    return docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("data")).mapInArrow(run, f"id {kind.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
+def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, text): what ``decode`` gives of ``encode``'s rows, in one pass, so that ids leave the task once."""
+    return _tokens(docs, vocabulary, id_col, text_col, True)
 
 
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, ids, text) of rows with token ids; special tokens are kept. Null ids count as none. Ids outside the
-    vocabulary raise an error, as nothing can be said for them."""
-    kind = encoded.schema[id_col].dataType
+    vocabulary raise an error, as nothing can be said for them. An empty table gives no rows."""
     name, digest = _shipped(encoded.sparkSession, vocabulary)
+    schema = StructType().add("id", encoded.schema[id_col].dataType).add("ids", ArrayType(IntegerType())).add("text", "string")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _load(OffsetTable, digest, SparkFiles.get(name))
@@ -255,7 +268,7 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
             lists = b.column(1)
             ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             texts = [table.decode(flat[a:z]) for a, z in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(texts, pa.binary()).cast(pa.string())], names=["id", "ids", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(texts, pa.binary()).cast(pa.string())], names=schema.names)
 
-    rows = encoded.select(F.col(id_col).alias("id"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))
-    return rows.mapInArrow(run, f"id {kind.simpleString()}, ids array<int>, text string").withColumnRenamed("id", id_col)
+    rows = encoded.select(column(id_col).alias("id"), F.coalesce(column(ids_col), F.array().cast("array<int>")).alias("ids"))
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -93,7 +93,8 @@ _OUT = "conv_id {kind}, turn {turn}, role string, segment string, loss_begin int
 
 def render(turns: DataFrame) -> DataFrame:
     """One row per turn of (conv_id, turn, role, text): its segment, and for assistant turns the loss span in it
-    (code points; -1 for other roles). No shuffle; extra columns are left out; repeated rows are turns of their own."""
+    (code points; -1 for other roles). No shuffle; extra columns are left out; repeated rows are turns of their own.
+    A turn of any length is one segment; null role and text count as empty; an empty table gives no rows."""
     src = turns.select("conv_id", "turn", F.col("role").cast("string"), F.col("text").cast("string"))
     schema = _OUT.format(kind=src.schema["conv_id"].dataType.simpleString(), turn=src.schema["turn"].dataType.simpleString())
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_MADE: ContextVar[list[str] | None] = ContextVar("folders made", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,9 +49,28 @@ def new_folder(spark: SparkSession, name: str) -> str:
     system = file.getFileSystem(spark._jsc.hadoopConfiguration())
     system.mkdirs(file)  # only what exists can be marked
     system.deleteOnExit(file)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     return path
 
 
+@contextmanager
+def folders_made() -> Iterator[list[str]]:
+    """The folders that ``new_folder`` makes while this is open, oldest first, for ``remove`` once nothing reads them."""
+    token = _MADE.set([])
+    try:
+        yield _MADE.get()
+    finally:
+        _MADE.reset(token)
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes folders of intermediate data; those that are gone already are no error."""
+    for path in paths:
+        file = spark._jvm.org.apache.hadoop.fs.Path(path)
+        file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, True)
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes ``df`` once to the shared folder and reads it from there. Its shuffle files go with the job."""
     path = new_folder(spark, name)
@@ -63,10 +85,7 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 def forget(df: DataFrame) -> None:
     """Deletes the folder of a table that ``written`` gave, once nothing reads it any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        file = spark._jvm.org.apache.hadoop.fs.Path(path)
-        file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, True)
+    remove(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
 
 
 #: Keys at most that join_hot broadcasts.

@@ -2,8 +2,8 @@
 
 Pieces go, longest first, to the open bin with the least room that still takes them. Where none does, a bin is opened
 in the size that costs least for each word it is expected to hold, given all pieces still to come; at the end each
-bin shrinks to the least permitted size that holds its contents. Documents are dealt into shards of bounded size by
-a hash of their id, and each shard is packed by one task; as shards hold thousands of pieces, little is lost by that.
+bin shrinks to the least permitted size that holds its contents. Pieces are dealt into shards of bounded size by
+a hash of their document's id, and each shard is packed by one task; as shards hold thousands of pieces, little is lost by that.
 """
 
 from __future__ import annotations
@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import StructType
 
-from .common import batches, column
+from .common import batches, column, written
 
 #: Permitted lengths, in words.
 CAPACITIES = (512, 1024, 2048, 4096)
 #: A sequence of c places costs c + OVERHEAD + c * c / ATTENTION: its places, itself, and each place looking at all.
 OVERHEAD, ATTENTION = 16, 65536
-#: Documents of a shard, on average.
+#: Pieces of a shard, on average.
 SHARD = 4096
 
 
@@ -87,12 +87,16 @@ def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> list[t
     return [(b, final[b], place) for b, place in out]
 
 
-def pieces(docs: DataFrame, id_col: str, length: Column, most: int) -> DataFrame:
-    """(id, piece, begin, n, deal) of each document cut into pieces of ``most`` words, the last one shorter; of a document
-    without words one piece of length 0. ``deal`` is a hash of the id, or of the whole row where there is no id."""
+def lengths(docs: DataFrame, id_col: str, length: Column) -> DataFrame:
+    """(id, total, deal) of each document; ``deal`` is a hash of the id, or of the whole row where there is no id."""
     whole = [column(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
     deal = F.when(column(id_col).isNotNull(), F.xxhash64(column(id_col))).otherwise(F.xxhash64(*whole)).alias("deal")
-    rows = docs.select(column(id_col).alias("id"), F.coalesce(length, F.lit(0)).cast("long").alias("total"), deal)
+    return docs.select(column(id_col).alias("id"), F.coalesce(length, F.lit(0)).cast("long").alias("total"), deal)
+
+
+def pieces(rows: DataFrame, most: int) -> DataFrame:
+    """(id, piece, begin, n, deal) of each row of ``lengths`` cut into pieces of ``most`` words, the last one shorter; of a
+    document without words one piece of length 0."""
     cut = F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.floor((F.col("total") - 1) / most), F.lit(0).cast("long"))), lambda k: k * most))
     rows = rows.select("id", "total", "deal", cut.alias("piece", "begin"))
     return rows.select("id", "piece", "begin", F.least(F.col("total") - F.col("begin"), F.lit(most).cast("long")).alias("n"), "deal")
@@ -103,12 +107,15 @@ def best_fit(docs: DataFrame, length: Column, id_col: str = "doc_id", capacities
 
     ``length`` is a column of ``docs``, null counts as 0. Pieces without words have no bin (null) and capacity 0.
     Null ids and rows that repeat an id are packed as documents of their own. An empty table gives no rows. Documents
-    longer than the largest capacity are cut into pieces; other columns are left out, whatever their names.
+    longer than the largest capacity are cut into pieces; other columns are left out, whatever their names. Words are
+    counted once; shards hold ``shard`` pieces on average, so a few very long documents take many shards too.
     """
     kind = docs.schema[id_col].dataType
     sizes = tuple(sorted(set(capacities)))
-    shards = max(1, -(-docs.count() // shard))
-    cut = pieces(docs, id_col, length, sizes[-1])
+    counted = written(docs.sparkSession, lengths(docs, id_col, length), "lengths")
+    found = counted.agg(F.sum(F.ceil(F.col("total") / sizes[-1]))).first()[0] or 0
+    shards = max(1, -(-found // shard))
+    cut = pieces(counted, sizes[-1])
     dealt = cut.withColumn("shard", F.pmod(F.xxhash64("deal", "piece"), F.lit(shards)).cast("long")).where("n > 0")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -72,7 +72,8 @@ def _with_measures(name: str, kind: DataType) -> StructType:
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: its id and MEASURES (long). A null text has no words; rows repeat as they do in the input."""
+    """One row per row of ``docs``: its id and MEASURES (long). A null text has no words; rows repeat as they do in the input.
+    Long texts are measured whole, other columns are left out, whatever their names, and an empty table gives no rows."""
 
     kind = docs.schema[id_col].dataType
 
@@ -130,7 +131,7 @@ def failure_bits(rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Id, measurements and ``failed_bits`` of every row: one pass over the texts, no shuffle."""
+    """Id, measurements and ``failed_bits`` of every row: one pass over the texts, no shuffle. Rows as in ``measure``."""
     return measure(docs, id_col, text_col).withColumn("failed_bits", failure_bits(rules))
 
 

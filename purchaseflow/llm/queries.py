@@ -26,8 +26,7 @@ def word_vocabulary() -> str:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(table(spark, sf_dir, "documents"), word_vocabulary())
-    both = bpe.decode(ids, word_vocabulary())
+    both = bpe.encode_decode(table(spark, sf_dir, "documents"), word_vocabulary())
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"),

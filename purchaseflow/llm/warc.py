@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, new_folder, utf8, written
+from .common import batches, column, join_hot, new_folder, utf8, written
 
 #: Payloads from this size on are stored once (fixed by the contract of op1).
 REVISIT_FROM = 1000
@@ -42,15 +42,17 @@ def captures_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     Of equal payloads (SHA-1 and length) of at least ``revisit_from`` bytes, the row with the largest id is the
     response. Rows that repeat this id too are responses; null ids count as smaller than any. Only ids and digests
-    are compared; payloads move once, to meet their decision.
+    are compared, and a payload that many pages share is told to their tasks; payloads move once, to meet their decision.
+    An empty table gives no rows; other columns are left out, whatever their names.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), utf8(html_col).alias("payload"))
+    rows = pages.select(column(id_col).cast("long").alias("page_id"), column(url_col).cast("string").alias("url"), utf8(column(html_col)).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     ids = rows.select("page_id", "digest", F.length("payload").alias("size")).where(F.col("size") >= revisit_from)
-    groups = ids.groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    ids = written(pages.sparkSession, ids.withColumn("key", F.concat_ws(":", "digest", F.col("size").cast("string"))), "warc-ids")
+    groups = ids.groupBy(F.col("key").alias("of")).agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
     named = lambda c: F.coalesce(c.cast("string"), F.lit("null"))  # noqa: E731  plain keys, so that join and numbering share one shuffle
     repeats = (
-        ids.join(groups, ["digest", "size"]).where(~F.col("page_id").eqNullSafe(F.col("last")))
+        join_hot(ids, "key", groups, "of", "n", ids.count()).where(~F.col("page_id").eqNullSafe(F.col("last")))
         .groupBy(named(F.col("page_id")).alias("name"), "digest").agg(F.max("last").alias("last"), F.lit(True).alias("again"))
     )
     out = rows.withColumn("name", named(F.col("page_id"))).join(repeats, ["name", "digest"], "left")
@@ -234,7 +236,8 @@ def membership(records: DataFrame) -> DataFrame:
 
 def assemble(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     """One row per response or revisit record: the record's columns, and ``requests`` and ``metadata`` as arrays of structs
-    (ordered by record id; empty if none). Records that no link ties to a capture are left out, see ``membership``."""
+    (ordered by record id; empty if none). Records that no link ties to a capture are left out, see ``membership``. A record
+    that stands in the archives twice is there twice, headers that are missing are null, and no archives give no rows."""
     records = written(spark, read_archives(spark, folder, payloads=False), "warc-records")
     links = membership(records)
     side = records.where(F.col("type").isin("request", "metadata")).select("record_id", "type", "http_head", "fields", "date")
@@ -248,7 +251,8 @@ def assemble(spark: SparkSession, folder: str, payloads: bool = True) -> DataFra
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roll: int = ROLL_BYTES) -> DataFrame:
-    """Writes all pages as archives into the shared folder, reads these back and returns the assembled captures."""
+    """Writes all pages as archives into the shared folder, reads these back and returns the assembled captures, one for
+    each row. Null html is an empty payload, a null url or id is left out of the headers; an empty table gives no rows."""
     spark = pages.sparkSession
     folder = new_folder(spark, "warc")
     total = write_archives(captures_of(pages, id_col, url_col, html_col), folder, roll).agg(F.sum("captures")).first()[0]

@@ -17,8 +17,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import utf8, written
+from .common import column, portions, utf8, written
 from .quality_rules import MEASURES, measure_text
 
 #: Documents that the scorer is fitted to, at most; taken by a hash of the text, half from either weak label.
@@ -142,12 +143,12 @@ def _slot(kind: bytes, value: bytes) -> int:
 
 
 class WordSlots(dict):
-    """The two features of a word: its lower-case self and its shape."""
+    """The two features of a word, its lower-case self and its shape, packed as 16-bit numbers, in a bounded cache."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= 300_000:
             self.clear()
-        out = _slot(b"w", word.lower()), _slot(b"s", shape(word))
+        out = np.array([_slot(b"w", word.lower()), _slot(b"s", shape(word))], np.uint16).tobytes()
         if len(word) <= 64:
             self[word] = out
         return out
@@ -161,15 +162,26 @@ def ratio_slots(f: Facts) -> list[int]:
     return [_slot(b"r", f"{name}{tenths(a, b)}".encode()) for name, a, b in shares]
 
 
-def features(data: bytes, slots: WordSlots) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and values of a text: shares of its words, and 1 for each whole-document feature."""
-    words = data.split()
-    at = np.array([s for w in words for s in slots[w]], np.int64)
-    x = np.bincount(at, minlength=DIMS) / max(len(words), 1) if len(at) else np.zeros(DIMS)
-    for s in ratio_slots(facts(data)):
-        x[s] += 1
-    found = np.flatnonzero(x)
-    return found.astype(np.int32), x[found].astype(np.float32)
+def word_features(words: list[bytes], slots: WordSlots) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of a text's words and how often each occurs."""
+    times = np.bincount(np.frombuffer(b"".join(map(slots.__getitem__, words)), np.uint16), minlength=DIMS)
+    found = np.flatnonzero(times)
+    return found.astype(np.uint16), times[found].astype(np.uint32)
+
+
+@dataclass(frozen=True)
+class Seen:
+    """A text as the scorer sees it: its words' slots as shares of all words, and a 1 in each slot of ``ratio_slots``."""
+
+    n_words: int
+    slot: bytes
+    times: bytes
+    shares: bytes
+
+    def vector(self) -> tuple[np.ndarray, np.ndarray]:
+        shares = np.frombuffer(self.shares, np.uint16)
+        value = np.frombuffer(self.times, np.uint32) / max(self.n_words, 1)
+        return np.concatenate([np.frombuffer(self.slot, np.uint16), shares]).astype(np.int64), np.concatenate([value, np.ones(len(shares))])
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 300, rate: float = 0.1, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -196,18 +208,31 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     """One row per row of ``docs``: id, pattern, weak_label (posterior of good), score, kept (score >= threshold).
 
     Null text counts as empty; a text without words gets the votes of its emptiness and a score like any other. Null
-    and repeated ids pass through. An empty table gives no rows.
+    and repeated ids pass through, equal texts get equal scores, and long texts are measured whole. Other columns are
+    left out, whatever their names. An empty table gives no rows. A score just at the threshold is kept.
+
+    Texts are read, split and measured once: pattern and packed features of each are written to the shared folder
+    (some bytes for each distinct word), and the fit and the scores come from there.
     """
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("data"))
+    kind = StructType().add("id", docs.schema[id_col].dataType)
+    rows = docs.select(column(id_col).alias("id"), utf8(column(text_col)).alias("data"))
 
     def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            got = [x.as_py() for x in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([votes(facts(d)) for d in got], pa.int32()), pa.array([xxhash.xxh3_64_intdigest(d) >> 1 for d in got], pa.int64())], names=["pattern", "code"])
+        slots = WordSlots()
+        for b in portions(it):
+            out = []
+            for x in b.column(1):
+                d = x.as_py()
+                f, words = facts(d), d.split()
+                slot, times = word_features(words, slots)
+                out.append((votes(f), xxhash.xxh3_64_intdigest(d) >> 1, len(words), slot.tobytes(), times.tobytes(), np.array(ratio_slots(f), np.uint16).tobytes()))
+            if out:
+                columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["id", "pattern", "code", "n_words", "slot", "times", "shares"])
 
-    seen = written(spark, rows.select("data").mapInArrow(judge, "pattern int, code long"), "votes")
+    packed = StructType.fromDDL("pattern int, code long, n_words long, slot binary, times binary, shares binary")
+    seen = written(spark, rows.mapInArrow(judge, StructType([*kind, *packed])), "votes")
     texts = seen.groupBy("pattern", "code").agg(F.count(F.lit(1)).alias("n"))
     counts = texts.groupBy("pattern").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).collect()  # at most 3 ** labellers rows
     patterns, n = np.array([r["pattern"] for r in counts], np.int64), np.array([r["n"] for r in counts], np.float64)
@@ -216,54 +241,26 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
 
     # the sample: the distinct texts with the least hashes of either weak label; a margin of six deviations over the share
     # of hashes expected makes sure of as many as there may be, and their number is bounded, so are the rows sent
-    share = {True: sample - sample // 2, False: sample // 2}
-    by_label = {label: sum(r["texts"] for r in counts if (weak[r["pattern"]] > 0.5) == label) for label in share}
-    cut = {label: min(1.0, (share[label] + 6 * share[label] ** 0.5 + 20) / c) if c else 0.0 for label, c in by_label.items()}
-
-    def learn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = WordSlots()
-        done: set[int] = set()  # texts sent by this task, about the sample's size at most
-        for b in it:
-            out = []
-            for x in b.column(0):
-                d = x.as_py()
-                code = xxhash.xxh3_64_intdigest(d) >> 1
-                if code > max(cut.values()) * (1 << 63) or code in done:
-                    continue
-                y = weak[votes(facts(d))]
-                if code <= cut[y > 0.5] * (1 << 63):
-                    done.add(code)
-                    slot, value = features(d, slots)
-                    out.append((code, y, slot.tobytes(), value.tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.float64(), pa.binary(), pa.binary()))], names=["code", "label", "slot", "value"])
-
-    taken = rows.select("data").mapInArrow(learn, "code long, label double, slot binary, value binary")
-    taken = sorted(taken.dropDuplicates(["code"]).collect(), key=lambda r: r["code"]) if len(n) else []
-    taken = sorted((r for label, most in share.items() for r in [r for r in taken if (r["label"] > 0.5) == label][:most]), key=lambda r: r["code"])
-    w, bias = fit([(np.frombuffer(r["slot"], np.int32), np.frombuffer(r["value"], np.float32), r["label"]) for r in taken])
-
-    class WordWeights(dict):
-        def __missing__(self, word: bytes) -> float:
-            if len(self) >= 300_000:
-                self.clear()
-            out = float(w[_slot(b"w", word.lower())] + w[_slot(b"s", shape(word))])
-            if len(word) <= 64:
-                self[word] = out
-            return out
+    taken = []
+    for label, most in ((True, sample - sample // 2), (False, sample // 2)):
+        of = [r["pattern"] for r in counts if (weak[r["pattern"]] > 0.5) == label]
+        there = sum(r["texts"] for r in counts if (weak[r["pattern"]] > 0.5) == label)
+        if there:
+            cut = min(1.0, (most + 6 * most**0.5 + 20) / there) * (1 << 63)
+            near = seen.where(F.col("pattern").isin(of) & (F.col("code") <= F.lit(min(int(cut), (1 << 63) - 1))))
+            taken += sorted(near.drop("id").dropDuplicates(["code"]).collect(), key=lambda r: r["code"])[:most]
+    taken.sort(key=lambda r: r["code"])
+    w, bias = fit([(*Seen(r["n_words"], r["slot"], r["times"], r["shares"]).vector(), weak[r["pattern"]]) for r in taken])
 
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = WordWeights()
-        for b in it:
-            out = []
-            for x in b.column(1):
-                d = x.as_py()
-                f, words = facts(d), d.split()
-                z = bias + sum(map(weights.__getitem__, words)) / max(len(words), 1) + sum(w[s] for s in ratio_slots(f))
-                p = votes(f)
-                out.append((p, weak[p], 1 / (1 + np.exp(-np.clip(z, -30, 30)))))
-            p, y, s = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.int32()), pa.array(y, pa.float64()), pa.array(s, pa.float64())], names=["id", "pattern", "weak_label", "score"])
-
-    scored = rows.mapInArrow(score, f"id {kind}, pattern int, weak_label double, score double")
+        for b in portions(it):
+            z = []
+            for text in zip(*(c.to_pylist() for c in b.columns[2:])):
+                slot, value = Seen(*text).vector()
+                z.append(bias + float(w[slot] @ value))
+            p = b.column(1).to_pylist()
+            s = 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -30, 30)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([weak[x] for x in p], pa.float64()), pa.array(s, pa.float64())], names=["id", "pattern", "weak_label", "score"])
+
+    scored = seen.select("id", "pattern", "n_words", "slot", "times", "shares").mapInArrow(score, StructType([*kind, *StructType.fromDDL("pattern int, weak_label double, score double")]))
     return scored.withColumn("kept", F.col("score") >= threshold).withColumnRenamed("id", id_col)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 import random
 import re
 import time
@@ -12,6 +13,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -392,6 +394,75 @@ def test_fitting_sample_counts_texts_not_copies(spark, monkeypatch):
         assert all(r.kept == (r.doc_id < 1000) for r in got)
 
 
+def plain_weak_labels(rows, sample):
+    """Posterior and score by plain means: EM over every row's votes, features word by word, the fit over the same texts."""
+    labels = len(weak_labels.LABELLERS)
+    votes = [[f(weak_labels.facts(d)) for _, f in weak_labels.LABELLERS] for _, d in rows]
+    q = []
+    for v in votes:
+        good, bad = v.count(weak_labels.GOOD), v.count(weak_labels.BAD)
+        q.append(0.5 * good / (good + 2 * bad) if bad else 0.95)
+    before = None
+    for _ in range(weak_labels.ROUNDS):
+        prior = (sum(q) + 1) / (len(q) + 2)
+        shares = []
+        for j in range(labels):
+            both = []
+            for weight in ([1 - x for x in q], q):
+                got = [1 + sum(w for w, v in zip(weight, votes) if v[j] == k) for k in range(3)]
+                both.append([g / sum(got) for g in got])
+            shares.append(both)
+        odds = [math.log(prior / (1 - prior)) + sum(math.log(shares[j][1][v[j]] / shares[j][0][v[j]]) for j in range(labels)) for v in votes]
+        q = [1 / (1 + math.exp(-o)) for o in odds]
+        now = [x for a in shares for b in a for x in b]
+        if before and max(abs(a - b) for a, b in zip(now, before)) < 1e-7:
+            break
+        before = now
+
+    def vector(data):
+        words, x = data.split(), defaultdict(float)
+        for w in words:
+            x[weak_labels._slot(b"w", w.lower())] += 1 / len(words)
+            x[weak_labels._slot(b"s", weak_labels.shape(w))] += 1 / len(words)
+        for s in weak_labels.ratio_slots(weak_labels.facts(data)):
+            x[s] += 1
+        return x
+
+    first = {}
+    for (_, d), y in zip(rows, q):
+        first.setdefault(xxhash.xxh3_64_intdigest(d) >> 1, (d, y))
+    chosen = []
+    for label, most in ((True, sample - sample // 2), (False, sample // 2)):
+        chosen += sorted(c for c, (_, y) in first.items() if (y > 0.5) == label)[:most]
+    fitted = []
+    for c in sorted(chosen):
+        x = vector(first[c][0])
+        fitted.append((np.array(list(x), np.int64), np.array(list(x.values())), first[c][1]))
+    w, bias = weak_labels.fit(fitted)
+    return [(i, y, 1 / (1 + math.exp(-(bias + sum(w[s] * v for s, v in vector(d).items()))))) for (i, d), y in zip(rows, q)]
+
+
+@pytest.mark.parametrize("sample", [60, 4096])
+def test_weak_labels_against_a_plain_version(small, sample):
+    want = plain_weak_labels([(r.doc_id, (r.text or "").encode()) for r in small.collect()], sample)
+    got = {r.doc_id: r for r in weak_labels.classify(small, sample=sample).collect()}
+    assert len(got) == len(want)
+    for i, label, score in want:
+        assert abs(got[i].weak_label - label) < 1e-6 and abs(got[i].score - score) < 1e-5, i
+        assert got[i].kept == (got[i].score >= weak_labels.THRESHOLD)
+
+
+def test_columns_with_dots_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "some words here", 5, "x"), (2, None, 6, "y")], ["my.id", "the.text", "id", "ids"])
+    path = queries.word_vocabulary()
+    assert weak_labels.classify(df, "my.id", "the.text").columns[0] == "my.id"
+    ids = bpe.encode(df, path, "my.id", "the.text")
+    assert ids.columns == ["my.id", "ids"]
+    assert sorted(map(tuple, bpe.decode(ids, path, "my.id").collect()), key=str) == sorted(map(tuple, bpe.encode_decode(df, path, "my.id", "the.text").collect()), key=str)
+    pages = df.withColumnRenamed("ids", "a.url")
+    assert {(r.page_id, r.payload_bytes) for r in warc.page_ids(warc.round_trip(pages, "my.id", "a.url", "the.text")).collect()} == {(1, 15), (2, 0)}
+
+
 def test_weak_labels_on_odd_rows(odd, empty):
     assert Counter(r.doc_id for r in weak_labels.classify(odd).collect()) == Counter(r[0] for r in ODD)
     assert weak_labels.classify(empty).count() == 0
@@ -453,6 +524,11 @@ def test_packing_holds_every_word_once(spark, small, odd, empty):
     assert packing.best_fit(empty, packing.word_count()).count() == 0
 
 
+def test_long_documents_take_many_shards(spark):
+    rows = packing.best_fit(spark.createDataFrame([(1, "w " * 2000), (2, "w " * 1000)], "doc_id long, text string"), packing.word_count(), capacities=(8, 16), shard=10).collect()
+    assert len({r.bin >> 32 for r in rows}) >= 10 and sum(r.n_words for r in rows) == 3000
+
+
 # --- tokens --------------------------------------------------------------------------------------------------------
 
 
@@ -480,9 +556,9 @@ def test_bpe_of_tables(spark, library, small, odd, empty):
         for r in df.collect():
             ids = library.encode(r.text or "", add_special_tokens=False).ids
             want[r.doc_id, tuple(ids), library.decode(ids, skip_special_tokens=False)] += 1
-        got = bpe.decode(bpe.encode(df, path), path).collect()
-        assert Counter((r.doc_id, tuple(r.ids), r.text) for r in got) == want
-    assert bpe.encode(empty, path).count() == 0
+        for got in (bpe.decode(bpe.encode(df, path), path), bpe.encode_decode(df, path)):
+            assert Counter((r.doc_id, tuple(r.ids), r.text) for r in got.collect()) == want
+    assert bpe.encode(empty, path).count() == bpe.encode_decode(empty, path).count() == 0
 
 
 # --- chat ----------------------------------------------------------------------------------------------------------

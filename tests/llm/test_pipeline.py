@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from purchaseflow.llm import queries
+from purchaseflow.llm import common, queries
 from tests.llm.test_operators import brute_exact, brute_measures, brute_near, brute_spans
 
 
@@ -60,6 +60,14 @@ def test_pipeline_against_plain_stages(spark, sf_dir):
     assert found == words
 
 
+def test_pipeline_leaves_only_what_its_result_reads(spark, sf_dir):
+    top = common.shared_dir(spark).removeprefix("file:")
+    there = set(os.listdir(top))
+    rows = corpus_pipeline.run(spark, sf_dir)
+    left = sorted(name.rsplit("-", 1)[0] for name in set(os.listdir(top)) - there)
+    assert left == ["lengths", "suffix_dedup"] and rows.count() > 0
+
+
 def test_pipeline_on_odd_documents(spark):
     rows = [(1, None, "en", "s", None), (None, "word " * 60, None, None, 5), (2, "", "en", "s", 0), (3, " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(80)), "en", "s", 9), (3, " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(80)), "en", "s", 9)]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, id string")
