@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from purchaseflow.llm import exact_dedup, minhash, packing, quality_rules, suffix_dedup
-from purchaseflow.llm.common import written
+from purchaseflow.llm.common import folders_made, remove, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(spark, docs, name)
-    return docs
+    """All stages over documents, each written and read again before the next. Once a stage's rows are written, its own
+    intermediate tables and the rows of the stage before go."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, stage in STAGES[:-1]:
+        with folders_made() as made:
+            docs = written(spark, stage(spark, docs, sf_dir), name)
+        remove(spark, [*before, *made[:-1]])
+        before = made[-1:]
+    return STAGES[-1][1](spark, docs, sf_dir)
