@@ -13,11 +13,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from purchaseflow.sources.files import work_folder
+
 
 def first_per_key(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_r = 1").drop("_r")
 
 
+def first_of(rows: DataFrame, key: str, order: Sequence[str], k: int) -> DataFrame:
+    """The first ``k`` rows of each key with their ``place``; tasks drop what is beyond before rows are shuffled."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("place") <= k)
+
+
 def prioritised_lookup(asked: DataFrame, asked_id: str, candidates: Sequence[Column], index: DataFrame, index_key: str, value: str, order: Sequence[str]) -> DataFrame:
     """(asked_id, value): the index value of the first candidate key that the index has; null if none does."""
     keys = asked.select(asked_id, F.posexplode(F.array(*candidates)).alias("_priority", "_key"))
@@ -194,27 +201,54 @@ def _pairs(later: DataFrame, earlier: DataFrame, least: float, checkpoint) -> Da
     return asks.join(texts, "key").join(has, "key_b").where("earlier < later").select("earlier", "later")
 
 
+def _classes(items: DataFrame, texts: Sequence[str], asked: DataFrame, k: int) -> DataFrame:
+    """(class_id, item_id, texts) of the items that can be among the ``k`` best of any query: the first ``k`` of each class.
+
+    Items whose fields have the same of the queries' grams are a class: every query gives them one score, so only their ids
+    decide between them. ``class_id`` is the least id of the class; the texts are each item's own.
+    """
+    known = asked.select(F.explode("g").alias("gram")).distinct()
+    told = items
+    for text in texts:
+        found = items.select(text).distinct().select(text, F.explode(grams(F.col(text))).alias("gram")).join(known, "gram")
+        # all grams have two characters, so they can be told apart in one text
+        told = told.join(found.groupBy(text).agg(F.array_join(F.array_sort(F.collect_list("gram")), "").alias(f"{text}_met")), text, "left")
+    alike = Window.partitionBy(*(f"{text}_met" for text in texts)).orderBy("item_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = told.withColumns({"class_id": F.first("item_id").over(alike), "_place": F.row_number().over(alike)}).where(F.col("_place") <= k)
+    return first.select("class_id", "item_id", *texts)
+
+
 def search_top_k(queries: DataFrame, items: DataFrame, fields: dict[str, int], k: int = 5, most: float = 0.4) -> DataFrame:
     """The ``k`` best items of each query (query_id, text): score is the weighted mean over fields of one less the share
     of the query's 2-grams that the field has; scores over ``most`` don't count. Ties by item id.
 
+    Queries with the same grams are searched once, and of items that no query can tell apart (``_classes``) only the first ``k``,
+    so copies on either side cost nothing but their rows. Among classes in order of score and least id, the ``k`` best items
+    are in the first ``k``.
+
     A weighted mean of shares is no more than the greatest of them, so an item within ``most`` has a field with
     ``(1 - most) * n`` of the query's n grams, and so one of any ``n - need + 1`` of them: only the rarest ones in
     that field are looked up (prefix filter), and what is found is scored in full. Nothing is lost by it.
     """
     total = sum(fields.values())
-    asked = queries.select("query_id", grams(F.lower("text")).alias("g")).where(F.size("g") > 0)
-    have = items.select("item_id", *(grams(F.lower(F.coalesce(F.col(f).cast("string"), F.lit("")))).alias(f"_{i}") for i, f in enumerate(fields)))
-    listed = F.explode(F.array(*(F.struct(F.lit(i).alias("field"), F.col(f"_{i}").alias("gs")) for i in range(len(fields)))))
-    index = have.select("item_id", listed.alias("e")).select("item_id", "e.field", F.explode("e.gs").alias("gram"))
+    each = queries.select("query_id", F.array_sort(grams(F.lower("text"))).alias("g")).where(F.size("g") > 0)
+    asked = each.groupBy("g").agg(F.min("query_id").alias("search_id"))
+    texts = [f"_{i}" for i in range(len(fields))]
+    spark, path = items.sparkSession, work_folder(items.sparkSession)
+    _classes(items.select("item_id", *(F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(x) for f, x in zip(fields, texts))), texts, asked, k).write.parquet(path)
+    members = spark.read.parquet(path)
+    have = members.where("item_id = class_id").select("class_id", *(grams(F.col(x)).alias(x) for x in texts))
+    listed = F.explode(F.array(*(F.struct(F.lit(i).alias("field"), F.col(x).alias("gs")) for i, x in enumerate(texts))))
+    index = have.select("class_id", listed.alias("e")).select("class_id", "e.field", F.explode("e.gs").alias("gram"))
     rarity = index.groupBy("field", "gram").agg(F.count(F.lit(1)).alias("df"))
     need = F.ceil((1 - most) * F.size("g") - 1e-9).cast("int")
-    wanted = asked.select("query_id", (F.size("g") - need + 1).alias("take"), F.explode("g").alias("gram"), F.lit(list(range(len(fields)))).alias("fs"))
-    wanted = wanted.select("query_id", "take", "gram", F.explode("fs").alias("field")).join(rarity, ["field", "gram"], "left")
-    rank = F.row_number().over(Window.partitionBy("query_id", "field").orderBy(F.coalesce("df", F.lit(0)), "gram"))
-    probes = wanted.withColumn("_r", rank).where((F.col("_r") <= F.col("take")) & F.col("df").isNotNull()).select("query_id", "field", "gram")
-    met = probes.join(index, ["field", "gram"]).select("query_id", "item_id").distinct()
-    shared = sum((F.size(F.array_intersect("g", f"_{i}")) * w for i, w in enumerate(fields.values())), F.lit(0))
-    scored = met.join(asked, "query_id").join(have, "item_id").select("query_id", "item_id", (1 - shared / (F.size("g") * total)).alias("score")).where(F.col("score") <= most)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "item_id"))
-    return scored.withColumn("place", place).where(F.col("place") <= k).select("query_id", "item_id", "score", "place")
+    wanted = asked.select("search_id", (F.size("g") - need + 1).alias("take"), F.explode("g").alias("gram"), F.lit(list(range(len(fields)))).alias("fs"))
+    wanted = wanted.select("search_id", "take", "gram", F.explode("fs").alias("field")).join(rarity, ["field", "gram"], "left")
+    rank = F.row_number().over(Window.partitionBy("search_id", "field").orderBy(F.coalesce("df", F.lit(0)), "gram"))
+    probes = wanted.withColumn("_r", rank).where((F.col("_r") <= F.col("take")) & F.col("df").isNotNull()).select("search_id", "field", "gram")
+    met = probes.join(index, ["field", "gram"]).select("search_id", "class_id").distinct()
+    shared = sum((F.size(F.array_intersect("g", x)) * w for x, w in zip(texts, fields.values())), F.lit(0))
+    scored = met.join(asked, "search_id").join(have, "class_id").select("search_id", "class_id", (1 - shared / (F.size("g") * total)).alias("score")).where(F.col("score") <= most)
+    best = first_of(scored, "search_id", ["score", "class_id"], k).select("search_id", "class_id", "score")
+    found = first_of(best.join(members.select("class_id", "item_id"), "class_id"), "search_id", ["score", "item_id"], k)
+    return each.join(asked, "g").select("query_id", "search_id").join(found, "search_id").select("query_id", "item_id", "score", "place")

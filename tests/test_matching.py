@@ -7,6 +7,7 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from purchaseflow.operators import match
 from purchaseflow.sources import files
@@ -95,3 +96,23 @@ def test_best_match_keeps_one_row_for_each_key(spark):
     for i, key in left:
         best = max(((ratio(key, k), -j) for j, k in right if key and ratio(key, k) >= 90), default=None)
         assert got[i] == ((-best[1], pytest.approx(best[0])) if best else (None, None))
+
+
+def test_search_among_copies_looks_at_a_few_of_each_kind(spark):
+    """Copies on both sides: only the first of those that no query tells apart are searched, and the results are brute force's."""
+    names = ["red bolt", "new anvil", "hot ring m16*50", "red rod"]
+    items = spark.createDataFrame([(k, names[k % 4], f"{k % 3}mm") for k in range(1000)], "item_id long, name string, spec string")
+    queries = items.where("item_id % 50 = 0 OR item_id = 2").select(F.col("item_id").alias("query_id"), F.col("name").alias("text"))
+    fields = {"name": 3, "spec": 2, "item_id": 1}
+    two = lambda x: {x[i : i + 2] for i in range(len(x) - 1)}
+    want = []
+    for q in [2, *range(0, 1000, 50)]:
+        g = two(names[q % 4])
+        scores = sorted((1 - (3 * len(g & two(names[i % 4])) + 2 * len(g & two(f"{i % 3}mm")) + len(g & two(str(i)))) / (6 * len(g)), i) for i in range(1000))
+        want += [(q, i, p, round(s, 9)) for p, (s, i) in enumerate([x for x in scores if x[0] <= 0.6][:5], 1)]
+    got = match.search_top_k(queries, items, fields, 5, 0.6)
+    assert sorted((r.query_id, r.item_id, r.place, round(r.score, 9)) for r in got.collect()) == sorted(want)
+    asked = spark.createDataFrame([([g for n in names for g in two(n)],)], "g array<string>")
+    kept = match._classes(items.select("item_id", F.col("name").alias("_0"), F.col("spec").alias("_1"), F.col("item_id").cast("string").alias("_2")), ["_0", "_1", "_2"], asked, 5)
+    assert kept.groupBy("class_id").count().agg(F.max("count")).first()[0] == 5
+    assert kept.count() <= 5 * 4 * 4  # names by which of 16 and 50 the id has; "mm" is in no query
