@@ -6,6 +6,7 @@ Each takes a batch of submissions and returns tables: what is made, what changed
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from purchaseflow.functions.naming import search_text
 from purchaseflow.operators import numbering
 from purchaseflow.operators.prefix import neighbours, places
-from purchaseflow.operators.purchasing import CHARGE_ACCOUNTS, WITHHOLDING, order_totals, roll_up, zero
+from purchaseflow.operators.purchasing import CHARGE_ACCOUNTS, WITHHOLDING, roll_up, with_totals, zero
 
 DESCRIPTION = 500
 DECISIONS = ("approved", "rejected")
@@ -29,16 +30,64 @@ def or_else(c: Column, value: str = "") -> Column:
 
 
 def charge_rows(charges: DataFrame) -> DataFrame:
-    """Charges (submission_id, position, kind, amount, description) with ``line_no``, ``account`` and their description cut
-    at 500 characters; ``error`` says why one can't be taken. A submission may have any number of them."""
+    """Charges (submission_id, position, kind, amount, description) with ``account`` and their description cut at 500
+    characters; ``error`` says why one can't be taken. A submission may have any number of them."""
     accounts = F.create_map(*(F.lit(x) for pair in CHARGE_ACCOUNTS.items() for x in pair))
     account = F.try_element_at(accounts, or_else(F.col("kind")))
     error = F.when(account.isNull(), F.concat(F.lit("unknown charge: "), or_else(F.col("kind")))).when(F.coalesce(F.col("amount") < 0, F.lit(True)), "a charge needs an amount of 0 or more")
-    return places(charges, ["submission_id"], ["position"], "line_no").withColumns({"account": account, "description": F.substring(or_else(F.col("description")), 1, DESCRIPTION), "error": error})
+    return charges.withColumns({"account": account, "description": F.substring(or_else(F.col("description")), 1, DESCRIPTION), "error": error})
+
+
+class NewOrders:
+    """The tables that ``create_orders`` returns, each made only when it is asked for."""
+
+    def __init__(self, submissions: DataFrame, lines: DataFrame, charges: DataFrame, request_lines: DataFrame, counters: DataFrame) -> None:
+        self._counters = counters
+        known = request_lines.where("is_deleted = 0").select("pr_id", "line_no", "item_id", "uom", F.col("status").alias("_status"))
+        asked = lines.withColumnRenamed("line_no", "request_line").join(known.withColumnRenamed("line_no", "request_line"), ["pr_id", "request_line"], "left")
+        which = F.concat_ws("/", F.col("pr_id").cast("string"), F.col("request_line").cast("string"))
+        lacks = F.col("pr_id").isNull() | F.col("request_line").isNull() | F.col("unit_price").isNull() | F.col("qty").isNull()
+        bad = F.when(lacks, "a line needs request line, price and quantity").when(F.col("_status").isNull(), F.concat(F.lit("not found: "), which)).when(F.col("_status") != "approved", F.concat(F.lit("not approved: "), which))
+        self._asked = asked.withColumn("error", bad)
+        first = F.when(F.col("error").isNotNull(), F.col("position"))
+        # the amount of a refused submission may be beyond any type: it is null then and not used
+        amount = F.try_sum(F.try_multiply(F.col("unit_price"), F.col("qty"))).alias("_sub")
+        of_lines = self._asked.groupBy("submission_id").agg(F.count(F.lit(1)).alias("n_lines"), F.min_by("pr_id", "position").alias("primary_pr"), F.min_by("error", first).alias("_line_error"), amount)
+        self._costs = charge_rows(charges)
+        of_charges = self._costs.groupBy("submission_id").agg(F.sum("amount").cast("decimal(18,2)").alias("charges"), F.min_by("error", first).alias("_charge_error"))
+
+        head = submissions.join(of_lines, "submission_id", "left").join(of_charges, "submission_id", "left").withColumn("charges", F.coalesce("charges", F.lit(0).cast("decimal(18,2)")))
+        own = F.when(blank(F.col("vendor_name")) | F.col("n_lines").isNull(), "vendor and lines are required").when(~blank(F.col("withholding")) & ~F.col("withholding").isin(*WITHHOLDING), F.concat(F.lit("unknown withholding: "), F.col("withholding")))
+        self._head = head.withColumn("reason", F.coalesce(own, F.col("_charge_error"), F.col("_line_error"))).drop("_line_error", "_charge_error")
+
+    @property
+    def refused(self) -> DataFrame:
+        return self._head.where("reason IS NOT NULL").select("submission_id", "reason")
+
+    @cached_property
+    def _taken(self) -> DataFrame:
+        taken = numbering.document_numbers(self._head.where("reason IS NULL").drop("reason"), self._counters, "year", ["submission_id"], "PO")
+        return taken.withColumn("include_vat", F.coalesce("include_vat", F.lit(False)))
+
+    @property
+    def headers(self) -> DataFrame:
+        given = self._taken.withColumns({"sub": F.col("_sub").cast("decimal(28,6)"), "_given": F.col("discount_pct"), "discount_pct": F.coalesce("discount_pct", F.lit(0))}).drop("_sub")
+        totals = with_totals(given).drop("discount_pct", "net").withColumnRenamed("_given", "discount_pct")
+        return totals.withColumns({"status": F.lit("pending_approval"), "currency": F.lit("IDR"), "search_text": search_text(F.col("doc_no"), F.col("vendor_name"))})
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        made = places(self._asked.drop("error", "_status").join(self._taken.select("submission_id", "doc_no"), "submission_id"), ["submission_id"], ["position"], "po_line")
+        return made.withColumns({"total_price": (F.col("qty") * F.col("unit_price")).cast("decimal(28,6)"), "purpose": or_else(F.col("purpose")), "received_qty": zero(), "invoiced_qty": zero(), "status": F.lit("open")})
+
+    @cached_property
+    def charges(self) -> DataFrame:
+        # an order has all of its submission's charges, so they can be numbered after the refused ones are out
+        return places(self._costs.drop("error").join(self._taken.select("submission_id", "doc_no"), "submission_id"), ["submission_id"], ["position"], "line_no")
 
 
 def create_orders(submissions: DataFrame, lines: DataFrame, charges: DataFrame, request_lines: DataFrame, counters: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(headers, lines, charges, refused) of new orders.
+    """(headers, lines, charges, refused) of new orders; who needs some of them only asks ``NewOrders`` for these.
 
     ``submissions``: submission_id, year, vendor_name, discount_pct, withholding (a kind or none), include_vat; ``lines``:
     submission_id, position, pr_id, line_no, qty, unit_price, purpose; ``charges`` as in ``charge_rows``; ``request_lines``:
@@ -49,32 +98,8 @@ def create_orders(submissions: DataFrame, lines: DataFrame, charges: DataFrame,
     others are numbered on from their year's counter. Lines are numbered by position and take item and unit from the request line;
     the primary request is that of the first line. Positions don't repeat within a submission, which may have any number of lines.
     """
-    known = request_lines.where("is_deleted = 0").select("pr_id", "line_no", "item_id", "uom", F.col("status").alias("_status"))
-    asked = lines.withColumnRenamed("line_no", "request_line").join(known.withColumnRenamed("line_no", "request_line"), ["pr_id", "request_line"], "left")
-    which = F.concat_ws("/", F.col("pr_id").cast("string"), F.col("request_line").cast("string"))
-    lacks = F.col("pr_id").isNull() | F.col("request_line").isNull() | F.col("unit_price").isNull() | F.col("qty").isNull()
-    bad = F.when(lacks, "a line needs request line, price and quantity").when(F.col("_status").isNull(), F.concat(F.lit("not found: "), which)).when(F.col("_status") != "approved", F.concat(F.lit("not approved: "), which))
-    asked = asked.withColumn("error", bad)
-    first = F.when(F.col("error").isNotNull(), F.col("position"))
-    of_lines = asked.groupBy("submission_id").agg(F.count(F.lit(1)).alias("n_lines"), F.min_by("pr_id", "position").alias("primary_pr"), F.min_by("error", first).alias("_line_error"))
-    costs = charge_rows(charges)
-    of_charges = costs.groupBy("submission_id").agg(F.sum("amount").cast("decimal(18,2)").alias("charges"), F.min_by("error", first).alias("_charge_error"))
-
-    head = submissions.join(of_lines, "submission_id", "left").join(of_charges, "submission_id", "left").withColumn("charges", F.coalesce("charges", F.lit(0).cast("decimal(18,2)")))
-    own = F.when(blank(F.col("vendor_name")) | F.col("n_lines").isNull(), "vendor and lines are required").when(~blank(F.col("withholding")) & ~F.col("withholding").isin(*WITHHOLDING), F.concat(F.lit("unknown withholding: "), F.col("withholding")))
-    head = head.withColumn("reason", F.coalesce(own, F.col("_charge_error"), F.col("_line_error"))).drop("_line_error", "_charge_error")
-    refused = head.where("reason IS NOT NULL").select("submission_id", "reason")
-
-    taken = numbering.document_numbers(head.where("reason IS NULL").drop("reason"), counters, "year", ["submission_id"], "PO")
-    taken = taken.withColumn("include_vat", F.coalesce("include_vat", F.lit(False)))
-    keys = taken.select("submission_id", "doc_no")
-    made = places(asked.join(keys, "submission_id"), ["submission_id"], ["position"], "po_line")
-    made = made.withColumns({"total_price": (F.col("qty") * F.col("unit_price")).cast("decimal(28,6)"), "purpose": or_else(F.col("purpose")), "received_qty": zero(), "invoiced_qty": zero(), "status": F.lit("open")}).drop("error", "_status")
-    sums = made.select(F.col("submission_id").alias("po_id"), "unit_price", F.col("qty").alias("ordered_qty"), F.lit(0).alias("is_deleted"))
-    totals = order_totals(sums, taken.select(F.col("submission_id").alias("po_id"), F.coalesce("discount_pct", F.lit(0)).alias("discount_pct"), "charges", "withholding", "include_vat"))
-    totals = totals.select(F.col("po_id").alias("submission_id"), "subtotal", "discount", "vat", "withheld", "total")
-    headers = taken.join(totals, "submission_id").withColumns({"status": F.lit("pending_approval"), "currency": F.lit("IDR"), "search_text": search_text(F.col("doc_no"), F.col("vendor_name"))})
-    return headers, made, costs.drop("error").join(keys, "submission_id"), refused
+    made = NewOrders(submissions, lines, charges, request_lines, counters)
+    return made.headers, made.lines, made.charges, made.refused
 
 
 def _from_status(valid: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -69,12 +69,17 @@ def open_lines(requests: DataFrame, lines: DataFrame, items: DataFrame, order_li
 def order_totals(order_lines: DataFrame, terms: DataFrame) -> DataFrame:
     """Totals of each order. ``terms``: po_id, discount_pct, charges, withholding (a kind or none), include_vat (null: no).
     Value added tax is on net and charges, and only where the order includes it. Decimals, half up."""
-    money = lambda c: F.round(c, 2).cast("decimal(18,2)")
     sub = order_lines.where("is_deleted = 0").groupBy("po_id").agg(F.sum(F.col("unit_price") * F.col("ordered_qty")).cast("decimal(28,6)").alias("sub"))
+    return with_totals(sub.join(terms, "po_id"))
+
+
+def with_totals(rows: DataFrame) -> DataFrame:
+    """The totals of ``order_totals`` for rows with the terms of an order and ``sub``, the sum of its lines, which is replaced."""
+    money = lambda c: F.round(c, 2).cast("decimal(18,2)")
     rate = F.lit("0").cast("decimal(5,4)")
     for kind, r in WITHHOLDING.items():
         rate = F.when(F.col("withholding") == kind, F.lit(r).cast("decimal(5,4)")).otherwise(rate)
-    rows = sub.join(terms, "po_id").withColumn("pct", F.least(F.greatest(F.col("discount_pct").cast("decimal(5,2)"), F.lit(0).cast("decimal(5,2)")), F.lit(100).cast("decimal(5,2)")))
+    rows = rows.withColumn("pct", F.least(F.greatest(F.col("discount_pct").cast("decimal(5,2)"), F.lit(0).cast("decimal(5,2)")), F.lit(100).cast("decimal(5,2)")))
     rows = rows.withColumn("subtotal", money(F.col("sub"))).withColumn("discount", money(F.col("subtotal") * F.col("pct") / 100))
     rows = rows.withColumn("net", (F.col("subtotal") - F.col("discount")).cast("decimal(18,2)"))
     vat = money((F.col("net") + F.col("charges")) * F.lit(VAT).cast("decimal(5,4)"))

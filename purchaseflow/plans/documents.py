@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from purchaseflow.operators import documents, snapshot
+from purchaseflow.sources import files
 from purchaseflow.sources import tables as t
 
 from .registry import query
@@ -105,9 +106,9 @@ o AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY submission_id) + 5
 od AS (SELECT * EXCLUDE (no), 'PO-' || year || '-' || CASE WHEN no < 1000 THEN lpad(CAST(no AS VARCHAR), 3, '0') ELSE CAST(no AS VARCHAR) END AS doc_no FROM o)"""
 
 
-def new_orders(spark, d):
-    """(headers, lines, charges, refused): a third of each request's lines in an order, with charges and every kind of fault."""
-    stored = current_lines(spark, d)
+def new_orders(spark, d) -> documents.NewOrders:
+    """A third of each request's lines in an order, with charges and every kind of fault."""
+    stored = files.stored(current_lines(spark, d).select("pr_id", "line_no", "item_id", "requested_qty", "price", "status", "is_deleted"))
     of = (F.col("pr_id") * 10 + F.col("line_no") % 3).alias("submission_id")
     lines = stored.select(
         of, F.col("line_no").alias("position"), "pr_id", F.when(F.col("item_id") % 37 == 0, F.col("line_no") + 20).otherwise(F.col("line_no")).alias("line_no"), F.col("requested_qty").alias("qty"),
@@ -115,8 +116,10 @@ def new_orders(spark, d):
     )
     s = F.col("submission_id")
     kind = F.when(s % 6 == 0, "pph23").when(s % 6 == 1, "").when(s % 6 == 3, "pph15").when(s % 6 == 4, F.when(s % 8 == 0, "pph99").otherwise("pph22_impor"))
-    asked = stored.select(of, (2020 + F.col("pr_id") % 3).alias("year")).distinct().select(
-        s, "year", F.when(s % 19 == 0, "").otherwise(F.concat(F.lit("Vendor "), (s % 100).cast("string"))).alias("vendor_name"), (s % 130 - 10).alias("discount_pct"), kind.alias("withholding"), F.when(s % 3 != 2, s % 3 == 1).alias("include_vat"),
+    year = (2020 + F.col("pr_id") % 3).alias("year")
+    # by the submission alone, as it is joined by that
+    asked = stored.select(of).distinct().withColumn("pr_id", F.expr("(submission_id - pmod(submission_id, 10)) div 10")).select(
+        s, year, F.when(s % 19 == 0, "").otherwise(F.concat(F.lit("Vendor "), (s % 100).cast("string"))).alias("vendor_name"), (s % 130 - 10).alias("discount_pct"), kind.alias("withholding"), F.when(s % 3 != 2, s % 3 == 1).alias("include_vat"),
     )
     k = F.col("position")
     names = F.when((s + k) % 5 == 0, "freight").when((s + k) % 5 == 1, "packing").when((s + k) % 5 == 2, "insurance").when((s + k) % 5 == 3, "handling").otherwise("other")
@@ -124,7 +127,7 @@ def new_orders(spark, d):
         s, k, F.when(s % 43 == 0, "tip").otherwise(names).alias("kind"), F.when(s % 47 == 0, -k).otherwise(s % 500 + k).cast("decimal(18,2)").alias("amount"), F.when(k == 2, F.repeat(F.lit("x"), (s % 3 * 300).cast("int"))).alias("description"),
     )
     known = stored.select("pr_id", "line_no", "item_id", F.when(F.col("item_id") % 3 == 0, "box").otherwise("pcs").alias("uom"), "status", "is_deleted")
-    return documents.create_orders(asked, lines, charges, known, asked.select("year").distinct().withColumn("last_no", F.lit(5)))
+    return documents.NewOrders(asked, lines, charges, known, stored.select(year).distinct().withColumn("last_no", F.lit(5)))
 
 
 @query("m13_order_headers", f"""{ORDERS_SQL},
@@ -135,23 +138,23 @@ c AS (SELECT *, CASE WHEN include_vat THEN round((net + charges) * CAST(0.11 AS
 SELECT submission_id, doc_no, vendor_name, primary_pr, n_lines, CAST(charges AS DOUBLE) AS charges, CAST(subtotal AS DOUBLE) AS subtotal, CAST(discount AS DOUBLE) AS discount, CAST(vat AS DOUBLE) AS vat, CAST(withheld AS DOUBLE) AS withheld,
        CAST(net + charges + vat - withheld AS DOUBLE) AS total, 'pending_approval' AS status, 'IDR' AS currency, lower(doc_no || ' ' || vendor_name) AS search_text FROM c""")
 def m13_headers(spark, d):
-    made = new_orders(spark, d)[0]
+    made = new_orders(spark, d).headers
     return _num(made.select("submission_id", "doc_no", "vendor_name", "primary_pr", "n_lines", "charges", "subtotal", "discount", "vat", "withheld", "total", "status", "currency", "search_text"))
 
 
 @query("m13_order_lines", f"{ORDERS_SQL} SELECT doc_no, row_number() OVER (PARTITION BY doc_no ORDER BY position) AS po_line, jl.pr_id, request_line, item_id, uom, CAST(qty AS DOUBLE) AS qty, CAST(unit_price AS DOUBLE) AS unit_price, CAST(qty * unit_price AS DOUBLE) AS total_price, purpose, 'open' AS status FROM jl JOIN od USING (submission_id)")
 def m13_lines(spark, d):
-    return _num(new_orders(spark, d)[1].select("doc_no", F.col("po_line").cast("long"), "pr_id", "request_line", "item_id", "uom", "qty", "unit_price", "total_price", "purpose", "status"))
+    return _num(new_orders(spark, d).lines.select("doc_no", F.col("po_line").cast("long"), "pr_id", "request_line", "item_id", "uom", "qty", "unit_price", "total_price", "purpose", "status"))
 
 
 @query("m13_order_charges", f"{ORDERS_SQL} SELECT doc_no, position AS line_no, kind, CASE kind WHEN 'freight' THEN '5100' WHEN 'packing' THEN '5110' WHEN 'insurance' THEN '5120' WHEN 'handling' THEN '5130' ELSE '5190' END AS account, CAST(amount AS DOUBLE) AS amount, substr(coalesce(description, ''), 1, 500) AS description FROM cr JOIN od USING (submission_id)")
 def m13_charges(spark, d):
-    return _num(new_orders(spark, d)[2].select("doc_no", F.col("line_no").cast("int"), "kind", "account", "amount", "description"))
+    return _num(new_orders(spark, d).charges.select("doc_no", F.col("line_no").cast("int"), "kind", "account", "amount", "description"))
 
 
 @query("m13_refused_orders", f"{ORDERS_SQL} SELECT submission_id, reason FROM h WHERE reason IS NOT NULL")
 def m13_refused(spark, d):
-    return new_orders(spark, d)[3]
+    return new_orders(spark, d).refused
 
 
 # --- items ------------------------------------------------------------------------------------------------------------

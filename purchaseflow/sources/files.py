@@ -29,6 +29,13 @@ def work_folder(spark: SparkSession) -> str:
     return f"{top}/data"
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """The rows written to a work folder and read from there, for what is used several times."""
+    path = work_folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _store(spark: SparkSession, path: str):
     """The file system of a path, and the path as its own class."""
     jvm = spark.sparkContext._jvm

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from purchaseflow.operators import documents, snapshot, validate
@@ -112,3 +113,16 @@ def test_a_failed_load_leaves_the_old_version(spark):
     assert files.load(spark.range(9), path, {"bad": spark.range(2)}, same) == (files.REFUSED, {"bad": 2})
     assert files.load(spark.range(9), path, {}, lambda stored: stored.where("id = 8"))[0] == files.DIFFERENT
     assert files.read_version(spark, path, spark.range(1).schema).count() == 9
+
+
+def test_refused_orders_are_found_without_making_any(spark, monkeypatch):
+    """Only who asks for numbers pays for them; the sums of headers come with the check of the lines, not from a second pass."""
+    sums = []
+    monkeypatch.setattr(documents, "places", lambda *a: sums.append(a) or pytest.fail("numbered"))
+    lines = stored(spark)[1]
+    asked = spark.createDataFrame([(1, 2024, "V", 10, "", False), (2, 2024, "", 0, "", False), (3, 2024, "V", 0, "", False)], SUBMISSIONS)
+    most = Decimal("9999999999999999.99")
+    wanted = [(1, 7, 3, 1, Decimal(2), Decimal(100), None), (3, 1, 1, 1, Decimal("99999999999999"), most, None), (3, 2, 3, 1, Decimal(1), None, None)]
+    new = documents.NewOrders(asked, spark.createDataFrame(wanted, ORDER_LINES), spark.createDataFrame([], CHARGES), lines, spark.createDataFrame([], "year int, last_no int"))
+    assert dict(new.refused.collect()) == {2: "vendor and lines are required", 3: "not approved: 1/1"}
+    assert [(r["doc_no"], r["subtotal"], r["discount_pct"], r["total"]) for r in new.headers.collect()] == [("PO-2024-001", Decimal("200.00"), 10, Decimal("180.00"))]
