@@ -107,32 +107,57 @@ def _from_status(valid: DataFrame, keys: Sequence[str]) -> DataFrame:
     return neighbours(valid, keys, "seq", behind=["decision"]).withColumn("from_status", F.coalesce("last_decision", "status")).drop("last_decision")
 
 
+class LineDecisions:
+    """The tables that ``decide_lines`` returns, each made only when it is asked for."""
+
+    def __init__(self, requests: DataFrame, lines: DataFrame, items: DataFrame, decisions: DataFrame) -> None:
+        self._items = items
+        self._live = lines.where("is_deleted = 0").select("pr_id", "line_no", "item_id", "requested_qty", "status")
+        known = requests.where("is_deleted = 0").select("pr_id", F.lit(True).alias("_request"))
+        rows = decisions.join(known, "pr_id", "left").join(self._live.withColumn("_line", F.lit(True)), ["pr_id", "line_no"], "left")
+        qty = F.when(F.col("decision") == "approved", F.coalesce("given_qty", "requested_qty")).otherwise(zero()).cast("decimal(18,4)")
+        wrong = (
+            F.when(~F.coalesce(F.col("decision").isin(*DECISIONS), F.lit(False)), "unknown decision").when(F.col("_request").isNull(), "request not found").when(F.col("_line").isNull(), "line not found")
+            .when((F.col("decision") == "approved") & F.coalesce(qty <= 0, F.lit(True)), "quantity must be over 0")
+        )
+        self._rows = rows.withColumns({"approved_qty": qty, "reason": wrong}).drop("_request", "_line")
+        self._valid = self._rows.where("reason IS NULL").drop("reason")
+
+    @property
+    def changed(self) -> DataFrame:
+        return self._valid.groupBy("pr_id", "line_no").agg(F.max_by("decision", "seq").alias("status"), F.max_by("approved_qty", "seq").alias("approved_qty"))
+
+    @cached_property
+    def actions(self) -> DataFrame:
+        names = self._items.groupBy("item_id").agg(F.max("name_en").alias("_name"))
+        note = F.concat(F.lit("Item: "), F.coalesce(F.nullif("_name", F.lit("")), F.col("item_id").cast("string"), F.lit("")), F.when(blank(F.col("notes")), "").otherwise(F.concat(F.lit(" — "), F.col("notes"))))
+        valid = _from_status(self._valid, ["pr_id", "line_no"])
+        return valid.join(names, "item_id", "left").select("seq", F.lit("PR").alias("document_type"), "pr_id", "line_no", "actor", F.col("decision").alias("action"), "from_status", F.col("decision").alias("to_status"), "approved_qty", note.alias("notes"))
+
+    @property
+    def requests(self) -> DataFrame:
+        last = self.changed.select("pr_id", "line_no", "status")
+        now = self._live.select("pr_id", "line_no", F.coalesce("status", F.lit("")).alias("_was")).join(last, ["pr_id", "line_no"], "left")
+        touched = last.select("pr_id").distinct()
+        settled = roll_up(now.join(touched, "pr_id", "left_semi").select("pr_id", F.coalesce("status", "_was").alias("status")))
+        return settled.where("new_status IS NOT NULL").withColumnRenamed("new_status", "status")
+
+    @property
+    def refused(self) -> DataFrame:
+        return self._rows.where("reason IS NOT NULL").select("seq", "pr_id", "line_no", "reason")
+
+
 def decide_lines(requests: DataFrame, lines: DataFrame, items: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(changed lines, action rows, changed requests, refused) of decisions on lines.
+    """(changed lines, action rows, changed requests, refused) of decisions on lines; who needs some of them only asks
+    ``LineDecisions`` for these.
 
     ``decisions``: seq (unique), pr_id, line_no, decision, given_qty, actor, notes. An approved line gets the given or else the
     requested quantity, which must be over 0; a rejected one gets 0. Decisions need a known verb, a live request and a
     live line, in this order. Every valid one leaves an action row with the status before it; of several on one line the
     last one counts. Once no live line of a touched request is pending its status follows its lines (``roll_up``).
     """
-    live = lines.where("is_deleted = 0").select("pr_id", "line_no", "item_id", "requested_qty", "status")
-    known = requests.where("is_deleted = 0").select("pr_id", F.lit(True).alias("_request"))
-    rows = decisions.join(known, "pr_id", "left").join(live.withColumn("_line", F.lit(True)), ["pr_id", "line_no"], "left")
-    qty = F.when(F.col("decision") == "approved", F.coalesce("given_qty", "requested_qty")).otherwise(zero()).cast("decimal(18,4)")
-    wrong = (
-        F.when(~F.coalesce(F.col("decision").isin(*DECISIONS), F.lit(False)), "unknown decision").when(F.col("_request").isNull(), "request not found").when(F.col("_line").isNull(), "line not found")
-        .when((F.col("decision") == "approved") & F.coalesce(qty <= 0, F.lit(True)), "quantity must be over 0")
-    )
-    rows = rows.withColumns({"approved_qty": qty, "reason": wrong}).drop("_request", "_line")
-    valid = _from_status(rows.where("reason IS NULL").drop("reason"), ["pr_id", "line_no"])
-    names = items.groupBy("item_id").agg(F.max("name_en").alias("_name"))
-    note = F.concat(F.lit("Item: "), F.coalesce(F.nullif("_name", F.lit("")), F.col("item_id").cast("string"), F.lit("")), F.when(blank(F.col("notes")), "").otherwise(F.concat(F.lit(" — "), F.col("notes"))))
-    actions = valid.join(names, "item_id", "left").select("seq", F.lit("PR").alias("document_type"), "pr_id", "line_no", "actor", F.col("decision").alias("action"), "from_status", F.col("decision").alias("to_status"), "approved_qty", note.alias("notes"))
-    last = valid.groupBy("pr_id", "line_no").agg(F.max_by("decision", "seq").alias("status"), F.max_by("approved_qty", "seq").alias("approved_qty"))
-    now = live.select("pr_id", "line_no", F.coalesce("status", F.lit("")).alias("_was")).join(last.select("pr_id", "line_no", "status"), ["pr_id", "line_no"], "left")
-    touched = last.select("pr_id").distinct()
-    settled = roll_up(now.join(touched, "pr_id", "left_semi").select("pr_id", F.coalesce("status", "_was").alias("status"))).where("new_status IS NOT NULL")
-    return last, actions, settled.withColumnRenamed("new_status", "status"), rows.where("reason IS NOT NULL").select("seq", "pr_id", "line_no", "reason")
+    made = LineDecisions(requests, lines, items, decisions)
+    return made.changed, made.actions, made.requests, made.refused
 
 
 def decide_requests(requests: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

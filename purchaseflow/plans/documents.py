@@ -24,9 +24,9 @@ ok AS (SELECT * FROM w WHERE reason IS NULL),
 la AS (SELECT pr_id, line_no, arg_max(decision, seq) AS status, arg_max(approved_qty, seq) AS approved_qty FROM ok GROUP BY ALL)"""
 
 
-def line_decisions(spark, d):
-    """(changed lines, actions, changed requests, refused): most lines are decided once, some twice, some wrongly."""
-    lines = current_lines(spark, d)
+def line_decisions(spark, d) -> documents.LineDecisions:
+    """Most lines are decided once, some twice, some wrongly."""
+    lines = files.stored(current_lines(spark, d).select("pr_id", "line_no", "item_id", "requested_qty", "status", "is_deleted"))
     k = F.explode(F.array(F.lit(0), F.lit(1))).alias("k")
     rows = lines.select("pr_id", "line_no", "item_id", k).where("CASE WHEN k = 0 THEN item_id % 4 <> 0 ELSE item_id % 7 = 0 END")
     rest = (F.col("item_id") + F.col("k")) % 5
@@ -34,27 +34,27 @@ def line_decisions(spark, d):
         (F.col("pr_id") * 100 + F.col("line_no") * 10 + F.col("k")).alias("seq"), "pr_id", "line_no", F.when(rest == 0, "rejected").when(rest == 4, "maybe").otherwise("approved").alias("decision"),
         F.when(F.col("item_id") % 6 == 0, 0).when(F.col("item_id") % 6 == 1, 7).cast("decimal(18,4)").alias("given_qty"), F.concat(F.lit("chief "), F.col("k").cast("string")).alias("actor"), F.when(F.col("k") == 1, "again").otherwise("").alias("notes"),
     )
-    return documents.decide_lines(t.requests(spark, d), lines, t.items(spark, d), decisions)
+    return documents.LineDecisions(t.requests(spark, d), lines, t.items(spark, d), decisions)
 
 
 @query("m9_decided_lines", f"{LINE_DECISIONS_SQL} SELECT pr_id, line_no, status, CAST(approved_qty AS DOUBLE) AS approved_qty FROM la")
 def m9_lines(spark, d):
-    return _num(line_decisions(spark, d)[0])
+    return _num(line_decisions(spark, d).changed)
 
 
 @query("m9_decision_actions", f"{LINE_DECISIONS_SQL} SELECT seq, 'PR' AS document_type, pr_id, line_no, actor, decision AS action, coalesce(lag(decision) OVER (PARTITION BY pr_id, line_no ORDER BY seq), ok.status) AS from_status, decision AS to_status, CAST(approved_qty AS DOUBLE) AS approved_qty, 'Item: ' || coalesce(nullif(name_en, ''), CAST(item_id AS VARCHAR)) || CASE WHEN notes = '' THEN '' ELSE ' — ' || notes END AS notes FROM ok LEFT JOIN it USING (item_id)")
 def m9_actions(spark, d):
-    return _num(line_decisions(spark, d)[1])
+    return _num(line_decisions(spark, d).actions)
 
 
 @query("m9_request_status", f"{LINE_DECISIONS_SQL}, n AS (SELECT ln.pr_id, coalesce(la.status, ln.status) AS status FROM ln LEFT JOIN la USING (pr_id, line_no) WHERE is_deleted = 0 AND ln.pr_id IN (SELECT pr_id FROM la)) SELECT pr_id, CASE WHEN bool_and(status = 'rejected') THEN 'rejected' ELSE 'approved' END AS status FROM n GROUP BY pr_id HAVING NOT bool_or(status IN ('', 'pending'))")
 def m9_requests(spark, d):
-    return line_decisions(spark, d)[2]
+    return line_decisions(spark, d).requests
 
 
 @query("m9_refused_decisions", f"{LINE_DECISIONS_SQL} SELECT seq, pr_id, line_no, reason FROM w WHERE reason IS NOT NULL")
 def m9_refused(spark, d):
-    return line_decisions(spark, d)[3]
+    return line_decisions(spark, d).refused
 
 
 REQUEST_DECISIONS_SQL = f"""{WITH}, dc AS (

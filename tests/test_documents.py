@@ -126,3 +126,11 @@ def test_refused_orders_are_found_without_making_any(spark, monkeypatch):
     new = documents.NewOrders(asked, spark.createDataFrame(wanted, ORDER_LINES), spark.createDataFrame([], CHARGES), lines, spark.createDataFrame([], "year int, last_no int"))
     assert dict(new.refused.collect()) == {2: "vendor and lines are required", 3: "not approved: 1/1"}
     assert [(r["doc_no"], r["subtotal"], r["discount_pct"], r["total"]) for r in new.headers.collect()] == [("PO-2024-001", Decimal("200.00"), 10, Decimal("180.00"))]
+
+
+def test_refused_decisions_are_found_without_the_order_of_others(spark, monkeypatch):
+    monkeypatch.setattr(documents, "neighbours", lambda *a, **k: pytest.fail("sorted"))
+    rows = [(1, 1, 1, "approved", None, "a", None), (2, 9, 1, "approved", None, "a", None), (3, 1, 2, "rejected", None, "a", None)]
+    decided = documents.LineDecisions(*stored(spark), spark.createDataFrame(rows, DECISIONS))
+    assert dict(decided.refused.select("seq", "reason").collect()) == {2: "request not found"}
+    assert [tuple(r) for r in decided.requests.collect()] == [(1, "approved")]
