@@ -14,16 +14,18 @@ from purchaseflow.sources import tables as t
 from .registry import query
 from .reports import LINE, LINE_SQL, ORDERED, WITH, _num
 
-BUCKETS = 8
+def buckets(spark, d) -> int:
+    """Buckets of all tables that are joined with line versions, the largest one."""
+    return bucketed.buckets_for(t.scan(spark, d, "lineitem"))
 
 
 def bucketed_lines(spark, d, by=("pr_id",)):
     """Line versions by document, or by line; the last year's are appended to what was there."""
-    rows = t.request_line_versions(spark, d)
+    rows, n = t.request_line_versions(spark, d), buckets(spark, d)
     year = F.year("version") >= 1998
     sort = [*t.LINE_KEYS, "version"]
-    name = bucketed.create(rows.where(~year), by, sort, BUCKETS)
-    bucketed.append(name, rows.where(year), by, sort, BUCKETS)
+    name = bucketed.create(rows.where(~year), by, sort, n)
+    bucketed.append(name, rows.where(year), by, sort, n)
     return bucketed.read(spark, name)
 
 
@@ -31,8 +33,8 @@ def bucketed_current(spark, d, by=("pr_id",)):
     return v.current_state(bucketed_lines(spark, d, by), t.LINE_KEYS, t.LINE_ORDER)
 
 
-def _stored(rows, *by):
-    return bucketed.read(rows.sparkSession, bucketed.create(rows, by, by, BUCKETS))
+def _stored(rows, n, *by):
+    return bucketed.read(rows.sparkSession, bucketed.create(rows, by, by, n))
 
 
 @query("v1_bucketed_state", f"{WITH} SELECT {LINE_SQL} FROM ln")
@@ -42,14 +44,14 @@ def v1_bucketed(spark, d):
 
 @query("v5_bucketed_lookup", f"{WITH} SELECT pr_id, line_no, item_id FROM ln WHERE is_deleted = 0 AND pr_id IN (SELECT pr_id FROM rq WHERE requester_id % 10 = 3)")
 def v5_bucketed(spark, d):
-    wanted = _stored(t.requests(spark, d).where("requester_id % 10 = 3").select("pr_id"), "pr_id")
+    wanted = _stored(t.requests(spark, d).where("requester_id % 10 = 3").select("pr_id"), buckets(spark, d), "pr_id")
     return v.lookup(bucketed_lines(spark, d), wanted, t.LINE_KEYS, t.LINE_ORDER).select("pr_id", "line_no", "item_id")
 
 
 @query("j1_bucketed_headers", f"{WITH} SELECT rq.pr_id, count(line_no) AS n_lines FROM rq LEFT JOIN (SELECT * FROM ln WHERE is_deleted = 0) USING (pr_id) GROUP BY rq.pr_id")
 def j1_bucketed(spark, d):
     lines = bucketed_current(spark, d).where("is_deleted = 0").select("pr_id", "line_no")
-    headers = _stored(t.requests(spark, d).select("pr_id"), "pr_id")
+    headers = _stored(t.requests(spark, d).select("pr_id"), buckets(spark, d), "pr_id")
     return headers.join(lines, "pr_id", "left").groupBy("pr_id").agg(F.count("line_no").alias("n_lines"))
 
 
@@ -57,7 +59,7 @@ def j1_bucketed(spark, d):
 def j2_bucketed(spark, d):
     """Both tables lie in buckets of the line, so sums, state and join are made bucket by bucket."""
     lines = bucketed_current(spark, d, t.LINE_KEYS)
-    return _num(p.with_ordered(lines, _stored(t.order_lines(spark, d), *t.LINE_KEYS)).select("pr_id", "line_no", "ordered_qty"))
+    return _num(p.with_ordered(lines, _stored(t.order_lines(spark, d), buckets(spark, d), *t.LINE_KEYS)).select("pr_id", "line_no", "ordered_qty"))
 
 
 # --- order, receipt, invoice; budget and actual --------------------------------------------------------------------

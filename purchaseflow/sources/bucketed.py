@@ -15,6 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from .files import work_folder
 
 
+#: Rows of a bucket, about: a task sorts one bucket, so its memory doesn't grow with the table.
+ROWS = 1_000_000
+
+
+def buckets_for(rows: DataFrame, least: int = 8) -> int:
+    """How many buckets a table of these rows should have; tables that are joined by bucket take the number of the largest."""
+    return max(least, -(-rows.count() // ROWS))
+
+
 def _writer(rows: DataFrame, by: Sequence[str], sort: Sequence[str], buckets: int, mode: str):
     dealt = rows.repartition(buckets, *by)  # one file a bucket
     return dealt.write.format("parquet").mode(mode).bucketBy(buckets, by[0], *by[1:]).sortBy(sort[0], *sort[1:])
@@ -22,7 +31,7 @@ def _writer(rows: DataFrame, by: Sequence[str], sort: Sequence[str], buckets: in
 
 def create(rows: DataFrame, by: Sequence[str], sort: Sequence[str], buckets: int, name: str | None = None, path: str | None = None) -> str:
     """Stores ``rows`` in ``buckets`` by the columns ``by``, sorted by ``sort``; returns the table's name. Without a path the
-    files are in a work folder and go when the application ends. Choose about as many buckets as the table has times 128 MB."""
+    files are in a work folder and go when the application ends. ``buckets_for`` says how many it needs."""
     name = name or f"bucketed_{uuid.uuid4().hex}"
     _writer(rows, by, sort, buckets, "error").option("path", path or work_folder(rows.sparkSession)).saveAsTable(name)
     return name

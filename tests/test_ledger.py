@@ -218,3 +218,12 @@ def test_keyword_rules_against_all_rules_in_turn(spark, monkeypatch):
         monkeypatch.setattr(keywords, "PORTION", size)
         assert rows_of(keywords.classify(rows, "text", table, ["x", "y", "z"], "none")) == sorted(want, key=repr)
     assert rows_of(keywords.classify(rows, "text", table.limit(0), ["x"], "none").select("x").distinct()) == [("none",)]
+
+
+def test_buckets_grow_with_the_table(spark, sf_dir, monkeypatch):
+    assert bucketed.buckets_for(spark.range(100)) == 8
+    monkeypatch.setattr(bucketed, "ROWS", 300)
+    lines = t.scan(spark, sf_dir, "lineitem").count()
+    assert bucketed.buckets_for(spark.range(2500)) == 9
+    got = plan_of(plans.j2_bucketed(spark, sf_dir))
+    assert f"out of {-(-lines // 300)}" in got and rows_of(plans.j2_bucketed(spark, sf_dir).select("pr_id", "line_no")) == rows_of(plans._num(plans.bucketed_current(spark, sf_dir)).select("pr_id", "line_no"))
