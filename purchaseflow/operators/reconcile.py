@@ -61,3 +61,13 @@ def probe(name: str, rows: DataFrame, column: str, amount: str, latest: str) ->
 
 def distinct_exact(rows: DataFrame, column: str) -> DataFrame:
     return rows.agg(F.count_distinct(column).alias("n_distinct"))
+
+
+def copies(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """The distinct rows of tables with the same columns, with ``n_0``, ``n_1``, ...: how often each table has them.
+
+    All tables are dealt by ``keys`` once; what is grouped by these afterwards needs no other shuffle.
+    """
+    names = tables[0].columns
+    each = reduce(DataFrame.unionByName, (rows.withColumn("_table", F.lit(k)) for k, rows in enumerate(tables)))
+    return each.repartition(*keys).groupBy(*names).agg(*(F.count_if(F.col("_table") == k).alias(f"n_{k}") for k in range(len(tables))))

@@ -10,8 +10,9 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from purchaseflow.operators import purchasing, sync
+from purchaseflow.operators import purchasing, reconcile, sync
 from purchaseflow.operators import versioned as v
+from purchaseflow.plans import jobs as plans
 from purchaseflow.sources import files
 from purchaseflow.streaming import jobs as streams
 
@@ -140,3 +141,13 @@ def test_a_job_that_broke_off_is_applied_again_and_a_whole_one_never(spark):
     assert read() == []
     assert files.apply_once(spark.range(3), path, "load") and not files.apply_once(spark.range(9), path, "load")
     assert files.apply_once(spark.range(7, 8), path, "more") and read() == [(0,), (1,), (2,), (7,)]
+
+
+def test_rows_of_sinks_are_counted_and_arrivals_have_files_of_all_tasks(spark):
+    """Tables are compared by one count of each row, so what is twice or in one of them only shows."""
+    rows = lambda *v: spark.createDataFrame([(k, x) for k, x in v], "id long, x string")
+    got = reconcile.copies([rows((1, "a"), (1, "a"), (2, None)), rows((1, "a"), (2, None)), rows((1, "b"))], ["id"])
+    assert rows_of(got) == [(1, "a", 2, 1, 0), (1, "b", 0, 0, 1), (2, None, 1, 1, 0)]
+    path = files.work_folder(spark)
+    assert plans._arrive(spark.range(0, 400, 1, 3), path, 4, "id") == 3
+    assert rows_of(spark.read.parquet(path)) == rows_of(spark.range(400))
