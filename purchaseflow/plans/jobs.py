@@ -954,11 +954,13 @@ def t2(spark, d):
 
 @query("t3_order_status_stream", ORDER_STATUS_SQL)
 def t3(spark, d):
-    """Commands are dealt over the triggers without regard to document or time, as long as the watermark's delay bears it."""
+    """Commands are dealt over the triggers without regard to document or time, as long as the watermark's delay bears it.
+    All stay open that long, so groups are as many as hold 20,000 each."""
     base = files.work_folder(spark)
     commands = order_commands(spark, d).withColumn("at", F.col("at").cast("timestamp"))
-    commands.repartition(3, F.xxhash64("seq")).write.parquet(f"{base}/in")
-    streams.order_status_stream(streams.source(spark, f"{base}/in", commands.schema, 1), f"{base}/out", f"{base}/state", "3650 days")
+    per_batch = _arrive(commands, f"{base}/in", 3, "seq")
+    groups = max(64, -(-commands.count() // 20_000))
+    streams.order_status_stream(streams.source(spark, f"{base}/in", commands.schema, per_batch), f"{base}/out", f"{base}/state", "3650 days", groups)
     return streams.current_status(spark, f"{base}/out")
 
 

@@ -151,3 +151,16 @@ def test_rows_of_sinks_are_counted_and_arrivals_have_files_of_all_tasks(spark):
     path = files.work_folder(spark)
     assert plans._arrive(spark.range(0, 400, 1, 3), path, 4, "id") == 3
     assert rows_of(spark.read.parquet(path)) == rows_of(spark.range(400))
+
+
+def test_state_of_an_order_status_stream_is_kept_by_group(spark):
+    """The calls on the state are as many as groups, not as documents, and each document has its own status all the same."""
+    rng, start, base = random.Random(9), datetime(2025, 3, 1), files.work_folder(spark)
+    commands = [(rng.choice([None, *range(300)]), start + timedelta(minutes=rng.randrange(50)), k, rng.choice(["approve", "reject", "resubmit"]), rng.choice(["why", 'a "b", [c]', "", None])) for k in range(1500)]
+    for k in range(2):
+        spark.createDataFrame(commands[k::2], COMMANDS).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    rows = streams.source(spark, f"{base}/in", spark.createDataFrame([], COMMANDS).schema, 1)
+    query = streams.order_status_stream(rows, f"{base}/out", f"{base}/state", "2 hours", groups=4)
+    assert rows_of(streams.current_status(spark, f"{base}/out")) == rows_of(purchasing.fold_status(spark.createDataFrame(commands, COMMANDS)))
+    # a value and a timer (which Spark keeps by key and by time) of each group
+    assert 4 <= query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3 * 4
