@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .prefix import neighbours, running_sums
+from purchaseflow.sources.files import stored
+
+from .prefix import neighbours, parts_for, running_sums, spread
 
 
 def allocate(sides: dict[str, DataFrame], keys: Sequence[str], doc: str, order: Sequence[str], quantity: str) -> DataFrame:
@@ -22,11 +24,13 @@ def allocate(sides: dict[str, DataFrame], keys: Sequence[str], doc: str, order:
     """
     laid = []
     for name, rows in sides.items():
-        given = rows.where(F.col(quantity) > 0).select(*keys, F.lit(name).alias("_side"), F.col(doc).alias("_doc"), *(F.col(c).alias(f"_o{k}") for k, c in enumerate(order)), F.col(quantity).alias("_q"))
-        laid.append(given)
-    placed = running_sums(reduce(DataFrame.unionByName, laid), [*keys, "_side"], [*(f"_o{k}" for k in range(len(order))), "_doc", "_q"], {"_end": "_q"})
-    ends = placed.groupBy(*keys, "_end").agg(*(F.max(F.when(F.col("_side") == name, F.col("_doc"))).alias(name) for name in sides))
-    pieces = neighbours(ends.withColumn("_at", F.col("_end")), keys, "_end", ahead=list(sides), behind=["_at"])
+        side = rows.where(F.col(quantity) > 0).select(*keys, F.lit(name).alias("_side"), F.col(doc).alias("_doc"), *(F.col(c).alias(f"_o{k}") for k, c in enumerate(order)), F.col(quantity).alias("_q"))
+        laid.append(side)
+    given = stored(reduce(DataFrame.unionByName, laid))
+    parts = parts_for(given)
+    placed = running_sums(given, [*keys, "_side"], [*(f"_o{k}" for k in range(len(order))), "_doc", "_q"], {"_end": "_q"}, parts)
+    ends = spread(placed, parts, *keys, "_end").groupBy(*keys, "_end").agg(*(F.max(F.when(F.col("_side") == name, F.col("_doc"))).alias(name) for name in sides))
+    pieces = neighbours(ends.withColumn("_at", F.col("_end")), keys, "_end", ahead=list(sides), behind=["_at"], parts=parts)
     begin = F.coalesce("last__at", F.lit(0)).cast(pieces.schema["_end"].dataType)
     return pieces.select(*keys, begin.alias("begin"), (F.col("_end") - begin).alias(quantity), *(F.col(f"next_{name}").alias(name) for name in sides))
 

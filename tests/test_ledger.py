@@ -227,3 +227,31 @@ def test_buckets_grow_with_the_table(spark, sf_dir, monkeypatch):
     assert bucketed.buckets_for(spark.range(2500)) == 9
     got = plan_of(plans.j2_bucketed(spark, sf_dir))
     assert f"out of {-(-lines // 300)}" in got and rows_of(plans.j2_bucketed(spark, sf_dir).select("pr_id", "line_no")) == rows_of(plans._num(plans.bucketed_current(spark, sf_dir)).select("pr_id", "line_no"))
+
+
+def test_ranges_grow_with_the_rows(spark, monkeypatch):
+    """A task has as many rows of a large table as of a small one, and only the keys at the ends of ranges are looked at twice."""
+    monkeypatch.setattr(prefix, "ROWS", 100)
+    rng = random.Random(10)
+    rows = [(rng.choice(["hot", "hot", None, *(f"k{i}" for i in range(300))]), at, rng.randrange(1, 6)) for at in rng.sample(range(9000), 1950)]
+    df = spark.createDataFrame(rows, "k string, at long, x long").repartition(3)
+    assert prefix.parts_for(df) == 20 and prefix.parts_for(df.limit(100)) == 0
+    got, sums, want = prefix.running_sums(df, ["k"], ["at"], {"run": "x"}), defaultdict(int), []
+    for k, at, x in sorted(rows, key=lambda r: r[1]):
+        sums[k] += x
+        want.append((k, at, x, sums[k]))
+    assert got.rdd.getNumPartitions() == 20 and rows_of(got) == sorted(want, key=repr)
+    ranges = prefix.dealt(df, ["k"], ["at"], 20)
+    assert ranges.groupBy(prefix.RANGE).count().agg(F.max("count")).first()[0] < 200
+    shared = prefix._shared(ranges, ["k"], n=F.count(F.lit(1)))
+    assert rows_of(shared) == rows_of(ranges.groupBy("k", prefix.RANGE).count().join(ranges.groupBy("k").agg(F.count_distinct(prefix.RANGE).alias("r")).where("r > 1").withColumnRenamed("k", "_k"), F.expr("k <=> _k")).select("k", prefix.RANGE, "count"))
+    assert prefix._edges(ranges, ["k"]).count() <= 2 * 20
+    # of all sides together, and so of the pieces
+    sides = {n: spark.createDataFrame([(k % 5, k, rng.randrange(1, 9)) for k in range(300)], "k int, doc long, q long") for n in "ab"}
+    pieces = ledger.allocate(sides, ["k"], "doc", [], "q")
+    assert pieces.rdd.getNumPartitions() == 6
+    for k in range(5):
+        made = Counter()
+        for r in pieces.where(f"k = {k}").collect():
+            made[r["a"], r["b"]] += r["q"]
+        assert made == brute_allocation({n: [(r.doc, r.q) for r in s.where(f"k = {k}").collect()] for n, s in sides.items()})
